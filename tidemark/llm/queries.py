@@ -31,6 +31,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import as_text, find_spans
+
+    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    base = ("email", "ip", "card", "phone")
+    counts = [F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.filter("pii", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), as_text(F.col("pii")).alias("spans"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -44,6 +53,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_corpus(manifest, with_ids=False)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -60,7 +80,7 @@ def op10_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op6_best_fit_packing, op7_token_files, op9_toxicity, op10_multiprobe_ann)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_pii, op6_best_fit_packing, op7_token_files, op8_byte_bpe, op9_toxicity, op10_multiprobe_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
