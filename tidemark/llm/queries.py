@@ -40,6 +40,29 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(F.filter("pii", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), as_text(F.col("pii")).alias("spans"))
 
 
+def op5_exact_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mih import sign_codes, top_k
+
+    found = top_k(sign_codes(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+#: Brute force over all pairs of a query and a row.
+OP5_SQL = """
+WITH codes AS (
+  SELECT vec_id,
+    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS low,
+    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] >= 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS high
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) >= 64
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, (bit_count(xor(q.low, c.low)) + bit_count(xor(q.high, c.high)))::INTEGER AS distance
+  FROM codes q JOIN codes c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -80,8 +103,8 @@ def op10_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_pii, op6_best_fit_packing, op7_token_files, op8_byte_bpe, op9_toxicity, op10_multiprobe_ann)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_pii, op5_exact_hamming_topk, op6_best_fit_packing, op7_token_files, op8_byte_bpe, op9_toxicity, op10_multiprobe_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_hamming_topk": OP5_SQL}

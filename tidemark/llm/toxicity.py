@@ -26,9 +26,9 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"\w+")
 PREFIX = 4
 #: The most labelled rows that a fit reads; which ones follows from a hash of the text alone.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 #: Characters of the sample's texts that a fit may hold at once; the row bound shrinks so that it holds.
-SAMPLE_CHARS = 60_000_000
+SAMPLE_CHARS = 40_000_000
 
 
 def features(sentence: str) -> list[str]:
@@ -55,16 +55,18 @@ class Model:
         return 1.0 - exp(sum(each)), [1.0 - exp(x) for x in each]
 
 
-def fit(texts: list[str], labels: np.ndarray, least_docs: int = 5, most_features: int = 20_000, rounds: int = 100, sparse: float = 3.0) -> Model:
+def fit(texts: list[str], labels: np.ndarray, least_docs: int = 5, most_features: int = 20_000, rounds: int = 100, sparse: float | None = None) -> Model:
     """Trains on whole texts with full-batch Adam; deterministic.
 
     Features need ``least_docs`` documents; of more than ``most_features`` those stay whose
     presence tells most about the label. ``sparse`` documents' worth of evidence are taken off every
-    weight (an L1 penalty), so words that toxic documents hold by chance fall to zero. Without both labels every score is the base rate.
+    weight (an L1 penalty; by default 3, and less for few toxic documents), so words that toxic documents
+    hold by chance fall to zero. Without both labels every score is the base rate.
     """
     base = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6)) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return Model(float(np.log(base / (1 - base))), {})
+    sparse = min(3.0, max(0.3, int(labels.sum()) / 200)) if sparse is None else sparse
     seen: dict[str, list[int]] = {}
     for text, y in zip(texts, labels.tolist(), strict=True):
         for f in {f for s in SENTENCE.split(text) for f in features(s)}:
