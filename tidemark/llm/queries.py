@@ -31,6 +31,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import as_text, find_spans
 
@@ -103,7 +110,7 @@ def op10_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_pii, op5_exact_hamming_topk, op6_best_fit_packing, op7_token_files, op8_byte_bpe, op9_toxicity, op10_multiprobe_ann)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_html_extraction, op4_pii, op5_exact_hamming_topk, op6_best_fit_packing, op7_token_files, op8_byte_bpe, op9_toxicity, op10_multiprobe_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
