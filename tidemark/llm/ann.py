@@ -171,7 +171,7 @@ def nearest(
     def dealt(rows: DataFrame, own: str, other: str, by: str) -> DataFrame:
         if not blocks:
             return rows.withColumns({own: F.lit(0), other: F.lit(0)})
-        both = rows.join(crowded.withColumnsRenamed({"vs": "nv", "qs": "nq"}), "key", "left")
+        both = rows.join(crowded.withColumnsRenamed({"vs": "nvs", "qs": "nqs"}), "key", "left")
         mine = F.coalesce(F.pmod(F.xxhash64(by), F.col(f"n{own}")), F.lit(0)).cast("int").alias(own)
         return both.select(*rows.columns, mine, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"n{other}"), F.lit(1)) - 1)).alias(other))
 
