@@ -125,11 +125,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str,
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("top")).where("label = top")
     own = docs.where(keep).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = own.join(known, "id").select("text", "label")
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    # Only lengths, and then only the sampled texts, take part in a join.
+    size = own.select("id", F.length("text").alias("chars")).join(known, "id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
     share = min(1.0, SAMPLE_ROWS / max(size["n"], 1), SAMPLE_CHARS / max(size["chars"] or 0, 1))
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    return rows.where(spread < int(share * (1 << 30)) + 1)
+    return own.where(spread < int(share * (1 << 30)) + 1).join(known, "id").select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
