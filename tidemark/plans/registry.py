@@ -1,19 +1,609 @@
-"""All registered queries of the notice operators."""
+"""All registered queries of the notice operators, each with its SQL equivalent."""
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, html, text
+from ..operators import alerts, lifecycle, reports, search
+from ..sources import html_feeds, json_feeds, store
+from . import views
+from .views import AS_OF, DOCUMENTS_SQL, MERGE_SQL, ORDERS_SQL, RUN_AS_OF, RUNS_SQL, as_of, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+O_SQL, N_SQL, R_SQL = f"WITH {ORDERS_SQL} ", f"WITH {DOCUMENTS_SQL} ", f"WITH {RUNS_SQL} "
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = inspect.cleandoc(sql)
+        return f
+
+    return keep
+
+
+def stamp(c):
+    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd HH:mm:ss")
+
+
+# Merge and lifecycle
+
+
+@query(MERGE_SQL + "SELECT portal, notice_id, ordinal, action FROM actions")
+def merge_actions(spark, d):
+    found = lifecycle.merge_actions(views.batch(spark, d), views.stored_notices(spark, d), views.tombstones(spark, d), as_of())
+    return found.select("portal", "notice_id", "ordinal", "action")
+
+
+@query(MERGE_SQL + """SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action IN ('skip', 'touch')) AS skipped,
+    CAST(0 AS BIGINT) AS failed, 'success' AS status FROM actions""")
+def merge_counters(spark, d):
+    counted = lifecycle.merge_counters(lifecycle.merge_actions(views.batch(spark, d), views.stored_notices(spark, d), views.tombstones(spark, d), as_of()))
+    return counted.withColumn("status", lifecycle.run_status(*map(F.col, ("inserted", "updated", "skipped", "failed"))))
+
+
+SNAPSHOT_SQL = f""", seen AS (SELECT DISTINCT portal, notice_id FROM actions WHERE action <> 'skip'),
+written AS (SELECT *, row_number() OVER (PARTITION BY portal, notice_id ORDER BY ordinal DESC) AS nth FROM actions WHERE action IN ('insert', 'update'))
+SELECT coalesce(w.portal, s.portal) AS portal, coalesce(w.notice_id, s.notice_id) AS notice_id, CAST(coalesce(w.value, s.value) AS VARCHAR) AS value, coalesce(w.content_hash, s.content_hash) AS content_hash,
+  CASE WHEN k.portal IS NULL THEN 'run-0' ELSE 'run-1' END AS last_seen_run
+FROM stored s FULL JOIN (SELECT * FROM written WHERE nth = 1) w ON s.portal = w.portal AND s.notice_id = w.notice_id
+LEFT JOIN seen k ON k.portal = coalesce(w.portal, s.portal) AND k.notice_id = coalesce(w.notice_id, s.notice_id)"""
+
+
+@query(MERGE_SQL + SNAPSHOT_SQL)
+def merge_snapshot(spark, d):
+    new, _ = lifecycle.merge_snapshot(views.batch(spark, d), views.stored_notices(spark, d), views.tombstones(spark, d), as_of(), "run-1")
+    return new.select("portal", "notice_id", F.col("value").cast("string").alias("value"), "content_hash", "last_seen_run")
+
+
+@query(MERGE_SQL + SNAPSHOT_SQL)
+def replayed_batch(spark, d):
+    """The same batch merged twice: the second time changes nothing."""
+    once, _ = lifecycle.merge_snapshot(views.batch(spark, d).where("ordinal = 1").unionByName(views.batch(spark, d).where("ordinal = 2")), views.stored_notices(spark, d), views.tombstones(spark, d), as_of(), "run-1")
+    last = views.batch(spark, d).groupBy("portal", "notice_id").agg(F.max("ordinal").alias("ordinal"))
+    again = views.batch(spark, d).join(last, ["portal", "notice_id", "ordinal"], "left_semi")
+    twice, _ = lifecycle.merge_snapshot(again, once, views.tombstones(spark, d), as_of(), "run-1")
+    return twice.select("portal", "notice_id", F.col("value").cast("string").alias("value"), "content_hash", "last_seen_run")
+
+
+@query(O_SQL + f"SELECT portal, notice_id FROM orders_n WHERE closing IS NULL OR closing >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAYS")
+def expire_survivors(spark, d):
+    return lifecycle.expire(views.orders(spark, d), views.tombstones(spark, d), as_of(), 30)[0].select("portal", "notice_id")
+
+
+@query(O_SQL + f"""SELECT portal, notice_id, {STAMP.format('closing')} AS closed_at FROM orders_n
+    WHERE closing < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAYS OR (category = '5-LOW' AND status = 'F')""")
+def expire_tombstones(spark, d):
+    return lifecycle.expire(views.orders(spark, d), views.tombstones(spark, d), as_of(), 30)[1].select("portal", "notice_id", stamp("closed_at").alias("closed_at"))
+
+
+@query(O_SQL + f"""SELECT portal, notice_id, 'kept' AS state FROM orders_n WHERE organisation NOT LIKE '%7'
+    UNION ALL SELECT portal, notice_id, 'tombstone' FROM orders_n WHERE organisation LIKE '%7' OR (category = '5-LOW' AND status = 'F')""")
+def suppress_ids(spark, d):
+    notices = views.orders(spark, d)
+    kept, gone = lifecycle.suppress(notices, views.tombstones(spark, d), notices.where("organisation like '%7'"), as_of())
+    return kept.select("portal", "notice_id", F.lit("kept").alias("state")).unionByName(gone.select("portal", "notice_id", F.lit("tombstone").alias("state")))
+
+
+@query("""SELECT c_custkey, CASE WHEN n.last IS NULL THEN c_mktsegment ELSE n.last END AS segment FROM customer
+    LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS last FROM orders GROUP BY ALL) n ON c_custkey = o_custkey""")
+def settings_upsert(spark, d):
+    current = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    changes = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("segment"), F.col("o_orderkey").alias("ordinal"))
+    return lifecycle.upsert_by_key(current, changes, ["c_custkey"])
+
+
+@query(O_SQL + "SELECT organisation, category, count(*) AS n FROM orders_n GROUP BY ALL HAVING count(*) > 1")
+def key_violations(spark, d):
+    return lifecycle.key_violations(views.orders(spark, d), ["organisation", "category"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def orphan_children(spark, d):
+    return lifecycle.orphans(table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY'")
+def cascade_delete(spark, d):
+    customers = table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return lifecycle.cascade(table(spark, d, "orders"), customers.where("c_mktsegment = 'MACHINERY'"), "o_custkey").join(customers, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query(O_SQL + """SELECT lower(regexp_replace(portal, '[^a-zA-Z0-9]+', '', 'g')) AS portal, notice_id, title FROM orders_n WHERE status <> 'F'
+    UNION ALL SELECT lower(regexp_replace(portal, '[^a-zA-Z0-9]+', '', 'g')), notice_id, 'legacy' FROM orders_n WHERE status = 'F'""")
+def legacy_import(spark, d):
+    notices = views.orders(spark, d)
+    current = notices.where("status <> 'F'").select(text.slug(F.col("portal")).alias("portal"), "notice_id", "title")
+    legacy = notices.select(F.col("portal").alias("name"), "notice_id", F.lit("legacy").alias("title"))
+    return store.legacy_import(current, legacy, "name", None, ["portal", "notice_id"])
+
+
+@query(O_SQL + f""", latest AS (SELECT n_name AS portal, max(CAST(o_orderdate AS TIMESTAMP)) AS run_started FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY ALL)
+    SELECT portal, notice_id FROM orders_n JOIN latest USING (portal) WHERE closing < run_started""")
+def staleness(spark, d):
+    rows = views.orders(spark, d)
+    full = rows.where("status = 'F'").select("portal", F.col("closing").alias("run_started"))
+    return lifecycle.staleness(rows.withColumn("last_seen_at", F.col("closing")), full).select("portal", "notice_id")
+
+
+# Search
+
+OPEN_SQL = f"(closing IS NULL OR closing >= TIMESTAMP '{AS_OF}')"
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+ASKED_SQL = f"asked AS (SELECT item_id AS query_id, array_to_string({WORDS_SQL.format('text')}[1:2], ' ') AS q FROM benchmark)"
+STEM_SQL = r"""CASE WHEN regexp_matches({0}, '[^ea]ies$') THEN regexp_replace({0}, 'ies$', 'y') WHEN regexp_matches({0}, '[^aeo]es$') THEN regexp_replace({0}, 'es$', 'e')
+  WHEN regexp_matches({0}, '[^us]s$') THEN regexp_replace({0}, 's$', '') ELSE {0} END"""
+
+
+def asked(spark, d):
+    """A query for each benchmark text: its first two words, both required."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("q"))
+
+
+@query(O_SQL + f"""SELECT portal, notice_id, (SELECT count(*) FROM orders_n WHERE {OPEN_SQL}) AS total_count, CAST(ceil((SELECT count(*) FROM orders_n WHERE {OPEN_SQL}) / 20.0) AS BIGINT) AS pages
+    FROM orders_n WHERE {OPEN_SQL} ORDER BY closing DESC NULLS LAST, portal, notice_id LIMIT 20 OFFSET 20""")
+def browse_page(spark, d):
+    found = search.filtered(views.orders(spark, d), as_of()).withColumn("published", F.col("closing"))
+    return search.browse(found, page=2).select("portal", "notice_id", "total_count", "pages")
+
+
+@query(O_SQL + f"""SELECT portal, notice_id, {STAMP.format('closing')} AS closing FROM orders_n
+    WHERE {OPEN_SQL} AND portal IN ('NATION_1', 'NATION_2', 'NATION_3') AND status = 'O' AND closing BETWEEN TIMESTAMP '1998-07-01' AND TIMESTAMP '1999-07-01'""")
+def filtered_rows(spark, d):
+    found = search.filtered(views.orders(spark, d), as_of(), portals=["NATION_1", "NATION_2", "NATION_3"], portal="NATION_9", status="O", closing_from=as_of("1998-07-01"), closing_to=as_of("1999-07-01"))
+    return found.select("portal", "notice_id", stamp("closing").alias("closing"))
+
+
+@query(N_SQL + f""", asked AS (SELECT page_id AS query_id, 'd' || page_id AS q FROM pages)
+    SELECT query_id, portal, notice_id, CAST(sum(points) AS DOUBLE) AS score FROM (
+      SELECT query_id, portal, notice_id, (CASE WHEN lower(notice_id) = q THEN 10000 ELSE 0 END) + (CASE WHEN contains(lower(notice_id), q) THEN 8000 ELSE 0 END)
+        + (CASE WHEN contains(lower(title), q) THEN 6000 ELSE 0 END) + (CASE WHEN contains(lower(description), q) THEN 4000 ELSE 0 END) AS points
+      FROM documents_n, asked WHERE contains(lower(notice_id), q) OR contains(lower(title), q) OR contains(lower(description), q)) GROUP BY ALL""")
+def reference_search(spark, d):
+    queries = table(spark, d, "pages").select(F.col("page_id").alias("query_id"), F.concat(F.lit("d"), F.col("page_id")).alias("q"))
+    return search.reference_search(views.documents(spark, d), queries).select("query_id", "portal", "notice_id", "score")
+
+
+INDEX_SQL = f"""{DOCUMENTS_SQL}, {ASKED_SQL},
+fields AS (SELECT portal, notice_id, 1.0 AS weight, {WORDS_SQL.format('title')} AS words, 1 AS f FROM documents_n
+  UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('description')}, 2 FROM documents_n UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('category')}, 3 FROM documents_n),
+words AS (SELECT portal, notice_id, weight, f, unnest(words) AS word FROM fields),
+tf AS (SELECT portal, notice_id, weight, {STEM_SQL.format('word')} AS token, count(*) AS tf FROM words GROUP BY portal, notice_id, weight, token),
+ranks AS (SELECT portal, notice_id, token, sum(CAST(weight AS DOUBLE) * tf / (tf + 1)) AS rank FROM tf GROUP BY ALL),
+terms AS (SELECT DISTINCT query_id, q, {STEM_SQL.format('word')} AS token FROM (SELECT query_id, q, unnest({WORDS_SQL.format('q')}) AS word FROM asked)),
+need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY ALL),
+hits AS (SELECT query_id, portal, notice_id, count(*) AS n, sum(rank) AS rank FROM ranks JOIN terms USING (token) GROUP BY ALL),
+matched AS (SELECT query_id, portal, notice_id, rank / need AS text_rank FROM hits JOIN need USING (query_id) WHERE n = need),
+found AS (SELECT m.query_id, m.portal, m.notice_id, (CASE WHEN lower(m.notice_id) = q THEN 1000 ELSE 0 END) + (CASE WHEN lower(title) = q THEN 500 ELSE 0 END) + (CASE WHEN starts_with(lower(m.notice_id), q) THEN 200 ELSE 0 END)
+  + round(100 * coalesce(text_rank, 0), 6) AS score
+  FROM (SELECT query_id, portal, notice_id, text_rank FROM matched UNION ALL
+    SELECT query_id, portal, notice_id, NULL FROM documents_n JOIN asked ON starts_with(lower(notice_id), q) WHERE (query_id, portal, notice_id) NOT IN (SELECT query_id, portal, notice_id FROM matched)) m
+  JOIN asked USING (query_id) JOIN documents_n n ON n.portal = m.portal AND n.notice_id = m.notice_id)"""
+
+
+@query(f"WITH {INDEX_SQL} SELECT query_id, portal, notice_id, CAST(round(score, 3) AS DOUBLE) AS score FROM found")
+def fulltext_search(spark, d):
+    return search.fulltext_search(views.documents(spark, d), asked(spark, d)).select("query_id", "portal", "notice_id", F.round("score", 3).alias("score"))
+
+
+@query(f"""WITH {INDEX_SQL}, ranked AS (SELECT f.query_id, f.portal, f.notice_id, count(*) OVER (PARTITION BY f.query_id) AS total_count,
+    row_number() OVER (PARTITION BY f.query_id ORDER BY round(score, 3) DESC, published DESC NULLS LAST, f.portal, f.notice_id) AS rank FROM found f JOIN documents_n n ON n.portal = f.portal AND n.notice_id = f.notice_id)
+    SELECT query_id, portal, notice_id, CAST(rank AS INTEGER) AS rank, total_count, CAST(ceil(total_count / 5.0) AS BIGINT) AS pages FROM ranked WHERE rank BETWEEN 6 AND 10""")
+def ranked_page(spark, d):
+    found = search.fulltext_search(views.documents(spark, d), asked(spark, d)).withColumn("score", F.round("score", 3))
+    return search.ranked_page(found, page=2, limit=5).select("query_id", "portal", "notice_id", "rank", "total_count", "pages")
+
+
+@query(rf"""WITH {ASKED_SQL}, every AS (SELECT query_id, q, 0 AS alternative, q AS text FROM asked),
+    w AS (SELECT query_id, alternative, unnest({WORDS_SQL.format('text')}) AS word FROM every)
+    SELECT DISTINCT query_id, alternative, {STEM_SQL.format('word')} AS token FROM w""")
+def alias_terms(spark, d):
+    """Terms of each alternative of a query; acronyms have a second one."""
+    return search.alternatives(asked(spark, d)).select("query_id", "alternative", "token")
+
+
+GRAMS_SQL = """list_distinct(flatten(list_transform({}, lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({GRAMS_SQL.format(WORDS_SQL.format('p_name'))}), '|') AS grams FROM part")
+def trigram_sets(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(search.trigrams(F.col("p_name"))), "|").alias("grams"))
+
+
+SIMILAR_SQL = f"""names AS (SELECT DISTINCT p_name AS title FROM part), brands AS (SELECT DISTINCT p_name AS q, min(p_partkey) AS query_id FROM part GROUP BY ALL),
+a AS (SELECT title, {GRAMS_SQL.format(WORDS_SQL.format('title'))} AS g FROM names), b AS (SELECT query_id, {GRAMS_SQL.format(WORDS_SQL.format('q'))} AS g FROM brands),
+pairs AS (SELECT query_id, title, len(list_intersect(a.g, b.g)) AS c, len(a.g) AS n, len(b.g) AS m FROM a, b)"""
+
+
+@query(f"""WITH {SIMILAR_SQL} SELECT query_id, p_partkey AS notice_id, CAST(round(c / (n + m - c), 6) AS DOUBLE) AS similarity FROM pairs JOIN part ON p_name = title WHERE c / (n + m - c) > 0.2""")
+def fuzzy_search(spark, d):
+    """Every distinct part name as a query against all part names."""
+    part = table(spark, d, "part")
+    notices = part.select(F.col("p_brand").alias("portal"), F.col("p_partkey").alias("notice_id"), F.col("p_name").alias("title"))
+    queries = part.groupBy(F.col("p_name").alias("q")).agg(F.min("p_partkey").alias("query_id"))
+    return search.similar_titles(notices, queries).select("query_id", "notice_id", F.round("similarity", 6).alias("similarity"))
+
+
+TIER_SQL = f"""WITH {INDEX_SQL},
+rest AS (SELECT * FROM asked WHERE query_id NOT IN (SELECT query_id FROM found) AND q <> ''),
+tg AS (SELECT title, {GRAMS_SQL.format(WORDS_SQL.format('title'))} AS g FROM (SELECT DISTINCT title FROM documents_n)), qg AS (SELECT query_id, q, {GRAMS_SQL.format(WORDS_SQL.format('q'))} AS g FROM rest),
+near AS (SELECT query_id, q, title, len(list_intersect(tg.g, qg.g)) AS c, len(tg.g) AS n, len(qg.g) AS m FROM tg, qg)
+SELECT query_id, portal, notice_id, 'text' AS tier, CAST(round(score, 3) AS DOUBLE) AS score FROM found
+UNION ALL SELECT query_id, portal, notice_id, 'fuzzy', CAST(round((CASE WHEN lower(near.title) = q THEN 500 ELSE 0 END) + round(10 * c / (n + m - c), 6), 3) AS DOUBLE) FROM near JOIN documents_n ON documents_n.title = near.title WHERE c / (n + m - c) > 0.2"""
+
+
+@query(TIER_SQL)
+def tiered_search(spark, d):
+    return search.tiered_search(views.documents(spark, d), asked(spark, d)).select("query_id", "portal", "notice_id", "tier", F.round("score", 3).alias("score"))
+
+
+@query(r"""WITH n AS (SELECT page_id, url AS q, trim(regexp_replace(regexp_replace(lower(url), '[^\p{L}\p{N}\s/_\-.]', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM pages
+      UNION ALL SELECT -1 - item_id, text, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s/_\-.]', ' ', 'g'), '\s+', ' ', 'g')) FROM benchmark)
+    SELECT page_id AS query_id, normal, CASE WHEN trim(q) = '' THEN 'browse' WHEN length(trim(q)) >= 3 AND (regexp_full_match(trim(q), '[0-9]+') OR regexp_matches(trim(q), '[/_.:&,-]')) THEN 'raw_reference'
+      WHEN length(normal) >= 6 AND regexp_matches(normal, '[a-zA-Z]') AND regexp_matches(normal, '[0-9]') AND regexp_matches(normal, '[/_.-]') THEN 'structured_reference' ELSE 'text' END AS mode FROM n""")
+def query_modes(spark, d):
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("q")).union(table(spark, d, "benchmark").select(-1 - F.col("item_id"), "text"))
+    rows = rows.withColumn("normal", text.normalize_query(F.col("q")))
+    return rows.select("query_id", "normal", search.query_mode(F.col("q"), F.col("normal"), F.lit(True)).alias("mode"))
+
+
+# Labels and reports
+
+LABEL_SQL = (
+    rf"""CASE WHEN regexp_matches(coalesce(title, '') || ' ' || coalesce(category, ''), '(?i)(^|[^A-Za-z0-9_])({text.COMPONENT_WORDS})($|[^A-Za-z0-9_])') THEN 'irrelevant' """
+    rf"""WHEN regexp_matches(coalesce(organisation, '') || ' ' || coalesce(department, ''), '(?i)(^|[^A-Za-z0-9_])({text.DEFENCE_WORDS})($|[^A-Za-z0-9_])') THEN 'relevant' """
+    rf"""WHEN regexp_matches(coalesce(organisation, '') || ' ' || coalesce(department, ''), '(?i)(^|[^A-Za-z0-9_])({text.CIVIL_WORDS})($|[^A-Za-z0-9_])') THEN 'irrelevant' ELSE 'unclassified' END"""
+)
+LABELLED_SQL = "labelled AS (SELECT p_partkey, p_type AS title, p_name AS category, p_brand AS organisation, CASE WHEN p_size < 10 THEN 'Air  Force' WHEN p_size > 40 THEN 'City Hospital' ELSE p_name END AS department FROM part)"
+
+
+def _labelled(spark, d):
+    department = F.when(F.col("p_size") < 10, "Air  Force").when(F.col("p_size") > 40, "City Hospital").otherwise(F.col("p_name"))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("title"), F.col("p_name").alias("category"), F.col("p_brand").alias("organisation"), department.alias("department"))
+    return rows.withColumn("relevance", text.relevance(*map(F.col, ("title", "category", "organisation", "department"))))
+
+
+@query(f"WITH {LABELLED_SQL} SELECT p_partkey, {LABEL_SQL} AS relevance FROM labelled")
+def relevance_labels(spark, d):
+    return _labelled(spark, d).select("p_partkey", "relevance")
+
+
+@query(f"WITH {LABELLED_SQL} SELECT {LABEL_SQL} AS relevance, count(*) AS n FROM labelled GROUP BY ALL")
+def relevance_counts(spark, d):
+    return reports.relevance_counts(_labelled(spark, d))
+
+
+@query("SELECT source AS portal, count(*) AS n FROM documents GROUP BY ALL")
+def portal_counts(spark, d):
+    return reports.portal_counts(views.documents(spark, d))
+
+
+@query(O_SQL + f"""SELECT count(*) AS total, count(*) FILTER (closing BETWEEN TIMESTAMP '{AS_OF}' AND TIMESTAMP '{AS_OF}' + INTERVAL 7 DAYS) AS closing_soon, count(*) FILTER (closing >= TIMESTAMP '1998-06-01') AS created_today,
+    count(*) FILTER ({OPEN_SQL} AND (contains(lower(title), 'urgent') OR contains(lower(title), '5-low'))) AS phrase_matches FROM orders_n""")
+def dashboard_stats(spark, d):
+    return reports.dashboard_stats(views.orders(spark, d).withColumn("created", F.col("closing")), as_of(), ["Urgent", "5-LOW"], F.col("title"))
+
+
+@query(R_SQL + "SELECT portal, arg_max(stated_total, (started, run_id)) FILTER (stated_total IS NOT NULL) AS stated_total FROM runs GROUP BY ALL HAVING count(stated_total) > 0")
+def stated_totals(spark, d):
+    return reports.stated_totals(views.runs(spark, d))
+
+
+@query(R_SQL + """, s AS (SELECT portal, arg_max(stated_total, (started, run_id)) FILTER (stated_total IS NOT NULL) AS stated_total FROM runs GROUP BY ALL), c AS (SELECT portal, count(DISTINCT user_id) AS n FROM runs WHERE status = 'failed' GROUP BY ALL)
+    SELECT coalesce(s.portal, c.portal) AS portal, coalesce(n, 0) AS n_stored, stated_total, greatest(0, stated_total - coalesce(n, 0)) AS gap FROM s FULL JOIN c ON s.portal = c.portal""")
+def coverage_gap(spark, d):
+    runs = views.runs(spark, d)
+    return reports.coverage(runs.where("status = 'failed'").groupBy("portal").agg(F.count_distinct("user_id").alias("n")), reports.stated_totals(runs))
+
+
+@query(R_SQL + f"SELECT {STAMP.format('max(finished)')} AS last_finished FROM runs WHERE status IN ('success', 'partial')")
+def last_finished(spark, d):
+    return reports.last_finished(views.runs(spark, d)).select(stamp("last_finished").alias("last_finished"))
+
+
+SUMMARY_SQL = f"""registry AS (SELECT DISTINCT event_type AS portal FROM events UNION SELECT n_name FROM nation),
+last AS (SELECT portal, arg_max(status, (started, run_id)) AS last_status, max(started) AS last_started, max(started) FILTER (status = 'success') AS last_success FROM runs GROUP BY ALL),
+notices AS (SELECT n_name AS portal, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
+
+
+def _summary(spark, d):
+    registry = table(spark, d, "events").select(F.col("event_type").alias("portal")).union(table(spark, d, "nation").select("n_name")).distinct()
+    return reports.portal_summary(registry, views.runs(spark, d), reports.portal_counts(views.orders(spark, d)))
+
+
+@query(R_SQL + f", {SUMMARY_SQL} SELECT r.portal, last_status, {STAMP.format('last_started')} AS last_started, {STAMP.format('last_success')} AS last_success, coalesce(n, 0) AS n FROM registry r LEFT JOIN last USING (portal) LEFT JOIN notices USING (portal)")
+def portal_summary(spark, d):
+    return _summary(spark, d).select("portal", "last_status", stamp("last_started").alias("last_started"), stamp("last_success").alias("last_success"), "n")
+
+
+@query(R_SQL + f", {SUMMARY_SQL} SELECT r.portal, CASE WHEN r.portal LIKE '%_1%' THEN 'disabled' WHEN last_status = 'running' THEN 'running' WHEN last_status IS NULL THEN 'never run' WHEN last_status = 'success' THEN 'ok' WHEN last_status = 'failed' THEN 'failed' ELSE last_status END AS health FROM registry r LEFT JOIN last USING (portal)")
+def portal_health(spark, d):
+    return _summary(spark, d).select("portal", reports.portal_health(~F.col("portal").like("%_1%"), F.lit(False), F.col("last_status")).alias("health"))
+
+
+@query(R_SQL + "SELECT portal, run_id, status FROM runs QUALIFY row_number() OVER (PARTITION BY portal ORDER BY started DESC, run_id DESC) <= 10")
+def recent_runs(spark, d):
+    return reports.recent_runs(views.runs(spark, d)).select("portal", "run_id", "status")
+
+
+@query(R_SQL + "SELECT run_id, portal, status FROM runs WHERE portal = 'click' AND status = 'failed' ORDER BY started DESC, run_id DESC LIMIT 50")
+def run_filter(spark, d):
+    return reports.run_report(views.runs(spark, d), "click", "failed", 50).select("run_id", "portal", "status")
+
+
+@query(R_SQL + "SELECT portal, status, count(*) AS n FROM runs GROUP BY ALL")
+def run_status_counts(spark, d):
+    return reports.run_status_counts(views.runs(spark, d))
+
+
+@query(R_SQL + f"SELECT run_id, greatest(0, CAST(floor((epoch_us(coalesce(finished, TIMESTAMP '{RUN_AS_OF}')) - epoch_us(started)) / 1000000) AS BIGINT)) AS seconds FROM runs")
+def run_durations(spark, d):
+    return views.runs(spark, d).select("run_id", reports.run_duration(F.col("started"), F.col("finished"), as_of(RUN_AS_OF)).alias("seconds"))
+
+
+@query(R_SQL + f"SELECT run_id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, {STAMP.format(f'''coalesce(finished, TIMESTAMP '{RUN_AS_OF}')''')} AS finished, CASE WHEN status = 'running' THEN 'interrupted' END AS message FROM runs")
+def orphan_runs(spark, d):
+    return lifecycle.close_orphan_runs(views.runs(spark, d), as_of(RUN_AS_OF)).select("run_id", "status", stamp("finished").alias("finished"), "message")
+
+
+@query("""SELECT c_custkey AS user_id, coalesce(s.n, 0) AS n_sessions, coalesce(a.n, 0) AS n_alerts FROM customer
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) s ON s.user_id = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) a ON a.o_custkey = c_custkey""")
+def user_report(spark, d):
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return reports.user_report(users, table(spark, d, "events"), table(spark, d, "orders").withColumnRenamed("o_custkey", "user_id")).select("user_id", "n_sessions", "n_alerts")
+
+
+@query("SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey WHERE event_type <> 'error' AND CAST(ts AS TIMESTAMP) + INTERVAL 14 DAYS > TIMESTAMP '2024-01-30'")
+def session_report(spark, d):
+    sessions = table(spark, d, "events").select("event_id", "user_id", (F.col("event_type") != "error").alias("active"), (F.col("ts").cast("timestamp") + F.expr("interval 14 days")).alias("expires"))
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return reports.live_sessions(sessions, users, as_of("2024-01-30")).select("event_id", "c_name")
+
+
+@query(O_SQL + f"""SELECT notice_id, CASE WHEN closing < TIMESTAMP '{AS_OF}' THEN 'closed' WHEN closing <= TIMESTAMP '{AS_OF}' + INTERVAL 1 DAY THEN 'urgent' WHEN closing <= TIMESTAMP '{AS_OF}' + INTERVAL 3 DAYS THEN 'soon' ELSE 'normal' END AS urgency FROM orders_n""")
+def closing_urgency(spark, d):
+    return views.orders(spark, d).select("notice_id", reports.closing_urgency(F.col("closing"), as_of()).alias("urgency"))
+
+
+@query("""SELECT CAST(sum(n) AS BIGINT) AS stated_total, count(DISTINCT day) AS n_distinct FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL)""")
+def calendar_totals(spark, d):
+    listed = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return reports.stated_sum(listed, "day", "n")
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
+def table_counts(spark, d):
+    return store.union_sources([table(spark, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in TABLES])
+
+
+# Alerts
+
+NAMED_SQL = """named AS (SELECT p_brand AS portal, CAST(p_partkey AS VARCHAR) AS notice_id, p_name AS title, p_partkey AS published FROM part),
+subs AS (SELECT c_custkey AS user_id, [['red', 'blue', 'widget', 'bolt', 'ring'][CAST(c_nationkey % 5 + 1 AS INTEGER)], ['small ring', 'gear', 'plate', 'green'][CAST(c_nationkey % 4 + 1 AS INTEGER)]] AS keywords, c_acctbal > 0 AS active FROM customer)"""
+
+
+def _subscriptions(spark, d):
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("c_nationkey") % len(words) + 1).cast("int"))
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("user_id"), F.array(pick(["red", "blue", "widget", "bolt", "ring"]), pick(["small ring", "gear", "plate", "green"])).alias("keywords"), (F.col("c_acctbal") > 0).alias("active"), F.lit(None).cast("string").alias("delivery_email"))
+
+
+def _named(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_brand").alias("portal"), F.col("p_partkey").cast("string").alias("notice_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("published"), F.lit(None).cast("timestamp").alias("closing"), F.concat(F.lit("https://example.org/"), F.col("p_partkey")).alias("url"))
+
+
+@query(f"WITH {NAMED_SQL} SELECT DISTINCT user_id, unnest(keywords) AS keyword FROM subs WHERE active")
+def live_subscriptions(spark, d):
+    return alerts.keyword_rows(_subscriptions(spark, d))
+
+
+MATCH_SQL = f"""WITH {NAMED_SQL}, kw AS (SELECT DISTINCT unnest(keywords) AS keyword FROM subs WHERE active),
+terms AS (SELECT keyword, unnest(string_split(keyword, ' ')) AS token FROM kw), need AS (SELECT keyword, count(*) AS need FROM terms GROUP BY ALL),
+words AS (SELECT portal, notice_id, unnest(string_split(title, ' ')) AS token FROM named), tf AS (SELECT portal, notice_id, token, count(*) AS tf FROM words GROUP BY ALL),
+hits AS (SELECT keyword, portal, notice_id, count(*) AS n, sum(CAST(tf AS DOUBLE) / (tf + 1)) AS rank FROM tf JOIN terms USING (token) GROUP BY ALL),
+scored AS (SELECT keyword, h.portal, h.notice_id, (CASE WHEN lower(title) = keyword THEN 500 ELSE 0 END) + round(100 * rank / need, 6) AS score, published FROM hits h JOIN need USING (keyword) JOIN named m ON m.portal = h.portal AND m.notice_id = h.notice_id WHERE n = need),
+grams AS (SELECT DISTINCT title, {GRAMS_SQL.format(WORDS_SQL.format('title'))} AS g FROM named),
+fuzzy AS (SELECT keyword, title, len(list_intersect(a.g, b.g)) AS c, len(a.g) AS x, len(b.g) AS y FROM grams a, (SELECT keyword, {GRAMS_SQL.format(WORDS_SQL.format('keyword'))} AS g FROM kw WHERE keyword NOT IN (SELECT keyword FROM scored)) b),
+every AS (SELECT keyword, portal, notice_id, score, published FROM scored UNION ALL SELECT keyword, portal, notice_id, round(10 * c / (x + y - c), 6), published FROM fuzzy JOIN named USING (title) WHERE c / (x + y - c) > 0.2),
+matches AS (SELECT keyword, portal, notice_id FROM every QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY score DESC, published DESC NULLS LAST, portal, notice_id) <= 20),
+users AS (SELECT DISTINCT user_id, portal, notice_id FROM (SELECT user_id, unnest(keywords) AS keyword FROM subs WHERE active) JOIN matches USING (keyword)),
+sent AS (SELECT o_custkey AS user_id, p_brand AS portal, CAST(p_partkey AS VARCHAR) AS notice_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)
+"""
+
+
+@query(MATCH_SQL + "SELECT * FROM matches")
+def alert_matches(spark, d):
+    return alerts.keyword_matches(_named(spark, d), alerts.keyword_rows(_subscriptions(spark, d))).select("keyword", "portal", "notice_id")
+
+
+def _fresh(spark, d):
+    subs, named = _subscriptions(spark, d), _named(spark, d)
+    sent = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sent = sent.select(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("portal"), F.col("p_partkey").cast("string").alias("notice_id"))
+    return alerts.unsent(alerts.user_matches(subs, alerts.keyword_matches(named, alerts.keyword_rows(subs))), sent)
+
+
+@query(MATCH_SQL + "SELECT user_id, portal, notice_id FROM users WHERE (user_id, portal, notice_id) NOT IN (SELECT user_id, portal, notice_id FROM sent)")
+def alert_unsent(spark, d):
+    return _fresh(spark, d)
+
+
+@query(MATCH_SQL + """, fresh AS (SELECT * FROM users WHERE (user_id, portal, notice_id) NOT IN (SELECT user_id, portal, notice_id FROM sent))
+    SELECT user_id, CAST(count(*) AS INTEGER) AS n_notices, count(*) || ' new notice' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' matching your alerts' AS subject,
+      string_agg('- [' || portal || '] ' || title || ' (closes unknown) - https://example.org/' || notice_id, chr(10) ORDER BY portal, notice_id) AS body, c_name AS address
+    FROM fresh JOIN named USING (portal, notice_id) JOIN customer ON c_custkey = user_id GROUP BY user_id, c_name""")
+def alert_digest(spark, d):
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"), F.lit(None).cast("string").alias("delivery_email"))
+    return alerts.digests(_fresh(spark, d), users, _named(spark, d)).select("user_id", "n_notices", "subject", "body", "address")
+
+
+@query(f"""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type, event_id) <= 100""")
+def alert_history(spark, d):
+    log = table(spark, d, "events").select("user_id", F.col("event_type").alias("portal"), F.col("event_id").alias("notice_id"), F.col("ts").alias("sent_at"))
+    return alerts.alert_history(log).select("user_id", F.col("notice_id").alias("event_id"))
+
+
+# Pages and raw feeds
+
+
+@query(r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS href FROM pages)
+    SELECT page_id, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || href ELSE NULL END AS url FROM a""")
+def page_links(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("base"), F.explode(html.links(F.col("html"))).alias("a"))
+    return rows.select("page_id", text.absolute_url(F.col("base"), F.col("a.href")).alias("url"))
+
+
+@query(r"""SELECT page_id, CASE WHEN contains(lower(html), 'captcha') THEN 'captcha' WHEN contains(lower(html), 'please login') OR contains(lower(html), 'session expired') THEN 'login-required' ELSE 'ok' END AS gate,
+    length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) < 1000 AS shell FROM pages""")
+def page_gate(spark, d):
+    return table(spark, d, "pages").select("page_id", text.page_gate(F.col("html")).alias("gate"), text.is_script_shell(F.col("html"), 1000).alias("shell"))
+
+
+@query("SELECT min(page_id) AS page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages GROUP BY ALL")
+def first_seen_dedupe(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
+    return json_feeds.first_per_key(rows, ["host"], "page_id")
+
+
+@query("""SELECT event_id AS notice_id, event_type || ' ' || CAST(json_extract(props, '$.k') AS VARCHAR) AS title, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_props(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type", F.from_json("props", "k long").alias("p"))
+    return rows.select(F.col("event_id").alias("notice_id"), F.concat_ws(" ", "event_type", F.col("p.k")).alias("title"), F.col("p.k").alias("k"))
+
+
+@query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS heading FROM conversations""")
+def heading_fill(spark, d):
+    rows = table(spark, d, "conversations").withColumn("mark", F.when(F.col("role") == "user", F.col("turn")))
+    return html_feeds.forward_fill(rows, ["conv_id"], "turn", "mark", "heading").select("conv_id", "turn", F.coalesce("heading", F.lit(-1)).alias("heading"))
+
+
+FORMATS = {"dash_seconds": ("dd-MM-yyyy HH:mm:ss", "%d-%m-%Y %H:%M:%S"), "dash_minutes": ("dd-MM-yyyy HH:mm", "%d-%m-%Y %H:%M"), "dash_half_day": ("dd-MM-yyyy hh:mm a", "%d-%m-%Y %I:%M %p"), "slash_half_day": ("dd/MM/yyyy hh:mm a", "%d/%m/%Y %I:%M %p"), "slash_minutes": ("dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"), "month_name": ("dd-MMM-yyyy hh:mm a", "%d-%b-%Y %I:%M %p"), "iso": ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S")}
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"{STAMP.format('o_orderdate')} AS {n}" for n in FORMATS) + f", {STAMP.format('o_orderdate')} AS epoch FROM orders")
+def date_formats(spark, d):
+    o = table(spark, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp"))
+    parsed = [stamp(getattr(dates, n)(F.date_format("t", p))).alias(n) for n, (p, _) in FORMATS.items()]
+    return o.select("o_orderkey", *parsed, stamp(dates.epoch_millis(F.unix_millis("t"))).alias("epoch"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE lower(replace(c_name, '#', '.')) || '@example.org;info@example.org' END AS addresses FROM customer""")
+def recipient_lists(spark, d):
+    name = F.replace("c_name", F.lit("#"), F.lit("."))
+    listed = F.concat(name, F.lit("@Example.org; INFO@example.org\n,"), name, F.lit("@example.org"), F.when(F.col("c_acctbal") < 0, ", not an address").otherwise(""))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(text.recipients(listed), ";").alias("addresses"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) AS cleaned FROM documents")
+def clean_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS organisation, o_orderpriority AS department, split_part(o_orderpriority, '-', 1) AS number, split_part(o_orderpriority, '-', 2) AS label FROM orders")
+def chain_split(spark, d):
+    one = text.organisation_of(text.chain_parts(F.concat_ws(" || ", "o_orderstatus", "o_orderpriority")))
+    two = text.organisation_of(text.chain_parts(F.col("o_orderpriority"), "-"), True)
+    return table(spark, d, "orders").select("o_orderkey", one["organisation"].alias("organisation"), one["department"].alias("department"), two["organisation"].alias("number"), two["department"].alias("label"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS notice_id, o_orderpriority AS reference, 'T/' || o_orderkey AS labelled FROM orders")
+def bracket_ids(spark, d):
+    o = table(spark, d, "orders").withColumn("cell", F.format_string("[work] [%s] [ %s ]", F.col("o_orderpriority"), F.col("o_orderkey").cast("string")))
+    marks = text.bracket_values(F.col("cell"))
+    return o.select("o_orderkey", F.try_element_at(marks, F.lit(-1)).alias("notice_id"), F.try_element_at(marks, F.lit(-2)).alias("reference"), text.reference_id(F.concat(F.lit(" Tender No: T/"), F.col("o_orderkey"))).alias("labelled"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey > 0 THEN o_orderkey ELSE -1 END AS total FROM orders")
+def stated_total_text(spark, d):
+    shown = F.concat(F.lit("Showing 1 to 10 of "), F.format_number("o_orderkey", 0), F.lit(" entries"))
+    found = text.stated_total(F.when(F.col("o_orderstatus") == "F", shown).otherwise(F.concat(F.format_number("o_orderkey", 0), F.lit(" records found"))))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(found, F.lit(-1)).alias("total"))
+
+
+@query(O_SQL + f"SELECT portal, notice_id, title, {STAMP.format('closing')} AS closing, {views.HASH_SQL} AS content_hash FROM orders_n")
+def normalised_records(spark, d):
+    rows = json_feeds.notices(views.orders(spark, d), **{c: F.col(c) for c in ("portal", "notice_id", "title", "organisation", "department", "category", "value", "closing", "status")})
+    return lifecycle.with_hash(rows, views.HASHED).select("portal", "notice_id", "title", stamp("closing").alias("closing"), "content_hash")
+
+
+@query("SELECT n_nationkey, n_name AS short, 'GeM' AS fixed FROM nation")
+def short_names(spark, d):
+    name = F.concat(F.col("n_name"), F.lit(" e-Procurement System (beta)"))
+    return table(spark, d, "nation").select("n_nationkey", text.short_name(F.col("n_name"), name).alias("short"), text.short_name(F.lit("gem"), name).alias("fixed"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS title, o_orderstatus AS department FROM orders")
+def division_split(spark, d):
+    work = text.division_split(F.concat("o_orderpriority", F.lit("  in  Division No: "), "o_orderstatus", F.lit(".")))
+    return table(spark, d, "orders").select("o_orderkey", work["title"].alias("title"), work["department"].alias("department"))
+
+
+@query("""SELECT event_id, 'https://example.org/' || CASE WHEN user_id % 7 = 5 THEN 'showdirectradocumentPdf' WHEN user_id % 7 = 2 THEN CASE WHEN value > 40 THEN 'list-ra-schedules' ELSE 'showradocumentPdf' END ELSE 'showbidDocument' END || '/' || event_id AS url FROM events""")
+def rule_links(spark, d):
+    link = text.document_link("https://example.org", F.col("event_id"), F.col("user_id") % 7, (F.col("value") > 40).cast("int"))
+    return table(spark, d, "events").select("event_id", link.alias("url"))
+
+
+@query(N_SQL + "SELECT notice_id FROM documents_n WHERE contains(lower(description), 'idiot') OR contains(lower(description), 'the and')")
+def phrase_any(spark, d):
+    return views.documents(spark, d).where(search.any_phrase(F.col("description"), ["Idiot", "THE AND"])).select("notice_id")
+
+
+@query("SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 5")
+def first_n_sources(spark, d):
+    return store.first_sources(table(spark, d, "nation"), [F.col("n_nationkey")], 5).select("n_name")
+
+
+@query(O_SQL + f", {DOCUMENTS_SQL} SELECT portal, notice_id, title, status FROM orders_n UNION ALL SELECT portal, notice_id, title, NULL FROM documents_n")
+def union_feed(spark, d):
+    return store.union_sources([views.orders(spark, d).select("portal", "notice_id", "title", "status"), views.documents(spark, d).select("portal", "notice_id", "title")])
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities FROM orders GROUP BY ALL")
+def distinct_lists(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"))
+
+
+@query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_quantity > 45 AND l_discount < 0.02")
+def scan_filtered(spark, d):
+    return store.scan(spark, f"{d}/lineitem.parquet", (F.col("l_quantity") > 45) & (F.col("l_discount") < 0.02), ["l_orderkey", "l_extendedprice"])
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
+def registry_lookup(spark, d):
+    registry = store.enabled_portals(table(spark, d, "nation").withColumn("enabled", F.col("n_regionkey") != 2))
+    return table(spark, d, "customer").join(registry, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+
+
+@query("SELECT c_name AS name, c_nationkey AS nation FROM customer UNION ALL SELECT s_name, s_nationkey FROM supplier")
+def multi_source_scan(spark, d):
+    return store.union_sources([table(spark, d, t).select(F.col(f"{p}_name").alias("name"), F.col(f"{p}_nationkey").alias("nation")) for t, p in (("customer", "c"), ("supplier", "s"))])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Merges a batch into the store and searches the result for the categories' words."""
+    new, _ = lifecycle.merge_snapshot(views.batch(spark, sf_dir), views.stored_notices(spark, sf_dir), views.tombstones(spark, sf_dir), as_of(), "run-1")
+    notices = new.withColumn("published", F.col("closing"))
+    asked = notices.select(F.lower("category").alias("q")).distinct().withColumn("query_id", F.col("q"))
+    return search.ranked_page(search.fulltext_search(notices, asked), 1, 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
