@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The rule patterns that give a notice its relevance label, as in the data's definition.
 COMPONENT_WORDS = r"spares?|spare\s*parts?|components?|accessor(?:y|ies)|repair(?:ing)?\s*of|amc|annual\s+maintenance|refurbish(?:ment)?|overhaul|calibration|replacement\s+of|maintenance\s+of|servicing\s+of"
@@ -51,7 +52,7 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalisation, the one text function that Spark lacks."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

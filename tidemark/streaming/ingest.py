@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,7 +27,7 @@ def start_ingest(
 
     ``as_of(batch)`` is the reference time of a batch. A replayed batch changes nothing but last-seen columns, since the merge
     compares hashes; alerts run after each incremental batch and must consult the sent log, which makes them
-    safe to repeat. Counters of a batch are observed while it is written, without another pass. Ids that were suppressed or expired never
+    safe to repeat. Counters are one more aggregate over the new rows alone. Ids that were suppressed or expired never
     come back: tombstones are a stored table, not stream state with a time limit.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
@@ -36,12 +36,11 @@ def start_ingest(
         stored, gone = read_version(spark, root, "notices"), read_version(spark, root, "tombstones")
         now = F.lit(as_of(number)).cast("timestamp")
         rows = batch.withColumn("ordinal", F.monotonically_increasing_id())
-        seen = Observation(f"batch {number}")
-        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("closing") < now).alias("closed_on_arrival"))
         snapshot, _ = merge_snapshot(rows, stored, gone, now, f"batch-{number}")
         write_version(spark, root, {"notices": snapshot, "tombstones": gone})
         if on_counters:
-            on_counters(number, seen.get)
+            counts = F.count(F.lit(1)).alias("rows"), F.coalesce(F.count_if(F.col("closing") < now), F.lit(0)).alias("closed_on_arrival")
+            on_counters(number, batch.agg(*counts).first().asDict())
         if alerts:
             alerts(read_version(spark, root, "notices").where(F.col("last_seen_run") == f"batch-{number}"), number)
 
