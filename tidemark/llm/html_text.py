@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, utf8
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+'|["'])*+)>|[^<]++|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+'|["'])*+)>|</?[a-zA-Z][^>]*+\Z|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 
 BLOCKS = set(
@@ -100,7 +100,7 @@ def parse(html: str) -> Page:
         tag = m[2]
         if tag is None:
             piece = m[0]
-            if piece[0] != "<" or piece == "<":
+            if piece[0] != "<" or len(piece) == 1:  # not a comment, a declaration or a tag that the page breaks off in
                 page.text.append((stack[-1], unescape(piece)))
                 page.parts[stack[-1]].append(piece)
             continue
