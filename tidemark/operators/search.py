@@ -86,7 +86,8 @@ def reference_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
 def stem(token: Column) -> Column:
     """S-stemmer (Harman 1991): -ies to -y, -es to -e, -s dropped, with their exceptions."""
     return (
-        F.when(token.rlike("[^ea]ies$"), F.regexp_replace(token, "ies$", "y"))
+        F.when(~token.endswith("s"), token)
+        .when(token.rlike("[^ea]ies$"), F.regexp_replace(token, "ies$", "y"))
         .when(token.rlike("[^aeo]es$"), F.regexp_replace(token, "es$", "e"))
         .when(token.rlike("[^us]s$"), F.regexp_replace(token, "s$", ""))
         .otherwise(token)
@@ -181,10 +182,15 @@ def fuzzy_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def tiered_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
-    """Full text, and the fuzzy tier only for queries that it leaves without a match."""
+    """Full text, and the fuzzy tier only for queries that it leaves without a match.
+
+    Those have no full-text match, so their fuzzy tier is similarity alone.
+    """
     first = fulltext_search(notices, queries)
-    rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    return first.withColumn("tier", F.lit("text")).unionByName(fuzzy_search(notices, rest).withColumn("tier", F.lit("fuzzy")))
+    rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti").where("q <> ''")
+    close = similar_titles(notices, rest).join(queries, "query_id").join(notices.select("portal", "notice_id", "title", "published"), ["portal", "notice_id"])
+    close = close.withColumn("score", tier_score() + F.round(10 * F.col("similarity"), 6)).select(OUT)
+    return first.withColumn("tier", F.lit("text")).unionByName(close.withColumn("tier", F.lit("fuzzy")))
 
 
 def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1, limit: int = 20) -> DataFrame:
