@@ -13,13 +13,16 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
-#: Chunks that a worker remembers; past it those of the last batch stay.
+#: Chunks that a worker remembers; past it those stay that came back in a later batch.
 CACHE_CHUNKS = 800_000
-#: Longer chunks are encoded but not remembered.
+#: Longer chunks do not stay.
 LONGEST_CACHED = 48
 
 TWO_SPACES = re.compile(r"\s\s")
+#: An apostrophe may begin a contraction, so it is not cut off.
+WORD_AND_MARKS = re.compile(r"( ?[^\W_]+)([!-&(-/:-@\[-^`{-~]+)")
 CUT_BYTES = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
@@ -52,26 +55,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.chunks = CHUNKS[kind]
+        self.fold = kind == "word"
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # chunks that came back in a later batch
+
+    def parts(self, chunk: str) -> list[str]:
+        """Smaller chunks with the same ids in order: a word and the punctuation after it, in lower case where case is dropped."""
+        # Below U+0100 lower case is one character for one, whatever stands around it.
+        if self.fold and (not chunk or max(chunk) >= "\u0100"):
+            return [chunk]
+        found = WORD_AND_MARKS.fullmatch(chunk)
+        own = [found[1], found[2]] if found else [chunk]
+        return [x.lower() for x in own] if self.fold else own
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encodes chunks that are not known yet."""
+        known, code = self.known, self.code
+        cut = [self.parts(c) for c in fresh]
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[c] = array(code, e.ids).tobytes()
+        for c, own in zip(fresh, cut, strict=True):
+            known[c] = b"".join([known[x] for x in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
         cut = [self.chunks(t) for t in texts]
-        known, code = self.known, self.code
-        fresh = list({c for own in cut for c in own if c not in known})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = array(code, e.ids).tobytes()
-        out = [b"".join([known[c] for c in own]) for own in cut]
+        met = set(chain.from_iterable(cut))
+        fresh = met.difference(self.known)
+        self.learn(list(fresh))
+        known = self.known
+        out = [b"".join(map(known.__getitem__, own)) for own in cut]
+        recurring = met.difference(fresh)
+        self.again |= recurring
         if len(known) > CACHE_CHUNKS:
-            self.known = {c: known[c] for own in cut for c in own if len(c) <= LONGEST_CACHED}
-        else:
-            for c in fresh:
-                if len(c) > LONGEST_CACHED:
-                    del known[c]
+            self.known = {c: known[c] for c in self.again if c in known and len(c) <= LONGEST_CACHED}
+            if len(self.again) > CACHE_CHUNKS * 0.6:
+                self.again = recurring
         return out
 
 
