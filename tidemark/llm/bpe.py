@@ -1,12 +1,13 @@
 """Byte-level BPE through a global distinct-word shuffle.
 
-Encoding explodes documents into pre-tokens with their positions and shuffles them by
-word, so every distinct word meets the merge table once in the task that owns it; its ids
-go back to where the word stood. Positions travel compactly: documents are
-gathered into blocks of a bounded size, and a row is one distinct word of one block with all its
-positions there, as deltas of one byte where they fit. A word that stands in most blocks is
-no burden to one task: its blocks are dealt over ``SALTS`` shares, each of which encodes it
-once.
+Encoding explodes documents into pre-tokens with their positions and shuffles the distinct
+words: every word belongs to one shard, and the task of that shard merges it once. The ids
+go back to where the word stood, and documents are put together by position.
+
+Rows of single words would cost more than the words. So documents are gathered into
+blocks of a bounded size; a block numbers its distinct words by their frequency, sends each shard the
+words that are the shard's in one compressed row, and keeps its positions as one compressed
+sequence of word numbers. A word that stands everywhere is one entry for each block, so no word is hot.
 
 Decoding looks every id up in the token-byte table, whose size the vocabulary bounds.
 """
@@ -14,11 +15,14 @@ Decoding looks every id up in the token-byte table, whose size the vocabulary bo
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +30,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, utf8
 
 #: Text bytes that a block gathers before the next one begins.
-BLOCK_BYTES = 4 << 20
-#: Shares of the blocks among which a frequent word is dealt, and how often in a block makes it frequent.
-SALTS, FREQUENT = 64, 16
-#: Words that a worker remembers while it encodes.
-CACHE_WORDS = 200_000
+BLOCK_BYTES = 24 << 20
+#: Words that a task remembers while it merges.
+CACHE_WORDS = 400_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -39,43 +41,35 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def pack_positions(positions: np.ndarray) -> bytes:
-    """Ascending positions as deltas: one byte below 255, else 255 and four bytes."""
-    deltas = np.diff(positions, prepend=0)
-    if (deltas < 255).all():
-        return deltas.astype(np.uint8).tobytes()
-    big = deltas >= 255
-    at = np.cumsum(np.where(big, 5, 1)) - np.where(big, 5, 1)
-    out = np.zeros(int(at[-1]) + (5 if big[-1] else 1), np.uint8)
-    out[at] = np.where(big, 255, deltas)
-    out[(at[big][:, None] + np.arange(1, 5)).ravel()] = deltas[big].astype("<u4").view(np.uint8)
-    return out.tobytes()
-
-
-def unpack_positions(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if not (raw == 255).any():
-        return np.cumsum(raw, dtype=np.int64)
-    out, at, last = [], 0, 0
-    for stop in [*np.nonzero(raw == 255)[0].tolist(), len(raw)]:
-        if stop < at:  # a 255 inside the four bytes of a large delta
-            continue
-        if stop > at:
-            part = last + np.cumsum(raw[at:stop], dtype=np.int64)
-            out.append(part)
-            last = int(part[-1])
-        if stop < len(raw):
-            last += int(raw[stop + 1 : stop + 5].view("<u4")[0])
-            out.append(np.array([last], np.int64))
-            at = stop + 5
-    return np.concatenate(out)
-
-
-def explode_words(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    """(block, word binary, positions binary) of all pre-tokens, and a row with a null word for each block.
-
-    That row's positions are the block's document ids and numbers of pre-tokens, 64-bit each, so that
-    documents without pre-tokens come back too.
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays of unsigned 32-bit numbers, as byte planes, and raw bytes, each with its size, compressed."""
+    out = []
+    for a in arrays:
+        raw = a if isinstance(a, bytes) else np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        out += [len(raw).to_bytes(8, "little"), raw]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    """The array that ``pack`` stored as byte planes."""
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def explode_words(docs: DataFrame, pattern: str, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """(block, shard, head, payload) rows: the words of a block that belong to a shard, or its head.
+
+    A head holds the ids of the block's documents, their numbers of pre-tokens, and at each
+    position the number of the word that stands there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,42 +79,44 @@ def explode_words(docs: DataFrame, pattern: str, id_col: str, text_col: str) ->
         part, made = TaskContext.get().partitionId(), 0
         number: dict[str, int] = {}
         ids: list[int] = []
-        sizes: list[int] = []
-        words: list[int] = []
+        places: list[np.ndarray] = []
         held = 0
 
         def block() -> Iterator[pa.RecordBatch]:
             name = part << 32 | made
-            w = np.array(words, np.int64)
-            order = np.argsort(w, kind="stable")
-            bounds = np.searchsorted(w[order], np.arange(len(number) + 1))
-            places = [pack_positions(order[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-            keys = [x.encode("utf-8", "surrogatepass") for x in number]
-            counts = np.diff(bounds)
-            salt = np.where(counts >= FREQUENT, name % SALTS, -1)
-            head = np.array([ids, sizes], "<i8").tobytes()
-            columns = [pa.array([name] * (len(keys) + 1), pa.int64()), pa.array([*keys, None], pa.binary()), pa.array([*salt, name % SALTS], pa.int32()), pa.array([*places, head], pa.binary())]
-            whole = pa.RecordBatch.from_arrays(columns, ["block", "word", "salt", "places"])
-            for at in range(0, whole.num_rows, 20_000):
-                yield whole.slice(at, 20_000)
+            every = np.concatenate(places)
+            order = np.argsort(-np.bincount(every, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words = [x.encode("utf-8", "surrogatepass") for x in number]
+            shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+            rows = [(name, int(name % shards), True, pack(np.array(ids, "<i8").tobytes(), np.array(list(map(len, places))), rank[every]))]
+            grouped = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[grouped], np.arange(shards + 1))
+            for k in range(shards):
+                own = grouped[bounds[k] : bounds[k + 1]]
+                if len(own):
+                    mine = [words[i] for i in own]
+                    rows.append((name, k, False, pack(rank[own], np.array(list(map(len, mine))), b"".join(mine))))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "head", "payload"])
 
         for batch in small_batches(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_py()
                 found = find(data.decode("utf-8", "replace"))
                 ids.append(doc_id)
-                sizes.append(len(found))
-                words += [number.setdefault(w, len(number)) for w in found]
-                held += len(data) + 1
+                places.append(np.array([number.setdefault(w, len(number)) for w in found], np.uint32))
+                held += len(data) + 64
                 if held >= BLOCK_BYTES:
                     yield from block()
                     made += 1
-                    number, ids, sizes, words, held = {}, [], [], [], 0
+                    number, ids, places, held = {}, [], [], 0
         if ids:
             yield from block()
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), utf8(text_col).alias("text"))
-    return source.mapInArrow(run, "block long, word binary, salt int, places binary")
+    return source.mapInArrow(run, "block long, shard int, head boolean, payload binary")
 
 
 @lru_cache(maxsize=1)
@@ -138,48 +134,51 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _merger(ranks_path, pattern)
-        known: dict[bytes, bytes] = {}
+        piece = _merger(ranks_path, pattern)._encode_single_piece
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            if len(known) > CACHE_WORDS:
-                known = {}
             out = []
-            for word in batch.column("word").to_pylist():
-                ids = None
-                if word is not None:
-                    ids = known.get(word)
-                    if ids is None:
-                        # A pre-token is one match of the pattern, so its bytes are merged as they are.
-                        ids = known[word] = np.array(enc._encode_single_piece(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array(out, pa.binary())], ["block", "places", "ids"])
+            for head, payload in zip(batch.column("head").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if not head:
+                    if len(known) > CACHE_WORDS:
+                        known = {}
+                    which, sizes, raw = unpack(payload)
+                    ends = np.cumsum(numbers(sizes)).tolist()
+                    words = [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+                    # A pre-token is one match of the pattern, so its bytes are merged as they are.
+                    known.update((w, piece(w)) for w in words if w not in known)
+                    found = [known[w] for w in words]
+                    payload = pack(numbers(which), np.array(list(map(len, found))), np.array(list(chain.from_iterable(found))))
+                out.append(payload)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("head"), pa.array(out, pa.binary())], ["block", "head", "payload"])
 
     def assemble(group: pa.Table) -> pa.Table:
-        head, where, what = None, [], []
-        for places, ids in zip(group.column("places").to_pylist(), group.column("ids").to_pylist(), strict=True):
-            if ids is None:
-                head = np.frombuffer(places, "<i8").reshape(2, -1)
+        which, sizes, flat = [], [], []
+        for head, payload in zip(group.column("head").to_pylist(), group.column("payload").to_pylist(), strict=True):
+            if head:
+                raw_ids, raw_counts, raw_places = unpack(payload)
+                documents, counts, word = np.frombuffer(raw_ids, "<i8"), numbers(raw_counts), numbers(raw_places)
             else:
-                where.append(unpack_positions(places))
-                what.append(np.frombuffer(ids, "<u4").astype(np.int32))
-        documents, sizes = head
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        # Which word stands at each position, then how many ids come before it.
-        word = np.zeros(bounds[-1], np.int64)
-        for k, at in enumerate(where):
-            word[at] = k
-        lengths = np.array([len(x) for x in what] or [0], np.int64)
-        flat = np.concatenate([*what, np.zeros(0, np.int32)])
-        first = np.cumsum(lengths) - lengths
-        each = lengths[word] if len(word) else np.zeros(0, np.int64)
+                for own, raw in zip((which, sizes, flat), unpack(payload), strict=True):
+                    own.append(numbers(raw))
+        order = np.concatenate([*which, np.zeros(0, "<u4")]).astype(np.int64)
+        listed = np.concatenate([*sizes, np.zeros(0, "<u4")]).astype(np.int64)
+        tokens = np.concatenate([*flat, np.zeros(0, "<u4")]).astype(np.int32)
+        # Ids of word k begin at first[k]; the ids of a position are copied from there.
+        first, length = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        first[order], length[order] = np.cumsum(listed) - listed, listed
+        each = length[word]
         ends = np.concatenate([[0], np.cumsum(each)])
-        source = np.repeat(first[word] - ends[:-1], each) + np.arange(ends[-1]) if len(word) else np.zeros(0, np.int64)
-        ids = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat[source].astype(np.int32)))
-        known = documents != -(1 << 63)
-        return pa.table({"doc_id": pa.array(documents, mask=~known), "ids": ids})
-
-    words = explode_words(docs, pattern, id_col, text_col)
-    merged = words.repartition("word", "salt").mapInArrow(merge, "block long, places binary, ids binary")
+        source = np.repeat(first[word] - ends[:-1], each)
+        source += np.arange(ends[-1])
+        bounds = ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens[source]))
+        return pa.table({"doc_id": pa.array(documents, mask=documents == -(1 << 63)), "ids": ids})
+
+    spark = docs.sparkSession
+    shards = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = explode_words(docs, pattern, shards, id_col, text_col)
+    merged = words.repartition("shard").mapInArrow(merge, "block long, head boolean, payload binary")
     return merged.groupBy("block").applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
