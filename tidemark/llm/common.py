@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,3 +64,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -
         step = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+_slot: list = [None, None]
+
+
+def worker_slot(key: tuple, make: Callable[[], Any] = lambda: None) -> Any:
+    """What a Python worker keeps between tasks: one operator's caches at a time.
+
+    Workers outlive stages. Whoever asks with another key lets go of what the operator before had there.
+    """
+    if _slot[0] != key:
+        _slot[:] = [None, None]
+        gc.collect()
+        _slot[:] = [key, make()]
+    return _slot[1]

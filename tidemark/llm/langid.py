@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import small_batches, utf8, worker_slot
 
 #: Runs of letters; everything else carries no language and separates words.
 WORD = re.compile(r"[^\W\d_]+")
@@ -210,6 +210,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: li
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_slot(("langid",))
         model = shared.value
         for batch in small_batches(batches):
             texts = [value.as_py().decode("utf-8", "replace") for value in batch.column(batch.num_columns - 1)]

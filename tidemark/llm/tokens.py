@@ -12,9 +12,10 @@ import os
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import chain
 
+from .common import worker_slot
+
 #: Chunks that a worker remembers; past it those stay that came back in a later batch.
 CACHE_CHUNKS = 800_000
 #: Longer chunks do not stay.
@@ -99,7 +100,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, kind: str) -> Encoder:
-    """One encoder for a Python worker, kept between its tasks."""
-    return Encoder(path, kind)
+    """One encoder for a Python worker, kept between its tasks until another operator runs there."""
+    return worker_slot(("tokens", path, kind), lambda: Encoder(path, kind))

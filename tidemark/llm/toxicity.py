@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import small_batches, utf8, worker_slot
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"\w+")
@@ -159,6 +159,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: list
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_slot(("toxicity",))
         model = shared.value
         for batch in small_batches(batches):
             scores, found = [], []
