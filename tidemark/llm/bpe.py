@@ -96,8 +96,10 @@ def explode_words(docs: DataFrame, pattern: str, shards: int, id_col: str, text_
             for k in range(shards):
                 own = grouped[bounds[k] : bounds[k + 1]]
                 if len(own):
+                    own = own[np.argsort(rank[own])]
                     mine = [words[i] for i in own]
-                    rows.append((name, k, False, pack(rank[own], np.array(list(map(len, mine))), b"".join(mine))))
+                    # Ascending numbers as differences, which compress to a byte or less.
+                    rows.append((name, k, False, pack(np.diff(rank[own].astype(np.int64), prepend=0), np.array(list(map(len, mine))), b"".join(mine))))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "head", "payload"])
 
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             else:
                 for own, raw in zip((which, sizes, flat), unpack(payload), strict=True):
                     own.append(numbers(raw))
-        order = np.concatenate([*which, np.zeros(0, "<u4")]).astype(np.int64)
+        order = np.concatenate([*(np.cumsum(x, dtype=np.int64) for x in which), np.zeros(0, np.int64)])
         listed = np.concatenate([*sizes, np.zeros(0, "<u4")]).astype(np.int64)
         tokens = np.concatenate([*flat, np.zeros(0, "<u4")]).astype(np.int32)
         # Ids of word k begin at first[k]; the ids of a position are copied from there.
