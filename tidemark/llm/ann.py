@@ -10,7 +10,9 @@ original vectors.
 
 Equal vectors are one index row that stands for its ids, of which a search can never
 need more than k + 1. The number of projections of a table grows with the logarithm of
-the number of vectors, so that buckets keep their size, and the number of probes with it.
+the number of vectors, so that buckets keep their size. How many buckets that takes is
+measured: a sample of queries is answered by brute force, and the visits double until the tables
+find the wanted share of those answers; where that takes too many, buckets get wider.
 A bucket is ranked against the queries that visit it as one matrix product, in blocks of a
 bounded number of vectors and of queries, and only k + 1 rows of each query leave a block:
 candidate pairs never become rows, and a bucket that holds a third of all vectors is
@@ -34,6 +36,8 @@ from .common import stored
 SEED = 20_240_501
 #: The most vectors, and visiting queries, that one task compares at once.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 8192
+#: The recall that a sample of so many queries has to reach, and the most visits a table before it loses a projection.
+RECALL, SAMPLE, MOST_VISITS = 0.95, 100, 2048
 
 
 def clean_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -62,7 +66,7 @@ class Hasher:
     def places(self, rows: np.ndarray) -> np.ndarray:
         """(n, tables, projections) positions in units of the bucket width."""
         unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-        return ((unit @ self.a.T) / self.width + self.b).reshape(-1, self.tables, self.projections)
+        return ((unit @ self.a.T) / self.width + self.b).reshape(len(rows), self.tables, self.projections)
 
     def keys(self, buckets: np.ndarray) -> np.ndarray:
         """(n, tables) one 64-bit number for each bucket; tables never share their multipliers."""
@@ -72,9 +76,12 @@ class Hasher:
     def probes(self, place: np.ndarray, count: int) -> np.ndarray:
         """(tables, count, projections) buckets of one query, its own first, then by estimated success."""
         base = np.floor(place)
+        count = min(count, 3**self.projections)  # each projection stays or crosses one of its two borders
         out = np.repeat(base[:, None, :], count, axis=1)
         for t in range(self.tables):
             x = place[t] - base[t]
+            if not self.projections:
+                break
             moves = sorted([(float(d) ** 2, i, -1) for i, d in enumerate(x)] + [(float(1 - d) ** 2, i, 1) for i, d in enumerate(x)])
             heap, n = [(moves[0][0], (0,))], 1
             while heap and n < count:
@@ -106,6 +113,29 @@ def best_rows(q: np.ndarray, v: np.ndarray, first: np.ndarray, count: int) -> tu
     return rows, cols, (q[rows] * v[cols]).sum(axis=1) / (nq[rows] * nv[cols])
 
 
+def settled(dims: int, tables: int, m: int, width: float, visits: int, queries: np.ndarray, answers: list[np.ndarray]) -> tuple[int, int, int]:
+    """(tables, projections, visits) at which the tables find ``RECALL`` of each query's ``answers``, its nearest vectors.
+
+    Without projections a table is one bucket of all vectors, which always does.
+    """
+    total = sum(map(len, answers))
+    for projections in range(m, 0, -1):
+        hasher = Hasher(dims, tables, projections, width)
+        places, goals = hasher.places(queries), [hasher.keys(np.floor(hasher.places(a))) for a in answers]
+        count, most = visits, min(MOST_VISITS, 3**projections)
+        while True:
+            found = 0
+            for place, goal in zip(places, goals, strict=True):
+                keys = hasher.keys(hasher.probes(place, count).swapaxes(0, 1))
+                found += sum(any((keys[:, t] == g[t]).any() for t in range(tables)) for g in goal)
+            if found >= RECALL * total:
+                return tables, projections, count
+            if count >= most:
+                break
+            count = min(2 * count, most)
+    return 1, 0, 1
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -123,7 +153,8 @@ def nearest(
     find each other. Rows that repeat an id are one row if their vectors are equal, and otherwise
     all candidates; of a query's different vectors the best score of each candidate counts. Ties go to the
     smaller id. Vectors whose number of components differs from the most frequent one take no part.
-    No rows give no rows. ``probes`` counts the buckets visited in a table for each of its projections.
+    No rows give no rows. ``probes`` counts the buckets visited in a table for each of its projections at
+    least; ``settled`` raises them to what the measured recall needs.
     """
     good = clean_vectors(vectors, id_col, vec_col)
     sizes = good.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
@@ -138,8 +169,26 @@ def nearest(
     index = stored(index, "ann-index")
     asked = ids.where(is_query).select(F.col("id").alias("query_id"), "vec")
     m = max(2, min(24, round(log(max(index.count() / rows_per_bucket, 2)) / log(4))))
-    visits_each = probes * m
     vec_type = dict(good.dtypes)["vec"]
+    some = asked.orderBy(F.xxhash64("query_id"), "query_id", F.xxhash64("vec")).limit(SAMPLE).toArrow()
+    sample = _matrix(some.column("vec"), dims)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                rows, cols, score = best_rows(sample, _matrix(part.column("vec"), dims), np.arange(part.num_rows), k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("vec").take(pa.array(cols)), pa.array(score)], ["row", "vec", "score"])
+
+    if len(sample):
+        top = Window.partitionBy("row").orderBy(F.desc("score"))
+        near = index.select("vec").mapInArrow(exact, f"row long, vec {vec_type}, score double")
+        # The best is the query's own vector, which its own bucket always finds.
+        near = near.withColumn("rank", F.row_number().over(top)).where((F.col("rank") > 1) & (F.col("rank") <= k + 1)).select("row", "vec").toArrow()
+        row, vecs = near.column("row").to_numpy(), _matrix(near.column("vec"), dims)
+        tables, m, visits_each = settled(dims, tables, m, width, probes * m, sample, [vecs[row == i] for i in range(len(sample))])
+    else:
+        visits_each = probes * m
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dims, tables, m, width)
