@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, small_batches, stored, utf8
-from .tokens import encoder
+from .tokens import encoder, valid_texts
 
 
 @dataclass(frozen=True)
@@ -178,15 +178,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, kin
     """The pieces of every row, with the task that made them and their place among its pieces of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, kind)
+        enc = encoder(tokenizer_path, kind, end_id)
         made: dict[int, int] = {}
         part = TaskContext.get().partitionId()
-        end = end_id.to_bytes(enc.width, "little")
         for batch in small_batches(batches):
             out: list[list] = [[] for _ in range(9)]
-            texts = [t.as_py().decode("utf-8", "replace") for t in batch.column(1)]
-            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
-                ids = np.frombuffer(own + end, f"<u{enc.width}").astype("<u4")
+            flat, ends = enc.encode(valid_texts(batch.column(1)))
+            flat, begin = flat.astype("<u4"), 0
+            for doc_id, stop in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                ids, begin = flat[begin:stop], stop
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     some = ids[at : at + capacity]
                     n = len(some)

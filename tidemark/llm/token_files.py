@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, shared_dir, small_batches, utf8
-from .tokens import encoder
+from .tokens import encoder, valid_texts
+
+
+#: Ids that a reader holds at once, but for a longer document.
+READ_IDS = 1 << 20
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -57,23 +61,22 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)
-        enc = encoder(tokenizer_path, kind)
+        enc = encoder(tokenizer_path, kind, end_id)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        end = end_id.to_bytes(enc.width, "little")
-        ids, offsets = [], [0]
+        ids, offsets, written = [], [np.zeros(1, np.int64)], 0
         with fs.open_output_stream(f"{path}/{name}.ids") as out:
             for batch in small_batches(batches):
-                texts = [t.as_py().decode("utf-8", "replace") for t in batch.column(1)]
-                for own in enc.encode(texts):
-                    out.write(own + end)
-                    offsets.append(offsets[-1] + len(own) // enc.width + 1)
+                flat, ends = enc.encode(valid_texts(batch.column(1)))
+                out.write(flat.tobytes())
+                offsets.append(ends + written)
+                written += len(flat)
                 ids.append(batch.column(0).to_numpy())
-        if len(offsets) > 1:
-            for kind_of, values in (("docs", np.concatenate(ids)), ("offsets", np.array(offsets))):
+        if ids:
+            for kind_of, values in (("docs", np.concatenate(ids)), ("offsets", np.concatenate(offsets))):
                 with fs.open_output_stream(f"{path}/{name}.{kind_of}") as out:
                     out.write(values.astype("<i8").tobytes())
-            row = {"part": part, "name": name, "width": enc.width, "n_docs": len(offsets) - 1, "n_tokens": offsets[-1]}
+            row = {"part": part, "name": name, "width": enc.dtype.itemsize, "n_docs": sum(map(len, ids)), "n_tokens": written}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("name", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
         else:
             fs.delete_file(f"{path}/{name}.ids")
@@ -85,12 +88,22 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     return cut(parts.select("part", F.lit(folder).alias("folder"), "name", "width", "n_docs", "n_tokens", *bases))
 
 
-def _mapped(fs: pafs.FileSystem, path: str) -> memoryview | bytes:
-    if isinstance(fs, pafs.LocalFileSystem):
-        with open(path, "rb") as f:
-            return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-    with fs.open_input_file(path) as f:
-        return f.read()
+class _Numbers:
+    """A file of numbers: mapped into memory where the file system is local, read range by range elsewhere."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        if isinstance(fs, pafs.LocalFileSystem):
+            with open(path, "rb") as f:
+                self.whole = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), self.dtype)
+        else:
+            self.whole, self.file = None, fs.open_input_file(path)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.whole is not None:
+            return self.whole[part]
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((part.stop - part.start) * size, part.start * size), self.dtype)
 
 
 def read_corpus(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -105,13 +118,16 @@ def read_corpus(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
             for row in batch.to_pylist():
                 fs, path = open_folder(row["folder"])
                 stem = f"{path}/{row['name']}"
-                docs = np.frombuffer(_mapped(fs, f"{stem}.docs"), "<i8")
-                offsets = np.frombuffer(_mapped(fs, f"{stem}.offsets"), "<i8")
-                ids = np.frombuffer(_mapped(fs, f"{stem}.ids"), f"<u{row['width']}")
-                for at in range(0, len(docs), 1024):
-                    some = slice(at, min(at + 1024, len(docs)))
-                    bounds = offsets[at : some.stop + 1]
-                    own = [ids[a:z].astype("<u4") for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+                docs, offsets, ids = _Numbers(fs, f"{stem}.docs", "<i8"), _Numbers(fs, f"{stem}.offsets", "<i8"), _Numbers(fs, f"{stem}.ids", f"<u{row['width']}")
+                at = 0
+                while at < row["n_docs"]:
+                    bounds = offsets[at : min(at + 1024, row["n_docs"]) + 1]
+                    # At least one document, and no more than a bounded number of ids at once.
+                    n = max(1, int(np.searchsorted(bounds[1:], bounds[0] + READ_IDS, side="right")))
+                    bounds, some = bounds[: n + 1], slice(at, at + n)
+                    at += n
+                    flat = ids[int(bounds[0]) : int(bounds[-1])].astype("<u4")
+                    own = np.split(flat, bounds[1:-1] - bounds[0])
                     columns = [pa.array(docs[some]), pa.array(bounds[:-1] + row["base_tokens"]), pa.array(np.diff(bounds)), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                     if with_ids:
                         columns.append(pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())))
