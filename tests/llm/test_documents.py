@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from tidemark.llm import bpe, langid, packing, pii, simhash, token_files, toxicity  # noqa: E402
+from tidemark.llm import bpe, langid, packing, pii, simhash, token_files, tokens, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "to") for b in ("bar", "dil", "fen", "gos", "hul")]
@@ -22,7 +23,7 @@ def texts():
     rng = random.Random(3)
     base = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 60))) for _ in range(60)]
     near = [base[0] + " extra", base[0].upper(), base[1][:-1] + "x", "  " + base[2].replace(" ", "\n", 3)]
-    odd = ["", " \t\n", "one", "one two", None, None, "é ½ ﬁ 中文 🙂 x", "a" * 3000, "12345", " ".join(WORDS * 900), "mail a.b@c.example.org or +1 (988) 555-2485, 4111 1111 1111 1111 at 10.0.0.255"]
+    odd = ["", " \t\n", "one", "one two", None, None, "é ½ ﬁ 中文 🙂 x", "a" * 3000, "12345", " ".join(WORDS * 900), "a  <|endoftext|> b<|startoftext|>!<|endof text|>", "mail a.b@c.example.org or +1 (988) 555-2485, 4111 1111 1111 1111 at 10.0.0.255"]
     return base + near + base[:5] + odd
 
 
@@ -139,7 +140,7 @@ def test_language(spark):
     rng = random.Random(1)
     kinds = {"aa": ["dama", "sela", "kora", "mila"], "bb": ["strug", "plent", "brask", "dwirt"]}
     rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(rng.randint(3, 40))), k) for i, k in enumerate(["aa", "bb"] * 60)]
-    rows += [(900, None, "aa"), (901, "123 !!", "bb"), (902, "sela " * 5000, None), (903, "x" * 5000, None)]
+    rows += [(900, None, "aa"), (901, "123 !! ½²Ⅷ", "bb"), (902, "sela " * 5000, None), (903, "x" * 5000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(df, F.col("doc_id") % 4 != 2, P.path("piece_bpe_32k.model"))
     got = {r.doc_id: r for r in langid.predict(df, model, keep_cols=["doc_id"]).collect()}
@@ -149,19 +150,70 @@ def test_language(spark):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = ["▁a", "▁", "a", "b", "ab", "▁ab", "ba"]
-    alphabet = {c: i for i, c in enumerate("▁ab", start=1)}
-    keys = sorted((sum(alphabet[c] << 8 * i for i, c in enumerate(reversed(p))), p) for p in pieces)
-    p = np.array([[0.1 * (i + 1)] for i in range(len(keys))] + [[0.0]])
-    chance = {piece: p[i, 0] for i, (_, piece) in enumerate(keys)}
-
-    def total(s):
-        return 1.0 if not s else langid.UNKNOWN * total(s[:-1]) + sum(total(s[:k]) * chance.get(s[k:], 0) for k in range(len(s)))
-
-    model = langid.Model(["x"], alphabet, np.array([k for k, _ in keys], np.uint64), p, np.zeros(1))
-    for word in ("a", "ab", "abba", "aabbab", "azb"):
-        assert np.isclose(np.exp(model.word_scores([word])[0, 0]), total("▁" + word))
+def segmentations(word):
+    """All ways to cut a word; single characters count as pieces that no vocabulary has, too."""
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        for rest in segmentations(word[n:]):
+            yield (word[:n], *rest)
+            if n == 1:
+                yield (None, *rest)
+
+
+@pytest.mark.parametrize("shared", [langid.SHARED_LENGTH, 1])
+def test_forward_and_expected_uses_sum_all_segmentations(monkeypatch, shared):
+    monkeypatch.setattr(langid, "SHARED_LENGTH", shared)
+    vocabulary = ["▁a", "▁", "a", "b", "ab", "▁ab", "ba", "▁abbaabbaab"]
+    pieces = langid.Pieces(vocabulary)
+    p = np.array([[0.1 * (i + 1), 0.3 / (i + 1)] for i in range(len(vocabulary))])
+    place = {w: int(np.flatnonzero(pieces.keys == np.uint64(langid.piece_key(w)))[0]) for w in vocabulary}
+    model = langid.Model(["x", "y"], pieces, pieces.scaled(p), np.zeros(2))
+    words = ["a", "ab", "abba", "aabbab", "azb", "abbaabbaab"]
+    uses = np.zeros_like(p)
+    for word, got in zip(words, np.exp(model.word_scores(words)), strict=True):
+        total, own = np.zeros(2), np.zeros_like(p)
+        for cut in segmentations("▁" + word):
+            if all(c is None or c in place for c in cut):
+                chance = np.prod([np.full(2, langid.UNKNOWN) if c is None else p[place[c]] for c in cut], axis=0)
+                total += chance
+                for c in cut:
+                    if c is not None:
+                        own[place[c]] += chance
+        assert np.allclose(got, total, rtol=1e-9)
+        uses += 3 * own / total
+    assert np.allclose(langid.expected_uses(words, np.full((len(words), 2), 3.0), pieces, pieces.scaled(p)), uses, rtol=1e-7)
+
+
+def test_long_words_are_scored_whole():
+    pieces = langid.Pieces(["▁a", "a", "aaa", "b"])
+    model = langid.Model(["x"], pieces, pieces.scaled(np.array([[0.1], [0.2], [0.3], [0.4]])), np.zeros(1))
+    tiny, mark, one, three = Decimal(langid.UNKNOWN), Decimal("0.1"), Decimal("0.2"), Decimal("0.3")
+    alpha = [Decimal(1), tiny, tiny**2 + mark + tiny * one]  # of the mark and the first letters
+    while len(alpha) < 5002:
+        alpha.append(alpha[-1] * (tiny + one) + (alpha[-3] * three if len(alpha) > 3 else 0))
+    for n in (2, 62, 63, 64, 65, 5000):
+        assert np.isclose(model.word_scores(["a" * n])[0, 0], float(alpha[n + 1].ln()), rtol=1e-9)
+
+
+def test_vocabulary_is_whole():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    plain = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    assert set(langid.Pieces(langid.vocabulary(P.path("piece_bpe_32k.model"))).keys.tolist()) == {langid.piece_key(p) for p in plain}
+
+
+def test_language_sample_is_bounded_and_has_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 100)
+    rows = [(i, "same text" if i % 3 else f"text {i}", "aa") for i in range(500)] + [(900, "rare", "bb"), (901, "x" * 101, "bb"), (902, None, "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got, sizes = langid.sample(df, F.lit(True), "doc_id", "text", "lang")
+    texts = got.collect()
+    assert sizes == {"aa": 500, "bb": 2} and [r.text for r in texts if r.lang == "bb"] == ["rare"]
+    own = [r.text for r in texts if r.lang == "aa"]
+    assert 10 <= len(own) <= 20 and sum(map(len, own)) <= 100
 
 
 def test_toxicity_learns_sentences_from_document_labels(spark):
@@ -192,10 +244,21 @@ def reference_ids(name, rows, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for x in rows]
 
 
+@pytest.mark.parametrize(("kind", "name", "end"), [("byte", "byte_bpe_50k.json", 2), ("word", "word_bpe_49k.json", 1)])
+def test_chunks_have_the_ids_of_whole_texts(kind, name, end):
+    rng = random.Random(6)
+    pieces = ["a", "B", "H", "h", "é", "É", "e\u0301", "\u0331", " ", "  ", "\n", "\t", "\u3000", "\xa0", "\u2003", "\x1c", "\x85", "\0", "'", "'s", "'LL", "!", "?", "<|endoftext|>", "<|startoftext|>", "<|endof", "|>"]
+    pieces += ["12", "½", "中", "🙂", "\u212a", "İ", "ß", "ﬁ", "\u200d", "_", "-", "=", "\u0338", "\r\n", "\v", "\x7f", "ª", "²", "×", "Ж"]
+    rows = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    ids, ends = tokens.Encoder(P.path(name), kind, end).encode([x.encode() for x in rows])
+    expected = reference_ids(name, rows, end)
+    assert np.cumsum([len(x) for x in expected]).tolist() == ends.tolist()
+    assert (np.concatenate(expected) == ids).all()
+
+
 def test_token_files_roundtrip(spark, docs):
     rows = sorted(((-(1 << 63) if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()))
     manifest = token_files.write_corpus(docs, P.path("byte_bpe_50k.json"), 2)

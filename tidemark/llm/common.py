@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores before it until no name of ``taken`` equals it, whatever the case."""
+    low = {n.lower() for n in taken}
+    while wanted.lower() in low:
+        wanted = "_" + wanted
+    return wanted
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,5 +85,6 @@ def worker_slot(key: tuple, make: Callable[[], Any] = lambda: None) -> Any:
     if _slot[0] != key:
         _slot[:] = [None, None]
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _slot[:] = [key, make()]
     return _slot[1]

@@ -2,63 +2,115 @@
 
 Every language has a probability for each piece of a fixed public vocabulary.
 The probability of a word is the sum over all ways to cut it into pieces, which a
-forward pass adds up; a text is the product of its words, so segmentations are never
-chosen. Piece probabilities come from expectation-maximisation (forward-backward
+forward pass adds up, so segmentations are never chosen. A text's score is the sum of the logarithms
+of its words, divided by the root of their number: words are far from independent, so the evidence
+counts as that of fewer. Piece probabilities come from expectation-maximisation (forward-backward
 expected counts) over the words of a bounded, documented sample of the training rows.
 A character outside the vocabulary is a piece of its own with a small probability.
+
+Pieces and parts of words are compared by 64-bit hashes (polynomials of mixed code points), so all
+pieces and all characters of the vocabulary count, however long.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_batches, utf8, worker_slot
+from .common import free_name, small_batches, stored, utf8, worker_slot
 
 #: Runs of letters; everything else carries no language and separates words.
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 MARK = "▁"  # begins a word in the vocabulary
-#: The most training rows that a fit reads, chosen by a hash of the text, and their characters.
-SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 24_000_000
+#: The most training rows of each language that a fit reads (those with the least hashes of id and text), and their characters.
+SAMPLE_ROWS = 2_000
+SAMPLE_CHARS = 6_000_000
 #: Distinct words that a Python worker remembers at once; beyond that it starts anew.
 CACHE_WORDS = 300_000
-#: Pieces pack into one 64-bit number, a byte a character.
-LONGEST_PIECE = 8
-#: Words longer than this are scored in parts of this length: bounded time, and no underflow.
-LONGEST_WORD = 32
+#: Words up to this length share array operations, longer ones are passed one by one in logarithms.
+SHARED_LENGTH = 64
 UNKNOWN = 1e-7
-OTHER = 255  # code of the characters that no piece has
+#: Each character multiplies a probability by this, so that products of up to ``SHARED_LENGTH`` characters stay in range.
+SCALE = 1e3
+BASE = 0x9E3779B97F4A7C15
+
+
+def letter_codes(points: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each code point (the finalizer of splitmix64)."""
+    x = points.astype(np.uint64) + np.uint64(BASE)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def codes_of(words: list[str]) -> np.ndarray:
+    """(words, 1 + length) letter codes of words of one length, with the mark before them."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+    return letter_codes(np.concatenate([np.full((len(words), 1), ord(MARK), np.uint32), points], axis=1))
+
+
+def power(n: int) -> np.uint64:
+    return np.uint64(pow(BASE, n, 1 << 64))
+
+
+def piece_key(piece: str) -> int:
+    codes = letter_codes(np.array([ord(c) for c in reversed(piece)])).tolist()
+    return sum(c * pow(BASE, n, 1 << 64) for n, c in enumerate(codes)) % (1 << 64)
+
+
+class Pieces:
+    """The vocabulary as sorted keys, with the length of each piece."""
+
+    def __init__(self, pieces: list[str]):
+        known = sorted((piece_key(p), len(p)) for p in set(pieces) if p)
+        self.keys = np.array([k for k, _ in known], np.uint64)
+        self.sizes = np.array([n for _, n in known], np.int64)
+        self.longest = int(self.sizes.max(initial=0))
+        self.hint = np.zeros(1 << 20, bool)
+        self.hint[self.keys >> np.uint64(44)] = True
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each key, and the number of keys for none."""
+        out = np.full(key.shape, len(self.keys), np.int32)
+        some = np.flatnonzero(self.hint[key >> np.uint64(44)])
+        at = np.searchsorted(self.keys, key.ravel()[some])
+        own = at < len(self.keys)
+        own[own] = self.keys[at[own]] == key.ravel()[some][own]
+        out.ravel()[some[own]] = at[own]
+        return out
+
+    def scaled(self, p: np.ndarray) -> np.ndarray:
+        """Probabilities times ``SCALE`` for each character, and a last row of zeros for no piece."""
+        return np.concatenate([p * SCALE ** self.sizes[:, None], np.zeros((1, p.shape[1]))])
 
 
 class Lattice:
     """Which pieces of a vocabulary end where, for many words of one length at once."""
 
-    def __init__(self, codes: np.ndarray, keys: np.ndarray):
+    def __init__(self, codes: np.ndarray, pieces: Pieces):
         self.words, self.length = codes.shape
-        self.arcs: list[list[np.ndarray]] = []  # [end][length - 1]: piece numbers, len(keys) for none
+        self.arcs: list[list[np.ndarray]] = []  # [end - 1][length - 1]: piece numbers
         for end in range(1, self.length + 1):
             key = np.zeros(self.words, np.uint64)
             own = []
-            for n in range(1, min(LONGEST_PIECE, end) + 1):
-                key = key | codes[:, end - n] << np.uint64(8 * (n - 1))
-                at = np.searchsorted(keys, key)
-                at[at == len(keys)] = 0
-                own.append(np.where(keys[at] == key, at, len(keys)) if len(keys) else np.zeros(self.words, int))
+            for n in range(1, min(pieces.longest, end) + 1):
+                key = key + codes[:, end - n] * power(n - 1)
+                own.append(pieces.find(key))
             self.arcs.append(own)
 
     def forward(self, p: np.ndarray) -> list[np.ndarray]:
-        """alpha[i]: probability of the first i characters, summed over segmentations. p has a last row of zeros."""
+        """alpha[i]: scaled probability of the first i characters, summed over segmentations."""
         alpha = [np.ones((self.words, p.shape[1]))]
         for end, own in enumerate(self.arcs, start=1):
-            total = alpha[end - 1] * UNKNOWN
+            total = alpha[end - 1] * (UNKNOWN * SCALE)
             for n, piece in enumerate(own, start=1):
                 total += alpha[end - n] * p[piece]
             alpha.append(total)
@@ -68,10 +120,10 @@ class Lattice:
         """Expected uses of each piece, by forward-backward."""
         alpha = self.forward(p)
         beta = [np.zeros_like(alpha[0]) for _ in alpha]
-        beta[-1] = counts / np.maximum(alpha[-1], 1e-300)
+        beta[-1] = counts / alpha[-1]
         found = np.zeros_like(p)
         for end in range(self.length, 0, -1):
-            beta[end - 1] += beta[end] * UNKNOWN
+            beta[end - 1] += beta[end] * (UNKNOWN * SCALE)
             for n, piece in enumerate(self.arcs[end - 1], start=1):
                 flow = beta[end] * p[piece]
                 beta[end - n] += flow
@@ -81,26 +133,56 @@ class Lattice:
         return found
 
 
-def by_length(words: list[str], alphabet: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions in ``words``, character codes) for the marked words of each length."""
-    table = np.full(max(map(ord, alphabet), default=0) + 2, OTHER, np.uint64)
-    for c, code in alphabet.items():
-        table[ord(c)] = code
+def long_word(codes: np.ndarray, pieces: Pieces, p: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The same for one word of any length, in logarithms: its scaled log probability, or with ``counts`` the expected uses."""
+    length, width = len(codes), pieces.longest
+    arcs = np.full((length + 1, width), len(pieces.keys), np.int32)  # [end][n - 1]
+    key = np.zeros(length, np.uint64)
+    for n in range(1, min(width, length) + 1):
+        key = key[-(length - n + 1) :] + codes[: length - n + 1] * power(n - 1)  # parts that end at n, n + 1, ...
+        arcs[n:, n - 1] = pieces.find(key)
+    unknown = UNKNOWN * SCALE
+    alpha = np.full((width + length + 1, p.shape[1]), -np.inf)  # log of alpha, after ``width`` empty places
+    alpha[width] = 0.0
+    for end in range(1, length + 1):
+        at = width + end
+        step = np.exp(alpha[at - width : at][::-1] - alpha[at - 1]) * p[arcs[end]]
+        alpha[at] = alpha[at - 1] + np.log(step.sum(axis=0) + unknown)
+    if counts is None:
+        return alpha[-1]
+    beta = np.full((length + 1 + width, p.shape[1]), -np.inf)
+    beta[length] = 0.0
+    # [start][n - 1]: the piece of n characters from there on.
+    ahead = np.full((length + 1, width), len(pieces.keys), np.int32)
+    for n in range(1, min(width, length) + 1):
+        ahead[: length - n + 1, n - 1] = arcs[n:, n - 1]
+    for start in range(length - 1, -1, -1):
+        step = np.exp(beta[start + 1 : start + 1 + width] - beta[start + 1]) * p[ahead[start]]
+        beta[start] = beta[start + 1] + np.log(step.sum(axis=0) + unknown)
+    found = np.zeros_like(p)
+    for n in range(1, min(width, length) + 1):
+        flow = np.exp(alpha[width : width + length - n + 1] + beta[n : length + 1] - alpha[-1]) * p[arcs[n:, n - 1]] * counts
+        for lang in range(p.shape[1]):
+            found[:, lang] += np.bincount(arcs[n:, n - 1], flow[:, lang], len(p))
+    return found
+
+
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions in ``words``, letter codes) of words of one length, at most 16,384 at once, and one at once above ``SHARED_LENGTH``."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths).tolist():
-        rows = np.nonzero(lengths == n)[0]
-        points = np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = table[np.minimum(points, len(table) - 1)].reshape(len(rows), n)
-        yield rows, np.concatenate([np.full((len(rows), 1), alphabet.get(MARK, OTHER), np.uint64), codes], axis=1)
+        rows = np.flatnonzero(lengths == n)
+        step = 1 << 14 if n < SHARED_LENGTH else 1
+        for at in range(0, len(rows), step):
+            yield rows[at : at + step], codes_of([words[i] for i in rows[at : at + step]])
 
 
 @dataclass
 class Model:
-    """Sorted piece keys and their probability in each of ``langs`` (with a last row of zeros)."""
+    """A vocabulary and the scaled probability of its pieces in each of ``langs``."""
 
     langs: list[str]
-    alphabet: dict[str, int]
-    keys: np.ndarray
+    pieces: Pieces
     probability: np.ndarray
     priors: np.ndarray
     row: dict[str, int] = field(default_factory=dict, repr=False)
@@ -112,14 +194,10 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log of each word's probability in each language, over all segmentations."""
         found = np.zeros((len(words), len(self.langs)))
-        short = [i for i, w in enumerate(words) if len(w) <= LONGEST_WORD]
-        for rows, codes in by_length([words[i] for i in short], self.alphabet):
-            for at in range(0, len(rows), 1 << 15):
-                part = slice(at, at + (1 << 15))
-                found[np.array(short)[rows[part]]] = np.log(Lattice(codes[part], self.keys).forward(self.probability)[-1])
-        for i, w in enumerate(words):
-            if len(w) > LONGEST_WORD:
-                found[i] = self.word_scores([w[j : j + LONGEST_WORD] for j in range(0, len(w), LONGEST_WORD)]).sum(axis=0)
+        for rows, codes in by_length(words):
+            shared = codes.shape[1] <= SHARED_LENGTH
+            logs = np.log(Lattice(codes, self.pieces).forward(self.probability)[-1]) if shared else long_word(codes[0], self.pieces, self.probability)
+            found[rows] = logs - codes.shape[1] * np.log(SCALE)
         return found
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,80 +211,104 @@ class Model:
             self.table = np.concatenate([self.table, self.word_scores(new)])
         size = np.array([len(own) for own in words])
         total = np.array([self.table[np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))].sum(axis=0) for own in words]).reshape(-1, len(self.langs))
-        # Words are far from independent: the evidence counts as that of the root of their number.
         score = total / np.sqrt(np.maximum(size, 1))[:, None] + self.priors
         score = np.exp(score - score.max(axis=1, keepdims=True))
         return score / score.sum(axis=1, keepdims=True), size
 
 
 def vocabulary(path: str) -> list[str]:
-    """The ordinary pieces of a sentencepiece model file, at most ``LONGEST_PIECE`` characters long, in lower case."""
+    """The ordinary pieces of a sentencepiece model file, in lower case."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     kept = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p.lower() for p in map(model.id_to_piece, kept) if len(p) <= LONGEST_PIECE})
+    return sorted({p.lower() for p in map(model.id_to_piece, kept)})
 
 
-def fit(words: dict[str, Counter[str]], rows: dict[str, int], pieces: list[str], rounds: int = 4, smooth: float = 0.05) -> Model:
-    """EM over word counts of each language; all languages share the vocabulary and the lattices.
-
-    The alphabet is the 254 most frequent characters of the words.
-    """
-    langs = sorted(words)
-    every = sorted({w[:LONGEST_WORD] for own in words.values() for w in own})
-    number = {w: i for i, w in enumerate(every)}
-    counts = np.zeros((len(every), len(langs)))
-    letters: Counter[str] = Counter({MARK: 1 << 60})
-    for k, lang in enumerate(langs):
-        for w, n in words[lang].items():
-            counts[number[w[:LONGEST_WORD]], k] += n
-            letters.update(dict.fromkeys(w, n))
-    alphabet = {c: i for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:254], start=1)}
-    usable = (p for p in pieces if len(p) <= LONGEST_PIECE and all(c in alphabet for c in p))
-    keys = np.array(sorted({sum(alphabet[c] << 8 * i for i, c in enumerate(reversed(p))) for p in usable}), np.uint64)
-    lattices = [(Lattice(codes[at : at + (1 << 14)], keys), counts[r[at : at + (1 << 14)]]) for r, codes in by_length(every, alphabet) for at in range(0, len(r), 1 << 14)]
-    probability = np.full((len(keys) + 1, len(langs)), 1.0 / max(1, len(keys)))
-    for _ in range(rounds):
-        probability[-1] = 0.0
-        found = np.full(probability.shape, smooth)
-        for lattice, own in lattices:
-            found += lattice.expected(probability, own)
-        probability = found / found[:-1].sum(axis=0)
-    probability[-1] = 0.0
-    share = np.array([rows[lang] for lang in langs], float)
-    return Model(langs, alphabet, keys, probability, np.log(share / share.sum()))
+def expected_uses(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece (rows) in each language over words with ``counts`` (words, languages)."""
+    found = np.zeros((len(pieces.keys) + 1, counts.shape[1]))
+    for rows, codes in by_length(words):
+        if codes.shape[1] <= SHARED_LENGTH:
+            found += Lattice(codes, pieces).expected(p, counts[rows])
+        else:
+            found += long_word(codes[0], pieces, p, counts[rows[0]])
+    return found[:-1]
 
 
-def train(docs: DataFrame, keep: Column, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on rows that ``keep`` admits and whose language is not null.
+def sample(docs: DataFrame, keep: Column, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, text) of a bounded sample of the rows that ``keep`` admits and that have a text and a language; and all rows of each language.
 
-    At most ``SAMPLE_ROWS`` rows are read, with the same share of each language, chosen by a
-    hash of the text; the words of rarely used letters count like any others. Spark adds up the words;
-    the driver gets the counts of the sample's distinct words only.
+    Each language is drawn by itself: the rows with the least hashes of id and text, at most ``SAMPLE_ROWS`` of them, as many as
+    have ``SAMPLE_CHARS`` characters together (repeated rows share a hash, and may leave fewer). Texts that alone are longer are left out. Ties of the hash are broken by the id.
+    """
+    rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spread = rows.withColumn("spread", F.xxhash64("id", "text")).where(F.length("text") <= SAMPLE_CHARS)
+    # Four times the rows that may stay, by the hash alone, so that few are ranked.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * SAMPLE_ROWS / n))]) if sizes else F.lit(None)
+    spread = spread.where(F.col("spread") / 2.0**64 + 0.5 <= share[F.col("lang")]) if sizes else spread
+    order = Window.partitionBy("lang").orderBy("spread", "id")
+    # Only hashes and lengths are ranked, and each task keeps no more than ``SAMPLE_ROWS`` of a language before the shuffle.
+    ranked = spread.select("lang", "spread", "id", F.length("text").alias("chars")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
+    held = ranked.withColumn("sum", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= SAMPLE_CHARS)
+    last = held.groupBy("lang").agg(F.max("spread").alias("last"))
+    return spread.join(F.broadcast(last), "lang").where("spread <= last").select("lang", "text"), sizes
+
+
+def train(docs: DataFrame, keep: Column, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 4, smooth: float = 0.05) -> Model:
+    """Fits on a bounded sample (see ``sample``) by EM; all words of the sample count.
+
+    Spark counts the words and adds up the expected uses of each round; the driver holds the vocabulary's
+    probabilities alone. Without any training row it is an error.
     """
-    rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    rows, sizes = sample(docs, keep, id_col, text_col, lang_col)
     if not sizes:
         raise ValueError("no training row has a language")
-    n, chars = sum(r["n"] for r in sizes.values()), sum(r["chars"] or 0 for r in sizes.values())
-    share = min(1.0, SAMPLE_ROWS / n, SAMPLE_CHARS / max(chars, 1))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    found = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
-    words: dict[str, Counter[str]] = {lang: Counter() for lang in sizes}
-    for lang, word, count in found.groupBy("lang", "word").count().where("count >= 2").collect():
-        words[lang][word] += count
-    return fit(words, {k: r["n"] for k, r in sizes.items()}, vocabulary(vocabulary_path))
+    langs = sorted(sizes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4 << 20):
+            found: Counter[tuple[int, str]] = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                k = langs.index(lang)
+                found.update((k, w) for w in WORD.findall(text.as_py().decode("utf-8", "replace").lower()))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
+
+    words = rows.select("lang", utf8("text").alias("text")).mapInArrow(count, "lang int, word string, n long")
+    each = F.array(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).cast("double") for k in range(len(langs))])
+    words = stored(words.groupBy("word").agg(each.alias("counts")), "langid-words")
+    pieces = Pieces(vocabulary(vocabulary_path))
+    spark = docs.sparkSession
+    probability = np.full((len(pieces.keys), len(langs)), 1.0 / max(1, len(pieces.keys)))
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((pieces, pieces.scaled(probability)))
+
+        def uses(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, p = shared.value
+            found = np.zeros((len(own.keys), p.shape[1]))
+            for batch in batches:
+                counts = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+                found += expected_uses(batch.column(0).to_pylist(), counts, own, p)
+            piece, lang = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(found[piece, lang])], ["piece", "lang", "n"])
+
+        got = words.mapInArrow(uses, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        found = np.full(probability.shape, smooth)
+        found[got.column("piece").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
+        probability = found / found.sum(axis=0)
+    share = np.array([sizes[lang] for lang in langs], float)
+    return Model(langs, pieces, pieces.scaled(probability), np.log(share / share.sum()))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """``keep_cols`` plus lang_pred and score, the posterior of the predicted language.
 
     A null text or one without letters gets ``und`` and 0. Ties go to the language that comes
-    first in the alphabet. The kept columns must not be named lang_pred, score or __text.
+    first in the alphabet. Kept columns named lang_pred or score are replaced.
     """
-    names = keep_cols or []
-    source = docs.select(*[F.col(c) for c in names], utf8(text_col).alias("__text"))
+    names = [c for c in keep_cols or [] if c not in ("lang_pred", "score")]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], utf8(text_col).alias(free_name("text", names)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
