@@ -102,3 +102,52 @@ def test_shared_passages_of_articles_stay(spark):
     rows = [(i, f"https://a.org/{i}", PAGE.format(n=i, extra="<div>Our notice</div>")) for i in range(20)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Head {i}\nFirst & only {i}. more\nSecond part {i}\nshared passage" for i in range(20))
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p><b>one</b>\n<i>two</i></p>", "one two"),
+        ("<main></main><div><p>hello</p></div>", "hello"),
+        ("<article><p>a long enough text</p></article><section><p>more of it</p></section>", "a long enough text\nmore of it"),
+        ('<article class="post comments-open"><p>kept</p></article>', "kept"),
+        ('<div class="site has-sidebar"><p>kept</p><p>too</p></div>', "kept\ntoo"),
+        ('<div class="share-price"><p>12 euro</p></div>', "12 euro"),
+        ('<div class="widget"><article><p>kept</p></article></div>', "kept"),
+        ('<article><p>text</p></article><div class="related-posts"><p>other</p></div>', "text"),
+        ('<article><p>text</p></article><div class="comments"><article><p>me</p></article></div>', "text"),
+        ('<article><p>text</p></article><div><a href="/1">one</a> | <a href="/2">two</a></div>', "text"),
+        ('<p>text of a page</p><div class="menu-mobile"><a href="/1">one</a></div>', "text of a page"),
+        ('<p>text</p><div class="menuLinks">x</div>', "text"),
+        ('<div class="ad"><p>all there is</p></div>', "all there is"),
+        ("a\n<p>b</p>\n\nc", "a\nb\nc"),
+    ],
+)
+def test_names_decide_only_with_position_or_links(html, text):
+    assert html_text.main_text(html_text.parse(html), set()) == text
+
+
+def test_templates_equal_counts_by_hand(spark):
+    blocks = [f"<div><p>block {k}</p></div>" for k in range(6)]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        host = f"h{int(rng.integers(0, 3)) if i % 2 else 9}.org" if i < 390 else "small.org"
+        rows.append((i, f"https://{host}/{i}", "<body>" + "".join(b for k, b in enumerate(blocks) if rng.random() < (0.02, 0.04, 0.06, 0.3, 0.6, 0.9)[k]) + f"<p>own {i % 350}</p>"))
+    seen, sizes = {}, {}
+    for _, url, html in rows:
+        host, page = url.split("/")[2], html_text.parse(html)
+        hashes = html_text.subtree_hashes(page)
+        sizes.setdefault(host, set()).add(hashes[0])
+        for k in html_text.countable(page):
+            seen.setdefault((host, hashes[k]), set()).add(hashes[0])
+
+    def needed(n):
+        return max(3, -(-n // 2)) if n < 16 else min(max(-(-n * 5 // 100), 8), 10)
+
+    expected = {key for key, pages in seen.items() if len(pages) >= needed(len(sizes[key[0]]))}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.templates(df, "html", "url", 8, 0.05, 10)[1].collect()
+    assert {(r.host, r.hash) for r in got} == expected and len(got) == len(expected) > 5
+    clash = df.withColumns({"key": F.lit(1), "gone": F.lit(2), "source": F.lit(3), "host": F.lit(4), "salt": F.lit(5)})
+    assert html_text.extract(clash).columns == [*clash.columns, "text"] and html_text.extract(clash).count() == 400

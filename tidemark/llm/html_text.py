@@ -3,8 +3,10 @@
 Every block element's subtree gets a hash of its tag, class and content. Spark counts, for
 each host, on how many different pages a subtree occurs (pages with the same content count
 once, so a page that was fetched a thousand times is not a template). Subtrees that recur across many
-of a host's pages are deleted from them, and so are elements whose kind or class says that they are not
-article text: menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments.
+of a host's pages are deleted from them, and so are elements whose kind says that they are not
+article text: menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments. A class or an id
+says so only if all its words do (``related-posts``, not ``share-price``) or if most of the element's text
+is links, and never for an element that holds the page's article or, without one, most of its paragraphs.
 
 Paragraphs, headings, lists and tables inside a page's article are kept even when they recur:
 passages that articles quote from each other are text, not template.
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8
+from .common import free_name, small_batches, stored, utf8
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+'|["'])*+)>|</?[a-zA-Z][^>]*+\Z|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
@@ -45,12 +47,21 @@ WORDS = set(
     "subscribe subscription signup login share sharing social related recommended recommendations comments comment disqus replies "
     "pagination pager toolbar widget widgets skip".split()
 )
+#: Words that say nothing beside those.
+FILLERS = set(
+    "list box block container wrapper wrap section area top bottom left right primary secondary main page site global inner outer content bar "
+    "link links button buttons icon icons item items post posts article articles form panel js".split()
+)
+#: Share of links in an element's text that makes it a menu.
+LINKED = 0.5
 #: Inside an article these hold its text.
 PROSE = set("article main p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption body html".split())
 #: A new element of the key ends an open one of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 #: ... but not across these.
 SCOPES = set("ul ol dl table tbody thead tfoot select article section div body html main".split())
+#: Parts that the rows of a hot host or menu are dealt into.
+SALTS = 16
 PARAGRAPH_ENDS = BLOCKS - {"option", "optgroup"}
 
 
@@ -64,23 +75,27 @@ class Page:
     dropped: list[bool] = field(default_factory=lambda: [False])
     inside: list[bool] = field(default_factory=lambda: [False])  # in an article or main element
     parts: list[list] = field(default_factory=lambda: [[]])
-    text: list[tuple[int, str]] = field(default_factory=list)  # (element, text); "\n" text ends a block
+    text: list[tuple[int, str | None]] = field(default_factory=list)  # (element, text); None ends a block
+    named: list[tuple[int, bool]] = field(default_factory=list)  # elements with a word of ``WORDS``, and whether whole names say so
 
 
-def _ruled(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether rules drop an element, and the attributes that count for its hash."""
+def _ruled(tag: str, attributes: str, inside: bool) -> tuple[bool, bool | None, str]:
+    """Whether its kind drops an element, what its names say (None, or whether a whole name says so), and the attributes that count for its hash."""
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
     name = f"{found.get('class', '')}#{found.get('id', '')}"
     if tag in DROPPED or (tag == "header" and not inside):
-        return True, name
+        return True, None, name
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, name
+        return True, None, name
     if found.get("role", "").lower() in ROLES:
-        return True, name
-    if tag in ("html", "body", "main"):
-        return False, name
-    split = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
-    return bool(split & WORDS) or ("header" in split and not inside), name
+        return True, None, name
+    said = None
+    if len(name) > 1:
+        for own in f"{found.get('class', '')} {found.get('id', '')}".split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", own).lower()) if w]
+            if any(w in WORDS or (w == "header" and not inside) for w in words):
+                said = bool(said) or all(w in WORDS or w in FILLERS or w == "header" for w in words)
+    return False, said, name
 
 
 def parse(html: str) -> Page:
@@ -92,7 +107,7 @@ def parse(html: str) -> Page:
     def close(to: int) -> None:
         while len(stack) > to:
             if page.tags[stack.pop()] in BLOCKS:
-                page.text.append((stack[-1], "\n"))
+                page.text.append((stack[-1], None))
 
     while at < size:
         m = TOKEN.match(html, at)
@@ -121,7 +136,7 @@ def parse(html: str) -> Page:
                 if open_tag in SCOPES:
                     break
         parent = stack[-1]
-        ruled, name = _ruled(tag, m[3], page.inside[parent])
+        ruled, said, name = _ruled(tag, m[3], page.inside[parent])
         new = len(page.tags)
         page.tags.append(tag)
         page.names.append(name)
@@ -130,8 +145,10 @@ def parse(html: str) -> Page:
         page.inside.append(not page.dropped[new] and (page.inside[parent] or tag in ("article", "main")))
         page.parts.append([])
         page.parts[parent].append(new)
+        if said is not None:
+            page.named.append((new, said))
         if tag in BLOCKS:
-            page.text.append((parent, "\n"))
+            page.text.append((parent, None))
         elif tag == "br":
             page.text.append((parent, " "))
         if tag in RAW:
@@ -142,9 +159,44 @@ def parse(html: str) -> Page:
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(new)
     close(1)
+    _drop_named(page)
     return page
 
 
+def _drop_named(page: Page) -> None:
+    """Drops the elements whose names say that they are not the article, and menus beside an article."""
+    count = len(page.tags)
+    article = next((k for k in range(count) if page.inside[k] and page.tags[k] in ("article", "main")), 0)
+    beside = {k for k, piece in page.text if piece and not page.inside[k] and not page.dropped[k] and not piece.isspace()} if article else set()
+    if not page.named and not beside:
+        return
+    last, text, linked, prose = list(range(count)), [0] * count, [0] * count, [0] * count
+    for k, piece in page.text:
+        if piece and not page.dropped[k]:
+            text[k] += len(piece.strip())
+    for k in range(count - 1, 0, -1):  # children come after their parents
+        linked[k] = text[k] if page.tags[k] == "a" else linked[k]
+        prose[k] = text[k] if page.tags[k] == "p" else prose[k]
+        up = page.parents[k]
+        last[up] = max(last[up], last[k])
+        text[up], linked[up], prose[up] = text[up] + text[k], linked[up] + linked[k], prose[up] + prose[k]
+    dropped = page.dropped
+    for k, whole in page.named:
+        own = page.tags[k] in ("html", "body") or (page.tags[k] in ("article", "main") and not page.inside[page.parents[k]])
+        holds = k <= article <= last[k] if article else 2 * prose[k] > prose[0]
+        if not own and not holds and (whole or linked[k] > LINKED * text[k]):
+            dropped[k] = True
+    if article:
+        for k in {page.parents[k] if page.tags[k] == "a" else k for k in beside}:
+            # The outermost element beside the article that is a menu.
+            while k > 0 and not k <= article <= last[k] and page.tags[k] not in ("html", "body"):
+                if linked[k] > LINKED * text[k]:
+                    dropped[k] = True
+                k = page.parents[k]
+    for k in range(1, count):
+        dropped[k] = dropped[k] or dropped[page.parents[k]]
+
+
 def subtree_hashes(page: Page) -> list[int]:
     """64-bit hash of each element's tag, class, id and content, white space aside; children before parents."""
     out = [0] * len(page.tags)
@@ -169,13 +221,12 @@ def main_text(page: Page, deleted: set[int]) -> str:
         doomed = {k for k in countable(page) if hashes[k] in deleted}
         for k in range(1, len(gone)):
             gone[k] = gone[k] or k in doomed or gone[page.parents[k]]
-    article = any(i and not g for i, g in zip(page.inside, gone, strict=True))
     blocks, own = [], []
     for k, piece in page.text:
-        if piece == "\n":
+        if piece is None:
             blocks.append("".join(own))
             own = []
-        elif not gone[k] and (page.inside[k] or not article):
+        elif not gone[k]:
             own.append(piece)
     blocks.append("".join(own))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
@@ -186,7 +237,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, html_col: str, url_col: str, least_pages: int, share: float) -> tuple[DataFrame, DataFrame]:
+def needed_pages(pages: Column, least_pages: int, share: float, most_pages: int) -> Column:
+    """On how many different pages of a host a template stands: a share, but at least and at most so many; on half of a small host's, but three."""
+    half = F.greatest(F.lit(3), F.ceil(pages / 2))
+    return F.when(pages < 2 * least_pages, half).otherwise(F.least(F.greatest(F.ceil(pages * share), F.lit(least_pages)), F.lit(most_pages)))
+
+
+def templates(pages: DataFrame, html_col: str, url_col: str, least_pages: int, share: float, most_pages: int) -> tuple[DataFrame, DataFrame]:
     """(key, hash) of the unruled subtrees of each page, and (host, hash) of the recurring ones."""
     source = pages.select(F.xxhash64(F.col(url_col), F.col(html_col)).alias("key"), host_of(F.col(url_col)).alias("host"), utf8(html_col).alias("html"))
 
@@ -207,24 +264,35 @@ def templates(pages: DataFrame, html_col: str, url_col: str, least_pages: int, s
     parts = stored(source.mapInArrow(run, "key long, host string, page long, hash long, ruled boolean"), "html-subtrees")
     # Distinct pages first: partial sums shrink a host's rows before they meet.
     counts = parts.groupBy("host", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    common = counts.where("hash is not null").join(sizes, "host").where((F.col("n") >= least_pages) & (F.col("n") >= F.col("pages") * share))
+    counts = stored(counts.where("hash is null or n >= 3"), "html-counts")  # what recurs, and one row for each host
+    sizes = _over_salts(counts.where("hash is null").select("host", F.col("n").alias("pages")))
+    recurring = counts.where("hash is not null").withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
+    common = recurring.join(sizes, ["host", "salt"]).where(F.col("n") >= needed_pages(F.col("pages"), least_pages, share, most_pages))
     return parts.where("hash is not null and not ruled").select("key", "host", "hash").distinct(), common.select("host", "hash")
 
 
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", least_pages: int = 8, share: float = 0.05) -> DataFrame:
+def _over_salts(rows: DataFrame) -> DataFrame:
+    """Each row once for every salt, to meet a hot key's rows that are dealt over them."""
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", least_pages: int = 8, share: float = 0.05, most_pages: int = 200) -> DataFrame:
     """``pages`` with a column ``text``, the main text, in place of any that it had.
 
-    A subtree is a template of a host if it recurs on ``least_pages`` different pages and on
-    ``share`` of the host's pages at least. Null html gives an empty text, a null url the empty host. Equal rows get equal
-    texts; other columns are kept.
+    A subtree is a template of a host if it recurs on ``share`` of the host's different pages, but no fewer than ``least_pages`` and no more
+    than ``most_pages``; on hosts of less than twice ``least_pages``, on half of them, and three at least.
+    Null html gives an empty text, a null url the empty host. Equal rows get equal texts; other columns are kept.
     """
-    parts, common = templates(pages, html_col, url_col, least_pages, share)
+    parts, common = templates(pages, html_col, url_col, least_pages, share, most_pages)
+    # A menu stands on all pages of a host: its rows are dealt over salts.
+    found = parts.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(_over_salts(common), ["host", "hash", "salt"])
+    kept = [c for c in pages.columns if c != "text"]
+    key, gone, source = (free_name(n, pages.columns) for n in ("key", "gone", "source"))
     # Only pages with something to delete; where that is small Spark itself broadcasts it and html is not shuffled.
-    hits = stored(parts.join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("__gone")), "html-deletions")
-    kept = [c for c in pages.columns if c not in ("text", "__key", "__gone", "__html")]
-    keyed = pages.withColumn("__key", F.xxhash64(F.col(url_col), F.col(html_col)))
-    joined = keyed.join(hits.withColumnRenamed("key", "__key"), "__key", "left").select(*kept, utf8(html_col).alias("__html"), F.coalesce("__gone", F.expr("cast(array() as array<bigint>)")).alias("__gone"))
+    hits = stored(found.groupBy(F.col("key").alias(key)).agg(F.collect_set("hash").alias(gone)), "html-deletions")
+    keyed = pages.withColumn(key, F.xxhash64(F.col(url_col), F.col(html_col)))
+    own = [F.col(f"`{c}`") for c in kept]
+    joined = keyed.join(hits, key, "left").select(*own, utf8(html_col).alias(source), F.coalesce(gone, F.expr("cast(array() as array<bigint>)")).alias(gone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
