@@ -11,7 +11,8 @@ sentences are to blame, and the model can point at them afterwards.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import exp, log1p
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8, worker_slot
+from .common import free_name, small_batches, utf8, worker_slot
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"\w+")
@@ -55,7 +56,7 @@ class Model:
         return 1.0 - exp(sum(each)), [1.0 - exp(x) for x in each]
 
 
-def fit(texts: list[str], labels: np.ndarray, least_docs: int = 5, most_features: int = 20_000, rounds: int = 100, sparse: float | None = None) -> Model:
+def fit(texts: Sequence[str], labels: np.ndarray, least_docs: int = 5, most_features: int = 20_000, rounds: int = 100, sparse: float | None = None) -> Model:
     """Trains on whole texts with full-batch Adam; deterministic.
 
     Features need ``least_docs`` documents; of more than ``most_features`` those stay whose
@@ -67,39 +68,53 @@ def fit(texts: list[str], labels: np.ndarray, least_docs: int = 5, most_features
     if len(set(labels.tolist())) < 2:
         return Model(float(np.log(base / (1 - base))), {})
     sparse = min(3.0, max(0.3, int(labels.sum()) / 200)) if sparse is None else sparse
-    seen: dict[str, list[int]] = {}
+    number: dict[str, int] = {}
+    seen = (array("i"), array("i"))  # documents of each label that hold feature n
     for text, y in zip(texts, labels.tolist(), strict=True):
         for f in {f for s in SENTENCE.split(text) for f in features(s)}:
-            seen.setdefault(f, [0, 0])[y] += 1
+            n = number.setdefault(f, len(number))
+            if n == len(seen[0]):
+                seen[0].append(0)
+                seen[1].append(0)
+            seen[y][n] += 1
     totals = np.array([np.sum(labels == 0), np.sum(labels == 1)]) + 1.0
-    kept = [f for f, n in seen.items() if sum(n) >= least_docs]
-    counts = np.array([seen[f] for f in kept], float).reshape(-1, 2)
+    names = [f for f, n in number.items() if seen[0][n] + seen[1][n] >= least_docs]
+    counts = np.array([[seen[0][number[f]], seen[1][number[f]]] for f in names], float).reshape(-1, 2)
     tell = np.abs(np.log((counts[:, 1] + 0.5) / totals[1]) - np.log((counts[:, 0] + 0.5) / totals[0])) * np.sqrt(counts.sum(axis=1))
     order = np.argsort(-tell, kind="stable")[:most_features]
-    column = {kept[i]: j for j, i in enumerate(order)}
-    del seen
-    index, owner, bag, n = [], [], [], 0
+    column = {names[i]: j for j, i in enumerate(order)}
+    del seen, number, names, counts
+    index, sizes, bag = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for s in SENTENCE.split(text):
             own = {column[f] for f in features(s) if f in column}
-            index += own
-            owner += [n] * len(own)
+            index.extend(own)
+            sizes.append(len(own))
             bag.append(d)
-            n += 1
-    col, row, bags = np.array(index, np.int32), np.array(owner, np.int32), np.array(bag, np.int32)
+    n = len(bag)
+    col, row, bags = np.array(index), np.repeat(np.arange(n, dtype=np.int32), np.array(sizes)), np.array(bag)
+    del index, sizes, bag
     y = labels.astype(float)
 
+    def summed(to: np.ndarray, values: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
+        """Sums of ``values[which]`` by ``to``, in slices that bound the memory."""
+        out = np.zeros(size)
+        for at in range(0, len(to), 1 << 20):
+            part = slice(at, at + (1 << 20))
+            out += np.bincount(to[part], values[which[part]], size)
+        return out
+
     def descend(col: np.ndarray, row: np.ndarray, w: np.ndarray, b: float, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         size, rate = len(texts), 0.15
         for t in range(1, rounds + 1):
-            z = np.bincount(row, w[col], n) + b
+            z = b + summed(row, w, col, n)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             quiet = np.bincount(bags, np.log1p(-np.minimum(p, 1 - 1e-12)), size)  # log of no toxic sentence
             whole = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-9)
             # d loss / d z of a sentence: p for clean documents, -p (1 - P) / P for toxic ones.
             g = p * np.where(y[bags] == 1, -(1 - whole[bags]) / whole[bags], 1.0)
-            gw, gb = np.bincount(col, g[row], len(w)) / size + penalty / size * np.sign(w), float(g.sum()) / size
+            gw, gb = summed(col, g, row, len(w)) / size + penalty / size * np.sign(w), float(g.sum()) / size
             m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -138,20 +153,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str,
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits a model on a bounded sample; the result is never larger than ``most_features``."""
-    rows = sorted(map(tuple, training_rows(docs, labels, keep, id_col, text_col, label_col).collect()))
-    return fit([t for t, _ in rows], np.array([y for _, y in rows], int))
+    """Fits a model on a bounded sample; the result is never larger than ``most_features`` of ``fit``."""
+    rows = training_rows(docs, labels, keep, id_col, text_col, label_col).toArrow().sort_by([("text", "ascending"), ("label", "ascending")])
+    return fit(Texts(rows.column("text").combine_chunks()), rows.column("label").to_numpy())
+
+
+class Texts(Sequence):
+    """Texts that stay in Arrow memory and become strings one at a time."""
+
+    def __init__(self, column: pa.StringArray):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, at: int) -> str:
+        return self.column[at].as_py()
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """``docs`` columns ``keep_cols`` plus ``score`` (0 to 1) and ``sentences``, the offending ones.
 
     sentences holds (start, end, score) in code points for every sentence with p >= 0.5.
-    Null and empty texts get the score of one empty sentence. The kept columns must not be
-    named score, sentences or __text.
+    Null and empty texts get the score of one empty sentence. Kept columns named score or sentences are replaced.
     """
-    names = keep_cols or []
-    source = docs.select(*[F.col(c) for c in names], utf8(text_col).alias("__text"))
+    names = [c for c in keep_cols or [] if c not in ("score", "sentences")]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], utf8(text_col).alias(free_name("text", names)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def spans(text: str) -> Iterator[tuple[int, int]]:
