@@ -1,5 +1,7 @@
 """Searches against brute force, and page extraction."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,24 +52,45 @@ def test_nearest_with_few_candidates(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in ann.nearest(df, F.col("id") == 0).collect()] == [(0, 1, 0.0)]
 
 
-def test_exact_hamming(spark, vectors):
+def test_every_length_is_searched_and_every_query_filled(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(12 if i % 3 else 7).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # Tables that find nearly nothing: the search widens until every query has its rows.
+    monkeypatch.setattr(ann, "settled", lambda *args: (1, 20, 1))
+    got = ann.nearest(df, F.col("id") % 50 == 0, width=1e-3).toPandas()
+    for q in range(0, 300, 50):
+        own = [(i, np.array(v)) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        v = np.array(rows[q][1])
+        best = sorted(((-float(v @ x / np.linalg.norm(v) / np.linalg.norm(x)), i) for i, x in own))[:5]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for _, i in best]
+
+
+@pytest.mark.parametrize("levels", [mih.LEVELS, ((0, 2, 1), (0, 3, 1), (0, 4, 16))])
+def test_exact_hamming(spark, vectors, levels):
     codes = mih.sign_codes(frame(spark, vectors))
-    bits = vectors >= 0
-    got = mih.top_k(codes, F.col("id") % 100 == 0, k=10).collect()
+    rows = [(i, vectors[i]) for i in range(500)] + [(901, np.zeros(64)), (904, np.ones(1))]
+    bits = {i: np.array([v[b::64].sum() >= 0 for b in range(64)]) for i, v in rows}
+    assert {r.id: r.code for r in codes.collect()} == {i: int(np.packbits(b, bitorder="little").view("<i8")[0]) for i, b in bits.items()}
+    got = sorted(tuple(r) for r in mih.top_k(codes, F.col("id") % 100 == 0, k=10, levels=levels).collect())
     expected = []
-    for q in range(0, 500, 100):
-        d = (bits ^ bits[q]).sum(axis=1)
-        order = [i for i in np.lexsort((np.arange(500), d)) if i != q][:10]
-        expected += [(q, k + 1, int(i), int(d[i])) for k, i in enumerate(order)]
-    got = sorted(tuple(r) for r in got if r.query_id < 500)
-    # The one other vector with 64 usable signs is candidate as well: number 901, all zero and so all set.
-    d901 = {q: int((~bits[q]).sum()) for q in range(0, 500, 100)}
-    assert [g for g in got if g[2] != 901] == [e for e in expected if (e[3], e[2]) < (d901[e[0]], 901) or e in got] and len(got) == 50
+    for q in (i for i in bits if i % 100 == 0):
+        near = sorted((int((bits[q] ^ b).sum()), i) for i, b in bits.items() if i != q)[:10]
+        expected += [(q, k + 1, i, d) for k, (d, i) in enumerate(near)]
+    assert got == sorted(expected)
     few = codes.where("id in (0, 1, 2)")
-    assert len(mih.top_k(few, F.col("id") == 0, k=10).collect()) == 2
+    assert len(mih.top_k(few, F.col("id") == 0, k=10, levels=levels).collect()) == 2
     assert mih.top_k(codes.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_segment_values_and_folded_codes(spark):
+    for width, radius in ((16, 3), (24, 2)):
+        masks = mih.masks_of(width, radius)
+        assert len(set(masks.tolist())) == len(masks) == math.comb(width, radius) and set(np.bitwise_count(masks)) == {radius}
+    df = spark.createDataFrame([(1, [1.0] * 64 + [-2.0] * 3), (2, [])], "vec_id long, embedding array<double>")
+    assert [(r.id, r.code) for r in mih.sign_codes(df).collect()] == [(1, -8)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href="/a">A</a><li>B</ul></nav>
 <div class="ad">Buy</div>{extra}<article><h1>Head {n}</h1><p><b>First &amp; only&nbsp;{n}.<br>more<p>Second <i>pa</i>rt  {n}</p><p>shared passage</p><div class="comments"><p>bad</p></div><!-- <p>no</p> --></article>
 <aside>side</aside><form><p>field</p></form><footer>&copy; x</footer>"""

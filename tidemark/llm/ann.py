@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -152,22 +153,34 @@ def nearest(
     ``is_query`` is a condition on ``id``. Every row but the query's own is a candidate, so equal vectors
     find each other. Rows that repeat an id are one row if their vectors are equal, and otherwise
     all candidates; of a query's different vectors the best score of each candidate counts. Ties go to the
-    smaller id. Vectors whose number of components differs from the most frequent one take no part.
+    smaller id. Vectors of different lengths are searched apart, each length among its own.
     No rows give no rows. ``probes`` counts the buckets visited in a table for each of its projections at
-    least; ``settled`` raises them to what the measured recall needs.
+    least; ``settled`` raises them to what the measured recall needs. A query for which the tables find fewer than k rows, though
+    there are more, is compared with all vectors of its length.
     """
     good = clean_vectors(vectors, id_col, vec_col)
-    sizes = good.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if sizes is None:
+    lengths = [r[0] for r in good.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    found = [_nearest(good.where(F.size("vec") == n), is_query, k, n, tables, probes, rows_per_bucket, width) for n in lengths]
+    if not found:
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = sizes["dims"]
-    good = good.where(F.size("vec") == dims)
-    # Equal vectors become one row with their least ids; shards keep a large group out of one task.
-    ids = good.groupBy("vec", "id").agg(F.lit(1).alias("one")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = ids.groupBy("vec", "shard").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    index = few.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    index = stored(index, "ann-index")
-    asked = ids.where(is_query).select(F.col("id").alias("query_id"), "vec")
+    return best_of(reduce(DataFrame.unionAll, found), k) if len(found) > 1 else found[0]
+
+
+def best_of(each: DataFrame, k: int) -> DataFrame:
+    """The k best (vec_id, score) of each query, ranked."""
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest(good: DataFrame, is_query: Column, k: int, dims: int, tables: int, probes: int, rows_per_bucket: int, width: float) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    ids = good.select("vec", "id").distinct()
+    # Equal vectors become one row with their least ids: each task ranks its own before they meet.
+    least = Window.partitionBy("vec").orderBy("id")
+    few = ids.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1)
+    index = stored(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-index")  # k + 1 at most
+    asked = stored(ids.where(is_query).select(F.col("id").alias("query_id"), "vec"), "ann-queries")
     m = max(2, min(24, round(log(max(index.count() / rows_per_bucket, 2)) / log(4))))
     vec_type = dict(good.dtypes)["vec"]
     some = asked.orderBy(F.xxhash64("query_id"), "query_id", F.xxhash64("vec")).limit(SAMPLE).toArrow()
@@ -180,15 +193,28 @@ def nearest(
                 rows, cols, score = best_rows(sample, _matrix(part.column("vec"), dims), np.arange(part.num_rows), k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("vec").take(pa.array(cols)), pa.array(score)], ["row", "vec", "score"])
 
+    visits = probes * m
     if len(sample):
         top = Window.partitionBy("row").orderBy(F.desc("score"))
         near = index.select("vec").mapInArrow(exact, f"row long, vec {vec_type}, score double")
         # The best is the query's own vector, which its own bucket always finds.
         near = near.withColumn("rank", F.row_number().over(top)).where((F.col("rank") > 1) & (F.col("rank") <= k + 1)).select("row", "vec").toArrow()
         row, vecs = near.column("row").to_numpy(), _matrix(near.column("vec"), dims)
-        tables, m, visits_each = settled(dims, tables, m, width, probes * m, sample, [vecs[row == i] for i in range(len(sample))])
-    else:
-        visits_each = probes * m
+        tables, m, visits = settled(dims, tables, m, width, visits, sample, [vecs[row == i] for i in range(len(sample))])
+    found = stored(best_of(_scored(index, asked, k, dims, Hasher(dims, tables, m, width), visits), k), "ann-found")
+    enough = min(k, max(ids.select("id").distinct().count() - 1, 0))
+    short = asked.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough), "query_id", "left_anti")
+    short = stored(short, "ann-short")
+    if not enough or short.isEmpty():
+        return found
+    # Without projections a table is one bucket of all vectors, dealt in blocks.
+    rest = best_of(_scored(index, asked.join(short, "query_id", "left_semi"), k, dims, Hasher(dims, 1, 0, width), 1), k)
+    return found.join(short, "query_id", "left_anti").unionByName(rest)
+
+
+def _scored(index: DataFrame, asked: DataFrame, k: int, dims: int, shape: Hasher, visits_each: int) -> DataFrame:
+    """(query_id, vec_id, score) of the best vectors of each query in each block of the buckets that it visits."""
+    tables, m, width, vec_type = shape.tables, shape.projections, shape.width, dict(index.dtypes)["vec"]
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dims, tables, m, width)
@@ -239,7 +265,4 @@ def nearest(
     asks = dealt(visits, "qs", "vs", "query_id").groupBy("key", "vs", "qs")
     has = dealt(buckets, "vs", "qs", "ids").groupBy("key", "vs", "qs")
     scored = asks.cogroup(has).applyInArrow(rank, "query_id long, ids array<long>, score double")
-    each = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
