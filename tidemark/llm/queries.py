@@ -56,11 +56,14 @@ def op5_exact_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Brute force over all pairs of a query and a row.
 OP5_SQL = """
-WITH codes AS (
+WITH sums AS (
+  SELECT vec_id, list_transform(range(0, 64), lambda i: coalesce(list_sum(list_transform(range(i, len(embedding), 64), lambda j: embedding[j + 1]::DOUBLE)), 0)) AS s
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+), codes AS (
   SELECT vec_id,
-    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS low,
-    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] >= 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS high
-  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) >= 64
+    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN s[i + 1] >= 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS low,
+    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN s[i + 33] >= 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS high
+  FROM sums
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, (bit_count(xor(q.low, c.low)) + bit_count(xor(q.high, c.high)))::INTEGER AS distance
   FROM codes q JOIN codes c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
@@ -90,7 +93,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
     encoded = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    # [1, 2, 3] without brackets and commas: no object for each id.
+    ids_text = F.btrim(F.replace(F.col("ids").cast("string"), F.lit(","), F.lit("")), F.lit("[]"))
     return decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
