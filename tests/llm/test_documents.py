@@ -88,10 +88,6 @@ def test_simhash_components(spark, docs):
     assert sorted(tuple(r) for r in got if r.doc_id is not None) == expected
     assert [(r.fingerprint, r.component_id) for r in got if r.doc_id is None] == [(f"{naive_print('no id here at all'):016x}", None)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = simhash.keep_one_per_group(docs, words=3)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
-    assert kept.where("doc_id is null").count() == 1
 
 
 def test_a_chain_of_fingerprints_is_one_component(spark):

@@ -16,26 +16,41 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, local mode) a temporary folder is
-    made and set for the rest of the session.
+    Only in local mode, where that setting may be missing (tests), a temporary folder is made and set for the rest
+    of the session; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext.getCheckpointDir()
+        if not own and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = own.rsplit("/", 1)[0] if own else tempfile.mkdtemp(prefix="spark-")
         if not own:
             spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Folders that this driver has written to the shared folder.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_stored(spark: SparkSession) -> None:
+    """Deletes all that ``stored`` has written for this driver. Results that read it must have been saved before."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint, for small tables inside iterations."""
     shared_dir(df.sparkSession)

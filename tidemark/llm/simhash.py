@@ -11,8 +11,8 @@ If two fingerprints differ in at most three bits, drop the segment with most
 errors; the other two then hold at most (1, 1) errors, and (1, 1) happens only
 when every segment holds exactly one. So the following joins find every pair:
 
-* A/B, one error each: left side (near keys of A, index of B), right side
-  (index of A, near keys of B).
+* One error each: left side (near keys of A and C, index of B), right side
+  (indices of A and C, near keys of B).
 * {A, C} and {B, C}, and {A, B}, one error in one of them: left side (exact value,
   near keys), right side (exact value, index).
 
@@ -133,10 +133,16 @@ def keys(prints: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.nd
     near = [near_keys(p, width) for p, (_, width) in zip(parts, SEGMENTS, strict=True)]
     every = np.arange(len(prints))
     left, right = [], []
-    row, key = near[0]
-    left.append((row, key << 12 | index[1][row]))
+    # All pairs of a near key of A and one of C.
+    (row, key), (other_row, other) = near[0], near[2]
+    size = np.bincount(other_row, minlength=len(prints))
+    each = size[row]
+    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    at = np.repeat((np.cumsum(size) - size)[row], each) + nth
+    row, key = np.repeat(row, each), np.repeat(key, each)
+    left.append((row, key << 24 | index[1][row] << 12 | other[at]))
     row, key = near[1]
-    right.append((row, index[0][row] << 12 | key))
+    right.append((row, index[0][row] << 24 | key << 12 | index[2][row]))
     for family, (exact, loose) in enumerate(((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1)), start=1):
         tag = family << 36
         row, key = near[loose]
@@ -191,14 +197,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = near_components(prints).select("fp", "component")
     joined = prints.join(groups, "fp", "left")
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stand for their near-duplicate group: its smallest id.
-
-    Of rows that repeat that id one stays. Rows without an id all stay.
-    """
-    groups = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
