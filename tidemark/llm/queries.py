@@ -89,13 +89,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import encode
 
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
-    encoded = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    encoded = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     # [1, 2, 3] without brackets and commas: no object for each id.
     ids_text = F.btrim(F.replace(F.col("ids").cast("string"), F.lit(","), F.lit("")), F.lit("[]"))
-    return decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

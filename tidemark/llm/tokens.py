@@ -112,8 +112,10 @@ def chunks(texts: list[bytes], kind: str, special: re.Pattern[bytes] | None = No
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices of ``flat`` one after the other, and where each ends."""
     ends = np.cumsum(sizes, dtype=np.int64)
-    source = np.repeat(starts - (ends - sizes), sizes)
-    source += np.arange(len(source))
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    source = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    source += np.arange(total, dtype=kind)
     return flat[source], ends
 
 
