@@ -336,5 +336,11 @@ def test_byte_bpe(spark, docs):
     got = bpe.decode(bpe.encode(docs, path, P.PATTERN), path).collect()
     expected = sorted((str(r.doc_id), enc.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in docs.collect())
     assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in got) == expected
+    both = bpe.encode(docs, path, P.PATTERN, decoded=True).collect()
+    assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in both) == expected
+    # A pattern of its own, and a column that is in the way.
+    own = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=bpe.ranks(path), special_tokens={})
+    other = bpe.decode(bpe.encode(docs, path, r"\S+|\s+").withColumn("decoded", F.lit(1)), path).collect()
+    assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in other) == sorted((str(r.doc_id), own.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in docs.collect())
     assert bpe.encode(docs.limit(0), path, P.PATTERN).count() == 0
     assert hashlib.sha256(bytes(got[0].decoded)).digest()

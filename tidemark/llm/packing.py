@@ -13,7 +13,7 @@ the sequence and the offset that the plan gives to that number.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +39,11 @@ class Pattern:
 def reduce_by_dominance(left: dict[int, int], capacity: int) -> list[Pattern]:
     """Fixes sequences that some optimal packing must allow; takes their pieces out of ``left``.
 
-    For pieces of the longest length w, with r = capacity - w: if nothing else fits, w is alone; a partner of
+    For pieces of a length w, with r = capacity - w: if nothing else fits, w is alone; a partner of
     exactly r dominates every other set; if no two other pieces fit together into r, the longest one that
     fits dominates; and if no three fit, the longest fitting piece dominates when it is at least as long as
-    the longest fitting pair. The exact-fit rule holds for every length; the others are applied from the longest
-    length down and stop at the first one that is not settled.
+    the longest fitting pair. The exact-fit rule holds for every length; the others are tried from the longest
+    length down, past lengths that they do not settle, as long as no three of the shortest pieces fit beside one.
     """
     fixed = []
 
@@ -65,30 +65,36 @@ def reduce_by_dominance(left: dict[int, int], capacity: int) -> list[Pattern]:
             fix(min(left[w], left[other]), w, other)
         elif w == other and left.get(w, 0) > 1:
             fix(left[w] // 2, w, w)
-    while left:
-        lengths = sorted(left)
-        w, least = lengths[-1], lengths[0]
+
+    def settle(w: int, lengths: list[int]) -> bool:
+        """Fixes the pieces of length ``w`` if some set with one of them dominates all others with one."""
         room = capacity - w
-        if left[w] == 1:
-            lengths = lengths[:-1]
-        fits = [x for x in lengths if x <= room]
+        others = [x for x in lengths if x != w or left[w] > 1]
+        fits = others[: bisect_right(others, room)]
         if not fits:
-            fix(1 if w in lengths else left[w], w) if left[w] == 1 else fix(left[w], w)
-            continue
+            fix(left[w], w)
+            return True
         best = fits[-1]
-        if 2 * least > room:
-            dominated = True
-        elif 3 * least > room:
-            pairs = [x + y for x in fits for y in (fits[bisect_left(fits, room - x + 1) - 1],) if x + y <= room and (x != y or left[x] > 1)] if fits[0] + fits[0] <= room else []
-            dominated = best >= max(pairs, default=0)
-        else:
-            dominated = False
-        if not dominated:
-            break
+        if 2 * fits[0] <= room:
+            partners = ((x, fits[bisect_right(fits, room - x) - 1]) for x in fits if room - x >= fits[0])
+            if best < max((x + y for x, y in partners if x != y or left[x] > 1 + (x == w)), default=0):
+                return False
         if best == w:
-            fix(max(1, left[w] // 2), w, w) if left[w] > 1 else fix(1, w)
+            fix(max(1, left[w] // 2), w, w)
         else:
             fix(min(left[w], left[best]), w, best)
+        return True
+
+    changed = True
+    while changed and left:
+        changed, lengths = False, sorted(left)
+        for w in reversed(lengths):
+            # Shorter pieces leave more room: none of them is settled once three of the shortest fit.
+            if 3 * lengths[0] <= capacity - w:
+                break
+            if settle(w, lengths):
+                changed = True
+                break
     return fixed
 
 
