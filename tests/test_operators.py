@@ -86,9 +86,9 @@ def test_stream_is_idempotent_and_respects_tombstones(spark, tmp_path):
     empty = spark.createDataFrame([], ROW + ", last_seen_at timestamp, last_seen_run string")
     gone = spark.createDataFrame([("p", "dead", NOW, NOW)], "portal string, notice_id string, closed_at timestamp, deleted_at timestamp")
     write_version(spark, root, {"notices": empty, "tombstones": gone})
-    rows = [("p", "1", "a", None, "h1"), ("p", "dead", "b", None, "h"), ("p", "late", "c", datetime(2026, 1, 1), "h")]
-    sent, counters = [], {}
-    run = lambda: start_ingest(spark, source, ROW, root, str(tmp_path / "cp"), lambda n: "2026-07-01 00:00:00", lambda df, n: sent.extend((n, r.notice_id) for r in df.collect()), counters.__setitem__).awaitTermination(120)
+    rows = [("p", "1", "a", None, "h1"), ("p", "dead", "b", None, "h"), ("p", "late", "c", datetime(2026, 1, 1), "h"), ("p", None, "d", None, "h")]
+    sent, counters, rejected = [], {}, {}
+    run = lambda: start_ingest(spark, source, ROW, root, str(tmp_path / "cp"), lambda n: "2026-07-01 00:00:00", lambda df, n: sent.extend((n, r.notice_id) for r in df.collect()), counters.__setitem__, lambda n, df: rejected.__setitem__(n, [r.notice_id for r in df.collect()])).awaitTermination(120)
     spark.createDataFrame(rows, ROW).coalesce(1).write.parquet(source)
     run()
     spark.createDataFrame(rows[:1], ROW).coalesce(1).write.mode("append").parquet(source)
@@ -96,4 +96,61 @@ def test_stream_is_idempotent_and_respects_tombstones(spark, tmp_path):
     got = read_version(spark, root, "notices").collect()
     assert [(r.notice_id, r.title, r.last_seen_run) for r in got] == [("1", "a", "batch-1")]
     assert sent == [(0, "1"), (1, "1")]
-    assert counters[0] == {"rows": 3, "closed_on_arrival": 1}
+    assert counters[0] == {"inserted": 1, "updated": 0, "skipped": 2, "failed": 1, "status": "success", "rows": 3, "closed_on_arrival": 1}
+    assert counters[1] == {"inserted": 0, "updated": 0, "skipped": 1, "failed": 0, "status": "success", "rows": 1, "closed_on_arrival": 0}
+    assert rejected == {0: [None], 1: []}
+
+
+def test_search_modes_conditions_and_pages(spark):
+    rows = [("p", "A1", "Red boots", "open", 3), ("q", "B2", "Surveying the boots", "open", 2), ("p", "C3/2026", "Helmet for surveys", "closed", 1), ("q", "D4", "Boot", "closed", None)]
+    n = spark.createDataFrame(rows, "portal string, notice_id string, title string, status string, published int").withColumns({c: F.lit(None).cast("string") for c in ("description", "category", "organisation", "department")} | {"closing": F.lit(None).cast("timestamp")})
+    asked = [
+        (1, "the boots", None, None, None), (2, None, ["survey"], None, None), (3, None, None, ["q"], None), (4, " ", [], None, "closed"), (5, "C3/", None, None, None),
+        (6, "c3/2026", ["helmet"], None, None), (7, "Boots", None, ["p"], "open"), (8, "boots", None, ["p"], "closed"), (9, "\uff22\uff12", None, None, None), (10, "--- !", None, None, None), (11, "the", None, None, None),
+    ]
+    q = spark.createDataFrame(asked, "query_id int, q string, keywords array<string>, portals array<string>, status string")
+    got = {}
+    for r in search.search(n, q, as_of()).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.mode, r.notice_id, r.total_count))
+    assert {x[1] for x in got[1]} == {"A1", "B2", "D4"} and {x[0] for x in got[1]} == {"text"}
+    assert {x[1] for x in got[2]} == {"B2", "C3/2026"}
+    assert got[3] == [("browse", "B2", 2), ("browse", "D4", 2)] and got[4] == [("browse", "C3/2026", 2), ("browse", "D4", 2)]
+    assert got[5] == [("raw_reference", "C3/2026", 1)]
+    assert 6 not in got  # a structured reference that nothing holds does not fall through
+    assert [x[1] for x in got[7]] == ["A1"] and {x[0] for x in got.get(8, [])} <= {"fuzzy"}
+    assert got[9] == [("text", "B2", 1)] and 10 not in got and all(x[0] == "fuzzy" for x in got.get(11, []))
+
+
+def test_references_equal_brute_force_and_no_plan_compares_all_pairs(spark):
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("ab1/-_ x2") for _ in range(rng.randint(1, 25)))
+    rows = [("p", f"{i}{text()}", text(), text() if i % 3 else None) for i in range(150)]
+    n = spark.createDataFrame(rows, "portal string, notice_id string, title string, description string").withColumns({"published": F.lit(1), "closing": F.lit(None).cast("timestamp")})
+    asked = [(i, t[a : a + rng.randint(1, 5)]) for i, (_, _, t, _) in enumerate(rows) for a in (rng.randint(0, 8),)] + [(900, "%"), (901, "//"), (902, "  ")]
+    found = search.reference_search(n, spark.createDataFrame(asked, "query_id int, q string"))
+    expected = set()
+    for i, q in asked:
+        q = q.strip(" ").lower()
+        for _, key, title, description in rows:
+            score = 10000 * (key == q) + 8000 * (q in key) + 6000 * (q in title) + 4000 * (q in (description or ""))
+            if q and score:
+                expected.add((i, key, float(score)))
+    assert {(r.query_id, r.notice_id, r.score) for r in found.collect()} == expected
+    full = n.withColumns({c: F.lit(None).cast("string") for c in ("category", "organisation", "department")})
+    words = spark.createDataFrame([(1, "ab1"), (2, "x2")], "query_id int, q string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (search.fulltext_search(full, words), search.tiered_search(full, words), search.reference_search(full, words), search.search(full, words, as_of()), alerts.keyword_matches(full, words.select(F.col("q").alias("keyword")))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_operators(spark):
+    n = spark.createDataFrame([("Spares", "Army", None), ("Tank", "Navy", None), ("Tank", "Navy", "kept")], "title string, organisation string, relevance string").withColumns({"category": F.lit(None).cast("string"), "department": F.lit(None).cast("string")})
+    assert [r.relevance for r in lifecycle.backfill_relevance(n).collect()] == ["irrelevant", "relevant", "kept"]
+    assert [r.relevance for r in lifecycle.backfill_relevance(n.withColumn("title", F.lit("Counterspare")), legacy=True).collect()] == ["irrelevant", "irrelevant", "kept"]
+    words = ["boots", "surveying", "surveyed", "surveys", "hopping", "hoped", "agreed", "ponies", "caresses", "ring", "red", "sky", "glass", "2days", "falling"]
+    got = [r.token for r in search.stemmed(spark.createDataFrame([(w,) for w in words], "word string")).collect()]
+    assert got == ["boot", "survei", "survei", "survei", "hop", "hope", "agree", "poni", "caress", "ring", "red", "sky", "glass", "2days", "fall"]

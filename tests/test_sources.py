@@ -102,3 +102,36 @@ def test_versions_change_together(spark, tmp_path):
     for n in (1, 2):
         store.write_version(spark, root, {"a": spark.range(n), "b": spark.range(n)})
         assert store.read_version(spark, root, "a").count() == store.read_version(spark, root, "b").count() == n
+
+
+def test_buckets_change_alone_and_a_lost_writer_harms_nothing(spark, tmp_path):
+    root = str(tmp_path / "b")
+    df = spark.createDataFrame([("p", str(i), 0) for i in range(50)], "portal string, notice_id string, v int")
+    keys = ["portal", "notice_id"]
+    store.write_version(spark, root, {"notices": df, "other": spark.range(3)}, {"notices": (keys, 8)})
+    some = df.where(store.bucket_of(keys, 8).isin(2, 5))
+    store.update_buckets(spark, root, "notices", some.withColumn("v", F.lit(1)), [2, 5])
+    got = {r.notice_id: r.v for r in store.read_version(spark, root, "notices").collect()}
+    assert len(got) == 50 and {k for k, v in got.items() if v} == {r.notice_id for r in some.collect()} and store.read_version(spark, root, "other").count() == 3
+    df.write.parquet(root + "/v-lost/notices")  # written, never published
+    assert store.read_version(spark, root, "notices", [2]).count() == df.where(store.bucket_of(keys, 8) == 2).count()
+
+
+def test_restored_tables_are_checked_and_published(spark, tmp_path):
+    import pytest
+
+    parents, children = spark.range(3), spark.createDataFrame([(1, 2), (2, None)], "id long, parent long")
+    store.export_snapshot({"parents": parents, "children": children}, str(tmp_path / "s"))
+    names, refs, root = ["parents", "children", "missing"], [("children", "parent", "parents", "id")], str(tmp_path / "r")
+    assert store.publish_snapshot(spark, str(tmp_path / "s"), root, names, refs, confirm=True) == {"parents": 3, "children": 2}
+    assert store.read_version(spark, root, "children").count() == 2
+    store.export_snapshot({"parents": parents.limit(0), "children": children}, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        store.publish_snapshot(spark, str(tmp_path / "t"), root, names, refs, confirm=True)
+    assert store.read_version(spark, root, "parents").count() == 3
+
+
+def test_character_references_and_other_tables(spark):
+    index = "<table><tr><td>Organisation Name</td><td>x</td><td>Tender Count</td></tr><tr><td>1</td><td>Caf&eacute; &#8364; &amp;lt; &#60;b&#62;</td><td><a href='/app?DirectLink=1'>4</a></td></tr></table>"
+    other = "<table><tr><td>1</td><td>Not this</td><td><a href='/app?DirectLink=2'>9</a></td></tr></table>"
+    assert [(r.name, r.n) for r in html_feeds.organisation_index(pages(spark, index + other)).collect()] == [("Caf\u00e9 \u20ac &lt; <b>", 4)]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import clean, filled
 
@@ -14,6 +19,20 @@ CELL = r"(?is)<td\b[^>]*>((?:[^<]++|<(?!/?td\b))*+)"
 LINK = r"(?is)<a\b([^>]*)>(.*?)</a>"
 
 
+MARKUP_SIGNS = {"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;", "'": "&#39;"}
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(StringType())
+def decoded(s: pd.Series) -> pd.Series:
+    """Markup with its character references as characters, but for the signs that mean markup, which get one name each.
+
+    Spark has no table of the named references.
+    """
+    sign = lambda m: MARKUP_SIGNS.get(unescape(m[0]), unescape(m[0]))
+    return s.map(lambda x: None if x is None else REFERENCE.sub(sign, x))
+
+
 def without_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
 
@@ -28,7 +47,7 @@ def cells(row: Column) -> Column:
 
 
 def text_of(html: Column) -> Column:
-    """Cleaned text of markup: tags dropped, the common character references decoded."""
+    """Cleaned text of markup: tags dropped, the references that ``decoded`` leaves (and no-break spaces) as characters."""
     text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
     for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))

@@ -25,6 +25,23 @@ ALIASES = {
     "lwir": ["long wave infrared"],
     "mwir": ["mid wave infrared"],
 }
+# English words that a text search ignores.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because "
+    "as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further "
+    "then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+# A second set of label patterns, for rows of before the first; these need no word boundaries.
+LEGACY_COMPONENTS = r"spares?|spare\s*parts?|components?|accessor(y|ies)|repair(ing)?\s+of|amc|annual\s+maintenance|refurbishment?|overhaul|calibration|replacement\s+of|maintenance\s+of|servicing\s+of"
+LEGACY_DEFENCE = r"army|navy|naval|air\s*force|defence|defense|drdo|ordnance|military|para\s*military|border\s*security|bsf|crpf|itbp|ssb|cisf|nsg|coast\s*guard|railway\s*protection|surveillance|intelligence\s*bureau|home\s*affairs"
+# Keys of portals whose legacy names are known.
+KNOWN_PORTALS = {
+    "GeM": "gem", "CPPP": "cppp", "Defence": "defproc", "Maharashtra": "maharashtra", "Karnataka": "karnataka", "Tamil Nadu": "tamilnadu", "Telangana": "telangana",
+    "Andhra Pradesh": "andhrapradesh", "Uttar Pradesh": "uttarpradesh", "Rajasthan": "rajasthan", "Madhya Pradesh": "madhyapradesh", "Haryana": "haryana", "Punjab": "punjab",
+    "Kerala": "kerala", "West Bengal": "westbengal", "Odisha": "odisha", "Bihar": "bihar", "Jharkhand": "jharkhand", "Assam": "assam", "IREPS": "ireps",
+    "Coal India": "coalindia", "Gujarat": "gujarat_nprocure",
+}
 # Phrases that the dashboard counts.
 WATCH_PHRASES = ["Reflex Sight", "Thermal Weapon Sight", "Night Vision Goggles", "Image Intensifier", "Electro Optical Surveillance System", "PTZ Camera", "Border Surveillance System"]
 # Wordings of a stated total, tried in this order.
@@ -67,6 +84,7 @@ def normalize_query(c: Column, compatibility: bool = True) -> Column:
     return clean(F.regexp_replace(text, r"[^\p{L}\p{N}\s/_\-.]", " "))
 
 
+# The shapes that make a query a reference.
 def is_structured_reference(c: Column) -> Column:
     return (F.length(c) >= 6) & c.rlike("[a-zA-Z]") & c.rlike("[0-9]") & c.rlike("[/_.-]") & c.rlike(r"^[\p{L}\p{N}/_.\-\s]+$")
 
@@ -77,6 +95,7 @@ def is_raw_reference(c: Column) -> Column:
 
 def division_split(c: Column) -> Column:
     """struct(title, department) of "title in Division No: department."; the whole text is the title otherwise."""
+    # Fixed value: the wording that the listings use.
     text, pattern = clean(c), r"(?i)^(.*?)\s+in\s+Division\s*No\s*:\s*(.+?)\.?\s*$"
     hit = text.rlike(pattern)
     return F.struct(F.when(hit, F.trim(F.regexp_extract(text, pattern, 1))).otherwise(text).alias("title"), F.when(hit, F.trim(F.regexp_extract(text, pattern, 2))).alias("department"))
@@ -101,6 +120,7 @@ def bracket_values(c: Column) -> Column:
 
 def reference_id(c: Column) -> Column:
     """The id after a label such as "Reference No:", else the trimmed text, null if that is empty."""
+    # Fixed value: the labels that the listings use.
     return F.coalesce(filled(F.regexp_extract(F.trim(c), r"(?i)(?:reference|tender)\s*(?:no\.?|number|id)\s*[:-]?\s*([A-Za-z0-9/_.-]+)", 1)), filled(F.trim(c)))
 
 
@@ -123,6 +143,7 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 def document_link(origin: str, number: Column, bid_type: Column, evaluation: Column) -> Column:
     """Link whose page follows from the type codes of a bid."""
+    # The pages of the type codes.
     page = F.when(bid_type == 5, "showdirectradocumentPdf").when(bid_type == 2, F.when(evaluation > 0, "list-ra-schedules").otherwise("showradocumentPdf")).otherwise("showbidDocument")
     return F.when(number.isNull() | (number.cast("string") == ""), F.lit(f"{origin}/all-bids")).otherwise(F.concat(F.lit(f"{origin}/"), page, F.lit("/"), number.cast("string")))
 
@@ -130,6 +151,7 @@ def document_link(origin: str, number: Column, bid_type: Column, evaluation: Col
 def short_name(key: Column, name: Column) -> Column:
     """An established short form, else the name without parentheses and a generic suffix, else the name."""
     fixed = F.create_map(*[F.lit(x) for pair in SHORT_NAMES.items() for x in pair])
+    # Fixed value: the generic suffix of portal names.
     stripped = F.regexp_replace(F.regexp_replace(name, r"\s*\([^)]*\)\s*", " "), r"(?i)\s*e-?Procurement(\s+(System|Portal))?\s*", " ")
     return F.coalesce(F.try_element_at(fixed, key), filled(clean(stripped)), name)
 
@@ -153,6 +175,12 @@ def relevance(title: Column, category: Column, organisation: Column, department:
     return F.when(item.rlike(_words(COMPONENT_WORDS)), "irrelevant").when(client.rlike(_words(DEFENCE_WORDS)), "relevant").when(client.rlike(_words(CIVIL_WORDS)), "irrelevant").otherwise("unclassified")
 
 
+def legacy_relevance(title: Column, category: Column, organisation: Column, department: Column) -> Column:
+    """The label by the second rule set: the same order, patterns anywhere in the text."""
+    item, client = F.concat_ws(" ", title, category), F.concat_ws(" ", organisation, department)
+    return F.when(item.rlike(f"(?i)({LEGACY_COMPONENTS})"), "irrelevant").when(client.rlike(f"(?i)({LEGACY_DEFENCE})"), "relevant").when(client.rlike(f"(?i)({CIVIL_WORDS})"), "irrelevant").otherwise("unclassified")
+
+
 def slug(name: Column, known: dict[str, str] | None = None) -> Column:
     """Key of a legacy name: the known one, else its lower-cased letters and digits."""
     plain = F.lower(F.regexp_replace(name, "[^a-zA-Z0-9]+", ""))
@@ -167,7 +195,7 @@ def recipients(c: Column, most: int = 10) -> Column:
 
 def keyword_list(c: Column, most: int = 50) -> Column:
     """Trimmed keywords; null if one is empty or there are more than ``most``."""
-    found = F.transform(c, F.trim)
+    found = F.transform(c, lambda x: F.trim(x))
     return F.when((F.size(found) <= most) & F.forall(found, lambda x: x != ""), found)
 
 
@@ -186,8 +214,3 @@ def page_gate(c: Column) -> Column:
 def is_script_shell(c: Column, least: int = 200) -> Column:
     """Whether a page has less text than ``least`` characters without its tags."""
     return F.length(F.trim(F.regexp_replace(c, "<[^>]+>", ""))) < least
-
-
-def like_literal(c: Column) -> Column:
-    """A text as a LIKE pattern that means itself."""
-    return F.regexp_replace(c, r"([\\%_])", r"\\$1")

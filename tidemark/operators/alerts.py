@@ -68,6 +68,11 @@ def digests(rows: DataFrame, users: DataFrame, notices: DataFrame) -> DataFrame:
     return out.join(users.select("user_id", F.coalesce("delivery_email", "email").alias("address")), "user_id")
 
 
+def cycle_totals(fresh: DataFrame) -> DataFrame:
+    """How many users a cycle notifies, and how many notices it sends to them in all."""
+    return fresh.agg(F.count_distinct("user_id").alias("users_notified"), F.count("*").alias("notices_sent"))
+
+
 def alert_cycle(notices: DataFrame, subscriptions: DataFrame, users: DataFrame, sent_log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(digests, log candidates). Delivery happens outside; see ``log_delivered``."""
     matches = keyword_matches(notices, keyword_rows(subscriptions))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, legacy_relevance, relevance
 
 KEYS = ["portal", "notice_id"]
 
@@ -16,6 +16,22 @@ def with_hash(notices: DataFrame, columns: list[str]) -> DataFrame:
     return notices.withColumn("content_hash", content_hash({c: F.col(c) for c in columns}))
 
 
+def split_valid(batch: DataFrame, required: tuple[str, ...] = ("portal", "notice_id", "title")) -> tuple[DataFrame, DataFrame]:
+    """(rows that can be merged, rows without a key or a title)."""
+    ok = F.lit(True)
+    for c in required:
+        if c in batch.columns:
+            ok = ok & F.coalesce(F.trim(c) != "", F.lit(False))
+    return batch.where(ok), batch.where(~ok)
+
+
+def backfill_relevance(notices: DataFrame, legacy: bool = False) -> DataFrame:
+    """``notices`` with a label where it is null, by the rules of today or by the ``legacy`` set; others keep theirs."""
+    rules = legacy_relevance if legacy else relevance
+    label = rules(*map(F.col, ("title", "category", "organisation", "department")))
+    return notices.withColumn("relevance", F.coalesce("relevance", label))
+
+
 def merge_actions(batch: DataFrame, stored: DataFrame, tombstones: DataFrame, as_of: Column, ordinal: str = "ordinal", keys: list[str] = KEYS) -> DataFrame:
     """What merging each row of a batch does: insert, update, touch or skip.
 

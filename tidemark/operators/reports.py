@@ -29,6 +29,12 @@ def stated_totals(runs: DataFrame) -> DataFrame:
     return stated.groupBy("portal").agg(F.max_by("stated_total", F.struct("started", "run_id")).alias("stated_total"))
 
 
+def stated_summary(totals: DataFrame, portal: str) -> DataFrame:
+    """Over ``stated_totals``: their sum, the number of portals that stated one, and the total of one portal, or 0."""
+    named = F.sum(F.when(F.col("portal") == portal, F.col("stated_total")))
+    return totals.agg(F.coalesce(F.sum("stated_total"), F.lit(0)).alias("total_reported"), F.count("*").alias("portals_reporting"), F.coalesce(named, F.lit(0)).alias("named_total"))
+
+
 def coverage(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Stored and stated numbers of each portal, and the gap, never negative."""
     both = counts.join(totals, "portal", "full")
@@ -79,6 +85,14 @@ def run_duration(started: Column, finished: Column, as_of: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.floor((F.unix_micros(end) - F.unix_micros(started.cast("timestamp"))) / 1_000_000))
 
 
+def age(at: Column, as_of: Column) -> Column:
+    """How long ago, in whole minutes, hours or days; a moment or the future is just now."""
+    minutes = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 60_000_000)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    hours = F.floor(minutes / 60)
+    return F.when(minutes < 1, "just now").when(minutes < 60, ago(minutes, "m")).when(hours < 24, ago(hours, "h")).otherwise(ago(F.floor(hours / 24), "d"))
+
+
 def closing_urgency(closing: Column, as_of: Column) -> Column:
     """closed, urgent (within a day), soon (within three), normal; null without a date."""
     days = (F.unix_micros(closing.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))) / 86_400_000_000
@@ -90,11 +104,12 @@ def live_sessions(sessions: DataFrame, users: DataFrame, as_of: Column) -> DataF
     return sessions.where(F.col("active") & (F.col("expires") > as_of)).join(users, "user_id")
 
 
-def user_report(users: DataFrame, sessions: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Users with their numbers of sessions and alerts, zero included; both are counted before the join."""
+def user_report(users: DataFrame, sessions: DataFrame, alerts: DataFrame, subscriptions: DataFrame | None = None) -> DataFrame:
+    """Users with their numbers of sessions and alerts, zero included; both are counted before the join. And their subscription, if given."""
     count = lambda df, name: df.groupBy("user_id").agg(F.count("*").alias(name))
     out = users.join(count(sessions, "n_sessions"), "user_id", "left").join(count(alerts, "n_alerts"), "user_id", "left")
-    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_sessions", "n_alerts")})
+    out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_sessions", "n_alerts")})
+    return out if subscriptions is None else out.join(subscriptions, "user_id", "left")
 
 
 def relevance_counts(notices: DataFrame) -> DataFrame:

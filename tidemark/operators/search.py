@@ -6,14 +6,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ALIASES, is_raw_reference, is_structured_reference
+from ..functions.text import ALIASES, STOP_WORDS, is_raw_reference, is_structured_reference, nfkc, normalize_query
+from ..sources.store import cut
 
 WEIGHTS = {"title": 1.0, "organisation": 0.4, "department": 0.4, "description": 0.2, "category": 0.2}
 SIMILAR = 0.2
+KEYS = ["portal", "notice_id"]
+NO_WORD = r"[^\p{L}\p{N}]+"
+#: Columns of a query table that narrow its results.
+CONDITIONS = ["portals", "portal", "status", "relevance", "closing_from", "closing_to"]
+#: Parts that the notices of a browse query over all portals are dealt into.
+SALTS = 16
 OUT = ["query_id", "portal", "notice_id", "title", "published", "score"]
 
 
@@ -64,50 +74,85 @@ def ranked_page(results: DataFrame, page: int = 1, limit: int = 20) -> DataFrame
     return top.join(totals, "query_id").withColumn("pages", F.ceil(F.col("total_count") / limit))
 
 
-def query_mode(q: Column, normal: Column, only_q: Column) -> Column:
-    """browse, raw_reference (falls through if it finds nothing), structured_reference or text."""
-    return F.when(F.coalesce(F.trim(q), F.lit("")) == "", "browse").when(only_q & is_raw_reference(q), "raw_reference").when(is_structured_reference(normal), "structured_reference").otherwise("text")
+def query_mode(raw: Column, normal: Column, terms: Column, only_q: Column) -> Column:
+    """browse without any term, raw_reference (falls through if it finds nothing), structured_reference or text."""
+    return F.when(F.trim(F.array_join(terms, " ")) == "", "browse").when(only_q & is_raw_reference(raw), "raw_reference").when(is_structured_reference(normal), "structured_reference").otherwise("text")
+
+
+def words_of(text: Column) -> Column:
+    """Lower-case words of letters and digits, repeats included."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda x: x != "")
 
 
 def reference_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
     """Containment of the query in id, title or description: 10000 exact id + 8000 id + 6000 title + 4000 description.
 
-    The query table is the small side of a nested-loop join by its nature; Spark broadcasts it only below its own
-    size threshold. Signs such as % and _ mean themselves.
+    A text that contains the query has a word that contains the query's longest word. So the distinct words of all
+    notices meet the queries by their first three (or fewer) characters of that word, anywhere in the notice's word; the notices
+    with such a word are verified. Only queries without any letter or digit are compared with all notices.
+    Signs such as % and _ mean themselves; blank queries find nothing.
     """
-    q = F.lower(F.trim("q"))
-    has = lambda c: F.coalesce(F.contains(F.lower(c), q), F.lit(False))
-    points = lambda cond, n: F.when(cond, n).otherwise(0)
-    score = points(F.lower("notice_id") == q, 10000) + points(has("notice_id"), 8000) + points(has("title"), 6000) + points(has("description"), 4000)
-    found = notices.join(queries.where(q != ""), has("notice_id") | has("title") | has("description"))
-    return found.withColumn("score", score.cast("double")).select(OUT)
-
-
-def stem(token: Column) -> Column:
-    """S-stemmer (Harman 1991): -ies to -y, -es to -e, -s dropped, with their exceptions."""
-    return (
-        F.when(~token.endswith("s"), token)
-        .when(token.rlike("[^ea]ies$"), F.regexp_replace(token, "ies$", "y"))
-        .when(token.rlike("[^aeo]es$"), F.regexp_replace(token, "es$", "e"))
-        .when(token.rlike("[^us]s$"), F.regexp_replace(token, "s$", ""))
-        .otherwise(token)
-    )
+    fields = [c for c in ("notice_id", "title", "description") if c in notices.columns]
+    # (length, word), so that the greatest is the longest.
+    longest = F.array_max(F.transform(words_of(F.trim("q")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = cut(queries.where(F.trim("q") != "").select("query_id", F.lower(F.trim("q")).alias("q"), longest.alias("anchor")))
+    anchors = asked.where("anchor is not null").select("query_id", "anchor", F.left("anchor", F.lit(3)).alias("gram"))
+    sizes = [r[0] for r in anchors.select(F.length("gram")).distinct().collect()]  # 1, 2 and 3 at most
+    found = []
+    if sizes:
+        words = notices.select(*KEYS, F.explode(words_of(F.concat_ws(" ", *fields))).alias("word"))
+        parts = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        grams = F.array_distinct(F.flatten(F.array(*[parts(F.col("word"), n) for n in sizes])))
+        holding = words.select("word").distinct().select("word", F.explode(grams).alias("gram")).join(anchors, "gram").where(F.contains("word", "anchor"))
+        found.append(words.join(holding.select("query_id", "word"), "word").select("query_id", *KEYS))
+    if not asked.where("anchor is null").isEmpty():
+        signs = asked.where("anchor is null").select("query_id", "q")
+        found.append(notices.join(signs, F.contains(F.lower(F.concat_ws("\n", *fields)), F.col("q"))).select("query_id", *KEYS))
+    if not found:
+        none = notices.where("false")
+        return none.join(asked.where("false"), none["notice_id"] == asked["q"]).withColumn("score", F.lit(0.0)).select(OUT)
+    q, points = F.col("q"), lambda cond, n: F.when(cond, n).otherwise(0)
+    has = {c: F.coalesce(F.contains(F.lower(c), q), F.lit(False)) if c in fields else F.lit(False) for c in ("notice_id", "title", "description")}
+    score = points(F.lower("notice_id") == q, 10000) + points(has["notice_id"], 8000) + points(has["title"], 6000) + points(has["description"], 4000)
+    rows = reduce(DataFrame.unionAll, found).distinct().join(asked.select("query_id", "q"), "query_id").join(notices, KEYS)
+    return rows.withColumn("score", score.cast("double")).where("score > 0").select(OUT)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stemmed(df: DataFrame, word: str = "word") -> DataFrame:
+    """``df`` with a column ``token``: its lower-case English words without plural, -ed, -ing and final y (step 1 of Porter 1980)."""
+    less = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
+    vowel = lambda c: c.rlike("[aeiou]|[^aeiou]y")
+    singular = lambda w: F.when(w.endswith("ss") | ~w.endswith("s"), w).when(w.endswith("sses") | w.endswith("ies"), less(w, 2)).otherwise(less(w, 1))
+    cut_off = lambda a: F.when(a.endswith("eed"), None).when(a.endswith("ed") & vowel(less(a, 2)), less(a, 2)).when(a.endswith("ing") & vowel(less(a, 3)), less(a, 3))
+    mended = lambda b: F.when(b.rlike("(at|bl|iz)$") | b.rlike("^[^aeiou]*[aeiouy][^aeiouwxy]$"), F.concat(b, F.lit("e"))).when(b.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), less(b, 1)).otherwise(b)
+    uncut = lambda a: F.when(a.endswith("eed") & less(a, 3).rlike("[aeiouy][^aeiouy]"), less(a, 1)).otherwise(a)
+    last = lambda c: F.when(c.endswith("y") & vowel(less(c, 1)), F.concat(less(c, 1), F.lit("i"))).otherwise(c)
+    whole = let(singular(F.col(word)), lambda a: let(let(cut_off(a), lambda b: F.when(b.isNull(), uncut(a)).otherwise(mended(b))), last))
+    return df.withColumn("token", F.when(F.col(word).rlike("^[a-z]{3,}$"), whole).otherwise(F.col(word)))
+
+
+def field_words(notices: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, weight, word): one row a word of a field, stop words left out."""
+    present = [c for c in WEIGHTS if c in notices.columns]
+    fields = notices.select(*keys, F.explode(F.array(*[F.struct(F.lit(WEIGHTS[c]).alias("weight"), F.lit(c).alias("field"), words_of(F.col(c)).alias("words")) for c in present])).alias("f"))
+    return fields.select(*keys, "f.field", "f.weight", F.explode("f.words").alias("word")).where(~F.col("word").isin(STOP_WORDS))
 
 
-def tokens(text: Column) -> Column:
-    """Stemmed words of letters and digits, repeats included."""
-    return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != ""), stem)
+def weighted(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token, rank) of (keys, field, weight, token, tf): sum over fields of weight * tf / (tf + 1)."""
+    each = counted.groupBy(*keys, "token", "field", "weight").agg(F.sum("tf").alias("tf"))
+    return each.groupBy(*keys, "token").agg(F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + 1)).alias("rank"))
 
 
 def token_table(notices: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token, rank): one row a distinct token of a notice with its weighted frequency score.
-
-    Sum over fields of weight * tf / (tf + 1). Written bucketed by token it is the search index.
-    """
-    present = [c for c in WEIGHTS if c in notices.columns]
-    fields = notices.select(*keys, F.explode(F.array(*[F.struct(F.lit(WEIGHTS[c]).alias("weight"), tokens(F.col(c)).alias("tokens")) for c in present])).alias("f"))
-    each = fields.select(*keys, "f.weight", F.explode("f.tokens").alias("token")).groupBy(*keys, "token", "weight").agg(F.count("*").alias("tf"))
-    return each.groupBy(*keys, "token").agg(F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + 1)).alias("rank"))
+    """(keys, token, rank): one row a distinct token of a notice. Written bucketed by token it is the search index."""
+    counted = field_words(notices, keys).groupBy(*keys, "field", "weight", "word").agg(F.count("*").alias("tf"))
+    return weighted(stemmed(counted), keys)
 
 
 def alternatives(queries: DataFrame) -> DataFrame:
@@ -115,33 +160,44 @@ def alternatives(queries: DataFrame) -> DataFrame:
     aliases = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     texts = F.concat(F.array("q"), F.coalesce(F.try_element_at(aliases, F.col("q")), F.array().cast("array<string>")))
     out = queries.select("query_id", "q", F.posexplode(texts).alias("alternative", "text"))
-    return out.select("query_id", "q", "alternative", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    out = out.select("query_id", "q", "alternative", F.explode(words_of(F.col("text"))).alias("word")).where(~F.col("word").isin(STOP_WORDS))
+    return stemmed(out).select("query_id", "q", "alternative", "token").distinct()
 
 
-def fulltext_matches(notices: DataFrame, queries: DataFrame, keys: list[str] = ["portal", "notice_id"]) -> DataFrame:  # noqa: B006
+def fulltext_matches(notices: DataFrame, queries: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(query_id, keys, text_rank): notices with all tokens of an alternative; the best alternative's rank counts.
 
-    An equi-join on the token: no notice is compared with a query that shares no token with it.
+    Only the distinct words of all notices are stemmed. Those that a query asks for meet the words of the notices in an
+    equi-join, before anything is counted; no notice is compared with a query that shares no token with it.
     """
     asked = alternatives(queries)
     need = asked.groupBy("query_id", "alternative").agg(F.count("*").alias("need"))
-    wanted = asked.select("token").distinct()
-    index = token_table(notices, keys).join(wanted, "token", "left_semi")
-    hits = index.join(asked, "token").groupBy("query_id", "alternative", *keys).agg(F.count("*").alias("n"), F.sum("rank").alias("rank"))
+    words = field_words(notices, keys)
+    wanted = stemmed(words.select("word").distinct()).join(asked.select("token").distinct(), "token", "left_semi")
+    counted = words.join(wanted, "word").groupBy(*keys, "field", "weight", "token").agg(F.count("*").alias("tf"))
+    hits = weighted(counted, keys).join(asked, "token").groupBy("query_id", "alternative", *keys).agg(F.count("*").alias("n"), F.sum("rank").alias("rank"))
     full = hits.join(need, ["query_id", "alternative"]).where("n = need")
     return full.groupBy("query_id", *keys).agg(F.max(F.col("rank") / F.col("need")).alias("text_rank"))
 
 
+def id_prefixes(notices: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, keys) of the notices whose id begins with the query: an equi-join on the beginnings of the lengths that queries have."""
+    lengths = [r[0] for r in asked.select(F.length("q")).distinct().collect()]  # a few numbers
+    low = F.lower("notice_id")
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(low))
+    begun = notices.select(*KEYS, F.explode(F.transform(cuts, lambda n: F.left(low, n))).alias("q"))
+    return begun.join(asked, "q").select("query_id", *KEYS)
+
+
 def fulltext_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
     """All words of a query, or an id that begins with it: 1000 exact id + 500 exact title + 200 id prefix + 100 * rank.
 
     ``q`` is a normalised query; an empty one finds nothing.
     """
-    asked = queries.where("q <> ''")
-    text = fulltext_matches(notices, asked)
-    prefix = notices.join(asked, F.startswith(F.lower("notice_id"), F.col("q"))).select("query_id", "portal", "notice_id")
-    every = text.select("query_id", "portal", "notice_id").union(prefix).distinct()
-    rows = every.join(text, ["query_id", "portal", "notice_id"], "left").join(asked, "query_id").join(notices.select("portal", "notice_id", "title", "published"), ["portal", "notice_id"])
+    asked = queries.where("q <> ''").select("query_id", "q")
+    every = fulltext_matches(notices, asked).unionByName(id_prefixes(notices, asked).withColumn("text_rank", F.lit(None).cast("double")))
+    every = every.groupBy("query_id", *KEYS).agg(F.max("text_rank").alias("text_rank"))
+    rows = every.join(asked, "query_id").join(notices.select(*KEYS, "title", "published"), KEYS)
     return rows.withColumn("score", tier_score() + F.round(100 * F.coalesce("text_rank", F.lit(0.0)), 6)).select(OUT)
 
 
@@ -152,8 +208,7 @@ def tier_score() -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words of a text, each padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    grams = F.transform(words_of(text), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 
@@ -181,30 +236,93 @@ def fuzzy_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.coalesce("text_score", tier_score().cast("double")) + F.round(10 * F.coalesce("similarity", F.lit(0.0)), 6)).select(OUT)
 
 
-def tiered_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
-    """Full text, and the fuzzy tier only for queries that it leaves without a match.
+def tiered_search(notices: DataFrame, queries: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Full text, and the fuzzy tier only for queries that it leaves without a match that ``keep`` keeps.
 
-    Those have no full-text match, so their fuzzy tier is similarity alone.
+    The full-text matches are computed once. The other queries have none, so their fuzzy tier is similarity alone, or, where
+    ``keep`` took them all, nothing that ``keep`` would leave.
     """
-    first = fulltext_search(notices, queries)
+    first = cut(keep(fulltext_search(notices, queries)))
     rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti").where("q <> ''")
-    close = similar_titles(notices, rest).join(queries, "query_id").join(notices.select("portal", "notice_id", "title", "published"), ["portal", "notice_id"])
-    close = close.withColumn("score", tier_score() + F.round(10 * F.col("similarity"), 6)).select(OUT)
+    close = similar_titles(notices, rest).join(queries.select("query_id", "q"), "query_id").join(notices.select(*KEYS, "title", "published"), KEYS)
+    close = keep(close.withColumn("score", tier_score() + F.round(10 * F.col("similarity"), 6)).select(OUT))
     return first.withColumn("tier", F.lit("text")).unionByName(close.withColumn("tier", F.lit("fuzzy")))
 
 
+def allowed(rows: DataFrame, notices: DataFrame, queries: DataFrame) -> DataFrame:
+    """The results that meet the conditions of their own query (the columns of ``CONDITIONS`` that ``queries`` has; null for none)."""
+    given = [c for c in CONDITIONS if c in queries.columns]
+    if not given:
+        return rows
+    facts = [c for c in ("status", "relevance", "closing") if c in notices.columns]
+    own = queries.select("query_id", *[F.col(c).alias(f"asked_{c}") for c in given])
+    joined = rows.join(own, "query_id").join(notices.select(*KEYS, *[F.col(c).alias(f"own_{c}") for c in facts]), KEYS)
+    return joined.where(meets(given, lambda c: F.col(f"asked_{c}"), lambda c: F.col("portal") if c == "portal" else F.col(f"own_{c}"))).select(rows.columns)
+
+
+def meets(given: list[str], asked: Callable[[str], Column], own: Callable[[str], Column]) -> Column:
+    """Whether a notice meets a query's conditions; a list of portals wins over a single one, ranges are inclusive."""
+    ok = F.lit(True)
+    one = F.when(asked("portal") != "", F.array(asked("portal"))) if "portal" in given else F.lit(None).cast("array<string>")
+    portals = F.when(F.size(asked("portals")) > 0, asked("portals")).otherwise(one) if "portals" in given else one
+    ok = ok & (portals.isNull() | F.array_contains(portals, own("portal")))
+    for c in ("status", "relevance"):
+        if c in given:
+            ok = ok & (asked(c).isNull() | (asked(c) == "") | (own(c) == asked(c)))
+    if "closing_from" in given:
+        ok = ok & (asked("closing_from").isNull() | (own("closing") >= asked("closing_from")))
+    if "closing_to" in given:
+        ok = ok & (asked("closing_to").isNull() | (own("closing") <= asked("closing_to")))
+    return F.coalesce(ok, F.lit(False))
+
+
+def browsed(notices: DataFrame, queries: DataFrame, page: int, limit: int) -> DataFrame:
+    """A page for each query without terms: the notices that meet its conditions, newest first.
+
+    Queries with equal conditions are answered once. Conditions meet notices by portal, or by a common key for all portals, whose rows are dealt
+    over salts.
+    """
+    given = [c for c in CONDITIONS if c in queries.columns]
+    # Computed first: without any conditions they would be one constant, and no key to join on.
+    asked = cut(queries.select("query_id", F.to_json(F.struct(F.lit(1).alias("all"), *given)).alias("conditions"), *given))
+    one = F.when(F.col("portal") != "", F.array("portal")) if "portal" in given else F.lit(None).cast("array<string>")
+    portals = F.when(F.size("portals") > 0, F.col("portals")).otherwise(one) if "portals" in given else one
+    places = F.coalesce(F.transform(F.array_distinct(portals), lambda p: F.concat(F.lit("="), p)), F.array(F.lit("*")))
+    kinds = asked.drop("query_id").distinct().select("conditions", F.explode(places).alias("place"), *[F.col(c).alias(f"asked_{c}") for c in given])
+    kinds = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    facts = [c for c in ("status", "relevance", "closing") if c in notices.columns]
+    rows = notices.select(*KEYS, "title", "published", *facts, F.explode(F.array(F.concat(F.lit("="), "portal"), F.lit("*"))).alias("place"), F.pmod(F.xxhash64(*KEYS), F.lit(SALTS)).cast("int").alias("salt"))
+    met = rows.join(kinds, ["place", "salt"]).where(meets(given, lambda c: F.col(f"asked_{c}"), F.col))
+    found = met.select(F.col("conditions").alias("query_id"), *KEYS, "title", "published", F.lit(0.0).alias("score"))
+    paged = ranked_page(found, page, limit).withColumnRenamed("query_id", "conditions")
+    return paged.join(asked.select("query_id", "conditions"), "conditions").drop("conditions")
+
+
 def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1, limit: int = 20) -> DataFrame:
-    """One page for each query (query_id, q, normal), by the first mode that applies."""
+    """One page of open notices for each query, by the first mode that applies, with the mode.
+
+    ``queries`` has query_id and q, and may have keywords (an array), conditions of its own (``CONDITIONS``) and normal, the normalised
+    terms. Terms are q and the keywords, empty ones left out; without any but blank terms a query browses. Only a query of
+    q alone can be a raw reference.
+    """
     found = filtered(notices, as_of)
-    asked = queries.withColumn("mode", query_mode(F.col("q"), F.col("normal"), F.lit(True)))
+    terms = F.filter(F.concat(F.array("q"), F.coalesce("keywords", F.array().cast("array<string>")) if "keywords" in queries.columns else F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    asked = queries.withColumns({"terms": terms, "raw": F.trim(nfkc(F.coalesce("q", F.lit(""))))})
+    if "normal" not in queries.columns:
+        asked = asked.withColumn("normal", normalize_query(F.array_join("terms", " ")))
+    only_q = (F.size("terms") == 1) & (F.col("raw") != "")
+    asked = cut(asked.withColumn("mode", query_mode(F.col("raw"), F.col("normal"), F.col("terms"), only_q)))
+    keep = lambda rows: allowed(rows, found, asked)
     by = lambda *modes: asked.where(F.col("mode").isin(*modes))
-    raw = reference_search(found, by("raw_reference").select("query_id", "q"))
+    raw = cut(keep(reference_search(found, by("raw_reference").select("query_id", F.col("raw").alias("q")))))
     fallen = by("raw_reference").join(raw.select("query_id").distinct(), "query_id", "left_anti")
-    structured = by("structured_reference").unionByName(fallen.where(is_structured_reference(F.col("normal"))))
-    text = by("text").unionByName(fallen.where(~is_structured_reference(F.col("normal"))))
-    out = raw.unionByName(reference_search(found, structured.select("query_id", F.col("normal").alias("q"))))
-    out = out.unionByName(tiered_search(found, text.select("query_id", F.col("normal").alias("q"))).drop("tier"))
-    return ranked_page(out, page, limit)
+    structured = by("structured_reference").unionByName(fallen.where(is_structured_reference(F.col("normal"))), allowMissingColumns=True)
+    text = by("text").unionByName(fallen.where(~is_structured_reference(F.col("normal"))), allowMissingColumns=True)
+    out = raw.withColumn("mode", F.lit("raw_reference"))
+    out = out.unionByName(keep(reference_search(found, structured.select("query_id", F.col("normal").alias("q")))).withColumn("mode", F.lit("structured_reference")))
+    tiers = tiered_search(found, text.select("query_id", F.col("normal").alias("q")), keep)
+    out = out.unionByName(tiers.withColumnRenamed("tier", "mode"))
+    return ranked_page(out, page, limit).unionByName(browsed(found, by("browse"), page, limit).withColumn("mode", F.lit("browse")))
 
 
 def any_phrase(text: Column, phrases: list[str]) -> Column:

@@ -139,8 +139,20 @@ def staleness(spark, d):
 OPEN_SQL = f"(closing IS NULL OR closing >= TIMESTAMP '{AS_OF}')"
 WORDS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 ASKED_SQL = f"asked AS (SELECT item_id AS query_id, array_to_string({WORDS_SQL.format('text')}[1:2], ' ') AS q FROM benchmark)"
-STEM_SQL = r"""CASE WHEN regexp_matches({0}, '[^ea]ies$') THEN regexp_replace({0}, 'ies$', 'y') WHEN regexp_matches({0}, '[^aeo]es$') THEN regexp_replace({0}, 'es$', 'e')
-  WHEN regexp_matches({0}, '[^us]s$') THEN regexp_replace({0}, 's$', '') ELSE {0} END"""
+STOPS_SQL = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
+V_SQL = "'[aeiou]|[^aeiou]y'"
+LESS_SQL = "substring({0}, 1, length({0}) - {1})"
+
+
+def stems_sql(words: str) -> str:
+    """Rows of ``words`` with their token, step by step in lateral aliases."""
+    a2, a3, s_b = LESS_SQL.format("s_a", 2), LESS_SQL.format("s_a", 3), "s_b"
+    return rf"""(SELECT *, regexp_full_match(word, '[a-z]{{3,}}') AS s_ok,
+      CASE WHEN NOT s_ok OR suffix(word, 'ss') OR NOT suffix(word, 's') THEN word WHEN suffix(word, 'sses') OR suffix(word, 'ies') THEN {LESS_SQL.format('word', 2)} ELSE {LESS_SQL.format('word', 1)} END AS s_a,
+      CASE WHEN NOT s_ok OR suffix(s_a, 'eed') THEN NULL WHEN suffix(s_a, 'ed') AND regexp_matches({a2}, {V_SQL}) THEN {a2} WHEN suffix(s_a, 'ing') AND regexp_matches({a3}, {V_SQL}) THEN {a3} END AS s_b,
+      CASE WHEN s_b IS NULL AND s_ok AND suffix(s_a, 'eed') AND regexp_matches({a3}, '[aeiouy][^aeiouy]') THEN {LESS_SQL.format('s_a', 1)} WHEN s_b IS NULL THEN s_a
+        WHEN regexp_matches(s_b, '(at|bl|iz)$') OR regexp_matches(s_b, '^[^aeiou]*[aeiouy][^aeiouwxy]$') THEN s_b || 'e' WHEN regexp_matches(s_b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN {LESS_SQL.format(s_b, 1)} ELSE s_b END AS s_c,
+      CASE WHEN s_ok AND suffix(s_c, 'y') AND regexp_matches({LESS_SQL.format('s_c', 1)}, {V_SQL}) THEN {LESS_SQL.format('s_c', 1)} || 'i' ELSE s_c END AS token FROM ({words}) WHERE word NOT IN {STOPS_SQL})"""
 
 
 def asked(spark, d):
@@ -173,21 +185,30 @@ def reference_search(spark, d):
     return search.reference_search(views.documents(spark, d), queries).select("query_id", "portal", "notice_id", "score")
 
 
-INDEX_SQL = f"""{DOCUMENTS_SQL}, {ASKED_SQL},
-fields AS (SELECT portal, notice_id, 1.0 AS weight, {WORDS_SQL.format('title')} AS words, 1 AS f FROM documents_n
-  UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('description')}, 2 FROM documents_n UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('category')}, 3 FROM documents_n),
-words AS (SELECT portal, notice_id, weight, f, unnest(words) AS word FROM fields),
-tf AS (SELECT portal, notice_id, weight, {STEM_SQL.format('word')} AS token, count(*) AS tf FROM words GROUP BY portal, notice_id, weight, token),
+def index_sql(documents: str = "documents_n", asked: str = ASKED_SQL) -> str:
+    return f"""{DOCUMENTS_SQL}, {asked},
+fields AS (SELECT portal, notice_id, 1.0 AS weight, {WORDS_SQL.format('title')} AS words, 1 AS f FROM {documents}
+  UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('description')}, 2 FROM {documents} UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('category')}, 3 FROM {documents}),
+tf AS (SELECT portal, notice_id, weight, f, token, count(*) AS tf FROM {stems_sql('SELECT portal, notice_id, weight, f, unnest(words) AS word FROM fields')} GROUP BY ALL),
 ranks AS (SELECT portal, notice_id, token, sum(CAST(weight AS DOUBLE) * tf / (tf + 1)) AS rank FROM tf GROUP BY ALL),
-terms AS (SELECT DISTINCT query_id, q, {STEM_SQL.format('word')} AS token FROM (SELECT query_id, q, unnest({WORDS_SQL.format('q')}) AS word FROM asked)),
+terms AS (SELECT DISTINCT query_id, q, token FROM {stems_sql(f"SELECT query_id, q, unnest({WORDS_SQL.format('q')}) AS word FROM asked")}),
 need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY ALL),
 hits AS (SELECT query_id, portal, notice_id, count(*) AS n, sum(rank) AS rank FROM ranks JOIN terms USING (token) GROUP BY ALL),
 matched AS (SELECT query_id, portal, notice_id, rank / need AS text_rank FROM hits JOIN need USING (query_id) WHERE n = need),
 found AS (SELECT m.query_id, m.portal, m.notice_id, (CASE WHEN lower(m.notice_id) = q THEN 1000 ELSE 0 END) + (CASE WHEN lower(title) = q THEN 500 ELSE 0 END) + (CASE WHEN starts_with(lower(m.notice_id), q) THEN 200 ELSE 0 END)
   + round(100 * coalesce(text_rank, 0), 6) AS score
   FROM (SELECT query_id, portal, notice_id, text_rank FROM matched UNION ALL
-    SELECT query_id, portal, notice_id, NULL FROM documents_n JOIN asked ON starts_with(lower(notice_id), q) WHERE (query_id, portal, notice_id) NOT IN (SELECT query_id, portal, notice_id FROM matched)) m
-  JOIN asked USING (query_id) JOIN documents_n n ON n.portal = m.portal AND n.notice_id = m.notice_id)"""
+    SELECT query_id, portal, notice_id, NULL FROM {documents} JOIN asked ON starts_with(lower(notice_id), q) WHERE (query_id, portal, notice_id) NOT IN (SELECT query_id, portal, notice_id FROM matched)) m
+  JOIN asked USING (query_id) JOIN documents_n n ON n.portal = m.portal AND n.notice_id = m.notice_id),
+rest AS (SELECT * FROM asked WHERE query_id NOT IN (SELECT query_id FROM found) AND q <> ''),
+tg AS (SELECT title, {GRAMS_SQL.format(WORDS_SQL.format('title'))} AS g FROM (SELECT DISTINCT title FROM {documents})), qg AS (SELECT query_id, q, {GRAMS_SQL.format(WORDS_SQL.format('q'))} AS g FROM rest),
+near AS (SELECT query_id, q, title, len(list_intersect(tg.g, qg.g)) AS c, len(tg.g) AS n, len(qg.g) AS m FROM tg, qg),
+tiers AS (SELECT query_id, portal, notice_id, 'text' AS tier, CAST(round(score, 3) AS DOUBLE) AS score FROM found
+  UNION ALL SELECT query_id, d.portal, d.notice_id, 'fuzzy', CAST(round((CASE WHEN lower(near.title) = q THEN 500 ELSE 0 END) + round(10 * c / (n + m - c), 6), 3) AS DOUBLE) FROM near JOIN {documents} d ON d.title = near.title WHERE c / (n + m - c) > 0.2)"""
+
+
+GRAMS_SQL = """list_distinct(flatten(list_transform({}, lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
+INDEX_SQL = index_sql()
 
 
 @query(f"WITH {INDEX_SQL} SELECT query_id, portal, notice_id, CAST(round(score, 3) AS DOUBLE) AS score FROM found")
@@ -203,15 +224,16 @@ def ranked_page(spark, d):
     return search.ranked_page(found, page=2, limit=5).select("query_id", "portal", "notice_id", "rank", "total_count", "pages")
 
 
-@query(rf"""WITH {ASKED_SQL}, every AS (SELECT query_id, q, 0 AS alternative, q AS text FROM asked),
-    w AS (SELECT query_id, alternative, unnest({WORDS_SQL.format('text')}) AS word FROM every)
-    SELECT DISTINCT query_id, alternative, {STEM_SQL.format('word')} AS token FROM w""")
-def alias_terms(spark, d):
-    """Terms of each alternative of a query; acronyms have a second one."""
-    return search.alternatives(asked(spark, d)).select("query_id", "alternative", "token")
+ACRONYMS_SQL = "names AS (SELECT unnest([" + ", ".join(f"{{'k': '{k}', 'v': '{v[0]}', 'i': {i}}}" for i, (k, v) in enumerate(text.ALIASES.items())) + "], recursive := true))"
 
 
-GRAMS_SQL = """list_distinct(flatten(list_transform({}, lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
+@query(rf"""WITH {ASKED_SQL}, {ACRONYMS_SQL}, every AS (SELECT query_id, 0 AS alternative, q AS text FROM asked UNION ALL SELECT -1 - n_nationkey, 0, k FROM nation JOIN names ON n_nationkey % 8 = i UNION ALL SELECT -1 - n_nationkey, 1, v FROM nation JOIN names ON n_nationkey % 8 = i)
+    SELECT DISTINCT query_id, alternative, token FROM {stems_sql(f"SELECT query_id, alternative, unnest({WORDS_SQL.format('text')}) AS word FROM every")}""")
+def alias_terms(spark, d):
+    """Terms of each alternative of a query; acronyms, one for each nation, have a second one."""
+    names = F.array(*map(F.lit, text.ALIASES))
+    acronyms = table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("query_id"), F.element_at(names, (F.col("n_nationkey") % 8 + 1).cast("int")).alias("q"))
+    return search.alternatives(asked(spark, d).unionByName(acronyms)).select("query_id", "alternative", "token")
 
 
 @query(f"SELECT p_partkey, array_to_string(list_sort({GRAMS_SQL.format(WORDS_SQL.format('p_name'))}), '|') AS grams FROM part")
@@ -225,7 +247,7 @@ pairs AS (SELECT query_id, title, len(list_intersect(a.g, b.g)) AS c, len(a.g) A
 
 
 @query(f"""WITH {SIMILAR_SQL} SELECT query_id, p_partkey AS notice_id, CAST(round(c / (n + m - c), 6) AS DOUBLE) AS similarity FROM pairs JOIN part ON p_name = title WHERE c / (n + m - c) > 0.2""")
-def fuzzy_search(spark, d):
+def similar_titles(spark, d):
     """Every distinct part name as a query against all part names."""
     part = table(spark, d, "part")
     notices = part.select(F.col("p_brand").alias("portal"), F.col("p_partkey").alias("notice_id"), F.col("p_name").alias("title"))
@@ -233,15 +255,16 @@ def fuzzy_search(spark, d):
     return search.similar_titles(notices, queries).select("query_id", "notice_id", F.round("similarity", 6).alias("similarity"))
 
 
-TIER_SQL = f"""WITH {INDEX_SQL},
-rest AS (SELECT * FROM asked WHERE query_id NOT IN (SELECT query_id FROM found) AND q <> ''),
-tg AS (SELECT title, {GRAMS_SQL.format(WORDS_SQL.format('title'))} AS g FROM (SELECT DISTINCT title FROM documents_n)), qg AS (SELECT query_id, q, {GRAMS_SQL.format(WORDS_SQL.format('q'))} AS g FROM rest),
-near AS (SELECT query_id, q, title, len(list_intersect(tg.g, qg.g)) AS c, len(tg.g) AS n, len(qg.g) AS m FROM tg, qg)
-SELECT query_id, portal, notice_id, 'text' AS tier, CAST(round(score, 3) AS DOUBLE) AS score FROM found
-UNION ALL SELECT query_id, portal, notice_id, 'fuzzy', CAST(round((CASE WHEN lower(near.title) = q THEN 500 ELSE 0 END) + round(10 * c / (n + m - c), 6), 3) AS DOUBLE) FROM near JOIN documents_n ON documents_n.title = near.title WHERE c / (n + m - c) > 0.2"""
+@query(f"""WITH {INDEX_SQL}, qa AS (SELECT query_id, q, {GRAMS_SQL.format(WORDS_SQL.format('q'))} AS g FROM asked WHERE q <> ''),
+    close AS (SELECT query_id, q, title, len(list_intersect(tg.g, qa.g)) AS c, len(tg.g) AS n, len(qa.g) AS m FROM tg, qa),
+    sims AS (SELECT query_id, portal, notice_id, CASE WHEN lower(d.title) = q THEN 500 ELSE 0 END AS tier, round(10 * c / (n + m - c), 6) AS part FROM close JOIN documents_n d USING (title) WHERE c / (n + m - c) > 0.2)
+    SELECT coalesce(f.query_id, s.query_id) AS query_id, coalesce(f.portal, s.portal) AS portal, coalesce(f.notice_id, s.notice_id) AS notice_id, CAST(round(coalesce(score, tier) + coalesce(part, 0), 3) AS DOUBLE) AS score
+    FROM found f FULL JOIN sims s ON f.query_id = s.query_id AND f.portal = s.portal AND f.notice_id = s.notice_id""")
+def fuzzy_search(spark, d):
+    return search.fuzzy_search(views.documents(spark, d), asked(spark, d)).select("query_id", "portal", "notice_id", F.round("score", 3).alias("score"))
 
 
-@query(TIER_SQL)
+@query(f"WITH {INDEX_SQL} SELECT query_id, portal, notice_id, tier, score FROM tiers")
 def tiered_search(spark, d):
     return search.tiered_search(views.documents(spark, d), asked(spark, d)).select("query_id", "portal", "notice_id", "tier", F.round("score", 3).alias("score"))
 
@@ -253,7 +276,46 @@ def tiered_search(spark, d):
 def query_modes(spark, d):
     rows = table(spark, d, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("q")).union(table(spark, d, "benchmark").select(-1 - F.col("item_id"), "text"))
     rows = rows.withColumn("normal", text.normalize_query(F.col("q")))
-    return rows.select("query_id", "normal", search.query_mode(F.col("q"), F.col("normal"), F.lit(True)).alias("mode"))
+    return rows.select("query_id", "normal", search.query_mode(F.col("q"), F.col("normal"), F.array("q"), F.lit(True)).alias("mode"))
+
+
+PAGED_SQL = "count(*) OVER (PARTITION BY query_id) AS total_count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, published DESC NULLS LAST, portal, notice_id) AS INTEGER) AS rank"
+
+
+@query(O_SQL + f""", met AS (SELECT n_nationkey AS query_id, portal, notice_id, 0.0 AS score, closing AS published FROM orders_n JOIN nation ON portal = n_name WHERE {OPEN_SQL} AND status = 'O' AND closing <= TIMESTAMP '1999-07-01' + to_days(CAST(n_nationkey AS INTEGER))
+      UNION ALL SELECT -1, portal, notice_id, 0.0, closing FROM orders_n WHERE {OPEN_SQL})
+    SELECT query_id, portal, notice_id, rank, total_count, mode FROM (SELECT *, {PAGED_SQL}, 'browse' AS mode FROM met) WHERE rank <= 20""")
+def search_browse(spark, d):
+    """A browse query for each nation with conditions of its own, and one without any."""
+    to = F.lit("1999-07-01").cast("timestamp") + F.make_dt_interval(F.col("n_nationkey"))
+    queries = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("query_id"), F.lit("").alias("q"), F.array("n_name").alias("portals"), F.lit("O").alias("status"), to.alias("closing_to"))
+    every = queries.limit(1).select(F.lit(-1).alias("query_id"), F.lit(" ").alias("q"))
+    found = search.search(views.orders(spark, d).withColumn("published", F.col("closing")), queries.unionByName(every, allowMissingColumns=True), as_of())
+    return found.select("query_id", "portal", "notice_id", "rank", "total_count", "mode")
+
+
+@query(O_SQL + f""", asked AS (SELECT DISTINCT o_orderpriority AS query_id, lower(o_orderpriority) || ' customer' AS q FROM orders),
+    met AS (SELECT query_id, portal, notice_id, 6000.0 AS score, closing AS published FROM orders_n JOIN asked ON contains(lower(title), q) WHERE {OPEN_SQL} AND status = 'O')
+    SELECT query_id, portal, notice_id, rank, total_count, mode FROM (SELECT *, {PAGED_SQL}, 'structured_reference' AS mode FROM met) WHERE rank <= 20""")
+def search_keywords(spark, d):
+    """Keywords that together have the shape of a reference."""
+    queries = table(spark, d, "orders").select(F.col("o_orderpriority").alias("query_id")).distinct().select("query_id", F.lit(None).cast("string").alias("q"), F.array("query_id", F.lit("Customer")).alias("keywords"), F.lit("O").alias("status"))
+    found = search.search(views.orders(spark, d).withColumn("published", F.col("closing")), queries, as_of())
+    return found.select("query_id", "portal", "notice_id", "rank", "total_count", "mode")
+
+
+CHOSEN_SQL = "chosen AS (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 2)"
+
+
+@query(f"""WITH {CHOSEN_SQL}, {index_sql("(SELECT * FROM documents_n WHERE portal IN (SELECT source FROM chosen))")},
+    met AS (SELECT t.query_id, t.portal, t.notice_id, tier AS mode, score, published FROM tiers t JOIN documents_n n ON n.portal = t.portal AND n.notice_id = t.notice_id)
+    SELECT query_id, portal, notice_id, total_count, mode FROM (SELECT *, {PAGED_SQL} FROM met) WHERE rank <= 100""")
+def search_text(spark, d):
+    """Text queries that are narrowed to two portals each."""
+    portals = [r[0] for r in table(spark, d, "documents").select("source").distinct().orderBy("source").limit(2).collect()]
+    queries = asked(spark, d).withColumn("portals", F.array(*map(F.lit, portals)))
+    found = search.search(views.documents(spark, d), queries, as_of(), limit=100)
+    return found.select("query_id", "portal", "notice_id", "total_count", "mode")
 
 
 # Labels and reports
@@ -388,6 +450,40 @@ def table_counts(spark, d):
     return store.union_sources([table(spark, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in TABLES])
 
 
+# Backfills and totals
+
+
+@query(f"WITH {LABELLED_SQL} SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'kept' ELSE {LABEL_SQL} END AS relevance FROM labelled")
+def relevance_backfill(spark, d):
+    old = _labelled(spark, d).withColumn("relevance", F.when(F.col("p_partkey") % 3 == 0, "kept"))
+    return lifecycle.backfill_relevance(old).select("p_partkey", "relevance")
+
+
+@query(f"""WITH {LABELLED_SQL} SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'kept' WHEN regexp_matches(concat_ws(' ', title, category), '(?i)({text.LEGACY_COMPONENTS})') THEN 'irrelevant' WHEN regexp_matches(concat_ws(' ', organisation, department), '(?i)({text.LEGACY_DEFENCE})') THEN 'relevant'
+    WHEN regexp_matches(concat_ws(' ', organisation, department), '(?i)({text.CIVIL_WORDS})') THEN 'irrelevant' ELSE 'unclassified' END AS relevance FROM labelled""")
+def legacy_relevance_backfill(spark, d):
+    old = _labelled(spark, d).withColumn("relevance", F.when(F.col("p_partkey") % 3 == 0, "kept"))
+    return lifecycle.backfill_relevance(old, legacy=True).select("p_partkey", "relevance")
+
+
+@query(R_SQL + """, s AS (SELECT portal, arg_max(stated_total, (started, run_id)) FILTER (stated_total IS NOT NULL) AS stated_total FROM runs GROUP BY ALL HAVING count(stated_total) > 0)
+    SELECT CAST(coalesce(sum(stated_total), 0) AS BIGINT) AS total_reported, count(*) AS portals_reporting, CAST(coalesce(sum(stated_total) FILTER (portal = 'click'), 0) AS BIGINT) AS named_total FROM s""")
+def stated_summary(spark, d):
+    return reports.stated_summary(reports.stated_totals(views.runs(spark, d)), "click")
+
+
+@query(R_SQL + f""", m AS (SELECT run_id, CAST(floor((epoch_us(TIMESTAMP '{RUN_AS_OF}') - epoch_us(started)) / 60000000) AS BIGINT) AS n FROM runs)
+    SELECT run_id, CASE WHEN n < 1 THEN 'just now' WHEN n < 60 THEN n || 'm ago' WHEN n < 1440 THEN (n // 60) || 'h ago' ELSE (n // 1440) || 'd ago' END AS age FROM m""")
+def run_ages(spark, d):
+    return views.runs(spark, d).select("run_id", reports.age(F.col("started"), as_of(RUN_AS_OF)).alias("age"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment || ';' || c_name END AS keywords FROM customer""")
+def keyword_lists(spark, d):
+    listed = F.array(F.concat(F.lit(" "), "c_mktsegment"), F.concat("c_name", F.lit(" ")), F.when(F.col("c_acctbal") < 0, " ").otherwise(F.col("c_name")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.slice(text.keyword_list(listed), 1, 2), ";").alias("keywords"))
+
+
 # Alerts
 
 NAMED_SQL = """named AS (SELECT p_brand AS portal, CAST(p_partkey AS VARCHAR) AS notice_id, p_name AS title, p_partkey AS published FROM part),
@@ -441,6 +537,11 @@ def alert_unsent(spark, d):
     return _fresh(spark, d)
 
 
+@query(MATCH_SQL + "SELECT count(DISTINCT user_id) AS users_notified, count(*) AS notices_sent FROM users WHERE (user_id, portal, notice_id) NOT IN (SELECT user_id, portal, notice_id FROM sent)")
+def alert_totals(spark, d):
+    return alerts.cycle_totals(_fresh(spark, d))
+
+
 @query(MATCH_SQL + """, fresh AS (SELECT * FROM users WHERE (user_id, portal, notice_id) NOT IN (SELECT user_id, portal, notice_id FROM sent))
     SELECT user_id, CAST(count(*) AS INTEGER) AS n_notices, count(*) || ' new notice' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' matching your alerts' AS subject,
       string_agg('- [' || portal || '] ' || title || ' (closes unknown) - https://example.org/' || notice_id, chr(10) ORDER BY portal, notice_id) AS body, c_name AS address
@@ -601,6 +702,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_page(search.fulltext_search(notices, asked), 1, 20)
 
 
+from . import feeds  # noqa: E402, F401 (its queries register themselves)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -11,11 +11,16 @@ from ..functions.text import absolute_url, bracket_values, chain_parts, clean, d
 from .json_feeds import first_per_key, notices
 
 GENERAL = "Government eProcurement"
+# The headers, ids and classes of the listings' markup stand in the functions below.
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("html", html.decoded("html"))
 
 
 def listing(pages: DataFrame, portal: str) -> DataFrame:
     """Rows of listing tables: a linked title, a reference and at least one date (closing, then opening)."""
-    rows = pages.select("page_no", "base_url", F.posexplode(html.leaf_rows(F.col("html"))).alias("pos", "row"))
+    rows = _pages(pages).select("page_no", "base_url", F.posexplode(html.leaf_rows(F.col("html"))).alias("pos", "row"))
     rows = rows.withColumns({"link": F.try_element_at(html.links(F.col("row")), F.lit(1)), "texts": F.transform(html.cells(F.col("row")), html.text_of)})
     rows = rows.where((F.size("texts") >= 2) & (F.col("link.text") != ""))
     others = F.filter("texts", lambda x: x != F.col("link.text"))
@@ -29,9 +34,10 @@ def listing(pages: DataFrame, portal: str) -> DataFrame:
 
 
 def organisation_index(pages: DataFrame) -> DataFrame:
-    """(name, n, url) of the entries of an organisation index; entries without a positive count go."""
-    page = pages.where(F.col("html").contains("Organisation Name") & F.col("html").contains("Tender Count"))
-    rows = page.select("base_url", F.explode(html.leaf_rows(F.col("html"))).alias("row")).withColumn("cells", html.cells(F.col("row"))).where(F.size("cells") >= 3)
+    """(name, n, url) of the entries of an organisation index, the table with its two headers; entries without a positive count go."""
+    tables = _pages(pages).select("base_url", F.explode(html.tables(F.col("html"))).alias("table"))
+    tables = tables.where(F.col("table").contains("Organisation Name") & F.col("table").contains("Tender Count"))
+    rows = tables.select("base_url", F.explode(html.leaf_rows(F.col("table"))).alias("row")).withColumn("cells", html.cells(F.col("row"))).where(F.size("cells") >= 3)
     link = F.try_element_at(F.filter(html.links(F.get("cells", F.lit(2))), lambda x: x["href"].contains("DirectLink")), F.lit(1))
     out = rows.withColumn("link", link).select(
         html.text_of(F.get("cells", F.lit(1))).alias("name"), F.regexp_replace("link.text", "[^0-9]", "").try_cast("long").alias("n"), absolute_url(F.col("base_url"), F.col("link.href")).alias("url")
@@ -41,7 +47,7 @@ def organisation_index(pages: DataFrame) -> DataFrame:
 
 def organisation_notices(pages: DataFrame, portal: str) -> DataFrame:
     """Rows of class even or odd with published, closing and opening dates, a bracketed title cell and a chain cell."""
-    page = pages.where(F.col("html").contains("e-Published Date") & F.col("html").contains("Title and Ref.No./Tender ID"))
+    page = _pages(pages).where(F.col("html").contains("e-Published Date") & F.col("html").contains("Title and Ref.No./Tender ID"))
     rows = page.select("base_url", F.explode(html.leaf_rows(F.col("html"))).alias("row"))
     rows = rows.where(F.col("row").rlike(r"""(?is)^<tr\b[^>]*class\s*=\s*["'][^"']*\b(even|odd)\b""")).withColumn("c", html.cells(F.col("row"))).where(F.size("c") >= 6)
     cell = lambda i: html.text_of(F.get("c", F.lit(i)))
@@ -58,7 +64,7 @@ def organisation_notices(pages: DataFrame, portal: str) -> DataFrame:
 
 def block_listing(pages: DataFrame, portal: str, as_of) -> DataFrame:
     """Two block layouts: classed links with a full date, and three paragraphs with a date split over three headings."""
-    blocks = pages.select("page_no", "base_url", F.posexplode(F.split("html", r"""(?i)(?=<[a-z]+\b[^>]*class\s*=\s*["'][^"']*(?:\bsamer\b|\bupdate-nag\b|\bupdateNag\b))""")).alias("pos", "block"))
+    blocks = _pages(pages).select("page_no", "base_url", F.posexplode(F.split("html", r"""(?i)(?=<[a-z]+\b[^>]*class\s*=\s*["'][^"']*(?:\bsamer\b|\bupdate-nag\b|\bupdateNag\b))""")).alias("pos", "block"))
     classed = lambda name: html.text_of(F.regexp_extract("block", rf"""(?is)<(\w+)\b[^>]*class\s*=\s*["'][^"']*{name}[^"']*["'][^>]*>(.*?)</\1>""", 2))
     one = blocks.where(F.col("block").rlike(r"""(?i)^<[a-z]+\b[^>]*class\s*=\s*["'][^"']*\bsamer\b"""))
     one = one.select("page_no", "base_url", "pos", F.coalesce(filled(classed("coli-tno")), filled(classed("coli-id"))).alias("number"), division_split(classed("tDesc")).alias("work"), dates.slash_half_day(classed("coli-date")).alias("closing"))
@@ -80,8 +86,9 @@ def forward_fill(df: DataFrame, group: list[str], order: str, value: str, out: s
 
 
 def closing_report(pages: DataFrame, portal: str) -> DataFrame:
-    """A report whose heading rows set organisation and department of the rows below them."""
-    rows = pages.select("page_no", "base_url", F.posexplode(html.leaf_rows(F.col("html"))).alias("pos", "row"))
+    """The report table of a page, whose heading rows set organisation and department of the rows below them."""
+    table = F.try_element_at(F.filter(html.tables(F.col("html")), lambda t: t.rlike(r"""(?i)^<table\b[^>]*\bid\s*=\s*["']?mytable\b""")), F.lit(1))
+    rows = _pages(pages).select("page_no", "base_url", F.posexplode(html.leaf_rows(table)).alias("pos", "row"))
     rows = rows.withColumn("texts", F.transform(html.cells(F.col("row")), html.text_of))
     heading = F.when((F.size("texts") == 1) & F.col("row").contains("table_heading_row"), organisation_of(chain_parts(F.get("texts", F.lit(0)), "-"), True))
     rows = forward_fill(rows.withColumn("heading", heading), ["page_no"], "pos", "heading", "org").where(F.size("texts") >= 4)
@@ -101,6 +108,7 @@ def calendar_counts(pages: DataFrame) -> DataFrame:
 
 def visible_rows(rows: DataFrame, portal: str, base_url: str, strict: bool = False) -> DataFrame:
     """Free-form rows (cells array, links array) by heuristics; ``strict`` portals need four cells and a digit in the id."""
+    # The words of other rows, the shapes of ids and dates, and the words of bodies.
     found = rows.withColumn("cells", F.filter(F.transform("cells", clean), lambda x: x != "")).withColumn("text", F.array_join("cells", " | "))
     n = F.size("cells")
     found = found.where((n >= (4 if strict else 2)) & ~(F.col("text").rlike("(?i)tender id|tender no|closing date|published date") & (n < 4)) & ~F.col("text").rlike("(?i)no results found"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates
-from ..functions.text import clean, document_link, filled
+from ..functions.text import clean, content_hash, document_link, filled, relevance
 
-NOTICE = "portal string, notice_id string, title string, organisation string, department string, category string, description string, value decimal(18,2), published timestamp, closing timestamp, opening timestamp, url string, status string"
+NOTICE = "portal string, notice_id string, title string, organisation string, department string, category string, description string, value decimal(18,2), published timestamp, closing timestamp, opening timestamp, url string, status string, state string, document_url string"
 
 ARRAY_FEED = "id string, b_id array<long>, b_bid_number array<string>, b_category_name array<string>, bd_category_name array<string>, b_total_quantity array<string>, b_total_value array<string>, b_bid_type array<int>, b_eval_type array<int>, is_rc_bid array<int>, ba_is_global_tendering array<int>, ba_official_details_minName array<string>, ba_official_details_deptName array<string>, ba_official_details_orgName array<string>, final_start_date_sort array<string>, final_end_date_sort array<string>"
 EPOCH_FEED = "currenttenderid long, currentOrgTenderId long, currenttenderrefno string, currentdescription string, currentdeptid long, currentorgid long, currentTenderPublishDate long, currentbidEndDate long, currentbidOpenDate long"
@@ -29,6 +29,12 @@ def notices(df: DataFrame, **columns: Column) -> DataFrame:
     return given.where(filled(F.col("notice_id")).isNotNull() & filled(F.col("title")).isNotNull())
 
 
+def normalised(rows: DataFrame, hashed: list[str]) -> DataFrame:
+    """Rows of ``notices`` as they are stored: with the relevance label, and a content hash over ``hashed`` that may take it in."""
+    labelled = rows.withColumn("relevance", relevance(*map(F.col, ("title", "category", "organisation", "department"))))
+    return labelled.withColumn("content_hash", content_hash({c: F.col(c) for c in hashed}))
+
+
 def rejects(df: DataFrame, notice_id: Column, title: Column) -> DataFrame:
     """The rows that ``notices`` drops."""
     return df.where(filled(notice_id).isNull() | filled(title).isNull())

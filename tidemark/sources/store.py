@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.text import slug
-from ..operators.lifecycle import insert_missing
+from ..functions.text import KNOWN_PORTALS, slug
+from ..operators.lifecycle import insert_missing, orphans
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder ``spark.checkpoint.dir``, without its lineage.
+
+    Only in local mode, where that setting may be missing, a temporary folder is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
 
 
 def scan(spark: SparkSession, path: str, condition: Column | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -39,22 +56,80 @@ def legacy_import(current: DataFrame, legacy: DataFrame, portal_name: str, known
     return insert_missing(current, legacy.withColumn("portal", slug(F.col(portal_name), known)).select(current.columns), keys)
 
 
-def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes tables into a new version folder and then publishes it: readers see all of them change at once.
+POINTER = "number long, tables array<struct<name:string,schema:string,keys:array<string>,n_buckets:int,parts:array<struct<folder:string,buckets:array<int>>>>>"
+
+
+def current(spark: SparkSession, root: str) -> Row | None:
+    """The published pointer with the greatest number, None before the first one."""
+    try:
+        return spark.read.schema(POINTER).json(f"{root}/pointers/*").orderBy(F.desc("number")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _publish(spark: SparkSession, root: str, entries: list[dict]) -> int:
+    """Readers see all tables change at once: a pointer is a new folder, and the one before stays until then and after."""
+    before = current(spark, root)
+    number = (before["number"] if before else 0) + 1
+    named = {e["name"]: e for e in ([t.asDict(True) for t in before["tables"]] if before else [])} | {e["name"]: e for e in entries}
+    row = spark.createDataFrame([(number, list(named.values()))], POINTER)
+    row.coalesce(1).write.json(f"{root}/pointers/{number:012d}")  # an error if another writer was first
+    return number
 
-    The pointer is one small file that replaces the one before; a version that was not published is never read.
-    """
-    version = f"v-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
-    pointer.write.mode("overwrite").json(f"{root}/CURRENT")
-    return version
 
+def bucket_of(keys: list[str], n: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
-def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/CURRENT").first()["version"]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+
+def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame], buckets: dict[str, tuple[list[str], int]] | None = None) -> int:
+    """Writes tables into a new folder, then publishes them; other tables stay as they are. Returns the version's number.
+
+    ``buckets`` names the tables that are dealt into so many buckets by their keys, which ``update_buckets`` can replace one by one.
+    """
+    entries = []
+    for name, df in tables.items():
+        folder = f"{root}/v-{uuid.uuid4().hex}/{name}"
+        keys, n = (buckets or {}).get(name, (None, None))
+        if keys:
+            df.withColumn("bucket", bucket_of(keys, n)).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        else:
+            df.write.parquet(folder)
+        parts = [{"folder": folder, "buckets": list(range(n)) if keys else None}]
+        entries.append({"name": name, "schema": df.schema.json(), "keys": keys, "n_buckets": n, "parts": parts})
+    return _publish(spark, root, entries)
+
+
+def _entry(spark: SparkSession, root: str, name: str) -> dict:
+    pointer = current(spark, root)
+    found = [t for t in (pointer["tables"] if pointer else []) if t["name"] == name]
+    if not found:
+        raise ValueError(f"{root} has no published table {name}")
+    return found[0].asDict(True)
+
+
+def update_buckets(spark: SparkSession, root: str, name: str, df: DataFrame, touched: list[int]) -> int:
+    """Replaces the ``touched`` buckets of a bucketed table by ``df``, their new rows, and publishes; other files stay."""
+    entry, folder = _entry(spark, root, name), f"{root}/v-{uuid.uuid4().hex}/{name}"
+    df.withColumn("bucket", bucket_of(entry["keys"], entry["n_buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    kept = [{"folder": p["folder"], "buckets": [b for b in p["buckets"] if b not in set(touched)]} for p in entry["parts"]]
+    return _publish(spark, root, [entry | {"parts": [p for p in kept if p["buckets"]] + [{"folder": folder, "buckets": sorted(touched)}]}])
+
+
+def read_version(spark: SparkSession, root: str, name: str, buckets: list[int] | None = None) -> DataFrame:
+    """A published table, or the named buckets of it."""
+    entry = _entry(spark, root, name)
+    schema, found = StructType.fromJson(json.loads(entry["schema"])), []
+    for part in entry["parts"]:
+        if part["buckets"] is None:
+            found.append(spark.read.schema(schema).parquet(part["folder"]))
+            continue
+        own = part["buckets"] if buckets is None else sorted(set(part["buckets"]) & set(buckets))
+        if own:
+            whole = spark.read.schema(StructType(schema.fields + [StructField("bucket", IntegerType())])).parquet(part["folder"])
+            found.append(whole.where(F.col("bucket").isin(own)).drop("bucket"))
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 
 def export_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
@@ -72,9 +147,6 @@ def export_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, int]
 
 def restore_snapshot(spark: SparkSession, folder: str, names: list[str], confirm: bool = False) -> dict[str, DataFrame]:
     """Tables of an export, read by their own schemas; missing ones are skipped. Needs ``confirm``."""
-    from pyspark.errors import AnalysisException
-    from pyspark.sql.types import StructType
-
     if not confirm:
         raise ValueError("restoring replaces all tables: pass confirm=True")
     out = {}
@@ -86,3 +158,22 @@ def restore_snapshot(spark: SparkSession, folder: str, names: list[str], confirm
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     return out
+
+
+def publish_snapshot(spark: SparkSession, folder: str, root: str, names: list[str], references: list[tuple[str, str, str, str]], confirm: bool = False) -> dict[str, int]:
+    """Restores the tables of an export and publishes them as one version; returns the rows of each.
+
+    ``references`` are (child, its key, parent, its key). A child without its parent is an error, and nothing is published then.
+    """
+    tables = restore_snapshot(spark, folder, names, confirm)
+    for child, child_key, parent, parent_key in references:
+        if child in tables and parent in tables and not orphans(tables[child], tables[parent], child_key, parent_key).isEmpty():
+            raise ValueError(f"{child} has rows whose {parent} is missing")
+    write_version(spark, root, tables)
+    return {name: df.count() for name, df in tables.items()}
+
+
+def registry(spark: SparkSession, disabled: tuple[str, ...] = ("ireps",)) -> DataFrame:
+    """(key, name, enabled) of the known portals."""
+    rows = [(key, name, key not in disabled) for name, key in KNOWN_PORTALS.items()]
+    return spark.createDataFrame(rows, "key string, name string, enabled boolean")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lifecycle import merge_snapshot
-from ..sources.store import read_version, write_version
+from ..operators.lifecycle import KEYS, merge_counters, merge_snapshot, run_status, split_valid
+from ..sources.store import bucket_of, current, read_version, update_buckets, write_version
+
+BUCKETS = 64
 
 
 def start_ingest(
@@ -21,27 +23,38 @@ def start_ingest(
     as_of: Callable[[int], str],
     alerts: Callable[[DataFrame, int], None] | None = None,
     on_counters: Callable[[int, dict], None] | None = None,
+    on_rejects: Callable[[int, DataFrame], None] | None = None,
     max_files: int = 1000,
 ) -> StreamingQuery:
     """Merges new Parquet files of ``source`` into the versioned store at ``root`` (tables notices and tombstones).
 
-    ``as_of(batch)`` is the reference time of a batch. A replayed batch changes nothing but last-seen columns, since the merge
-    compares hashes; alerts run after each incremental batch and must consult the sent log, which makes them
-    safe to repeat. Counters are one more aggregate over the new rows alone. Ids that were suppressed or expired never
+    ``as_of(batch)`` is the reference time of a batch. Rows act in the order of their ``ordinal``, if the schema has one, else of
+    their file's time and name and their place in it, so a replayed batch merges as before and changes nothing but last-seen columns. Rows
+    without a key or title are rejected and do not stop the others. Only buckets with rows of the batch are read and written again. Alerts
+    run after each batch and must consult the sent log, which makes them safe to repeat. Ids that were suppressed or expired never
     come back: tombstones are a stored table, not stream state with a time limit.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    if "ordinal" not in stream.columns:
+        stream = stream.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.row_index").alias("ordinal"))
+    if not any(t["name"] == "notices" and t["n_buckets"] for t in current(spark, root)["tables"]):
+        write_version(spark, root, {"notices": read_version(spark, root, "notices")}, {"notices": (KEYS, BUCKETS)})
 
     def each(batch: DataFrame, number: int) -> None:
-        stored, gone = read_version(spark, root, "notices"), read_version(spark, root, "tombstones")
-        now = F.lit(as_of(number)).cast("timestamp")
-        rows = batch.withColumn("ordinal", F.monotonically_increasing_id())
-        snapshot, _ = merge_snapshot(rows, stored, gone, now, f"batch-{number}")
-        write_version(spark, root, {"notices": snapshot, "tombstones": gone})
+        good, bad = split_valid(batch)
+        gone, now, run = read_version(spark, root, "tombstones"), F.lit(as_of(number)).cast("timestamp"), f"batch-{number}"
+        touched = [r[0] for r in good.select(bucket_of(KEYS, BUCKETS)).distinct().collect()]
+        stored = read_version(spark, root, "notices", touched)
+        snapshot, actions = merge_snapshot(good, stored, gone, now, run)
+        if touched:
+            update_buckets(spark, root, "notices", snapshot, touched)
         if on_counters:
-            counts = F.count(F.lit(1)).alias("rows"), F.coalesce(F.count_if(F.col("closing") < now), F.lit(0)).alias("closed_on_arrival")
-            on_counters(number, batch.agg(*counts).first().asDict())
+            counted = merge_counters(actions, bad.count()).withColumn("status", run_status(*map(F.col, ("inserted", "updated", "skipped", "failed"))))
+            closed = good.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.count_if(F.col("closing") < now), F.lit(0)).alias("closed_on_arrival"))
+            on_counters(number, counted.first().asDict() | closed.first().asDict())
+        if on_rejects:
+            on_rejects(number, bad)
         if alerts:
-            alerts(read_version(spark, root, "notices").where(F.col("last_seen_run") == f"batch-{number}"), number)
+            alerts(read_version(spark, root, "notices", touched).where(F.col("last_seen_run") == run), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
