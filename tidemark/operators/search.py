@@ -22,6 +22,8 @@ KEYS = ["portal", "notice_id"]
 NO_WORD = r"[^\p{L}\p{N}]+"
 #: Columns of a query table that narrow its results.
 CONDITIONS = ["portals", "portal", "status", "relevance", "closing_from", "closing_to"]
+#: Beginnings of wanted tokens that a text search tests words for.
+MOST_BEGINNINGS = 10_000
 #: Parts that the notices of a browse query over all portals are dealt into.
 SALTS = 16
 OUT = ["query_id", "portal", "notice_id", "title", "published", "score"]
@@ -167,19 +169,35 @@ def alternatives(queries: DataFrame) -> DataFrame:
 def fulltext_matches(notices: DataFrame, queries: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(query_id, keys, text_rank): notices with all tokens of an alternative; the best alternative's rank counts.
 
-    Only the distinct words of all notices are stemmed. Those that a query asks for meet the words of the notices in an
-    equi-join, before anything is counted; no notice is compared with a query that shares no token with it.
+    Words whose first letters no wanted token has are dropped as they are read. Only the distinct words of all notices are stemmed, and those that a
+    query asks for meet the words of the notices in an equi-join, before anything is counted; no notice is compared with a query that shares no token with it.
     """
-    asked = alternatives(queries)
+    asked = cut(alternatives(queries))
     need = asked.groupBy("query_id", "alternative").agg(F.count("*").alias("need"))
-    words = field_words(notices, keys)
-    wanted = stemmed(words.select("word").distinct()).join(asked.select("token").distinct(), "token", "left_semi")
+    words = field_words(notices, keys).where(may_become(asked))
+    wanted = cut(stemmed(words.select("word").distinct()).join(asked.select("token").distinct(), "token", "left_semi"))
     counted = words.join(wanted, "word").groupBy(*keys, "field", "weight", "token").agg(F.count("*").alias("tf"))
     hits = weighted(counted, keys).join(asked, "token").groupBy("query_id", "alternative", *keys).agg(F.count("*").alias("n"), F.sum("rank").alias("rank"))
     full = hits.join(need, ["query_id", "alternative"]).where("n = need")
     return full.groupBy("query_id", *keys).agg(F.max(F.col("rank") / F.col("need")).alias("text_rank"))
 
 
+def may_become(asked: DataFrame) -> Column:
+    """Whether the stem of ``word`` may be a wanted token, by its first letters: a stem keeps all but its last one from the word.
+
+    Beginnings of at most three letters are few; beyond ``MOST_BEGINNINGS`` of them every word may.
+    """
+    size = F.least(F.lit(3), F.greatest(F.lit(1), F.length("token") - 1))
+    found = [r[0] for r in asked.select(F.left("token", size)).distinct().limit(MOST_BEGINNINGS + 1).collect()]
+    if len(found) > MOST_BEGINNINGS:
+        return F.lit(True)
+    ok = F.lit(False)
+    for n in (1, 2, 3):
+        own = [x for x in found if len(x) == n]
+        ok = ok | F.left("word", F.lit(n)).isin(own) if own else ok
+    return ok
+
+
 def id_prefixes(notices: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, keys) of the notices whose id begins with the query: an equi-join on the beginnings of the lengths that queries have."""
     lengths = [r[0] for r in asked.select(F.length("q")).distinct().collect()]  # a few numbers
