@@ -154,3 +154,16 @@ def test_small_operators(spark):
     words = ["boots", "surveying", "surveyed", "surveys", "hopping", "hoped", "agreed", "ponies", "caresses", "ring", "red", "sky", "glass", "2days", "falling"]
     got = [r.token for r in search.stemmed(spark.createDataFrame([(w,) for w in words], "word string")).collect()]
     assert got == ["boot", "survei", "survei", "survei", "hop", "hope", "agree", "poni", "caress", "ring", "red", "sky", "glass", "2days", "fall"]
+
+
+def test_every_word_passes_for_its_own_stem(spark):
+    bases = ["hop", "hope", "stat", "agre", "pla", "pon", "mis", "fil", "siz", "go", "a", "tr", "conflat", "fail", "happ", "sk", "see", "feed", "bed", "y", "s", "tann", "fizz"]
+    ends = ["", "s", "es", "ies", "sses", "ed", "eds", "ing", "ings", "eed", "eeds", "y", "ys", "ying", "yings", "ied", "ping", "pings", "ped", "e", "ee", "ss", "bling", "ated", "izing"]
+    words = search.stemmed(spark.createDataFrame([(b + e,) for b in bases for e in ends], "word string").distinct())
+    fits = lambda b: F.startswith("word", b) & (F.length("word") - F.length(b) <= search.MOST_ENDING)
+    same = lambda b: F.col("word") == b
+    ok = F.exists(search.beginnings(F.col("token")), lambda b: same(b) | (F.right("word", F.lit(1)).isin("s", "d", "g") & fits(b)))
+    assert words.where(~ok).count() == 0
+    asked = spark.createDataFrame([("hope",), ("poni",)], "token string")
+    kept = {r[0] for r in words.where(search.may_become(asked)).select("word").collect()}
+    assert {"hope", "hopes", "pony", "ponies"} <= kept and "hop" not in kept

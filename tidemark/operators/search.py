@@ -24,6 +24,8 @@ NO_WORD = r"[^\p{L}\p{N}]+"
 CONDITIONS = ["portals", "portal", "status", "relevance", "closing_from", "closing_to"]
 #: Beginnings of wanted tokens that a text search tests words for.
 MOST_BEGINNINGS = 10_000
+#: Letters that a word may have beyond its beginning (see ``beginnings``): a doubled consonant, -ing and a plural s.
+MOST_ENDING = 5
 #: Parts that the notices of a browse query over all portals are dealt into.
 SALTS = 16
 OUT = ["query_id", "portal", "notice_id", "title", "published", "score"]
@@ -169,33 +171,36 @@ def alternatives(queries: DataFrame) -> DataFrame:
 def fulltext_matches(notices: DataFrame, queries: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(query_id, keys, text_rank): notices with all tokens of an alternative; the best alternative's rank counts.
 
-    Words whose first letters no wanted token has are dropped as they are read. Only the distinct words of all notices are stemmed, and those that a
-    query asks for meet the words of the notices in an equi-join, before anything is counted; no notice is compared with a query that shares no token with it.
+    The texts are read once: words that cannot have a wanted stem are dropped as they are read, and the others are counted and kept.
+    Only the distinct ones are stemmed, and those that a query asks for meet the counts in an equi-join; no notice is compared with a query
+    that shares no token with it.
     """
     asked = cut(alternatives(queries))
     need = asked.groupBy("query_id", "alternative").agg(F.count("*").alias("need"))
-    words = field_words(notices, keys).where(may_become(asked))
-    wanted = cut(stemmed(words.select("word").distinct()).join(asked.select("token").distinct(), "token", "left_semi"))
-    counted = words.join(wanted, "word").groupBy(*keys, "field", "weight", "token").agg(F.count("*").alias("tf"))
-    hits = weighted(counted, keys).join(asked, "token").groupBy("query_id", "alternative", *keys).agg(F.count("*").alias("n"), F.sum("rank").alias("rank"))
+    words = cut(field_words(notices, keys).where(may_become(asked)).groupBy(*keys, "field", "weight", "word").agg(F.count("*").alias("tf")))
+    wanted = stemmed(words.select("word").distinct()).join(asked.select("token").distinct(), "token", "left_semi")
+    hits = weighted(words.join(wanted, "word"), keys).join(asked, "token").groupBy("query_id", "alternative", *keys).agg(F.count("*").alias("n"), F.sum("rank").alias("rank"))
     full = hits.join(need, ["query_id", "alternative"]).where("n = need")
     return full.groupBy("query_id", *keys).agg(F.max(F.col("rank") / F.col("need")).alias("text_rank"))
 
 
+def beginnings(token: Column) -> Column:
+    """How a word with this stem may begin: as the stem does, with the y that became its i, or with -ing in place of an e that the stem got."""
+    less = F.left(token, F.length(token) - 1)
+    return F.array_compact(F.array(token, F.when(token.endswith("i"), F.concat(less, F.lit("y"))), F.when(token.endswith("e"), F.concat(less, F.lit("ing")))))
+
+
 def may_become(asked: DataFrame) -> Column:
-    """Whether the stem of ``word`` may be a wanted token, by its first letters: a stem keeps all but its last one from the word.
+    """Whether the stem of ``word`` may be a wanted token: the word is a beginning of one, or has at most ``MOST_ENDING`` letters more
+    and an end that a stem loses (-s, -ed, -ing).
 
-    Beginnings of at most three letters are few; beyond ``MOST_BEGINNINGS`` of them every word may.
+    Beyond ``MOST_BEGINNINGS`` beginnings every word may.
     """
-    size = F.least(F.lit(3), F.greatest(F.lit(1), F.length("token") - 1))
-    found = [r[0] for r in asked.select(F.left("token", size)).distinct().limit(MOST_BEGINNINGS + 1).collect()]
+    found = [r[0] for r in asked.select(F.explode(beginnings(F.col("token"))).alias("b")).distinct().limit(MOST_BEGINNINGS + 1).collect()]
     if len(found) > MOST_BEGINNINGS:
         return F.lit(True)
-    ok = F.lit(False)
-    for n in (1, 2, 3):
-        own = [x for x in found if len(x) == n]
-        ok = ok | F.left("word", F.lit(n)).isin(own) if own else ok
-    return ok
+    longer = reduce(Column.__or__, [F.left("word", F.length("word") - n).isin(found) for n in range(1, MOST_ENDING + 1)])
+    return F.col("word").isin(found) | (F.right("word", F.lit(1)).isin("s", "d", "g") & longer)
 
 
 def id_prefixes(notices: DataFrame, asked: DataFrame) -> DataFrame:
@@ -226,19 +231,20 @@ def tier_score() -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words of a text, each padded with two blanks before and one after."""
-    grams = F.transform(words_of(text), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    padded = F.transform(F.array_distinct(words_of(text)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
 def similar_titles(notices: DataFrame, queries: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(query_id, portal, notice_id, similarity) above ``least``: common trigrams over all of both.
 
     Equal titles are compared once. A query can only reach ``least`` with titles whose number of trigrams is in a range around its own,
-    which the join checks before anything is counted.
+    which the join checks before anything is counted; titles beyond the ranges of all queries do not reach the join.
     """
     titles = notices.select("title").distinct().withColumn("grams", trigrams(F.col("title"))).withColumn("n", F.size("grams"))
     asked = queries.select("query_id", trigrams(F.col("q")).alias("grams")).withColumn("m", F.size("grams"))
-    left = titles.select("title", "n", F.explode("grams").alias("gram"))
+    most = asked.agg(F.max("m")).first()[0] or 0
+    left = titles.where(F.col("n") * least < most).select("title", "n", F.explode("grams").alias("gram"))
     right = asked.select("query_id", "m", F.explode("grams").alias("gram"))
     near = (F.col("n") > F.col("m") * least) & (F.col("m") > F.col("n") * least)
     common = left.join(right, "gram").where(near).groupBy("query_id", "title", "n", "m").agg(F.count("*").alias("c"))
