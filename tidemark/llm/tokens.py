@@ -145,16 +145,18 @@ class Encoder:
     """``kind`` is byte for byte-level vocabularies, word for the one with word ends.
 
     Special tokens have to stand for their plain strings: none that strips white space, wants whole words or is normalised.
+    With ``plain`` their strings in a text are text like any other.
     """
 
-    def __init__(self, path: str, kind: str, end_id: int):
+    def __init__(self, path: str, kind: str, end_id: int, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = self.tokenizer.get_added_tokens_decoder()
+        self.tokenizer.encode_special_tokens = plain
+        added = {} if plain else self.tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
             raise ValueError("special tokens of other kinds than plain strings")
         self.fixed = {t.content.encode(): i for i, t in added.items()} | {BETWEEN: end_id}
