@@ -79,5 +79,5 @@ def test_edges(spark):
 def test_bound_of_a_sketch():
     rng = random.Random(5)
     t = least_shared(0.8)
-    assert t == 35 and least_shared(1.0) == SKETCH
+    assert t == 35 and least_shared(1.0) == SKETCH and least_shared(0.8, 1024) < 819
     assert all(sum(rng.random() < 0.8 for _ in range(SKETCH)) >= t for _ in range(3000))

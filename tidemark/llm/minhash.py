@@ -1,11 +1,15 @@
 """Near copies by bottom-k sketches of one hash function.
 
-A text's sketch are the ``SKETCH`` least hashes of its shingles. The least hashes of a union of two sets are a random sample of the union, and those
-of them that both sets have stand in both sketches; so sets at a similarity of J share about J * SKETCH values, and fewer than ``least_shared`` with
+A text's sketch are the k least hashes of its shingles. The least hashes of a union of two sets are a random sample of the union, and those
+of them that both sets have stand in both sketches; so sets at a similarity of J share about J * k values, and fewer than ``least_shared`` with
 a probability below ``MISS``. Small sets are their own sketches, where the bound is exact. The values are ordered by how many sets have them,
 rarest first: sets that share t of k values share one of the first k - t + 1 in any common order, so only those of a sketch enter the inverted lists, and
 values that stand everywhere hardly do.
 
+Sketches of ``SKETCH`` values of all texts find those that may have a near copy at all. Only these get sketches of ``WIDE`` values, which for most texts are
+their whole sets: the fifth of its values that a near copy may lack holds what sets a text apart from its relatives, so texts of one family that
+differ by more meet in no list.
+
 Texts with equal sets are one node. In each list all nodes first meet one hub, and nodes that a link connects are not paired again: a group
 of near copies costs one comparison a member. What stays apart is then paired. Pairs whose union sketch has too few common values go; the others are
 verified by their whole sets.
@@ -26,9 +30,9 @@ from .common import small_batches, stored, utf8, worker_slot
 from .components import connected_components
 from .near_copies import shingles
 
-#: Values of a sketch, and the probability that a pair at the threshold shares too few of them.
-SKETCH, MISS = 64, 2e-6
-#: Rounds of hubs while the pairs left exceed this many for each list entry.
+#: Values of the first and of the second sketch, and the probability that a pair at the threshold shares too few of them.
+SKETCH, WIDE, MISS = 64, 1024, 2e-6
+#: Rounds of hubs at most, as long as they find links and the pairs left exceed this many for each list entry.
 HUB_ROUNDS, PAIRS_EACH = 8, 4
 
 
@@ -47,6 +51,11 @@ def set_of(text: bytes, words: int, cache: dict[bytes, int]) -> np.ndarray:
     return (shingles(text, words, cache) >> np.uint64(1)).view(np.int64)
 
 
+def digest(grams: np.ndarray) -> int:
+    """What stands for a set: equal ones alone have it; 0 for the empty one."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes(), 42) if len(grams) else 0
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, set, n, sketch) of every row: digest and size of its shingle set (both of an empty one are 0), and its least values."""
 
@@ -54,7 +63,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
         cache = worker_slot(("minhash",), dict)
         for batch in small_batches(batches):
             found = [set_of(text.as_py(), words, cache) for text in batch.column(1)]
-            digests = [xxhash.xxh3_64_intdigest(x.tobytes(), 42) if len(x) else 0 for x in found]
+            digests = [digest(x) for x in found]
             ends = np.cumsum([0, *[min(len(x), SKETCH) for x in found]]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[:SKETCH] for x in found])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array([len(x) for x in found], pa.int64()), lists], ["id", "set", "n", "sketch"])
@@ -62,40 +71,42 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(run, "id long, set long, n long, sketch array<long>")
 
 
-def inverted_lists(nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(value, set, n, fame, node): of each sketch the rarest values that a near copy must share one of, as far as another sketch has them, too.
+def inverted_lists(nodes: DataFrame, least: tuple[int, int], k: int) -> DataFrame:
+    """(value, set, n, at, fame, node): of each sketch of ``k`` values the rarest ones that a near copy must share one of, as far as another sketch has them, too.
 
-    ``fame`` is greater the more of its values a set shares, which a text has that others are copies of.
+    ``at`` is the value's place in the sketch, rarest first, from 0. ``fame`` is greater the more of its values a set shares, which a text has that others are copies of. Values of one set only make no list.
     """
     share = least[0] / least[1]
     entries = nodes.select("set", F.explode("sketch").alias("value"))
     several = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = entries.join(several, "value").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))  # at most SKETCH
-    k = F.least(F.col("n"), F.lit(SKETCH))
-    needed = F.when(F.col("n") <= math.floor(SKETCH * share), F.ceil(F.col("n") * least[0] / least[1])).otherwise(least_shared(share))
+    held = entries.join(several, "value").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))  # at most k
+    size = F.least(F.col("n"), F.lit(k))
+    needed = F.when(F.col("n") <= math.floor(k * share), F.ceil(F.col("n") * least[0] / least[1])).otherwise(least_shared(share, k))
     # Values of no other set come first in the order; what they leave of the prefix is shared.
-    room = (k - needed + 1 - (k - F.size("held"))).cast("int")
+    room = (size - needed + 1 - (size - F.size("held"))).cast("int")
     fame = F.struct(F.size("held").alias("shared"), F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log2(x["df"].cast("double"))).alias("weight"))
-    found = nodes.join(held, "set").where(room > 0).select("set", "n", "node", fame.alias("fame"), F.explode(F.slice("held", F.lit(1), room)).alias("h"))
-    return found.select(F.col("h.value").alias("value"), "set", "n", "fame", "node")
+    found = nodes.join(held, "set").where(room > 0).select("set", "n", "node", fame.alias("fame"), (size - F.size("held")).alias("alone"), F.posexplode(F.slice("held", F.lit(1), room)).alias("i", "h"))
+    found = stored(found.select(F.col("h.value").alias("value"), "set", "n", (F.col("alone") + F.col("i")).alias("at"), "fame", "node"), "minhash-entries")
+    lists = found.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("value")
+    return stored(found.join(lists, "value"), "minhash-lists")
+
+
+def may_match(least: tuple[int, int], k: int) -> str:
+    """Whether sets ``a`` and ``b`` that meet in a list can be near copies: by their sizes, and, if they are their own sketches, by how many values each has from its place in the list on.
+
+    Of near copies' common values the rarest one passes; others may not.
+    """
+    low, high = least
+    sizes = f"{high} * least(a.n, b.n) >= {low} * greatest(a.n, b.n)"
+    return f"{sizes} and (greatest(a.n, b.n) > {k} or least(a.n - a.at, b.n - b.at) * {low + high} >= {low} * (a.n + b.n))"
 
 
 def enough(least: tuple[int, int], common, union):
     return least[1] * common >= least[0] * union
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: tuple[int, int]) -> DataFrame:
-    """(src, dst) of those ``pairs`` (a, b, src, dst) that are similar: first by the sketch of the union, then by the whole sets.
-
-    A pair of two sets that are their own sketches needs no more than these.
-    """
-    side = nodes.select("set", "n", "sketch")
-    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b")
-    union, common = F.array_union("x", "y"), F.array_intersect("x", "y")
-    # The union's least values: all up to its SKETCH-th.
-    last = F.element_at(F.sort_array(union), F.least(F.size(union), F.lit(SKETCH)))
-    seen = F.when((F.col("n") <= SKETCH) & (F.col("m") <= SKETCH), enough(least, F.size(common), F.size(union))).otherwise(F.size(F.filter(common, lambda v: v <= last)) >= least_shared(least[0] / least[1]))
-    likely = stored(both.where(seen).select("a", "b", "src", "dst", ((F.col("n") <= SKETCH) & (F.col("m") <= SKETCH)).alias("sure")), "minhash-likely")
+def whole_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(set, grams) of the sets of ``nodes``, from the texts that stand for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_slot(("minhash",), dict)
@@ -103,17 +114,31 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
             found = [set_of(text.as_py(), words, cache) for text in batch.column(1)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes(), 42) if len(x) else 0 for x in found], np.uint64).view(np.int64)), lists], ["set", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([digest(x) for x in found], np.uint64).view(np.int64)), lists], ["set", "grams"])
 
-    open_ = likely.where("not sure")
-    wanted = open_.select(F.col("a").alias("set")).union(open_.select(F.col("b").alias("set"))).distinct()
-    ids = nodes.join(wanted, "set", "left_semi").select(F.col("node").alias("id")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    # Rows that repeat an id may bring sets that nobody asked for, which meet no pair.
-    grams = stored(source.join(ids, "id", "left_semi").mapInArrow(run, "set long, grams array<long>").dropDuplicates(["set"]), "minhash-grams")
-    met = open_.join(grams.toDF("a", "x"), "a").join(grams.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    # Rows that repeat an id may bring sets that nobody asked for.
+    texts = source.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    return texts.mapInArrow(run, "set long, grams array<long>").dropDuplicates(["set"]).join(nodes.select("set"), "set", "left_semi")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, grams: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(src, dst) of those ``pairs`` (a, b, src, dst) that are similar: first by the sketch of the union, then by the whole sets.
+
+    A pair of two sets that are their own sketches needs no more than these.
+    """
+    side = nodes.select("set", "n", "sketch")
+    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b")
+    common = F.array_intersect("x", "y")
+    sure = (F.col("n") <= WIDE) & (F.col("m") <= WIDE)
+    # Of the union's WIDE least values so many are common. Both arrays are computed once, before the values are tested.
+    least_of_both = F.slice(F.sort_array(F.array_union("x", "y")), 1, WIDE)
+    among = F.size(F.array_intersect(least_of_both, common))
+    seen = F.when(sure, enough(least, F.size(common), F.col("n") + F.col("m") - F.size(common))).otherwise(among >= least_shared(least[0] / least[1], WIDE))
+    likely = stored(both.where(seen).select("a", "b", "src", "dst", sure.alias("sure")), "minhash-likely")
+    met = likely.where("not sure").join(grams.toDF("a", "x"), "a").join(grams.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     exact = met.where(enough(least, F.col("common"), F.size("x") + F.size("y") - F.col("common"))).select("src", "dst")
-    return likely.where("sure").select("src", "dst").unionAll(exact).distinct()
+    return stored(likely.where("sure").select("src", "dst").unionAll(exact).distinct(), "minhash-links")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -124,13 +149,13 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: tuple[int, int]) -> DataFrame:
     """(set, label): each shingle set that a row with an id has, and the smallest id of its group."""
     nodes = stored(sketched.where("id is not null and n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "minhash-nodes")
-    labels = nodes.select("set", F.col("node").alias("label"))
-    entries = inverted_lists(nodes, least)
-    shared = stored(entries, "minhash-entries")
-    lists = shared.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("value")
-    shared = stored(shared.join(lists, "value"), "minhash-lists")
-    near_size = f"{least[1]} * least(a.n, b.n) >= {least[0]} * greatest(a.n, b.n)"
-    check = lambda pairs: confirmed(pairs, nodes, docs, id_col, text_col, words, least)
+    near = inverted_lists(nodes, least, SKETCH).select("set").distinct()
+    close = stored(nodes.select("set", "node", "n").join(near, "set", "left_semi"), "minhash-close")
+    grams = stored(whole_sets(close, docs, id_col, text_col, words), "minhash-grams")
+    wide = stored(close.join(grams, "set").select("set", "node", "n", F.slice("grams", 1, WIDE).alias("sketch")), "minhash-wide")
+    shared = inverted_lists(wide, least, WIDE)
+    labels = stored(shared.select("set", F.col("node").alias("label")).distinct(), "minhash-labels")
+    possible = may_match(least, WIDE)
     for round_ in range(HUB_ROUNDS):
         labelled = shared.join(labels, "set")
         if round_:
@@ -139,16 +164,20 @@ def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str,
             if not left or left <= PAIRS_EACH * size:
                 break
         order = F.struct("fame", -F.col("node")) if round_ == 0 else F.xxhash64(F.lit(round_), "set")
-        hubs = labelled.groupBy("value").agg(F.max_by(F.struct("set", "n", "label"), order).alias("b"))
-        met = labelled.alias("a").join(hubs, "value").where("a.set <> b.set and a.label <> b.label").where(near_size)
+        hubs = labelled.groupBy("value").agg(F.max_by(F.struct("set", "n", "at", "label"), order).alias("b"))
+        met = labelled.alias("a").join(hubs, "value").where("a.set <> b.set and a.label <> b.label").where(possible)
         # Of all hubs in its lists, the one that a node shares most of them with.
         overlap = met.groupBy(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.label").alias("src"), F.col("b.label").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
         pairs = overlap.groupBy("a").agg(F.max_by(F.struct("b", "src", "dst"), F.struct("c", "b")).alias("p")).select("a", "p.*")
-        labels = stored(relabelled(labels, check(stored(pairs, "minhash-hubs"))), "minhash-labels")
+        links = confirmed(stored(pairs, "minhash-hubs"), wide, grams, least)
+        if links.isEmpty():
+            break
+        labels = stored(relabelled(labels, links), "minhash-labels")
     labelled = stored(shared.join(labels, "set"), "minhash-labelled")
-    pairs = labelled.alias("a").join(labelled.alias("b"), "value").where("a.set < b.set and a.label <> b.label").where(near_size)
+    pairs = labelled.alias("a").join(labelled.alias("b"), "value").where("a.set < b.set and a.label <> b.label").where(possible)
     pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.label").alias("src"), F.col("b.label").alias("dst")).distinct()
-    return relabelled(labels, check(stored(pairs, "minhash-pairs")))
+    labels = stored(relabelled(labels, confirmed(stored(pairs, "minhash-pairs"), wide, grams, least)), "minhash-labels")
+    return nodes.join(labels, "set", "left").select("set", F.coalesce("label", "node").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: tuple[int, int] = (80, 100)) -> DataFrame:
