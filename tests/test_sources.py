@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.sources import html_feeds, json_feeds, store
+from tidemark.sources import feed, html_feeds, json_feeds, store
 
 
 def pages(spark, *markup):
@@ -104,17 +104,49 @@ def test_versions_change_together(spark, tmp_path):
         assert store.read_version(spark, root, "a").count() == store.read_version(spark, root, "b").count() == n
 
 
-def test_buckets_change_alone_and_a_lost_writer_harms_nothing(spark, tmp_path):
+def test_a_lost_writer_harms_nothing_and_of_two_one_fails(spark, tmp_path):
+    import pytest
+
     root = str(tmp_path / "b")
-    df = spark.createDataFrame([("p", str(i), 0) for i in range(50)], "portal string, notice_id string, v int")
-    keys = ["portal", "notice_id"]
-    store.write_version(spark, root, {"notices": df, "other": spark.range(3)}, {"notices": (keys, 8)})
-    some = df.where(store.bucket_of(keys, 8).isin(2, 5))
-    store.update_buckets(spark, root, "notices", some.withColumn("v", F.lit(1)), [2, 5])
-    got = {r.notice_id: r.v for r in store.read_version(spark, root, "notices").collect()}
-    assert len(got) == 50 and {k for k, v in got.items() if v} == {r.notice_id for r in some.collect()} and store.read_version(spark, root, "other").count() == 3
-    df.write.parquet(root + "/v-lost/notices")  # written, never published
-    assert store.read_version(spark, root, "notices", [2]).count() == df.where(store.bucket_of(keys, 8) == 2).count()
+    store.write_version(spark, root, {"notices": spark.range(5), "other": spark.range(3)})
+    spark.range(9).write.parquet(root + "/v-lost/notices")  # written, never published
+    (tmp_path / "b" / "pointers" / "000000000002.json").write_text("")  # claimed by a writer that was lost
+    assert store.read_version(spark, root, "notices").count() == 5 and store.read_version(spark, root, "other").count() == 3
+    with pytest.raises(Exception, match="exist"):
+        store.write_version(spark, root, {"notices": spark.range(6)})
+    (tmp_path / "b" / "pointers" / "000000000002.json").unlink()
+    store.write_version(spark, root, {"notices": spark.range(6)})
+    assert store.read_version(spark, root, "notices").count() == 6 and store.read_version(spark, root, "other").count() == 3
+
+
+def test_feed_reads_as_the_last_versions_and_folds_without_change(spark, tmp_path):
+    import random
+
+    root, keys, rng = str(tmp_path / "f"), ["portal", "notice_id"], random.Random(2)
+    base = "portal string, notice_id string, title string, content_hash string, last_seen_at timestamp, last_seen_run string"
+    model = {str(i): (f"t{i}", "r0") for i in range(40)}
+    store.write_version(spark, root, {"notices": spark.createDataFrame([("p", k, t, "h", datetime(2026, 1, 1), r) for k, (t, r) in model.items()], base)})
+    read = lambda df: {r.notice_id: (r.title, r.last_seen_run) for r in df.collect()}
+    states = []
+    for n in range(6):
+        states.append(dict(model))
+        rows = []
+        for k in rng.sample([str(i) for i in range(60)], 5):
+            new = (f"t{k}-{n}", "h") if k not in model or rng.random() < 0.5 else None
+            model[k] = (new[0] if new else model[k][0], f"r{n + 1}")
+            rows.append(("p", k, new, datetime(2026, 1, 2 + n), f"r{n + 1}"))
+        changes = spark.createDataFrame(rows, "portal string, notice_id string, v struct<title:string,content_hash:string>, last_seen_at timestamp, last_seen_run string")
+        feed.append(root, "notices", changes.limit(1), n)  # an attempt that was lost
+        feed.append(root, "notices", changes, n)
+        assert read(feed.present(spark, root, "notices", keys)) == model
+        assert read(feed.present(spark, root, "notices", keys, before=n)) == states[n]
+    wanted = spark.createDataFrame([("p", "1"), ("p", "55"), ("q", "1")], "portal string, notice_id string")
+    some = feed.present_keys(spark, root, "notices", keys, wanted, ["title", "last_seen_run"])
+    assert read(some) == {k: model[k] for k in ("1", "55") if k in model}
+    assert feed.fold(spark, root, "notices", keys, before=3) and read(store.read_version(spark, root, "notices")) == states[3]
+    assert read(feed.present(spark, root, "notices", keys)) == model
+    assert not feed.fold(spark, root, "notices", keys, share=1.0) and feed.fold(spark, root, "notices", keys, share=0.1)
+    assert read(store.read_version(spark, root, "notices")) == model and feed.changes(spark, root, "notices", keys).isEmpty()
 
 
 def test_restored_tables_are_checked_and_published(spark, tmp_path):

@@ -16,13 +16,12 @@ def with_hash(notices: DataFrame, columns: list[str]) -> DataFrame:
     return notices.withColumn("content_hash", content_hash({c: F.col(c) for c in columns}))
 
 
-def split_valid(batch: DataFrame, required: tuple[str, ...] = ("portal", "notice_id", "title")) -> tuple[DataFrame, DataFrame]:
-    """(rows that can be merged, rows without a key or a title)."""
+def is_valid(required: tuple[str, ...] = ("portal", "notice_id", "title")) -> Column:
+    """Whether a row can be merged: it has its keys and a title."""
     ok = F.lit(True)
     for c in required:
-        if c in batch.columns:
-            ok = ok & F.coalesce(F.trim(c) != "", F.lit(False))
-    return batch.where(ok), batch.where(~ok)
+        ok = ok & F.coalesce(F.trim(c) != "", F.lit(False))
+    return ok
 
 
 def backfill_relevance(notices: DataFrame, legacy: bool = False) -> DataFrame:

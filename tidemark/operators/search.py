@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import ALIASES, STOP_WORDS, is_raw_reference, is_structured_reference, nfkc, normalize_query
 from ..sources.store import cut
+from .text_index import TextIndex, best_matches, combined, whole_title
 
 WEIGHTS = {"title": 1.0, "organisation": 0.4, "department": 0.4, "description": 0.2, "category": 0.2}
 SIMILAR = 0.2
@@ -22,10 +23,10 @@ KEYS = ["portal", "notice_id"]
 NO_WORD = r"[^\p{L}\p{N}]+"
 #: Columns of a query table that narrow its results.
 CONDITIONS = ["portals", "portal", "status", "relevance", "closing_from", "closing_to"]
-#: Beginnings of wanted tokens that a text search tests words for.
-MOST_BEGINNINGS = 10_000
-#: Letters that a word may have beyond its beginning (see ``beginnings``): a doubled consonant, -ing and a plural s.
-MOST_ENDING = 5
+#: Beginnings of wanted words that are sent to all tasks; beyond, they are joined as any table.
+MOST_INITIALS = 50_000
+#: Titles of a trigram's list that one task takes.
+LONG_LIST = 200_000
 #: Parts that the notices of a browse query over all portals are dealt into.
 SALTS = 16
 OUT = ["query_id", "portal", "notice_id", "title", "published", "score"]
@@ -154,7 +155,7 @@ def weighted(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def token_table(notices: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token, rank): one row a distinct token of a notice. Written bucketed by token it is the search index."""
+    """(keys, token, rank): one row a distinct token of a notice, as the index (``text_index.py``) stores it."""
     counted = field_words(notices, keys).groupBy(*keys, "field", "weight", "word").agg(F.count("*").alias("tf"))
     return weighted(stemmed(counted), keys)
 
@@ -168,39 +169,33 @@ def alternatives(queries: DataFrame) -> DataFrame:
     return stemmed(out).select("query_id", "q", "alternative", "token").distinct()
 
 
-def fulltext_matches(notices: DataFrame, queries: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(query_id, keys, text_rank): notices with all tokens of an alternative; the best alternative's rank counts.
+def fulltext_matches(notices: DataFrame, queries: DataFrame, keys: list[str] = KEYS, index: TextIndex | None = None, match: str = "all") -> DataFrame:
+    """(query_id, keys, text_rank): notices with all tokens of an alternative (any of them with ``match`` any); the best alternative's rank counts.
 
-    The texts are read once: words that cannot have a wanted stem are dropped as they are read, and the others are counted and kept.
-    Only the distinct ones are stemmed, and those that a query asks for meet the counts in an equi-join; no notice is compared with a query
+    With an index only the postings of the tokens asked for are read. Without one the texts are read once: their words are counted and kept, only the
+    distinct ones are stemmed, and those that a query asks for meet the counts in an equi-join; no notice is compared with a query
     that shares no token with it.
     """
     asked = cut(alternatives(queries))
     need = asked.groupBy("query_id", "alternative").agg(F.count("*").alias("need"))
-    words = cut(field_words(notices, keys).where(may_become(asked)).groupBy(*keys, "field", "weight", "word").agg(F.count("*").alias("tf")))
+    if index:
+        return combined(index.postings(asked), asked, need, match)
+    begun = initials(asked)
+    begun = F.broadcast(begun) if begun.count() <= MOST_INITIALS else begun
+    words = cut(field_words(notices, keys).join(begun, F.left("word", F.lit(2)) == F.col("initial"), "left_semi").groupBy(*keys, "field", "weight", "word").agg(F.count("*").alias("tf")))
     wanted = stemmed(words.select("word").distinct()).join(asked.select("token").distinct(), "token", "left_semi")
-    hits = weighted(words.join(wanted, "word"), keys).join(asked, "token").groupBy("query_id", "alternative", *keys).agg(F.count("*").alias("n"), F.sum("rank").alias("rank"))
-    full = hits.join(need, ["query_id", "alternative"]).where("n = need")
-    return full.groupBy("query_id", *keys).agg(F.max(F.col("rank") / F.col("need")).alias("text_rank"))
+    return combined(weighted(words.join(wanted, "word"), keys), asked, need, match, keys)
 
 
-def beginnings(token: Column) -> Column:
-    """How a word with this stem may begin: as the stem does, with the y that became its i, or with -ing in place of an e that the stem got."""
-    less = F.left(token, F.length(token) - 1)
-    return F.array_compact(F.array(token, F.when(token.endswith("i"), F.concat(less, F.lit("y"))), F.when(token.endswith("e"), F.concat(less, F.lit("ing")))))
+def initials(asked: DataFrame) -> DataFrame:
+    """The first two characters that a word with a wanted stem may have.
 
-
-def may_become(asked: DataFrame) -> Column:
-    """Whether the stem of ``word`` may be a wanted token: the word is a beginning of one, or has at most ``MOST_ENDING`` letters more
-    and an end that a stem loses (-s, -ed, -ing).
-
-    Beyond ``MOST_BEGINNINGS`` beginnings every word may.
+    Only a stem's last character may differ from its word: a y may have become i. So stems of three characters or more keep the first two; shorter ones
+    may have had a y, or what is cut off (-ed, -ing) behind their only character.
     """
-    found = [r[0] for r in asked.select(F.explode(beginnings(F.col("token"))).alias("b")).distinct().limit(MOST_BEGINNINGS + 1).collect()]
-    if len(found) > MOST_BEGINNINGS:
-        return F.lit(True)
-    longer = reduce(Column.__or__, [F.left("word", F.length("word") - n).isin(found) for n in range(1, MOST_ENDING + 1)])
-    return F.col("word").isin(found) | (F.right("word", F.lit(1)).isin("s", "d", "g") & longer)
+    one, token = F.left("token", F.lit(1)), F.col("token")
+    short = F.when(F.length(token) == 1, F.array(token, *[F.concat(token, F.lit(c)) for c in "ei"])).when((F.length(token) == 2) & token.endswith("i"), F.array(token, F.concat(one, F.lit("y")))).otherwise(F.array(F.left(token, F.lit(2))))
+    return asked.select(F.explode(short).alias("initial")).distinct()
 
 
 def id_prefixes(notices: DataFrame, asked: DataFrame) -> DataFrame:
@@ -212,16 +207,30 @@ def id_prefixes(notices: DataFrame, asked: DataFrame) -> DataFrame:
     return begun.join(asked, "q").select("query_id", *KEYS)
 
 
-def fulltext_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
+def fulltext_search(notices: DataFrame, queries: DataFrame, index: TextIndex | None = None, match: str = "all", best: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """All words of a query, or an id that begins with it: 1000 exact id + 500 exact title + 200 id prefix + 100 * rank.
 
-    ``q`` is a normalised query; an empty one finds nothing.
+    ``q`` is a normalised query; an empty one finds nothing. ``match`` any takes notices with any of the words, ranked by the same formula. ``index`` is the
+    stored index of these notices or of more: what ``notices`` has not is not found. ``best`` leaves at least the so many best results of each query that ``keep`` keeps,
+    and with an index stops when no other can be among them.
     """
     asked = queries.where("q <> ''").select("query_id", "q")
-    every = fulltext_matches(notices, asked).unionByName(id_prefixes(notices, asked).withColumn("text_rank", F.lit(None).cast("double")))
-    every = every.groupBy("query_id", *KEYS).agg(F.max("text_rank").alias("text_rank"))
-    rows = every.join(asked, "query_id").join(notices.select(*KEYS, "title", "published"), KEYS)
-    return rows.withColumn("score", tier_score() + F.round(100 * F.coalesce("text_rank", F.lit(0.0)), 6)).select(OUT)
+    facts = notices.select(*KEYS, "title", "published")
+
+    def scored(ranks: DataFrame) -> DataFrame:
+        rows = ranks.join(asked, "query_id").join(facts, KEYS)
+        return keep(rows.withColumn("score", tier_score() + F.round(100 * F.coalesce("text_rank", F.lit(0.0)), 6)).select(OUT))
+
+    prefixes = id_prefixes(notices, asked)
+    if best and index:
+        terms, asked = cut(alternatives(asked)), cut(asked)
+        need = terms.groupBy("query_id", "alternative").agg(F.count("*").alias("need"))
+        titles = asked.withColumn("token", whole_title(F.col("q")))
+        # A title as a whole is found by its words, so by none where the query has no terms.
+        titled = index.postings(titles).join(titles, "token").join(need.select("query_id").distinct(), "query_id", "left_semi").join(facts, KEYS).where(F.lower("title") == F.col("q")).select("query_id", *KEYS)
+        return best_matches(index, terms, need, cut(titled.unionByName(prefixes).distinct()), scored, best, match)
+    every = fulltext_matches(notices, asked, index=index, match=match).unionByName(prefixes.withColumn("text_rank", F.lit(None).cast("double")))
+    return scored(every.groupBy("query_id", *KEYS).agg(F.max("text_rank").alias("text_rank")))
 
 
 def tier_score() -> Column:
@@ -235,38 +244,63 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
+def title_key(title: Column) -> Column:
+    """A title as 16 bytes, which joins carry instead of it."""
+    return F.unhex(F.md5(title))
+
+
+def gram_prefixes(asked: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
+    """(query_id, m, prefix, tail) of queries (query_id, grams): grams rarest first, and at the end of that order those that a similar title may do without.
+
+    A set of m grams shares more than least * m with any that is more similar than ``least``, so a similar title has one of all but the floor(least * m) last.
+    """
+    each = asked.select("query_id", F.size("grams").alias("m"), F.explode("grams").alias("gram")).join(frequency, "gram", "left")
+    order = each.groupBy("query_id", "m").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
+    first = (F.col("m") - F.floor(F.col("m") * least - 1e-9)).cast("int")
+    # Grams that no title has come first in the order, and are in no list.
+    return order.select("query_id", "m", F.filter(F.slice("o", F.lit(1), first), lambda g: g["df"] > 0).alias("prefix"), F.transform(F.slice("o", first + 1, F.col("m")), lambda g: g["gram"]).alias("tail"))
+
+
 def similar_titles(notices: DataFrame, queries: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(query_id, portal, notice_id, similarity) above ``least``: common trigrams over all of both.
 
-    Equal titles are compared once. A query can only reach ``least`` with titles whose number of trigrams is in a range around its own,
-    which the join checks before anything is counted; titles beyond the ranges of all queries do not reach the join.
+    A set-similarity join by prefix, length and count filters. Equal titles are compared once, under a key of 16 bytes. Only trigrams of queries count, and of a query's those of its
+    prefix (``gram_prefixes``) meet titles: its most frequent ones, which most titles have, meet none, and are looked up in the titles that share enough of the prefix
+    and whose number of trigrams is near enough. Lists of frequent trigrams are dealt over salts, as many as their length asks for.
     """
-    titles = notices.select("title").distinct().withColumn("grams", trigrams(F.col("title"))).withColumn("n", F.size("grams"))
-    asked = queries.select("query_id", trigrams(F.col("q")).alias("grams")).withColumn("m", F.size("grams"))
-    most = asked.agg(F.max("m")).first()[0] or 0
-    left = titles.where(F.col("n") * least < most).select("title", "n", F.explode("grams").alias("gram"))
-    right = asked.select("query_id", "m", F.explode("grams").alias("gram"))
+    asked = cut(queries.select("query_id", trigrams(F.col("q")).alias("grams")).where(F.size("grams") > 0))
+    most = asked.agg(F.max(F.size("grams"))).first()[0] or 0
+    titles = notices.where("title is not null").select("title").distinct().select(title_key(F.col("title")).alias("t"), trigrams(F.col("title")).alias("grams")).withColumn("n", F.size("grams")).where(F.col("n") * least < most)
+    entries = titles.select("t", "n", F.explode("grams").alias("gram")).join(asked.select(F.explode("grams").alias("gram")).distinct(), "gram", "left_semi")
+    frequency = cut(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    ordered = cut(gram_prefixes(asked, frequency, least))
+    salts = (F.floor(F.col("df") / LONG_LIST) + 1).cast("int")
+    left = entries.join(frequency, "gram").select("gram", "t", "n", F.pmod(F.hash("t"), salts).alias("salt"))
+    right = ordered.select("query_id", "m", F.size("tail").alias("rest"), F.explode("prefix").alias("g")).select("query_id", "m", "rest", "g.gram", "g.df").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     near = (F.col("n") > F.col("m") * least) & (F.col("m") > F.col("n") * least)
-    common = left.join(right, "gram").where(near).groupBy("query_id", "title", "n", "m").agg(F.count("*").alias("c"))
-    close = common.withColumn("similarity", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("similarity") > least)
-    return close.join(notices.select("portal", "notice_id", "title"), "title").select("query_id", "portal", "notice_id", "similarity")
+    needed = (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9
+    shared = left.join(right, ["gram", "salt"]).where(near).groupBy("query_id", "t", "n", "m", "rest").agg(F.count("*").alias("c")).where(F.col("c") + F.col("rest") > needed)
+    both = shared.join(ordered.select("query_id", "tail"), "query_id").join(titles.select("t", "grams"), "t")
+    c = F.col("c") + F.size(F.array_intersect("tail", "grams"))
+    close = both.select("query_id", "t", (c / (F.col("n") + F.col("m") - c)).alias("similarity")).where(F.col("similarity") > least)
+    return close.join(notices.select(*KEYS, title_key(F.col("title")).alias("t")), "t").select("query_id", *KEYS, "similarity")
 
 
-def fuzzy_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
+def fuzzy_search(notices: DataFrame, queries: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """Full-text matches and titles with a similarity above 0.2; the score adds 10 * similarity."""
     key = ["query_id", "portal", "notice_id"]
-    text, close = fulltext_search(notices, queries), similar_titles(notices, queries.where("q <> ''"))
+    text, close = fulltext_search(notices, queries, index), similar_titles(notices, queries.where("q <> ''"))
     rows = text.select(*key, F.col("score").alias("text_score")).join(close, key, "full").join(queries, "query_id").join(notices.select("portal", "notice_id", "title", "published"), ["portal", "notice_id"])
     return rows.withColumn("score", F.coalesce("text_score", tier_score().cast("double")) + F.round(10 * F.coalesce("similarity", F.lit(0.0)), 6)).select(OUT)
 
 
-def tiered_search(notices: DataFrame, queries: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def tiered_search(notices: DataFrame, queries: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, index: TextIndex | None = None, match: str = "all", best: int | None = None) -> DataFrame:
     """Full text, and the fuzzy tier only for queries that it leaves without a match that ``keep`` keeps.
 
     The full-text matches are computed once. The other queries have none, so their fuzzy tier is similarity alone, or, where
     ``keep`` took them all, nothing that ``keep`` would leave.
     """
-    first = cut(keep(fulltext_search(notices, queries)))
+    first = cut(fulltext_search(notices, queries, index, match, best, keep))
     rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti").where("q <> ''")
     close = similar_titles(notices, rest).join(queries.select("query_id", "q"), "query_id").join(notices.select(*KEYS, "title", "published"), KEYS)
     close = keep(close.withColumn("score", tier_score() + F.round(10 * F.col("similarity"), 6)).select(OUT))
@@ -322,12 +356,13 @@ def browsed(notices: DataFrame, queries: DataFrame, page: int, limit: int) -> Da
     return paged.join(asked.select("query_id", "conditions"), "conditions").drop("conditions")
 
 
-def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1, limit: int = 20) -> DataFrame:
+def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1, limit: int = 20, index: TextIndex | None = None, match: str = "all", totals: bool = True) -> DataFrame:
     """One page of open notices for each query, by the first mode that applies, with the mode.
 
     ``queries`` has query_id and q, and may have keywords (an array), conditions of its own (``CONDITIONS``) and normal, the normalised
     terms. Terms are q and the keywords, empty ones left out; without any but blank terms a query browses. Only a query of
-    q alone can be a raw reference.
+    q alone can be a raw reference. ``match`` and ``index`` are those of ``fulltext_search``. Without ``totals`` the results have no total_count and pages, and a text search stops
+    when its page is certain.
     """
     found = filtered(notices, as_of)
     terms = F.filter(F.concat(F.array("q"), F.coalesce("keywords", F.array().cast("array<string>")) if "keywords" in queries.columns else F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
@@ -344,9 +379,10 @@ def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1,
     text = by("text").unionByName(fallen.where(~is_structured_reference(F.col("normal"))), allowMissingColumns=True)
     out = raw.withColumn("mode", F.lit("raw_reference"))
     out = out.unionByName(keep(reference_search(found, structured.select("query_id", F.col("normal").alias("q")))).withColumn("mode", F.lit("structured_reference")))
-    tiers = tiered_search(found, text.select("query_id", F.col("normal").alias("q")), keep)
+    tiers = tiered_search(found, text.select("query_id", F.col("normal").alias("q")), keep, index, match, None if totals else clamp_page(page, limit)[0] * clamp_page(page, limit)[1])
     out = out.unionByName(tiers.withColumnRenamed("tier", "mode"))
-    return ranked_page(out, page, limit).unionByName(browsed(found, by("browse"), page, limit).withColumn("mode", F.lit("browse")))
+    paged = ranked_page(out, page, limit).unionByName(browsed(found, by("browse"), page, limit).withColumn("mode", F.lit("browse")))
+    return paged if totals else paged.drop("total_count", "pages")
 
 
 def any_phrase(text: Column, phrases: list[str]) -> Column:

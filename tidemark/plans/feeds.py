@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.lifecycle import KEYS
-from ..sources import html_feeds, json_feeds, store
-from ..sources.store import cut
-from ..streaming.ingest import start_ingest
+from ..sources import feed, html_feeds, json_feeds, store
+from ..streaming.ingest import run_log, start_ingest
 from . import views
 from .registry import STAMP, query, stamp
 from .views import AS_OF, MERGE_SQL, as_of, table
@@ -175,8 +175,7 @@ def visible_feed(spark, d):
 
 
 def _folder(spark, name: str) -> str:
-    cut(spark.range(1))  # sets the folder where a local session has none
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{views.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT 'customer' AS name, c_custkey AS key, c_name AS value FROM customer UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'exported', 1, CAST((SELECT count(*) FROM customer) AS VARCHAR) UNION ALL SELECT 'restored', 1, CAST((SELECT count(*) FROM nation) AS VARCHAR)")
@@ -190,40 +189,75 @@ def snapshot_roundtrip(spark, d):
     return store.union_sources([*rows, numbers])
 
 
-def _ingested(spark, d) -> tuple[str, dict, str]:
-    """The store after all orders came in as two files of a stream, with the counters and the sent rows of each batch."""
+_stores: dict[tuple, tuple[str, str]] = {}
+
+
+def _ingested(spark, d) -> tuple[str, str]:
+    """The store, and the folder of the sent rows, after all orders came in as two files of a stream; one run for all queries of a session.
+
+    The second file has rows without a title, too, and its first attempt fails after the merge, so the batch is replayed.
+    """
+    own = (spark.sparkContext.applicationId, d)
+    if own in _stores:
+        return _stores[own]
     source, root, sent = _folder(spark, "source"), _folder(spark, "store"), _folder(spark, "sent")
-    batch, counters = views.batch(spark, d), {}
+    batch = views.batch(spark, d)
+    untitled = batch.where("ordinal = 1 and status = 'P'").withColumns({"title": F.lit(None).cast("string"), "ordinal": F.lit(2)})
+    batch = batch.unionByName(untitled)
     store.write_version(spark, root, {"notices": views.stored_notices(spark, d), "tombstones": views.tombstones(spark, d)})
-    schema = ", ".join(f"{n} {t}" for n, t in batch.dtypes)
+    schema, failed = ", ".join(f"{n} {t}" for n, t in batch.dtypes), []
+
+    def alert(rows, number):
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("forced once")
+        rows.select(F.lit(number).alias("batch"), *KEYS).write.mode("append").parquet(sent)
+
     for n in (1, 2):
         # An upsert by file: the second file comes later.
         batch.where(F.col("ordinal") == n).coalesce(1).write.mode("append").parquet(source)
-        alert = lambda rows, number: rows.select(F.lit(number).alias("batch"), *KEYS).write.mode("append").parquet(sent)
-        start_ingest(spark, source, schema, root, f"{root}-checkpoint", lambda number: AS_OF, alert, counters.__setitem__).awaitTermination()
-    return root, counters, sent
+        start = lambda: start_ingest(spark, source, schema, root, f"{root}-checkpoint", lambda number: AS_OF, alert)
+        try:
+            start().awaitTermination()
+        except StreamingQueryException:
+            start().awaitTermination()
+    _stores[own] = root, sent
+    return _stores[own]
 
 
 SEEN_SQL = ", met AS (SELECT portal, notice_id, max(ordinal) FILTER (action <> 'skip') AS last_seen, max(ordinal) FILTER (action IN ('insert', 'update')) AS last_written FROM actions GROUP BY ALL)"
+INGESTED_SQL = MERGE_SQL + SEEN_SQL + """ SELECT coalesce(w.portal, s.portal) AS portal, coalesce(w.notice_id, s.notice_id) AS notice_id, CAST(coalesce(w.value, s.value) AS VARCHAR) AS value, CASE WHEN last_seen IS NULL THEN 'run-0' ELSE 'batch-' || (last_seen - 1) END AS last_seen_run
+    FROM stored s FULL JOIN (SELECT a.* FROM actions a JOIN met m ON a.portal = m.portal AND a.notice_id = m.notice_id AND a.ordinal = m.last_written AND a.action IN ('insert', 'update')) w ON s.portal = w.portal AND s.notice_id = w.notice_id
+    LEFT JOIN met ON met.portal = coalesce(w.portal, s.portal) AND met.notice_id = coalesce(w.notice_id, s.notice_id)"""
 
 
-@query(MERGE_SQL + SEEN_SQL + """ SELECT coalesce(w.portal, s.portal) AS portal, coalesce(w.notice_id, s.notice_id) AS notice_id, CAST(coalesce(w.value, s.value) AS VARCHAR) AS value, CASE WHEN last_seen IS NULL THEN 'run-0' ELSE 'batch-' || (last_seen - 1) END AS last_seen_run
-    FROM stored s FULL JOIN (SELECT a.* FROM actions a JOIN met m ON a.portal = m.portal AND a.notice_id = m.notice_id AND a.ordinal = m.last_written AND a.action IN ('insert', 'update')) w ON s.portal = w.portal AND s.notice_id = w.notice_id
-    LEFT JOIN met ON met.portal = coalesce(w.portal, s.portal) AND met.notice_id = coalesce(w.notice_id, s.notice_id)""")
+def _as_read(rows):
+    return rows.select("portal", "notice_id", F.col("value").cast("string").alias("value"), "last_seen_run")
+
+
+@query(INGESTED_SQL)
 def ingest_stream(spark, d):
-    root, _, _ = _ingested(spark, d)
-    return store.read_version(spark, root, "notices").select("portal", "notice_id", F.col("value").cast("string").alias("value"), "last_seen_run")
+    """Base and feed, read as one table."""
+    root, _ = _ingested(spark, d)
+    return _as_read(feed.present(spark, root, "notices", KEYS))
+
+
+@query(INGESTED_SQL)
+def ingest_folded(spark, d):
+    """The base alone, after the feed was folded into it."""
+    root, _ = _ingested(spark, d)
+    feed.fold(spark, root, "notices", KEYS, share=0)
+    return _as_read(store.read_version(spark, root, "notices"))
 
 
-@query(MERGE_SQL + f"""SELECT ordinal - 1 AS batch, count(*) AS rows, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action IN ('skip', 'touch')) AS skipped, CAST(0 AS BIGINT) AS failed,
-    count(*) FILTER (closing < TIMESTAMP '{AS_OF}') AS closed_on_arrival FROM actions GROUP BY ALL""")
-def ingest_metrics(spark, d):
-    _, counters, _ = _ingested(spark, d)
-    rows = [(n, *[c[k] for k in ("rows", "inserted", "updated", "skipped", "failed", "closed_on_arrival")]) for n, c in counters.items()]
-    return spark.createDataFrame(rows, "batch int, rows long, inserted long, updated long, skipped long, failed long, closed_on_arrival long")
+@query(MERGE_SQL + f"""SELECT ordinal - 1 AS batch, 'success' AS status, count(*) AS rows, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action IN ('skip', 'touch')) AS skipped,
+    CASE WHEN ordinal = 2 THEN (SELECT count(*) FROM orders_n WHERE status = 'P') ELSE 0 END AS failed, count(*) FILTER (closing < TIMESTAMP '{AS_OF}') AS closed_on_arrival FROM actions GROUP BY ALL""")
+def ingest_runs(spark, d):
+    """The run log: one row a batch, though the second one was tried twice."""
+    root, _ = _ingested(spark, d)
+    return run_log(spark, root).select("batch", "status", "rows", "inserted", "updated", "skipped", "failed", "closed_on_arrival")
 
 
 @query(MERGE_SQL + "SELECT DISTINCT ordinal - 1 AS batch, portal, notice_id FROM actions WHERE action <> 'skip'")
 def ingest_alerts(spark, d):
-    _, _, sent = _ingested(spark, d)
-    return spark.read.parquet(sent)
+    return spark.read.parquet(_ingested(spark, d)[1])

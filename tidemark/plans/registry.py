@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import inspect
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, text
-from ..operators import alerts, lifecycle, reports, search
+from ..operators import alerts, lifecycle, reports, search, text_index
 from ..sources import html_feeds, json_feeds, store
 from . import views
 from .views import AS_OF, DOCUMENTS_SQL, MERGE_SQL, ORDERS_SQL, RUN_AS_OF, RUNS_SQL, as_of, table
@@ -138,7 +139,8 @@ def staleness(spark, d):
 
 OPEN_SQL = f"(closing IS NULL OR closing >= TIMESTAMP '{AS_OF}')"
 WORDS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-ASKED_SQL = f"asked AS (SELECT item_id AS query_id, array_to_string({WORDS_SQL.format('text')}[1:2], ' ') AS q FROM benchmark)"
+ASKED_SQL = rf"""asked AS (SELECT item_id AS query_id, array_to_string({WORDS_SQL.format("arg_min(s, (len(" + WORDS_SQL.format('s') + "), i))")}, ' ') AS q
+  FROM (SELECT item_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[.,\n]+') AS l FROM benchmark)) WHERE len({WORDS_SQL.format('s')}) > 1 GROUP BY item_id)"""
 STOPS_SQL = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
 V_SQL = "'[aeiou]|[^aeiou]y'"
 LESS_SQL = "substring({0}, 1, length({0}) - {1})"
@@ -156,9 +158,10 @@ def stems_sql(words: str) -> str:
 
 
 def asked(spark, d):
-    """A query for each benchmark text: its first two words, both required."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("q"))
+    """A query for each benchmark text: its shortest phrase of two words or more, the first of equal ones."""
+    phrases = F.transform(F.split("text", r"[.,\n]+"), lambda s, i: F.struct(F.size(search.words_of(s)).alias("n"), i.alias("at"), search.words_of(s).alias("words")))
+    least = F.array_min(F.filter(phrases, lambda p: p["n"] > 1))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(least["words"], " ").alias("q")).where("q is not null")
 
 
 @query(O_SQL + f"""SELECT portal, notice_id, (SELECT count(*) FROM orders_n WHERE {OPEN_SQL}) AS total_count, CAST(ceil((SELECT count(*) FROM orders_n WHERE {OPEN_SQL}) / 20.0) AS BIGINT) AS pages
@@ -185,7 +188,7 @@ def reference_search(spark, d):
     return search.reference_search(views.documents(spark, d), queries).select("query_id", "portal", "notice_id", "score")
 
 
-def index_sql(documents: str = "documents_n", asked: str = ASKED_SQL) -> str:
+def index_sql(documents: str = "documents_n", asked: str = ASKED_SQL, match: str = "n = need") -> str:
     return f"""{DOCUMENTS_SQL}, {asked},
 fields AS (SELECT portal, notice_id, 1.0 AS weight, {WORDS_SQL.format('title')} AS words, 1 AS f FROM {documents}
   UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('description')}, 2 FROM {documents} UNION ALL SELECT portal, notice_id, 0.2, {WORDS_SQL.format('category')}, 3 FROM {documents}),
@@ -194,7 +197,7 @@ ranks AS (SELECT portal, notice_id, token, sum(CAST(weight AS DOUBLE) * tf / (tf
 terms AS (SELECT DISTINCT query_id, q, token FROM {stems_sql(f"SELECT query_id, q, unnest({WORDS_SQL.format('q')}) AS word FROM asked")}),
 need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY ALL),
 hits AS (SELECT query_id, portal, notice_id, count(*) AS n, sum(rank) AS rank FROM ranks JOIN terms USING (token) GROUP BY ALL),
-matched AS (SELECT query_id, portal, notice_id, rank / need AS text_rank FROM hits JOIN need USING (query_id) WHERE n = need),
+matched AS (SELECT query_id, portal, notice_id, rank / need AS text_rank FROM hits JOIN need USING (query_id) WHERE {match}),
 found AS (SELECT m.query_id, m.portal, m.notice_id, (CASE WHEN lower(m.notice_id) = q THEN 1000 ELSE 0 END) + (CASE WHEN lower(title) = q THEN 500 ELSE 0 END) + (CASE WHEN starts_with(lower(m.notice_id), q) THEN 200 ELSE 0 END)
   + round(100 * coalesce(text_rank, 0), 6) AS score
   FROM (SELECT query_id, portal, notice_id, text_rank FROM matched UNION ALL
@@ -211,16 +214,53 @@ GRAMS_SQL = """list_distinct(flatten(list_transform({}, lambda w: list_transform
 INDEX_SQL = index_sql()
 
 
-@query(f"WITH {INDEX_SQL} SELECT query_id, portal, notice_id, CAST(round(score, 3) AS DOUBLE) AS score FROM found")
+def _scores(rows):
+    return rows.select("query_id", "portal", "notice_id", F.round("score", 3).alias("score"))
+
+
+FOUND_SQL = "SELECT query_id, portal, notice_id, CAST(round(score, 3) AS DOUBLE) AS score FROM found"
+
+
+@query(f"WITH {INDEX_SQL} {FOUND_SQL}")
 def fulltext_search(spark, d):
-    return search.fulltext_search(views.documents(spark, d), asked(spark, d)).select("query_id", "portal", "notice_id", F.round("score", 3).alias("score"))
+    notices, index = views.indexed_documents(spark, d)
+    return _scores(search.fulltext_search(notices, asked(spark, d), index))
+
+
+@query(f"WITH {INDEX_SQL} {FOUND_SQL}")
+def fulltext_scan(spark, d):
+    """The same without an index."""
+    return _scores(search.fulltext_search(views.documents(spark, d), asked(spark, d)))
+
+
+@query(f"""WITH {index_sql("(SELECT * FROM documents_n WHERE portal <> (SELECT min(source) FROM documents))")} {FOUND_SQL}""")
+def index_updates(spark, d):
+    """An index of other texts, after two batches: inserts and updates bring the documents' own, and a source expires."""
+    now = views.documents(spark, d)
+    kind = F.pmod(F.xxhash64("notice_id"), F.lit(3))
+    root = f"{views.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = text_index.build(spark, root, now.where(kind > 0).withColumn("description", F.when(kind == 1, F.reverse("description")).otherwise(F.col("description"))))
+    index.update(0, now.where(kind < 2))
+    gone = now.join(now.agg(F.min("portal").alias("least")), F.col("portal") == F.col("least")).select("portal", "notice_id")
+    index.update(1, now.where("false"), gone)
+    return _scores(search.fulltext_search(now.join(gone, ["portal", "notice_id"], "left_anti"), asked(spark, d), index))
+
+
+@query(f"""WITH {index_sql(match="true")} SELECT query_id, portal, notice_id, rank FROM (SELECT f.*, CAST(row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, published DESC NULLS LAST, f.portal, f.notice_id) AS INTEGER) AS rank
+    FROM found f JOIN documents_n n ON n.portal = f.portal AND n.notice_id = f.notice_id) WHERE rank <= 10""")
+def search_any(spark, d):
+    """The ten best notices with any word of a query; shards that cannot hold one of them are not read."""
+    notices, index = views.indexed_documents(spark, d)
+    found = search.fulltext_search(notices, asked(spark, d), index, match="any", best=10)
+    return alerts.top_per_group(found, ["query_id"], [F.desc("score"), F.desc_nulls_last("published"), F.col("portal"), F.col("notice_id")], 10).select("query_id", "portal", "notice_id", "rank")
 
 
 @query(f"""WITH {INDEX_SQL}, ranked AS (SELECT f.query_id, f.portal, f.notice_id, count(*) OVER (PARTITION BY f.query_id) AS total_count,
     row_number() OVER (PARTITION BY f.query_id ORDER BY round(score, 3) DESC, published DESC NULLS LAST, f.portal, f.notice_id) AS rank FROM found f JOIN documents_n n ON n.portal = f.portal AND n.notice_id = f.notice_id)
     SELECT query_id, portal, notice_id, CAST(rank AS INTEGER) AS rank, total_count, CAST(ceil(total_count / 5.0) AS BIGINT) AS pages FROM ranked WHERE rank BETWEEN 6 AND 10""")
 def ranked_page(spark, d):
-    found = search.fulltext_search(views.documents(spark, d), asked(spark, d)).withColumn("score", F.round("score", 3))
+    notices, index = views.indexed_documents(spark, d)
+    found = search.fulltext_search(notices, asked(spark, d), index).withColumn("score", F.round("score", 3))
     return search.ranked_page(found, page=2, limit=5).select("query_id", "portal", "notice_id", "rank", "total_count", "pages")
 
 
@@ -261,12 +301,14 @@ def similar_titles(spark, d):
     SELECT coalesce(f.query_id, s.query_id) AS query_id, coalesce(f.portal, s.portal) AS portal, coalesce(f.notice_id, s.notice_id) AS notice_id, CAST(round(coalesce(score, tier) + coalesce(part, 0), 3) AS DOUBLE) AS score
     FROM found f FULL JOIN sims s ON f.query_id = s.query_id AND f.portal = s.portal AND f.notice_id = s.notice_id""")
 def fuzzy_search(spark, d):
-    return search.fuzzy_search(views.documents(spark, d), asked(spark, d)).select("query_id", "portal", "notice_id", F.round("score", 3).alias("score"))
+    notices, index = views.indexed_documents(spark, d)
+    return _scores(search.fuzzy_search(notices, asked(spark, d), index))
 
 
 @query(f"WITH {INDEX_SQL} SELECT query_id, portal, notice_id, tier, score FROM tiers")
 def tiered_search(spark, d):
-    return search.tiered_search(views.documents(spark, d), asked(spark, d)).select("query_id", "portal", "notice_id", "tier", F.round("score", 3).alias("score"))
+    notices, index = views.indexed_documents(spark, d)
+    return search.tiered_search(notices, asked(spark, d), index=index).select("query_id", "portal", "notice_id", "tier", F.round("score", 3).alias("score"))
 
 
 @query(r"""WITH n AS (SELECT page_id, url AS q, trim(regexp_replace(regexp_replace(lower(url), '[^\p{L}\p{N}\s/_\-.]', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM pages
@@ -314,7 +356,8 @@ def search_text(spark, d):
     """Text queries that are narrowed to two portals each."""
     portals = [r[0] for r in table(spark, d, "documents").select("source").distinct().orderBy("source").limit(2).collect()]
     queries = asked(spark, d).withColumn("portals", F.array(*map(F.lit, portals)))
-    found = search.search(views.documents(spark, d), queries, as_of(), limit=100)
+    notices, index = views.indexed_documents(spark, d)
+    found = search.search(notices, queries, as_of(), limit=100, index=index)
     return found.select("query_id", "portal", "notice_id", "total_count", "mode")
 
 
@@ -486,19 +529,24 @@ def keyword_lists(spark, d):
 
 # Alerts
 
-NAMED_SQL = """named AS (SELECT p_brand AS portal, CAST(p_partkey AS VARCHAR) AS notice_id, p_name AS title, p_partkey AS published FROM part),
-subs AS (SELECT c_custkey AS user_id, [['red', 'blue', 'widget', 'bolt', 'ring'][CAST(c_nationkey % 5 + 1 AS INTEGER)], ['small ring', 'gear', 'plate', 'green'][CAST(c_nationkey % 4 + 1 AS INTEGER)]] AS keywords, c_acctbal > 0 AS active FROM customer)"""
+WIDE = "\uff12"  # a full-width digit that compatibility normalisation makes a 2
+NAMED_SQL = f"""named AS (SELECT p_brand AS portal, 'P/' || p_partkey AS notice_id, p_name AS title, p_partkey AS published, CASE p_partkey % 4 WHEN 0 THEN TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY WHEN 1 THEN NULL ELSE TIMESTAMP '{AS_OF}' + to_days(CAST(p_partkey % 50 AS INTEGER)) END AS closing FROM part),
+subs AS (SELECT c_custkey AS user_id, [['red', 'blue', 'Widget', 'bolt', 'ring'][CAST(c_nationkey % 5 + 1 AS INTEGER)], ['small ring', 'gear', 'plate', 'green'][CAST(c_nationkey % 4 + 1 AS INTEGER)], ['p/1', 'P/{WIDE}', 'P/3', 'P/40', 'P/77'][CAST(c_nationkey % 5 + 1 AS INTEGER)]] AS keywords, c_acctbal > 0 AS active FROM customer)"""
 
 
 def _subscriptions(spark, d):
     pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("c_nationkey") % len(words) + 1).cast("int"))
     c = table(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("user_id"), F.array(pick(["red", "blue", "widget", "bolt", "ring"]), pick(["small ring", "gear", "plate", "green"])).alias("keywords"), (F.col("c_acctbal") > 0).alias("active"), F.lit(None).cast("string").alias("delivery_email"))
+    keywords = F.array(pick(["red", "blue", "Widget", "bolt", "ring"]), pick(["small ring", "gear", "plate", "green"]), pick(["p/1", f"P/{WIDE}", "P/3", "P/40", "P/77"]))
+    return c.select(F.col("c_custkey").alias("user_id"), keywords.alias("keywords"), (F.col("c_acctbal") > 0).alias("active"), F.lit(None).cast("string").alias("delivery_email"))
 
 
 def _named(spark, d):
+    """Part names as notices, some closed and some undated, with their index."""
     p = table(spark, d, "part")
-    return p.select(F.col("p_brand").alias("portal"), F.col("p_partkey").cast("string").alias("notice_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("published"), F.lit(None).cast("timestamp").alias("closing"), F.concat(F.lit("https://example.org/"), F.col("p_partkey")).alias("url"))
+    closing = F.when(F.col("p_partkey") % 4 == 0, as_of() - F.expr("interval 1 day")).when(F.col("p_partkey") % 4 > 1, as_of() + F.make_dt_interval((F.col("p_partkey") % 50).cast("int")))
+    rows = p.select(F.col("p_brand").alias("portal"), F.concat(F.lit("P/"), "p_partkey").alias("notice_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("published"), closing.alias("closing"), F.concat(F.lit("https://example.org/"), F.col("p_partkey")).alias("url"))
+    return views.indexed(spark, d, "named", rows)
 
 
 @query(f"WITH {NAMED_SQL} SELECT DISTINCT user_id, unnest(keywords) AS keyword FROM subs WHERE active")
@@ -506,30 +554,34 @@ def live_subscriptions(spark, d):
     return alerts.keyword_rows(_subscriptions(spark, d))
 
 
-MATCH_SQL = f"""WITH {NAMED_SQL}, kw AS (SELECT DISTINCT unnest(keywords) AS keyword FROM subs WHERE active),
-terms AS (SELECT keyword, unnest(string_split(keyword, ' ')) AS token FROM kw), need AS (SELECT keyword, count(*) AS need FROM terms GROUP BY ALL),
-words AS (SELECT portal, notice_id, unnest(string_split(title, ' ')) AS token FROM named), tf AS (SELECT portal, notice_id, token, count(*) AS tf FROM words GROUP BY ALL),
+MATCH_SQL = f"""WITH {NAMED_SQL}, kw AS (SELECT keyword, replace(lower(keyword), '{WIDE}', '2') AS q FROM (SELECT DISTINCT unnest(keywords) AS keyword FROM subs WHERE active)),
+live AS (SELECT * FROM named WHERE closing IS NULL OR closing >= TIMESTAMP '{AS_OF}'),
+refs AS (SELECT keyword, portal, notice_id, CASE WHEN lower(notice_id) = q THEN 18000.0 ELSE 8000.0 END AS score, published FROM kw JOIN live ON contains(lower(notice_id), q) WHERE contains(q, '/')),
+plain AS (SELECT * FROM kw WHERE keyword NOT IN (SELECT keyword FROM refs)),
+terms AS (SELECT keyword, unnest(string_split(q, ' ')) AS token FROM plain), need AS (SELECT keyword, count(*) AS need FROM terms GROUP BY ALL),
+words AS (SELECT portal, notice_id, unnest(string_split(title, ' ')) AS token FROM live), tf AS (SELECT portal, notice_id, token, count(*) AS tf FROM words GROUP BY ALL),
 hits AS (SELECT keyword, portal, notice_id, count(*) AS n, sum(CAST(tf AS DOUBLE) / (tf + 1)) AS rank FROM tf JOIN terms USING (token) GROUP BY ALL),
-scored AS (SELECT keyword, h.portal, h.notice_id, (CASE WHEN lower(title) = keyword THEN 500 ELSE 0 END) + round(100 * rank / need, 6) AS score, published FROM hits h JOIN need USING (keyword) JOIN named m ON m.portal = h.portal AND m.notice_id = h.notice_id WHERE n = need),
-grams AS (SELECT DISTINCT title, {GRAMS_SQL.format(WORDS_SQL.format('title'))} AS g FROM named),
-fuzzy AS (SELECT keyword, title, len(list_intersect(a.g, b.g)) AS c, len(a.g) AS x, len(b.g) AS y FROM grams a, (SELECT keyword, {GRAMS_SQL.format(WORDS_SQL.format('keyword'))} AS g FROM kw WHERE keyword NOT IN (SELECT keyword FROM scored)) b),
-every AS (SELECT keyword, portal, notice_id, score, published FROM scored UNION ALL SELECT keyword, portal, notice_id, round(10 * c / (x + y - c), 6), published FROM fuzzy JOIN named USING (title) WHERE c / (x + y - c) > 0.2),
+scored AS (SELECT keyword, h.portal, h.notice_id, (CASE WHEN lower(title) = q THEN 500 ELSE 0 END) + round(100 * rank / need, 6) AS score, published FROM hits h JOIN need USING (keyword) JOIN kw USING (keyword) JOIN live m ON m.portal = h.portal AND m.notice_id = h.notice_id WHERE n = need),
+grams AS (SELECT DISTINCT title, {GRAMS_SQL.format(WORDS_SQL.format('title'))} AS g FROM live),
+fuzzy AS (SELECT keyword, title, len(list_intersect(a.g, b.g)) AS c, len(a.g) AS x, len(b.g) AS y FROM grams a, (SELECT keyword, {GRAMS_SQL.format(WORDS_SQL.format('q'))} AS g FROM plain WHERE keyword NOT IN (SELECT keyword FROM scored)) b),
+every AS (SELECT * FROM refs UNION ALL SELECT keyword, portal, notice_id, score, published FROM scored UNION ALL SELECT keyword, portal, notice_id, round(10 * c / (x + y - c), 6), published FROM fuzzy JOIN live USING (title) WHERE c / (x + y - c) > 0.2),
 matches AS (SELECT keyword, portal, notice_id FROM every QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY score DESC, published DESC NULLS LAST, portal, notice_id) <= 20),
 users AS (SELECT DISTINCT user_id, portal, notice_id FROM (SELECT user_id, unnest(keywords) AS keyword FROM subs WHERE active) JOIN matches USING (keyword)),
-sent AS (SELECT o_custkey AS user_id, p_brand AS portal, CAST(p_partkey AS VARCHAR) AS notice_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)
+sent AS (SELECT o_custkey AS user_id, p_brand AS portal, 'P/' || p_partkey AS notice_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)
 """
 
 
 @query(MATCH_SQL + "SELECT * FROM matches")
 def alert_matches(spark, d):
-    return alerts.keyword_matches(_named(spark, d), alerts.keyword_rows(_subscriptions(spark, d))).select("keyword", "portal", "notice_id")
+    notices, index = _named(spark, d)
+    return alerts.keyword_matches(notices, alerts.keyword_rows(_subscriptions(spark, d)), as_of(), index=index).select("keyword", "portal", "notice_id")
 
 
 def _fresh(spark, d):
-    subs, named = _subscriptions(spark, d), _named(spark, d)
+    subs, (named, index) = _subscriptions(spark, d), _named(spark, d)
     sent = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    sent = sent.select(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("portal"), F.col("p_partkey").cast("string").alias("notice_id"))
-    return alerts.unsent(alerts.user_matches(subs, alerts.keyword_matches(named, alerts.keyword_rows(subs))), sent)
+    sent = sent.select(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("portal"), F.concat(F.lit("P/"), "p_partkey").alias("notice_id"))
+    return alerts.unsent(alerts.user_matches(subs, alerts.keyword_matches(named, alerts.keyword_rows(subs), as_of(), index=index)), sent)
 
 
 @query(MATCH_SQL + "SELECT user_id, portal, notice_id FROM users WHERE (user_id, portal, notice_id) NOT IN (SELECT user_id, portal, notice_id FROM sent)")
@@ -544,11 +596,11 @@ def alert_totals(spark, d):
 
 @query(MATCH_SQL + """, fresh AS (SELECT * FROM users WHERE (user_id, portal, notice_id) NOT IN (SELECT user_id, portal, notice_id FROM sent))
     SELECT user_id, CAST(count(*) AS INTEGER) AS n_notices, count(*) || ' new notice' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' matching your alerts' AS subject,
-      string_agg('- [' || portal || '] ' || title || ' (closes unknown) - https://example.org/' || notice_id, chr(10) ORDER BY portal, notice_id) AS body, c_name AS address
+      string_agg('- [' || portal || '] ' || title || ' (closes ' || coalesce(strftime(closing, '%Y-%m-%d'), 'unknown') || ') - https://example.org/' || substring(notice_id, 3), chr(10) ORDER BY portal, notice_id) AS body, c_name AS address
     FROM fresh JOIN named USING (portal, notice_id) JOIN customer ON c_custkey = user_id GROUP BY user_id, c_name""")
 def alert_digest(spark, d):
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"), F.lit(None).cast("string").alias("delivery_email"))
-    return alerts.digests(_fresh(spark, d), users, _named(spark, d)).select("user_id", "n_notices", "subject", "body", "address")
+    return alerts.digests(_fresh(spark, d), users, _named(spark, d)[0]).select("user_id", "n_notices", "subject", "body", "address")
 
 
 @query(f"""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type, event_id) <= 100""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored tables of a session: ``spark.checkpoint.dir``."""
+    from ..sources.store import cut
+
+    cut(spark.range(1))  # sets the folder where a local session has none
+    return spark.sparkContext.getCheckpointDir()
+
+
+_indexed: dict[tuple, tuple] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, name: str, notices: DataFrame) -> tuple:
+    """(table, index): ``notices`` as a stored table with its text index, in the shared folder; written once in a session."""
+    from ..operators.text_index import build
+
+    own = (spark.sparkContext.applicationId, sf_dir, name)
+    if own not in _indexed:
+        root = f"{shared_folder(spark)}/indexed-{uuid.uuid4().hex}"
+        notices.write.parquet(f"{root}/table")
+        stored = spark.read.schema(notices.schema).parquet(f"{root}/table")
+        _indexed[own] = stored, build(spark, f"{root}/index", stored)
+    return _indexed[own]
+
+
+def indexed_documents(spark: SparkSession, sf_dir: str) -> tuple:
+    return indexed(spark, sf_dir, "documents", documents(spark, sf_dir))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated notices from orders, their customers and nations."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))

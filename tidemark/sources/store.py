@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.text import KNOWN_PORTALS, slug
 from ..operators.lifecycle import insert_missing, orphans
@@ -56,80 +56,69 @@ def legacy_import(current: DataFrame, legacy: DataFrame, portal_name: str, known
     return insert_missing(current, legacy.withColumn("portal", slug(F.col(portal_name), known)).select(current.columns), keys)
 
 
-POINTER = "number long, tables array<struct<name:string,schema:string,keys:array<string>,n_buckets:int,parts:array<struct<folder:string,buckets:array<int>>>>>"
+#: ``batch`` is the last batch of a table's change feed (``sources/feed.py``) that its folder holds, -1 for none.
+POINTER = "number long, tables array<struct<name:string,schema:string,folder:string,batch:long>>"
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) for calls that Spark's readers and writers do not have."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what stands in a folder, none where there is no folder."""
+    files, path = hadoop_path(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
 
 
 def current(spark: SparkSession, root: str) -> Row | None:
-    """The published pointer with the greatest number, None before the first one."""
-    try:
-        return spark.read.schema(POINTER).json(f"{root}/pointers/*").orderBy(F.desc("number")).first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    """The published pointer with the greatest number, None before the first one. Only that file is read, and one without content is passed over."""
+    for name in reversed(names_in(spark, f"{root}/pointers")):
+        row = spark.read.schema(POINTER).json(f"{root}/pointers/{name}").first()
+        if row and row["number"] is not None:
+            return row
+    return None
 
 
 def _publish(spark: SparkSession, root: str, entries: list[dict]) -> int:
-    """Readers see all tables change at once: a pointer is a new folder, and the one before stays until then and after."""
+    """Readers see all tables change at once. A pointer's file is created only if there is none of its number: of two writers one fails."""
     before = current(spark, root)
     number = (before["number"] if before else 0) + 1
-    named = {e["name"]: e for e in ([t.asDict(True) for t in before["tables"]] if before else [])} | {e["name"]: e for e in entries}
-    row = spark.createDataFrame([(number, list(named.values()))], POINTER)
-    row.coalesce(1).write.json(f"{root}/pointers/{number:012d}")  # an error if another writer was first
+    named = {e["name"]: e for e in ([t.asDict() for t in before["tables"]] if before else [])} | {e["name"]: e for e in entries}
+    files, path = hadoop_path(spark, f"{root}/pointers/{number:012d}.json")
+    out = files.create(path, False)
+    out.write((json.dumps({"number": number, "tables": list(named.values())}) + "\n").encode())
+    out.close()
     return number
 
 
-def bucket_of(keys: list[str], n: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-
-
-def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame], buckets: dict[str, tuple[list[str], int]] | None = None) -> int:
+def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: int = -1) -> int:
     """Writes tables into a new folder, then publishes them; other tables stay as they are. Returns the version's number.
 
-    ``buckets`` names the tables that are dealt into so many buckets by their keys, which ``update_buckets`` can replace one by one.
+    ``batch`` is the last batch of their change feeds that the tables hold already.
     """
     entries = []
     for name, df in tables.items():
         folder = f"{root}/v-{uuid.uuid4().hex}/{name}"
-        keys, n = (buckets or {}).get(name, (None, None))
-        if keys:
-            df.withColumn("bucket", bucket_of(keys, n)).repartition("bucket").write.partitionBy("bucket").parquet(folder)
-        else:
-            df.write.parquet(folder)
-        parts = [{"folder": folder, "buckets": list(range(n)) if keys else None}]
-        entries.append({"name": name, "schema": df.schema.json(), "keys": keys, "n_buckets": n, "parts": parts})
+        df.write.parquet(folder)
+        entries.append({"name": name, "schema": df.schema.json(), "folder": folder, "batch": batch})
     return _publish(spark, root, entries)
 
 
-def _entry(spark: SparkSession, root: str, name: str) -> dict:
+def published(spark: SparkSession, root: str, name: str) -> Row:
+    """The pointer's entry of a table."""
     pointer = current(spark, root)
-    found = [t for t in (pointer["tables"] if pointer else []) if t["name"] == name]
-    if not found:
-        raise ValueError(f"{root} has no published table {name}")
-    return found[0].asDict(True)
-
-
-def update_buckets(spark: SparkSession, root: str, name: str, df: DataFrame, touched: list[int]) -> int:
-    """Replaces the ``touched`` buckets of a bucketed table by ``df``, their new rows, and publishes; other files stay."""
-    entry, folder = _entry(spark, root, name), f"{root}/v-{uuid.uuid4().hex}/{name}"
-    df.withColumn("bucket", bucket_of(entry["keys"], entry["n_buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(folder)
-    kept = [{"folder": p["folder"], "buckets": [b for b in p["buckets"] if b not in set(touched)]} for p in entry["parts"]]
-    return _publish(spark, root, [entry | {"parts": [p for p in kept if p["buckets"]] + [{"folder": folder, "buckets": sorted(touched)}]}])
-
-
-def read_version(spark: SparkSession, root: str, name: str, buckets: list[int] | None = None) -> DataFrame:
-    """A published table, or the named buckets of it."""
-    entry = _entry(spark, root, name)
-    schema, found = StructType.fromJson(json.loads(entry["schema"])), []
-    for part in entry["parts"]:
-        if part["buckets"] is None:
-            found.append(spark.read.schema(schema).parquet(part["folder"]))
-            continue
-        own = part["buckets"] if buckets is None else sorted(set(part["buckets"]) & set(buckets))
-        if own:
-            whole = spark.read.schema(StructType(schema.fields + [StructField("bucket", IntegerType())])).parquet(part["folder"])
-            found.append(whole.where(F.col("bucket").isin(own)).drop("bucket"))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+    for entry in pointer["tables"] if pointer else []:
+        if entry["name"] == name:
+            return entry
+    raise ValueError(f"{root} has no published table {name}")
+
+
+def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A published table, without its change feed."""
+    entry = published(spark, root, name)
+    return spark.read.schema(StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["folder"])
 
 
 def export_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
