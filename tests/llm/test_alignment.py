@@ -63,25 +63,25 @@ def test_rows_equal_by_hand(spark):
     assert got == dict(enumerate(by_hand(own)))
 
 
-def test_long_groups(monkeypatch):
-    """Groups whose distinct ids meet give the links that all their tokens give."""
-    own = [t for t in texts() if t][:40]
-    tool = alignment.Aligner(A, B)
-    expected = [alignment.irregular_links(a, b, *groups, irregular(tool, a, b, *groups)) for a, b, groups in aligned(tool, own)]
-    monkeypatch.setattr(alignment, "BLOCK_PAIRS", 0)
-    again = [alignment.irregular_links(a, b, *groups, irregular(tool, a, b, *groups)) for a, b, groups in aligned(tool, own)]
-    for (pairs, times), (found, others) in zip(expected, again):
-        assert dict(zip(pairs.tolist(), times.tolist())) == dict(zip(found.tolist(), others.tolist()))
-
-
-def aligned(tool, own):
-    for pair in tool.encode([t.encode() for t in own]):
-        if pair is not None:
-            yield *pair, tool.groups(*pair)
+def test_long_groups_and_many_blocks():
+    """Groups whose distinct ids meet give the links that all their tokens give, and a block its documents', however they come."""
+    import pyarrow as pa
 
-
-def irregular(tool, a, b, group_a, group_b):
-    return (np.bincount(group_a) > 1) | (np.bincount(group_b) > 1)
+    tool = alignment.Aligner(A, B)
+    own = [t.encode() for t in texts() if t][:60]
+    numbers, a, ends_a, b, ends_b = tool.encode(own)
+    group_a, group_b = tool.groups(a, b)
+    doc = np.repeat(numbers, np.diff(ends_a, prepend=0))
+    mixed = (np.bincount(group_a) > 1) | (np.bincount(group_b) > 1)
+    every = [alignment.irregular_links(a, b, doc, group_a, group_b, mixed, alignment.WIDE_A * tool.n_b, most) for most in (10**9, 3, 0)]
+    for keys, times in every:
+        assert dict(zip(keys.tolist(), times.tolist())) == dict(zip(every[0][0].tolist(), every[0][1].tolist()))
+    one, several = alignment.Block(0), alignment.Block(0)
+    one.add(pa.nulls(len(own), pa.int64()), own, tool)
+    for t in own:
+        several.add(pa.nulls(1, pa.int64()), [t], tool)
+    last = [list(x.batches(tool))[-1].to_pylist() for x in (one, several)]
+    assert last[0] == last[1] and pa.Table.from_batches(one.rows) == pa.Table.from_batches(several.rows).combine_chunks()
 
 
 def test_edges(spark):

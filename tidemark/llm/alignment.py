@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, utf8, worker_slot
 from .tokens import VISIBLE, Encoder, gathered, valid_texts
 
-#: Bytes of text, and links between irregular groups' tokens, after which a block ends.
-BLOCK_BYTES, BLOCK_PAIRS = 8 << 20, 4_000_000
+#: Bytes of text, and distinct pairs of its documents, after which a block ends.
+BLOCK_BYTES, BLOCK_PAIRS = 8 << 20, 2_000_000
+#: Links of a group, beyond which its distinct ids meet and their times are multiplied.
+LONG_GROUP = 1_000_000
 #: Chunks of text whose pieces a worker remembers.
-CACHE_CHUNKS = 300_000
-#: A pair is one number: A's id times this, and B's.
-WIDE = 1 << 32
+CACHE_CHUNKS = 500_000
 
-DOC = "block long, row long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, regular binary, regular_times binary, pairs binary, pair_times binary"
-BLOCK = "block_regular binary, block_regular_docs binary, block_pairs binary, block_pair_docs binary"
+COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
+PACKED = ["regular", "regular_times", "pairs", "pair_times", "own_regular", "own_regular_docs", "own_pairs", "own_pair_docs"]
+ROW = f"block long, at int, id long, {' long, '.join(COUNTS)} long, groups_sha256 string, {' binary, '.join(PACKED)} binary"
 
 
 class Pieces:
@@ -47,10 +49,26 @@ class Pieces:
             raise ValueError("a piece holds a space after another character: texts cannot be cut there")
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.model.piece_to_id("▁")
-        self.known: dict[bytes, np.ndarray] = {}
+        self.forget()
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and where each text's end."""
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes, self.whole = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes chunks, and notes whether their pieces' bytes are theirs."""
+        # The model puts a space before what it gets, but not before nothing.
+        ids = self.model.encode([w[1:].decode() for w in words], num_threads=1)
+        ids = [x if len(w) > 1 else [self.space] for w, x in zip(words, ids, strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.number.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes, self.flat = np.append(self.sizes, sizes), np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+        piece = self.bytes.__getitem__
+        self.whole = np.append(self.whole, np.fromiter((b"".join(map(piece, x)) == w for w, x in zip(words, ids, strict=True)), bool, len(words)))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, where each text's end, and whether their bytes are the text's."""
         raw = b"".join(texts)
         data = np.frombuffer(raw, np.uint8)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
@@ -61,18 +79,16 @@ class Pieces:
         starts = np.flatnonzero(cut)
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > CACHE_CHUNKS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        # The model puts a space before what it gets, but not before nothing.
-        found = self.model.encode([w[1:].decode() for w in new], num_threads=1) if new else []
-        self.known.update((w, np.array(ids if len(w) > 1 else [self.space], np.int32)) for w, ids in zip(new, found, strict=True))
-        own = list(map(self.known.__getitem__, words))
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        place = coded.indices.to_numpy()
-        ids, stops = gathered(np.concatenate(own), (np.cumsum(sizes) - sizes)[place], sizes[place])
-        last = np.searchsorted(starts, ends, side="left") - 1
-        return ids, stops[last]
+        if len(self.number) + len(words) > CACHE_CHUNKS:
+            self.forget()
+        known = self.number
+        new = [w for w in words if w not in known]
+        if new:
+            self.learn(new)
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        ids, stops = gathered(self.flat, self.starts[place], self.sizes[place])
+        first = np.searchsorted(starts, np.append(0, ends[:-1]))
+        return ids, stops[np.append(first[1:], len(starts)) - 1], np.logical_and.reduceat(self.whole[place], first)
 
 
 class Aligner:
@@ -82,37 +98,46 @@ class Aligner:
         self.a = Encoder(path_a, "byte", 0, plain=True)
         self.b = Pieces(path_b)
         self.bytes_a = token_bytes(self.a.tokenizer)
+        if self.a.tokenizer.normalizer is not None or not {bytes([x]) for x in range(256)} <= set(self.bytes_a):
+            raise ValueError("the tokens of A must have the bytes of any text")
         by_bytes = {piece: i for i, piece in enumerate(self.b.bytes)}  # a piece of its own rather than a byte of fallback
         self.same = np.array([by_bytes.get(t, -1) for t in self.bytes_a], np.int64)
         self.long_a, self.long_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.b.bytes))
-        a, b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.b.bytes))
-        self.written = [f"{x}," for x in a] + [f"{x}|" for x in a] + [f"{x}," for x in b] + [f"{x};" for x in b]
-
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """A's and B's ids of each text with a space before it, None where there is no text or the tokens' bytes are not the text's."""
+        self.n_a, self.n_b = len(self.bytes_a), len(self.b.bytes)
+        # Each id in decimal and the sign after it, as one row of bytes: A's ids before , and |, B's before , and ;.
+        written = [f"{i}{sign}".encode() for size, signs in ((self.n_a, ",|"), (self.n_b, ",;")) for sign in signs for i in range(size)]
+        self.digits = np.fromiter(map(len, written), np.int64, len(written))
+        wide = int(self.digits.max())
+        self.written = np.frombuffer(b"".join(w.ljust(wide, b" ") for w in written), np.uint8).reshape(-1, wide)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(texts' numbers, A's ids, where each text's end, B's ids, where each text's end) of the texts that have tokens: those whose tokens' bytes are the text's, with a space before it."""
         spaced = [b" " + t for t in texts]
-        flat_a, ends_a = self.a.encode(spaced)
-        flat_b, ends_b = self.b.encode(spaced)
-        at_a = at_b = 0
-        for text, end_a, end_b in zip(spaced, ends_a.tolist(), ends_b.tolist(), strict=True):
-            a, b = flat_a[at_a : end_a - 1].astype(np.int64), flat_b[at_b:end_b].astype(np.int64)  # the encoder ends each text by an id
-            at_a, at_b = end_a, end_b
-            whole = len(text) > 1 and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == text and b"".join(map(self.b.bytes.__getitem__, b.tolist())) == text
-            yield (a, b) if whole else None
+        (a, ends_a), (b, ends_b, whole) = self.a.encode(spaced), self.b.encode(spaced)
+        keep = whole & (np.fromiter(map(len, texts), np.int64, len(texts)) > 0)
+        numbers = np.flatnonzero(keep)
+        starts_a, starts_b = np.append(0, ends_a[:-1]), np.append(0, ends_b[:-1])
+        size_a, size_b = (ends_a - starts_a - 1)[numbers], (ends_b - starts_b)[numbers]  # the encoder ends each text by an id
+        a, ends_a = gathered(a, starts_a[numbers], size_a)
+        b, ends_b = gathered(b, starts_b[numbers], size_b)
+        return numbers, a.astype(np.int64), ends_a, b.astype(np.int64), ends_b
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The group of each token of A and of B, from 0."""
+        """The group of each token of A and of B, from 0; texts one after the other end groups, as both end there."""
         ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
         cut_a, cut_b = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
         return np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
 
-    def digest(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
+    def digests(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[str]:
+        """The SHA-256 of each text's groups as text."""
         last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
         order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + np.where(last_a, len(self.bytes_a), 0)
-        order[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = 2 * len(self.bytes_a) + b + np.where(last_b, len(self.b.bytes), 0)
-        written = "".join(map(self.written.__getitem__, order.tolist()))
-        return hashlib.sha256(written[:-1].encode()).hexdigest()
+        order[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + np.where(last_a, self.n_a, 0)
+        order[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = 2 * self.n_a + b + np.where(last_b, self.n_b, 0)
+        sizes = self.digits[order]
+        text = self.written[order][np.arange(self.written.shape[1]) < sizes[:, None]].tobytes()
+        stops = np.cumsum(sizes)[ends_a + ends_b - 1].tolist()
+        return [hashlib.sha256(memoryview(text)[at : stop - 1]).hexdigest() for at, stop in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 def token_bytes(tokenizer) -> list[bytes]:
@@ -122,74 +147,96 @@ def token_bytes(tokenizer) -> list[bytes]:
     return [added.get(i) or bytes(map(value.__getitem__, tokenizer.id_to_token(i))) for i in range(tokenizer.get_vocab_size())]
 
 
-def irregular_links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, irregular: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, times): all pairs of a token of A and one of B of the same group, for the groups that are ``irregular``."""
+def irregular_links(a: np.ndarray, b: np.ndarray, doc_a: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, irregular: np.ndarray, wide: int, long_group: int = LONG_GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """(document and pair, times): all pairs of a token of A and one of B of the same group, for the groups that are ``irregular``.
+
+    A pair is A's id times the size of B's vocabulary, and B's; a document's number times ``wide`` is added. Long groups repeat their ids: their distinct ones meet.
+    """
     n_a, n_b = np.bincount(group_a, minlength=len(irregular)), np.bincount(group_b, minlength=len(irregular))
-    own = np.flatnonzero(irregular[group_a])
+    size_b = wide // WIDE_A
+    stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+    long = irregular & (n_a * n_b > long_group)
+    own = np.flatnonzero((irregular & ~long)[group_a])
     each = n_b[group_a[own]]
-    if not len(own):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if each.sum() > BLOCK_PAIRS:
-        # Long groups repeat their ids: a group's distinct ones meet, and their times are multiplied.
-        found: dict[int, int] = {}
-        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-        for g in np.flatnonzero(irregular).tolist():
-            (x, nx), (y, ny) = (np.unique(ids[stop[g] - n[g] : stop[g]], return_counts=True) for ids, stop, n in ((a, stop_a, n_a), (b, stop_b, n_b)))
-            for i, times in zip(x.tolist(), nx.tolist(), strict=True):
-                for j, t in zip((i * WIDE + y).tolist(), (times * ny).tolist(), strict=True):
-                    found[j] = found.get(j, 0) + t
-        return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-    partner, _ = gathered(b, (np.cumsum(n_b) - n_b)[group_a[own]], each)
-    return np.unique(np.repeat(a[own], each) * WIDE + partner, return_counts=True)
+    partner, _ = gathered(b, (stop_b - n_b)[group_a[own]], each)
+    keys, times = np.unique(np.repeat(doc_a[own] * wide + a[own] * size_b, each) + partner, return_counts=True)
+    found = [(keys, times)]
+    for g in np.flatnonzero(long).tolist():
+        (x, nx), (y, ny) = (np.unique(ids[stop[g] - n[g] : stop[g]], return_counts=True) for ids, stop, n in ((a, stop_a, n_a), (b, stop_b, n_b)))
+        found.append(((doc_a[stop_a[g] - 1] * wide + x[:, None] * size_b + y).ravel(), (nx[:, None] * ny).ravel()))
+    return found[0] if len(found) == 1 else summed(*map(np.concatenate, zip(*found, strict=True)))
+
+
+#: More than A's ids: documents' numbers stand above all pairs.
+WIDE_A = 1 << 20
+
+
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct key with the sum of its times."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(times, first) if len(keys) else times
 
 
 class Block:
-    """Rows of the documents at hand, and what they add to the corpus's counts."""
+    """Documents one after the other: a row for each, and one with what all of them hold and add to the corpus's counts."""
 
     def __init__(self, number: int):
-        self.number, self.rows, self.bytes, self.links = number, [], 0, 0
-        self.regular: list[np.ndarray] = []
-        self.pairs: list[np.ndarray] = []
-
-    def add(self, row: int, doc_id, tokens: tuple[np.ndarray, np.ndarray] | None, tool: Aligner, size: int) -> None:
-        self.bytes += size
-        if tokens is None:
-            self.rows.append((self.number, row, doc_id, 0, 0, 0, 0, "", b"", b"", b"", b""))
-            return
-        a, b = tokens
-        group_a, group_b = tool.groups(a, b)
-        n_groups = int(group_a[-1]) + 1
-        n_a, n_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-        alone = (n_a == 1) & (n_b == 1)
-        ones_a, ones_b = a[alone[group_a]], b[alone[group_b]]
-        # Groups of one token each have the same bytes; several ids may have them, too, as bytes of fallback have.
-        plain = tool.same[ones_a] == ones_b
-        irregular = ~alone
-        irregular[np.flatnonzero(alone)[~plain]] = True
-        regular, times = np.unique(ones_a[plain], return_counts=True)
-        pairs, pair_times = irregular_links(a, b, group_a, group_b, irregular)
-        new = pairs
-        if len(pairs):
-            # A pair that the document has in a regular group, too, counts once.
-            ids = pairs // WIDE
-            new = pairs[~((tool.same[ids] == pairs % WIDE) & np.isin(ids, regular))]
-        self.regular.append(regular)
-        self.pairs.append(new)
-        self.links += len(pairs)
-        texts = (regular.astype("<u4"), times.astype("<i8"), pairs.astype("<i8"), pair_times.astype("<i8"))
-        self.rows.append((self.number, row, doc_id, len(a), len(b), n_groups, int((n_a * n_b).sum()), tool.digest(a, b, group_a, group_b), *[packed(x) for x in texts]))
+        self.number, self.bytes, self.n_pairs, self.n_docs = number, 0, 0, 0
+        self.rows: list[pa.RecordBatch] = []
+        self.regular: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: pa.Array, texts: list[bytes], tool: Aligner) -> None:
+        first, count = self.n_docs, len(texts)
+        self.n_docs += count
+        self.bytes += sum(map(len, texts))
+        table, digests = np.zeros((4, count), np.int64), [""] * count
+        numbers, a, ends_a, b, ends_b = tool.encode(texts)
+        if len(numbers):
+            wide = WIDE_A * tool.n_b
+            group_a, group_b = tool.groups(a, b)
+            last = group_a[ends_a - 1]  # of each document
+            n_groups = int(last[-1]) + 1
+            doc = np.repeat(numbers + first, np.diff(last, prepend=-1))  # of each group
+            n_a, n_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+            alone = (n_a == 1) & (n_b == 1)
+            ones_a, ones_b = a[alone[group_a]], b[alone[group_b]]
+            # Groups of one token each have the same bytes; several ids may have them, too, as bytes of fallback have.
+            plain = tool.same[ones_a] == ones_b
+            irregular = ~alone
+            irregular[np.flatnonzero(alone)[~plain]] = True
+            self.regular.append(np.unique(doc[alone][plain] * WIDE_A + ones_a[plain], return_counts=True))
+            self.pairs.append(irregular_links(a, b, doc[group_a], group_a, group_b, irregular, wide))
+            self.n_pairs += len(self.pairs[-1][0])
+            starts = np.append(0, last[:-1] + 1)
+            table[:, numbers] = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0), np.diff(last, prepend=-1), np.add.reduceat(n_a * n_b, starts)
+            for n, d in zip(numbers.tolist(), tool.digests(a, b, group_a, group_b, ends_a, ends_b), strict=True):
+                digests[n] = d
+        place = [pa.array(np.full(count, self.number)), pa.array(np.arange(first, self.n_docs, dtype=np.int32))]
+        self.rows.append(batch_of([*place, ids, *map(pa.array, table), pa.array(digests, pa.string()), *[pa.nulls(count, pa.binary())] * len(PACKED)]))
 
     def full(self) -> bool:
-        return self.bytes >= BLOCK_BYTES or self.links >= BLOCK_PAIRS
+        return self.bytes >= BLOCK_BYTES or self.n_pairs >= BLOCK_PAIRS
+
+    def batches(self, tool: Aligner) -> Iterator[pa.RecordBatch]:
+        yield from self.rows
+        wide = WIDE_A * tool.n_b
+        none = (np.empty(0, np.int64),) * 2
+        regular, pairs = (tuple(map(np.concatenate, zip(*x, strict=True))) if x else none for x in (self.regular, self.pairs))  # documents come in order
+        own = np.unique(regular[0] % WIDE_A, return_counts=True)
+        # A pair that a document has in a regular group, too, counts once.
+        pair, a = pairs[0] % wide, pairs[0] % wide // tool.n_b
+        namesake = np.flatnonzero(tool.same[a] == pair % tool.n_b)
+        twice = np.isin(pairs[0][namesake] // wide * WIDE_A + a[namesake], regular[0])
+        own_pairs = np.unique(np.delete(pair, namesake[twice]), return_counts=True)
+        last = [pa.array([packed(x)], pa.binary()) for part in (regular, pairs, own, own_pairs) for x in part]
+        yield batch_of([pa.array([self.number]), *[pa.nulls(1, t) for t in (pa.int32(), *[pa.int64()] * 5, pa.string())], *last])
+
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """The documents' rows, then one with the block's counts."""
-        counts = [np.unique(np.concatenate(x), return_counts=True) if x else (np.empty(0, np.int64),) * 2 for x in (self.regular, self.pairs)]
-        last = [packed(x.astype(t)) for pair, kind in zip(counts, ("<u4", "<i8"), strict=True) for x, t in zip(pair, (kind, "<i8"), strict=True)]
-        schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in f"{DOC}, {BLOCK}".split(", "))])
-        rows = [r + (None,) * 4 for r in self.rows] + [(self.number,) + (None,) * 11 + tuple(last)]
-        for at in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 2000], strict=True), schema, strict=True)], schema=schema)
+def batch_of(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ROW.split(", ")])
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -211,22 +258,19 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``DOC`` of every document, and one row of ``BLOCK`` for each block of them."""
+    """A row of every document (``at``, its number in its block, and its counts), and one of each block (without ``at``) with the columns of ``PACKED``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, first = aligner(path_a, path_b), TaskContext.get().partitionId() << 40
-        row, block = first, Block(first)
+        tool = aligner(path_a, path_b)
+        block = Block(TaskContext.get().partitionId() << 40)
         for batch in small_batches(batches, 1 << 20):
-            texts = valid_texts(batch.column(1))
-            for doc_id, text, tokens in zip(batch.column(0).to_pylist(), texts, tool.encode(texts), strict=True):
-                block.add(row, doc_id, tokens, tool, len(text))
-                row += 1
-                if block.full():
-                    yield from block.batches()
-                    block = Block(block.number + 1)
-        yield from block.batches()
+            block.add(batch.column(0), valid_texts(batch.column(1)), tool)
+            if block.full():
+                yield from block.batches(tool)
+                block = Block(block.number + 1)
+        yield from block.batches(tool)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(run, f"{DOC}, {BLOCK}")
+    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(run, ROW)
 
 
 def _listed(rows: DataFrame, keys: str, values: str, names: tuple[str, str]) -> DataFrame:
@@ -243,22 +287,22 @@ def _listed(rows: DataFrame, keys: str, values: str, names: tuple[str, str]) ->
     return rows.select("block", keys, values).mapInArrow(run, f"block long, {names[0]} long, {names[1]} long")
 
 
-def pair_counts(rows: DataFrame, same: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def pair_counts(rows: DataFrame, same: np.ndarray, n_b: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """The irregular pairs of each block with their counts (block, pair, n); and two vectors over A's ids: the count of an id with its namesake of B, and its greatest with any.
 
     Vectors are as long as the vocabulary, whatever the corpus.
     """
-    ends = rows.where("row is null")
+    ends = rows.where("at is null")
     vector = np.zeros(len(same), np.int64)
-    for r in _listed(ends, "block_regular", "block_regular_docs", ("a", "docs")).groupBy("a").agg(F.sum("docs").alias("n")).collect():
+    for r in _listed(ends, "own_regular", "own_regular_docs", ("a", "docs")).groupBy("a").agg(F.sum("docs").alias("n")).collect():
         vector[r["a"]] = r["n"]
-    own = stored(_listed(ends, "block_pairs", "block_pair_docs", ("pair", "docs")), "alignment-pairs")
-    irregular = stored(own.groupBy("pair").agg(F.sum("docs").alias("n")), "alignment-counts")
+    own = stored(_listed(ends, "own_pairs", "own_pair_docs", ("pair", "docs")), "alignment-pairs")
     spark = rows.sparkSession
     # What regular groups add to pairs that irregular groups have, too.
-    known = spark.createDataFrame(pa.table({"pair": np.arange(len(same))[same >= 0] * WIDE + same[same >= 0], "regular": vector[same >= 0]}))
-    total = irregular.join(F.broadcast(known), "pair", "left").select("pair", (F.col("n") + F.coalesce("regular", F.lit(0))).alias("n"), F.col("regular").isNotNull().alias("namesake"))
-    best, best_of = vector.copy(), total.groupBy(F.expr(f"pair div {WIDE}").alias("a")).agg(F.max("n").alias("most"), F.max(F.when(F.col("namesake"), F.col("n"))).alias("same"))
+    known = spark.createDataFrame(pa.table({"pair": np.flatnonzero(same >= 0) * n_b + same[same >= 0], "regular": vector[same >= 0]}))
+    irregular = own.groupBy("pair").agg(F.sum("docs").alias("n")).join(F.broadcast(known), "pair", "left")
+    total = stored(irregular.select("pair", (F.col("n") + F.coalesce("regular", F.lit(0))).alias("n"), F.col("regular").isNotNull().alias("namesake")), "alignment-counts")
+    best, best_of = vector.copy(), total.groupBy(F.expr(f"pair div {n_b}").alias("a")).agg(F.max("n").alias("most"), F.max(F.when(F.col("namesake"), F.col("n"))).alias("same"))
     for r in best_of.collect():
         best[r["a"]] = max(best[r["a"]], r["most"])
         vector[r["a"]] = r["same"] or vector[r["a"]]
@@ -275,26 +319,33 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
     rows = stored(blocks(docs, path_a, path_b, id_col, text_col), "alignment-blocks")
     tool = Aligner(path_a, path_b)
-    counts, vector, best = pair_counts(rows, tool.same)
+    n_b, wide = tool.n_b, WIDE_A * tool.n_b
+    counts, vector, best = pair_counts(rows, tool.same, n_b)
     shared = docs.sparkSession.sparkContext.broadcast((vector, best))
+    del tool
     out = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         vector, best = shared.value
-        pair, n = (right.column(c).to_numpy() for c in ("pair", "n"))
-        order = np.argsort(pair)
-        pair, n = np.append(pair[order], -1), np.append(n[order], 0)
-        n_best, total = [], []
-        for packs in zip(*[left.column(c) for c in ("regular", "regular_times", "pairs", "pair_times")], strict=True):
-            a, t, p, u = (unpacked(x.as_py()) for x in packs)
-            # A pair that only stands beside a regular one of the same document is not among the block's.
-            at = np.searchsorted(pair[:-1], p)
-            count = np.where(pair[at] == p, n[at], vector[p // WIDE])
-            total.append(int((t * vector[a]).sum() + (u * count).sum()))
-            n_best.append(int(t[vector[a] == best[a]].sum() + u[count == best[p // WIDE]].sum()))
-        whole = [left.column(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")]
-        return pa.Table.from_arrays([*whole, pa.array(n_best, pa.int64()), pa.array(total, pa.int64()), left.column("groups_sha256")], [c.split()[0] for c in out.split(", ")])
-
-    each = rows.where("row is not null").select(*[c.split()[0] for c in DOC.split(", ")])
-    found = each.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(settle, out)
+        at = left.column("at").combine_chunks()
+        ends, left = left.filter(at.is_null()), left.filter(at.is_valid())
+        regular, times, pairs, pair_times = (unpacked(ends.column(c)[0].as_py()) for c in PACKED[:4])
+        known, n = (right.column(c).to_numpy() for c in ("pair", "n"))
+        order = np.argsort(known)
+        known, n = np.append(known[order], -1), np.append(n[order], 0)
+        a, pair = regular % WIDE_A, pairs % wide
+        # A pair that only stands beside a regular one of the same document is not among the block's.
+        found = np.searchsorted(known[:-1], pair)
+        count = np.where(known[found] == pair, n[found], vector[pair // n_b])
+        where, size = np.append(regular // WIDE_A, pairs // wide), left.num_rows
+        each, of = np.append(times, pair_times), np.append(vector[a], count)
+        top = of == np.append(best[a], best[pair // n_b])
+        total, n_best = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        np.add.at(total, where, each * of)
+        np.add.at(n_best, where, each * top)
+        mine = left.column("at").to_numpy()
+        whole = [left.column(c) for c in ("id", *COUNTS)]
+        return pa.Table.from_arrays([*whole, pa.array(n_best[mine]), pa.array(total[mine]), left.column("groups_sha256")], [c.split()[0] for c in out.split(", ")])
+
+    found = rows.select("block", "at", "id", *COUNTS, "groups_sha256", *PACKED[:4]).groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(settle, out)
     return found.withColumnRenamed("id", id_col)
