@@ -32,8 +32,8 @@ from .near_copies import shingles
 
 #: Values of the first and of the second sketch, and the probability that a pair at the threshold shares too few of them.
 SKETCH, WIDE, MISS = 64, 1024, 2e-6
-#: Rounds of hubs at most, as long as they find links and the pairs left exceed this many for each list entry.
-HUB_ROUNDS, PAIRS_EACH = 8, 4
+#: Rounds of hubs at most, as long as so large a share of their pairs are links and the pairs left exceed this many for each list entry.
+HUB_ROUNDS, LINKED, PAIRS_EACH = 8, 0.2, 4
 
 
 def least_shared(similarity: float, k: int = SKETCH, miss: float = MISS) -> int:
@@ -169,10 +169,11 @@ def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         # Of all hubs in its lists, the one that a node shares most of them with.
         overlap = met.groupBy(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.label").alias("src"), F.col("b.label").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
         pairs = overlap.groupBy("a").agg(F.max_by(F.struct("b", "src", "dst"), F.struct("c", "b")).alias("p")).select("a", "p.*")
-        links = confirmed(stored(pairs, "minhash-hubs"), wide, grams, least)
-        if links.isEmpty():
-            break
+        pairs = stored(pairs, "minhash-hubs")
+        links = confirmed(pairs, wide, grams, least)
         labels = stored(relabelled(labels, links), "minhash-labels")
+        if links.count() < LINKED * pairs.count():
+            break
     labelled = stored(shared.join(labels, "set"), "minhash-labelled")
     pairs = labelled.alias("a").join(labelled.alias("b"), "value").where("a.set < b.set and a.label <> b.label").where(possible)
     pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.label").alias("src"), F.col("b.label").alias("dst")).distinct()
