@@ -6,7 +6,9 @@ once, so a page that was fetched a thousand times is not a template). Subtrees t
 of a host's pages are deleted from them, and so are elements whose kind says that they are not
 article text: menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments. A class or an id
 says so only if all its words do (``related-posts``, not ``share-price``) or if most of the element's text
-is links, and never for an element that holds the page's article or, without one, most of its paragraphs.
+is links, and never for an element that holds the page's article or, without one, most of its paragraphs; nor is a
+form or a dialog dropped that does, as whole sites stand in one. Reader comments without such a name are known by their structure:
+similar children, each with a date and something said, after the article's text.
 
 Paragraphs, headings, lists and tables inside a page's article are kept even when they recur:
 passages that articles quote from each other are text, not template.
@@ -15,8 +17,10 @@ passages that articles quote from each other are text, not template.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -36,22 +40,25 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
-DROPPED = set(
-    "head script style title textarea xmp iframe noembed noframes noscript template svg math canvas audio video object "
-    "nav footer aside form button select datalist dialog menu search".split()
-)
-ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
+#: Elements that never hold an article.
+DROPPED = set("head script style title textarea xmp iframe noembed noframes noscript template svg math canvas audio video object button select datalist".split())
+#: Elements and roles beside an article, and such that may hold it.
+BESIDE = set("nav footer aside menu navigation banner contentinfo complementary alert menubar toolbar tablist".split())
+HOLDERS = set("form dialog search alertdialog".split())
 WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended recommendations comments comment disqus replies "
-    "pagination pager toolbar widget widgets skip".split()
+    "subscribe subscription signup login share sharing social related recommended recommendations comments comment disqus replies reply respond "
+    "pagination pager toolbar widget widgets skip copyright".split()
 )
 #: Words that say nothing beside those.
 FILLERS = set(
     "list box block container wrapper wrap section area top bottom left right primary secondary main page site global inner outer content bar "
-    "link links button buttons icon icons item items post posts article articles form panel js".split()
+    "link links button buttons icon icons item items post posts article articles form panel js user users reader readers slot slots unit thread tree "
+    "body entry count meta holder row col div".split()
 )
+#: Whole names that say so though none of their words does.
+NAMES = set("topbar top-bar pagenumbers page-numbers back-to-top".split())
 #: Share of links in an element's text that makes it a menu.
 LINKED = 0.5
 #: Inside an article these hold its text.
@@ -60,8 +67,13 @@ PROSE = set("article main p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol li dl
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 #: ... but not across these.
 SCOPES = set("ul ol dl table tbody thead tfoot select article section div body html main".split())
-#: Parts that the rows of a hot host or menu are dealt into.
-SALTS = 16
+#: Rows of a host or of a menu that one task takes.
+SALT_ROWS = 50_000
+#: A date or the age of an entry, in an element of at most so many characters.
+DATED = re.compile(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}:\d{2}|\b(?:19|20)\d{2}\b|\b\d+\s*(?:s|m|min|h|d|sec|minute|hour|day|week|month|year)s?\s+ago\b|\b(?:yesterday|today)\b", re.I)
+SHORT = 60
+#: Characters without which a form is no page's text, if the page has no paragraphs.
+LEAST_HELD = 400
 PARAGRAPH_ENDS = BLOCKS - {"option", "optgroup"}
 
 
@@ -73,40 +85,65 @@ class Page:
     names: list[str] = field(default_factory=lambda: [""])
     parents: list[int] = field(default_factory=lambda: [-1])
     dropped: list[bool] = field(default_factory=lambda: [False])
+    beside: list[bool] = field(default_factory=lambda: [False])  # in an element of ``BESIDE``
     inside: list[bool] = field(default_factory=lambda: [False])  # in an article or main element
     parts: list[list] = field(default_factory=lambda: [[]])
     text: list[tuple[int, str | None]] = field(default_factory=list)  # (element, text); None ends a block
+    holders: list[int] = field(default_factory=list)  # elements of ``HOLDERS``
     named: list[tuple[int, bool]] = field(default_factory=list)  # elements with a word of ``WORDS``, and whether whole names say so
 
 
-def _ruled(tag: str, attributes: str, inside: bool) -> tuple[bool, bool | None, str]:
-    """Whether its kind drops an element, what its names say (None, or whether a whole name says so), and the attributes that count for its hash."""
+@lru_cache(100_000)
+def split_name(word: str) -> tuple[str, ...]:
+    """The known words that a joined name consists of, as few as it can; the name itself if there are none such."""
+    best: list[tuple[str, ...] | None] = [()] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - 16), end - 1):
+            piece, before = word[start:end], best[start]
+            if before is not None and (piece in WORDS or piece in FILLERS or piece == "header") and (best[end] is None or len(before) + 1 < len(best[end])):
+                best[end] = (*before, piece)
+    return best[-1] if best[-1] and len(word) <= 40 else (word,)
+
+
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[str, bool | None, str]:
+    """What its kind makes of an element (dropped, beside, holder or nothing), what its names say (None, or whether a whole name says so), and the attributes that count for its hash."""
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
     name = f"{found.get('class', '')}#{found.get('id', '')}"
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True, None, name
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, None, name
-    if found.get("role", "").lower() in ROLES:
-        return True, None, name
+    if tag in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+        return "dropped", None, name
+    role = found.get("role", "").lower()
+    if tag in BESIDE or role in BESIDE or (tag == "header" and not inside):
+        return "beside", None, name
+    if tag in HOLDERS or role in HOLDERS:
+        return "holder", None, name
     said = None
     if len(name) > 1:
         for own in f"{found.get('class', '')} {found.get('id', '')}".split():
-            words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", own).lower()) if w]
-            if any(w in WORDS or (w == "header" and not inside) for w in words):
-                said = bool(said) or all(w in WORDS or w in FILLERS or w == "header" for w in words)
-    return False, said, name
+            plain = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", own).lower()
+            words = [x for w in re.split(r"[^a-z]+", plain) if w for x in split_name(w)]
+            if plain in NAMES or any(w in WORDS or (w == "header" and not inside) for w in words):
+                said = bool(said) or plain in NAMES or all(w in WORDS or w in FILLERS or w == "header" for w in words)
+    return "", said, name
 
 
 def parse(html: str) -> Page:
-    """Lenient parse in one pass; unclosed and crossed elements end where browsers end them, roughly."""
+    """Lenient parse in one pass; unclosed and crossed elements end where browsers end them, roughly.
+
+    Each open element's place on the stack is known by its tag, so an end that matches nothing costs nothing, however deep the page is.
+    """
     page = Page()
     stack = [0]
+    places: dict[str, list[int]] = {}  # tag: where it is open on the stack
+    scopes: list[int] = []
     at, size = 0, len(html)
 
     def close(to: int) -> None:
         while len(stack) > to:
-            if page.tags[stack.pop()] in BLOCKS:
+            tag = page.tags[stack.pop()]
+            places[tag].pop()
+            if tag in SCOPES:
+                scopes.pop()
+            if tag in BLOCKS:
                 page.text.append((stack[-1], None))
 
     while at < size:
@@ -121,30 +158,29 @@ def parse(html: str) -> Page:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[k]] == tag:
-                    close(k)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
+            elif tag == "p":  # an empty paragraph
+                page.text.append((stack[-1], None))
             continue
         if tag in PARAGRAPH_ENDS or tag in ENDS:
             ends = ENDS.get(tag, set()) | ({"p"} if tag in PARAGRAPH_ENDS else set())
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = page.tags[stack[k]]
-                if open_tag in ends:
-                    close(k)
-                    break
-                if open_tag in SCOPES:
-                    break
+            last = max((places[t][-1] for t in ends if places.get(t)), default=0)
+            if last > (scopes[-1] if scopes else 0):
+                close(last)
         parent = stack[-1]
-        ruled, said, name = _ruled(tag, m[3], page.inside[parent])
+        kind, said, name = _kind(tag, m[3], page.inside[parent])
         new = len(page.tags)
         page.tags.append(tag)
         page.names.append(name)
         page.parents.append(parent)
-        page.dropped.append(ruled or page.dropped[parent])
-        page.inside.append(not page.dropped[new] and (page.inside[parent] or tag in ("article", "main")))
+        page.dropped.append(kind == "dropped" or page.dropped[parent])
+        page.beside.append(kind == "beside" or page.beside[parent])
+        page.inside.append(not page.dropped[new] and not page.beside[new] and (page.inside[parent] or tag in ("article", "main")))
         page.parts.append([])
         page.parts[parent].append(new)
+        if kind == "holder":
+            page.holders.append(new)
         if said is not None:
             page.named.append((new, said))
         if tag in BLOCKS:
@@ -157,46 +193,95 @@ def parse(html: str) -> Page:
             at = end.end() if end else size
             page.parts[new].append(content)
         elif tag not in VOID and not m[3].endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append(new)
     close(1)
-    _drop_named(page)
+    _decide(page)
     return page
 
 
-def _drop_named(page: Page) -> None:
-    """Drops the elements whose names say that they are not the article, and menus beside an article."""
+def _decide(page: Page) -> None:
+    """Drops what is not the article, in a fixed number of passes over the elements: by kind, by name, menus beside an article, reader comments."""
     count = len(page.tags)
     article = next((k for k in range(count) if page.inside[k] and page.tags[k] in ("article", "main")), 0)
-    beside = {k for k, piece in page.text if piece and not page.inside[k] and not page.dropped[k] and not piece.isspace()} if article else set()
-    if not page.named and not beside:
-        return
-    last, text, linked, prose = list(range(count)), [0] * count, [0] * count, [0] * count
+    last, text, linked, prose, aside = list(range(count)), [0] * count, [0] * count, [0] * count, [False] * count
     for k, piece in page.text:
-        if piece and not page.dropped[k]:
-            text[k] += len(piece.strip())
+        if piece and not page.dropped[k] and not page.beside[k]:
+            n = len(piece.strip())
+            text[k] += n
+            aside[k] = aside[k] or bool(n and not page.inside[k])
     for k in range(count - 1, 0, -1):  # children come after their parents
         linked[k] = text[k] if page.tags[k] == "a" else linked[k]
         prose[k] = text[k] if page.tags[k] == "p" else prose[k]
         up = page.parents[k]
         last[up] = max(last[up], last[k])
-        text[up], linked[up], prose[up] = text[up] + text[k], linked[up] + linked[k], prose[up] + prose[k]
+        text[up], linked[up], prose[up], aside[up] = text[up] + text[k], linked[up] + linked[k], prose[up] + prose[k], aside[up] or aside[k]
     dropped = page.dropped
+    holds = lambda k: k <= article <= last[k] if article else 2 * prose[k] > prose[0]
+    for k in range(1, count):
+        dropped[k] = dropped[k] or page.beside[k]
+    for k in page.holders:
+        most = not article and not prose[0] and 2 * text[k] > text[0] and text[k] - linked[k] >= LEAST_HELD
+        dropped[k] = dropped[k] or not (holds(k) or most)
     for k, whole in page.named:
         own = page.tags[k] in ("html", "body") or (page.tags[k] in ("article", "main") and not page.inside[page.parents[k]])
-        holds = k <= article <= last[k] if article else 2 * prose[k] > prose[0]
-        if not own and not holds and (whole or linked[k] > LINKED * text[k]):
+        if not own and not holds(k) and (whole or linked[k] > LINKED * text[k]):
             dropped[k] = True
     if article:
-        for k in {page.parents[k] if page.tags[k] == "a" else k for k in beside}:
-            # The outermost element beside the article that is a menu.
-            while k > 0 and not k <= article <= last[k] and page.tags[k] not in ("html", "body"):
-                if linked[k] > LINKED * text[k]:
-                    dropped[k] = True
-                k = page.parents[k]
+        for k in range(1, count):
+            # A menu beside the article; a link alone is none.
+            if aside[k] and page.tags[k] not in ("html", "body", "a") and not k <= article <= last[k] and linked[k] > LINKED * text[k]:
+                dropped[k] = True
+    for k in range(1, count):
+        dropped[k] = dropped[k] or dropped[page.parents[k]]
+    for k in reader_comments(page, article, last, text):
+        dropped[k] = True
     for k in range(1, count):
         dropped[k] = dropped[k] or dropped[page.parents[k]]
 
 
+def reader_comments(page: Page, article: int, last: list[int], text: list[int]) -> list[int]:
+    """Elements that hold reader comments: two children or more, most of one tag and name, each with a short dated element and more text beside it.
+
+    They stand after most of the page's other text; a list that nothing stands before is an index of articles.
+    """
+    count = len(page.tags)
+    own, before, total = [""] * count, [0] * count, 0
+    for k, piece in page.text:
+        if piece and not page.dropped[k]:
+            total += len(piece.strip())
+            if len(own[k]) <= SHORT:
+                own[k] += piece
+    dated = [False] * count
+    for k in range(count - 1, 0, -1):
+        if not page.dropped[k] and (page.tags[k] == "time" or (text[k] <= SHORT and DATED.search(own[k]))):
+            dated[k] = True
+    # Whether an element holds a dated one and has text beside it.
+    inner = [0] * count
+    for k in range(count - 1, 0, -1):
+        up = page.parents[k]
+        inner[up] += text[k] if dated[k] else inner[k]
+    bylined = [not dated[k] and 0 < inner[k] < text[k] for k in range(count)]
+    seen, at = 0, 0
+    for k, piece in page.text:  # the text before each element
+        while at <= k:
+            before[at] = seen
+            at += 1
+        if piece and not page.dropped[k]:
+            seen += len(piece.strip())
+    found = []
+    for k in range(1, count):
+        if page.dropped[k] or page.tags[k] in ("html", "body", "table", "tbody", "tr", "dl") or k <= article <= last[k]:
+            continue
+        kids = [x for x in page.parts[k] if isinstance(x, int) and page.tags[x] in BLOCKS and not page.dropped[x]]
+        alike = Counter((page.tags[x], page.names[x]) for x in kids if bylined[x])
+        if alike and alike.most_common(1)[0][1] >= max(2, 0.8 * len(kids)) and 2 * before[k] > total - text[k]:
+            found.append(k)
+    return found
+
+
 def subtree_hashes(page: Page) -> list[int]:
     """64-bit hash of each element's tag, class, id and content, white space aside; children before parents."""
     out = [0] * len(page.tags)
@@ -265,15 +350,22 @@ def templates(pages: DataFrame, html_col: str, url_col: str, least_pages: int, s
     # Distinct pages first: partial sums shrink a host's rows before they meet.
     counts = parts.groupBy("host", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = stored(counts.where("hash is null or n >= 3"), "html-counts")  # what recurs, and one row for each host
-    sizes = _over_salts(counts.where("hash is null").select("host", F.col("n").alias("pages")))
-    recurring = counts.where("hash is not null").withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
+    most = counts.groupBy("host").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0]
+    salts = salts_of(most)
+    sizes = _over_salts(counts.where("hash is null").select("host", F.col("n").alias("pages")), salts)
+    recurring = counts.where("hash is not null").withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
     common = recurring.join(sizes, ["host", "salt"]).where(F.col("n") >= needed_pages(F.col("pages"), least_pages, share, most_pages))
-    return parts.where("hash is not null and not ruled").select("key", "host", "hash").distinct(), common.select("host", "hash")
+    return parts.where("hash is not null and not ruled").select("key", "host", "hash").distinct(), common.select("host", "hash", "n")
+
+
+def salts_of(rows: int | None) -> int:
+    """Parts that so many rows of one key are dealt into."""
+    return 1 + (rows or 0) // SALT_ROWS
 
 
-def _over_salts(rows: DataFrame) -> DataFrame:
+def _over_salts(rows: DataFrame, salts: int) -> DataFrame:
     """Each row once for every salt, to meet a hot key's rows that are dealt over them."""
-    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", least_pages: int = 8, share: float = 0.05, most_pages: int = 200) -> DataFrame:
@@ -284,9 +376,11 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", leas
     Null html gives an empty text, a null url the empty host. Equal rows get equal texts; other columns are kept.
     """
     parts, common = templates(pages, html_col, url_col, least_pages, share, most_pages)
-    # A menu stands on all pages of a host: its rows are dealt over salts.
-    found = parts.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(_over_salts(common), ["host", "hash", "salt"])
-    kept = [c for c in pages.columns if c != "text"]
+    # A menu stands on all pages of a host: its rows are dealt over salts, as many as the most frequent one asks for.
+    common = stored(common, "html-templates")
+    salts = salts_of(common.agg(F.max("n")).first()[0])
+    found = parts.withColumn("salt", F.pmod("key", F.lit(salts)).cast("int")).join(_over_salts(common.drop("n"), salts), ["host", "hash", "salt"])
+    kept = [c for c in pages.columns if c.lower() != "text"]
     key, gone, source = (free_name(n, pages.columns) for n in ("key", "gone", "source"))
     # Only pages with something to delete; where that is small Spark itself broadcasts it and html is not shuffled.
     hits = stored(found.groupBy(F.col("key").alias(key)).agg(F.collect_set("hash").alias(gone)), "html-deletions")
