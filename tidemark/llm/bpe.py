@@ -241,8 +241,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
                 out.append(looked_up(own.values.to_numpy(zero_copy_only=False), ranks_path)[0].tobytes())
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(out, pa.binary())], [*(names[i] for i in kept), "decoded"])
 
-    kept = [i for i, n in enumerate(names) if n != "decoded"]
-    dtypes = [x for x in encoded.dtypes if x[0] != "decoded"]
+    kept = [i for i, n in enumerate(names) if n.lower() != "decoded"]
+    dtypes = [x for x in encoded.dtypes if x[0].lower() != "decoded"]
     given = "".join(f"`{n}` {t}, " for n, t in dtypes)
     return encoded.mapInArrow(run, f"{given}decoded binary")
 

@@ -240,20 +240,22 @@ def sample(docs: DataFrame, keep: Column, id_col: str, text_col: str, lang_col:
     """(lang, text) of a bounded sample of the rows that ``keep`` admits and that have a text and a language; and all rows of each language.
 
     Each language is drawn by itself: the rows with the least hashes of id and text, at most ``SAMPLE_ROWS`` of them, as many as
-    have ``SAMPLE_CHARS`` characters together (repeated rows share a hash, and may leave fewer). Texts that alone are longer are left out. Ties of the hash are broken by the id.
+    have ``SAMPLE_CHARS`` characters together. Rows that repeat an id and its text count once, and cost others nothing. Texts that alone are longer are left out. Ties of the hash are broken by the id.
     """
     rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    spread = rows.withColumn("spread", F.xxhash64("id", "text")).where(F.length("text") <= SAMPLE_CHARS)
+    spread = rows.withColumn("spread", F.xxhash64("id", "text"))
+    counted = spread.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("spread").alias("different")).collect()
+    sizes, different = ({r["lang"]: r[c] for r in counted} for c in ("n", "different"))
+    spread = spread.where(F.length("text") <= SAMPLE_CHARS)
     # Four times the rows that may stay, by the hash alone, so that few are ranked.
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * SAMPLE_ROWS / n))]) if sizes else F.lit(None)
+    share = F.create_map(*[F.lit(x) for lang, n in different.items() for x in (lang, min(1.0, 4 * SAMPLE_ROWS / n))]) if sizes else F.lit(None)
     spread = spread.where(F.col("spread") / 2.0**64 + 0.5 <= share[F.col("lang")]) if sizes else spread
     order = Window.partitionBy("lang").orderBy("spread", "id")
     # Only hashes and lengths are ranked, and each task keeps no more than ``SAMPLE_ROWS`` of a language before the shuffle.
-    ranked = spread.select("lang", "spread", "id", F.length("text").alias("chars")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
+    ranked = spread.select("lang", "spread", "id", F.length("text").alias("chars")).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
     held = ranked.withColumn("sum", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= SAMPLE_CHARS)
     last = held.groupBy("lang").agg(F.max("spread").alias("last"))
-    return spread.join(F.broadcast(last), "lang").where("spread <= last").select("lang", "text"), sizes
+    return spread.join(F.broadcast(last), "lang").where("spread <= last").select("lang", "id", "text").distinct().select("lang", "text"), sizes
 
 
 def train(docs: DataFrame, keep: Column, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 4, smooth: float = 0.05) -> Model:
@@ -307,7 +309,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: li
     A null text or one without letters gets ``und`` and 0. Ties go to the language that comes
     first in the alphabet. Kept columns named lang_pred or score are replaced.
     """
-    names = [c for c in keep_cols or [] if c not in ("lang_pred", "score")]
+    names = [c for c in keep_cols or [] if c.lower() not in ("lang_pred", "score")]
     source = docs.select(*[F.col(f"`{c}`") for c in names], utf8(text_col).alias(free_name("text", names)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

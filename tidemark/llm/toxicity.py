@@ -135,21 +135,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str,
     """A bounded sample (text, label) of the labelled rows that ``keep`` admits.
 
     It holds the rows with the least hashes of id and text, as many as keep both bounds, so it does not
-    depend on partitions or on the order of rows. Texts longer than ``SAMPLE_CHARS`` are left out. Ids with contradicting labels, null ids and null labels are left out.
+    depend on partitions or on the order of rows. Rows that repeat an id and its text count once, and cost others nothing. Texts longer than ``SAMPLE_CHARS`` are left out. Ids with contradicting labels, null ids and null labels are left out.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("top")).where("label = top")
     own = docs.where(keep).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Only lengths, and then only the sampled texts, take part in a join. Copies of a text enter on their own by their ids.
     own = own.withColumn("spread", F.shiftrightunsigned(F.xxhash64("id", "text"), 1)).where(F.length("text") <= SAMPLE_CHARS)
-    drawn = own.select("id", "spread", F.length("text").alias("chars")).join(known, "id").select("spread", "chars")
+    drawn = own.select("id", "spread", F.length("text").alias("chars")).distinct().join(known, "id").select("spread", "chars")
     first = drawn.orderBy("spread").limit(SAMPLE_ROWS + 1).toArrow()
     spread, chars = first.column("spread").to_numpy(), first.column("chars").to_numpy().astype(np.int64)
     fit_in = min(SAMPLE_ROWS, int(np.searchsorted(np.cumsum(chars), SAMPLE_CHARS, side="right")))
     if fit_in < len(spread):
         # Rows that share the hash of the first one left out stay out too.
         own = own.where(F.col("spread") < int(spread[fit_in]))
-    return own.join(known, "id").select("text", "label")
+    return own.select("id", "text").distinct().join(known, "id").select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: list
     sentences holds (start, end, score) in code points for every sentence with p >= 0.5.
     Null and empty texts get the score of one empty sentence. Kept columns named score or sentences are replaced.
     """
-    names = [c for c in keep_cols or [] if c not in ("score", "sentences")]
+    names = [c for c in keep_cols or [] if c.lower() not in ("score", "sentences")]
     source = docs.select(*[F.col(f"`{c}`") for c in names], utf8(text_col).alias(free_name("text", names)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
