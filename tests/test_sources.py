@@ -92,8 +92,11 @@ def test_visible_rows(spark):
 
 def test_snapshot_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(1, None, datetime(2026, 1, 1)), (2, "x", None)], "id long, name string, at timestamp")
-    assert store.export_snapshot({"a": df, "b": df.limit(0)}, str(tmp_path / "s")) == {"a": 2, "b": 0}
-    back = store.restore_snapshot(spark, str(tmp_path / "s"), ["a", "b", "missing"], confirm=True)
+    first, counts = store.export_snapshot({"a": df, "b": df.limit(0)}, str(tmp_path / "s"), {"a": ["id"]})
+    assert counts == {"a": 2, "b": 0}
+    later, _ = store.export_snapshot({"a": df}, str(tmp_path / "s"))
+    assert store.exports(spark, str(tmp_path / "s")) == [first, later] and store.exports(spark, str(tmp_path / "none")) == []
+    back = store.restore_snapshot(spark, first, ["a", "b", "missing"], confirm=True)
     assert set(back) == {"a", "b"} and sorted(back["a"].collect()) == sorted(df.collect()) and back["b"].schema == df.schema
 
 
@@ -153,13 +156,13 @@ def test_restored_tables_are_checked_and_published(spark, tmp_path):
     import pytest
 
     parents, children = spark.range(3), spark.createDataFrame([(1, 2), (2, None)], "id long, parent long")
-    store.export_snapshot({"parents": parents, "children": children}, str(tmp_path / "s"))
+    out, _ = store.export_snapshot({"parents": parents, "children": children}, str(tmp_path / "s"))
     names, refs, root = ["parents", "children", "missing"], [("children", "parent", "parents", "id")], str(tmp_path / "r")
-    assert store.publish_snapshot(spark, str(tmp_path / "s"), root, names, refs, confirm=True) == {"parents": 3, "children": 2}
+    assert store.publish_snapshot(spark, out, root, names, refs, confirm=True) == {"parents": 3, "children": 2}
     assert store.read_version(spark, root, "children").count() == 2
-    store.export_snapshot({"parents": parents.limit(0), "children": children}, str(tmp_path / "t"))
+    out, _ = store.export_snapshot({"parents": parents.limit(0), "children": children}, str(tmp_path / "t"))
     with pytest.raises(ValueError):
-        store.publish_snapshot(spark, str(tmp_path / "t"), root, names, refs, confirm=True)
+        store.publish_snapshot(spark, out, root, names, refs, confirm=True)
     assert store.read_version(spark, root, "parents").count() == 3
 
 

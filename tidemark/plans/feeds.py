@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.lifecycle import KEYS
 from ..sources import feed, html_feeds, json_feeds, store
@@ -178,15 +180,24 @@ def _folder(spark, name: str) -> str:
     return f"{views.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT 'customer' AS name, c_custkey AS key, c_name AS value FROM customer UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'exported', 1, CAST((SELECT count(*) FROM customer) AS VARCHAR) UNION ALL SELECT 'restored', 1, CAST((SELECT count(*) FROM nation) AS VARCHAR)")
+@query("""SELECT 'customer' AS name, c_custkey AS key, c_name AS value FROM customer UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'exported', 1, CAST((SELECT count(*) FROM customer) AS VARCHAR)
+    UNION ALL SELECT 'restored', 1, CAST((SELECT count(*) FROM nation) AS VARCHAR) UNION ALL SELECT 'unordered', 0, '0' UNION ALL SELECT 'folders', 2, '2026-01-02T03-04-05-000000'""")
 def snapshot_roundtrip(spark, d):
-    """Tables as JSON, restored, checked, published and read again; with the numbers of rows that both steps return."""
+    """The newer of two exports as JSON in the order of ids, restored, checked, published and read again; with the numbers of rows that both steps return."""
     out, root = _folder(spark, "export"), _folder(spark, "store")
-    counts = store.export_snapshot({t: table(spark, d, t) for t in ("nation", "customer")}, out)
-    back = store.publish_snapshot(spark, out, root, ["nation", "customer"], [("customer", "c_nationkey", "nation", "n_nationkey")], confirm=True)
+    tables, keys = {t: table(spark, d, t) for t in ("nation", "customer")}, {"nation": ["n_nationkey"], "customer": ["c_custkey"]}
+    store.export_snapshot({"nation": tables["nation"].where("n_nationkey > 3")}, out, keys, datetime(2025, 12, 31))
+    last, counts = store.export_snapshot({t: df.orderBy(F.desc(keys[t][0])) for t, df in tables.items()}, out, keys, datetime(2026, 1, 2, 3, 4, 5))
+    found = store.exports(spark, out)
+    back = store.publish_snapshot(spark, found[-1], root, ["nation", "customer"], [("customer", "c_nationkey", "nation", "n_nationkey")], confirm=True)
     rows = [store.read_version(spark, root, t).select(F.lit(t).alias("name"), F.col(k).cast("long").alias("key"), F.col(v).alias("value")) for t, k, v in (("customer", "c_custkey", "c_name"), ("nation", "n_nationkey", "n_name"))]
-    numbers = spark.createDataFrame([("exported", 1, str(counts["customer"])), ("restored", 1, str(back["nation"]))], "name string, key long, value string")
-    return store.union_sources([*rows, numbers])
+    # Rows that stand before a smaller id: in a file, or in one of a smaller name.
+    placed = spark.read.schema("c_custkey long").json(f"{last}/customer").select("c_custkey", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    within = placed.withColumn("before", F.lag("c_custkey").over(Window.partitionBy("file").orderBy("at"))).where("before > c_custkey").count()
+    files = placed.groupBy("file").agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")).orderBy("file").collect()
+    across = sum(a["high"] > b["low"] for a, b in zip(files, files[1:]))
+    numbers = [("exported", 1, str(counts["customer"])), ("restored", 1, str(back["nation"])), ("unordered", 0, str(within + across)), ("folders", len(found), last.rsplit("/", 1)[-1])]
+    return store.union_sources([*rows, spark.createDataFrame(numbers, "name string, key long, value string")])
 
 
 _stores: dict[tuple, tuple[str, str]] = {}

@@ -127,6 +127,32 @@ def legacy_import(spark, d):
     return store.legacy_import(current, legacy, "name", None, ["portal", "notice_id"])
 
 
+KNOWN_SQL = "known AS (SELECT unnest([" + ", ".join(f"{{'i': {i}, 'name': '{n}', 'key': '{k}'}}" for i, (n, k) in enumerate(text.KNOWN_PORTALS.items())) + "], recursive := true))"
+
+
+def _named_portals(spark, d):
+    """Customers with the name of a known portal, or of one that nobody knows."""
+    names = F.array(*map(F.lit, text.KNOWN_PORTALS))
+    name = F.try_element_at(names, (F.col("c_nationkey") + 1).cast("int"))
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("notice_id"), F.coalesce(name, F.concat(F.lit("New Portal "), "c_nationkey")).alias("name"), F.col("c_acctbal").alias("balance"))
+
+
+@query(f"""WITH {KNOWN_SQL}, rows AS (SELECT CAST(c_custkey AS VARCHAR) AS notice_id, coalesce(key, 'newportal' || c_nationkey) AS portal, c_acctbal FROM customer LEFT JOIN known ON i = c_nationkey)
+    SELECT portal, notice_id, CASE WHEN c_acctbal > 0 THEN 'stored' ELSE 'legacy' END AS title FROM rows""")
+def legacy_known_names(spark, d):
+    """An import under known keys; rows that are stored under these keep their title."""
+    rows = _named_portals(spark, d)
+    current = rows.where("balance > 0").select(text.slug(F.col("name"), text.KNOWN_PORTALS).alias("portal"), "notice_id", F.lit("stored").alias("title"))
+    return store.legacy_import(current, rows.select("name", "notice_id", F.lit("legacy").alias("title")), "name", text.KNOWN_PORTALS, ["portal", "notice_id"])
+
+
+@query(f"""WITH {KNOWN_SQL} SELECT CAST(c_custkey AS VARCHAR) AS notice_id, name AS portal_name, CASE WHEN key IS NULL THEN 'unknown' WHEN key = 'ireps' THEN 'disabled' ELSE 'enabled' END AS state FROM customer LEFT JOIN known ON i = c_nationkey""")
+def registry_by_key(spark, d):
+    rows = _named_portals(spark, d).select("notice_id", text.slug(F.col("name"), text.KNOWN_PORTALS).alias("portal"))
+    state = F.when(F.col("enabled"), "enabled").when(~F.col("enabled"), "disabled").otherwise("unknown")
+    return store.registered(rows, "portal", store.registry(spark)).select("notice_id", "portal_name", state.alias("state"))
+
+
 @query(O_SQL + f""", latest AS (SELECT n_name AS portal, max(CAST(o_orderdate AS TIMESTAMP)) AS run_started FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY ALL)
     SELECT portal, notice_id FROM orders_n JOIN latest USING (portal) WHERE closing < run_started""")
 def staleness(spark, d):
@@ -460,11 +486,14 @@ def orphan_runs(spark, d):
     return lifecycle.close_orphan_runs(views.runs(spark, d), as_of(RUN_AS_OF)).select("run_id", "status", stamp("finished").alias("finished"), "message")
 
 
-@query("""SELECT c_custkey AS user_id, coalesce(s.n, 0) AS n_sessions, coalesce(a.n, 0) AS n_alerts FROM customer
+@query("""SELECT c_custkey AS user_id, coalesce(s.n, 0) AS n_sessions, coalesce(a.n, 0) AS n_alerts, CASE WHEN c_nationkey % 3 > 0 THEN c_acctbal > 0 END AS active, CASE WHEN c_nationkey % 3 > 0 THEN c_mktsegment || ';' || c_nationkey END AS keywords FROM customer
     LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) s ON s.user_id = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) a ON a.o_custkey = c_custkey""")
 def user_report(spark, d):
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
-    return reports.user_report(users, table(spark, d, "events"), table(spark, d, "orders").withColumnRenamed("o_custkey", "user_id")).select("user_id", "n_sessions", "n_alerts")
+    """Users with their subscription; some have none."""
+    customers = table(spark, d, "customer").withColumnRenamed("c_custkey", "user_id")
+    subscriptions = customers.where("c_nationkey % 3 > 0").select("user_id", (F.col("c_acctbal") > 0).alias("active"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("keywords"))
+    found = reports.user_report(customers.select("user_id"), table(spark, d, "events"), table(spark, d, "orders").withColumnRenamed("o_custkey", "user_id"), subscriptions)
+    return found.select("user_id", "n_sessions", "n_alerts", "active", F.array_join("keywords", ";").alias("keywords"))
 
 
 @query("SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey WHERE event_type <> 'error' AND CAST(ts AS TIMESTAMP) + INTERVAL 14 DAYS > TIMESTAMP '2024-01-30'")
@@ -692,6 +721,18 @@ def normalised_records(spark, d):
     return lifecycle.with_hash(rows, views.HASHED).select("portal", "notice_id", "title", stamp("closing").alias("closing"), "content_hash")
 
 
+STORED_SQL = f"labelled AS (SELECT *, {LABEL_SQL} AS relevance FROM (SELECT 'p' || p_size AS portal, CAST(p_partkey AS VARCHAR) AS notice_id, p_type AS title, p_name AS category, p_brand AS organisation, CASE WHEN p_size < 10 THEN 'Air  Force' WHEN p_size > 40 THEN 'City Hospital' ELSE p_name END AS department FROM part))"
+
+
+@query(f"WITH {STORED_SQL} SELECT portal, notice_id, relevance, sha256('category=' || category || '|organisation=' || organisation || '|relevance=' || relevance || '|title=' || title) AS content_hash FROM labelled")
+def stored_records(spark, d):
+    """Records as a merge gets them: the label is there before the hash, which takes it in."""
+    department = F.when(F.col("p_size") < 10, "Air  Force").when(F.col("p_size") > 40, "City Hospital").otherwise(F.col("p_name"))
+    columns = {"portal": F.concat(F.lit("p"), "p_size"), "notice_id": F.col("p_partkey").cast("string"), "title": F.col("p_type"), "category": F.col("p_name"), "organisation": F.col("p_brand"), "department": department}
+    rows = json_feeds.normalised(json_feeds.notices(table(spark, d, "part"), **columns), ["title", "category", "organisation", "relevance"])
+    return rows.select("portal", "notice_id", "relevance", "content_hash")
+
+
 @query("SELECT n_nationkey, n_name AS short, 'GeM' AS fixed FROM nation")
 def short_names(spark, d):
     name = F.concat(F.col("n_name"), F.lit(" e-Procurement System (beta)"))

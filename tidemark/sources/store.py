@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -121,17 +122,27 @@ def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["folder"])
 
 
-def export_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
-    """Every table as JSON with its schema beside it; returns the rows of each, counted while writing."""
+def export_snapshot(tables: dict[str, DataFrame], folder: str, keys: dict[str, list[str]] | None = None, at: datetime | None = None) -> tuple[str, dict[str, int]]:
+    """Every table as JSON with its schema beside it, in a new folder named by the time; returns that folder and the rows of each table, counted while writing.
+
+    Tables with ``keys`` are written in their order: files by their names and rows inside of them ascend, by a range partitioning.
+    """
     from pyspark.sql import Observation
 
+    out = f"{folder}/{(at or datetime.now(timezone.utc)).strftime('%Y-%m-%dT%H-%M-%S-%f')}"
     counts = {}
     for name, df in tables.items():
-        seen = Observation(f"rows of {name}")
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("ignoreNullFields", False).json(f"{folder}/{name}")
-        df.sparkSession.createDataFrame([(json.dumps(df.schema.jsonValue()),)], "value string").coalesce(1).write.text(f"{folder}/_schemas/{name}")
+        seen, own = Observation(f"rows of {name}"), (keys or {}).get(name)
+        ordered = df.orderBy(*own) if own else df
+        ordered.observe(seen, F.count(F.lit(1)).alias("n")).write.option("ignoreNullFields", False).json(f"{out}/{name}")
+        df.sparkSession.createDataFrame([(json.dumps(df.schema.jsonValue()),)], "value string").coalesce(1).write.text(f"{out}/_schemas/{name}")
         counts[name] = seen.get["n"]
-    return counts
+    return out, counts
+
+
+def exports(spark: SparkSession, folder: str) -> list[str]:
+    """The exports of a folder, the newest last."""
+    return [f"{folder}/{name}" for name in names_in(spark, folder)]
 
 
 def restore_snapshot(spark: SparkSession, folder: str, names: list[str], confirm: bool = False) -> dict[str, DataFrame]:
@@ -166,3 +177,8 @@ def registry(spark: SparkSession, disabled: tuple[str, ...] = ("ireps",)) -> Dat
     """(key, name, enabled) of the known portals."""
     rows = [(key, name, key not in disabled) for name, key in KNOWN_PORTALS.items()]
     return spark.createDataFrame(rows, "key string, name string, enabled boolean")
+
+
+def registered(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """``rows`` with their portal's name and whether it is enabled, looked up by key; null for keys that the registry lacks."""
+    return rows.join(known.select(F.col("key").alias(key), F.col("name").alias("portal_name"), "enabled"), key, "left")
