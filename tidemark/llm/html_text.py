@@ -258,6 +258,8 @@ def reader_comments(page: Page, article: int, last: list[int], text: list[int])
     for k in range(count - 1, 0, -1):
         if not page.dropped[k] and (page.tags[k] == "time" or (text[k] <= SHORT and DATED.search(own[k]))):
             dated[k] = True
+    if sum(dated) < 2:
+        return []
     # Whether an element holds a dated one and has text beside it.
     inner = [0] * count
     for k in range(count - 1, 0, -1):
