@@ -269,6 +269,13 @@ def ingest_runs(spark, d):
     return run_log(spark, root).select("batch", "status", "rows", "inserted", "updated", "skipped", "failed", "closed_on_arrival")
 
 
+@query(MERGE_SQL + f"""SELECT ordinal - 1 AS batch, count(*) AS rows, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action IN ('skip', 'touch')) AS skipped,
+    CASE WHEN ordinal = 2 THEN (SELECT count(*) FROM orders_n WHERE status = 'P') ELSE 0 END AS failed, count(*) FILTER (closing < TIMESTAMP '{AS_OF}') AS closed_on_arrival FROM actions GROUP BY ALL""")
+def ingest_metrics(spark, d):
+    """The counters of the merges alone."""
+    return ingest_runs(spark, d).drop("status")
+
+
 @query(MERGE_SQL + "SELECT DISTINCT ordinal - 1 AS batch, portal, notice_id FROM actions WHERE action <> 'skip'")
 def ingest_alerts(spark, d):
     return spark.read.parquet(_ingested(spark, d)[1])
