@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, utf8, worker_slot
 from .components import connected_components
-from .near_copies import shingles
 
 #: Values of the first and of the second sketch, and the probability that a pair at the threshold shares too few of them.
 SKETCH, WIDE, MISS = 64, 1024, 2e-6
 #: Rounds of hubs at most, as long as so large a share of their pairs are links and the pairs left exceed this many for each list entry.
 HUB_ROUNDS, LINKED, PAIRS_EACH = 8, 0.2, 4
+SEED = 42
+#: Words a Python worker remembers the hash of.
+CACHED_WORDS = 200_000
 
 
 def least_shared(similarity: float, k: int = SKETCH, miss: float = MISS) -> int:
@@ -46,6 +48,33 @@ def least_shared(similarity: float, k: int = SKETCH, miss: float = MISS) -> int:
     return k
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: bytes, words: int, cache: dict[bytes, int]) -> np.ndarray:
+    """The distinct shingles of a UTF-8 text as sorted hashes; a text of fewer words is one shingle."""
+    found = text.lower().split()
+    hashes = np.empty(len(found), np.uint64)
+    for i, word in enumerate(found):
+        known = cache.get(word)
+        if known is None:
+            known = xxhash.xxh64_intdigest(word, SEED)
+            if len(cache) < CACHED_WORDS:
+                cache[word] = known
+        hashes[i] = known
+    length = min(words, len(found))
+    if not length:
+        return hashes
+    out = np.full(len(found) - length + 1, length, np.uint64)
+    for i in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(found) - length + 1 + i]
+    return np.unique(_mixed(out))
+
+
 def set_of(text: bytes, words: int, cache: dict[bytes, int]) -> np.ndarray:
     """The distinct shingles of a text as ascending 63-bit hashes."""
     return (shingles(text, words, cache) >> np.uint64(1)).view(np.int64)
@@ -53,7 +82,7 @@ def set_of(text: bytes, words: int, cache: dict[bytes, int]) -> np.ndarray:
 
 def digest(grams: np.ndarray) -> int:
     """What stands for a set: equal ones alone have it; 0 for the empty one."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes(), 42) if len(grams) else 0
+    return xxhash.xxh3_64_intdigest(grams.tobytes(), SEED) if len(grams) else 0
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
