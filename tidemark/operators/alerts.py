@@ -27,14 +27,14 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int)
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def keyword_matches(notices: DataFrame, keywords: DataFrame, as_of: Column, per_keyword: int = PER_KEYWORD, index: TextIndex | None = None) -> DataFrame:
+def keyword_matches(notices: DataFrame, keywords: DataFrame, as_of: Column, per_keyword: int = PER_KEYWORD, index: TextIndex | None = None, substrings: TextIndex | None = None) -> DataFrame:
     """(keyword, portal, notice_id, rank): the best open notices of each distinct keyword, searched once for all who share it.
 
     A keyword is searched as a query of its own, by the whole dispatch of ``search``: a reference finds ids that contain it. With an index the search of words reads
     only their postings, and stops when the best are certain.
     """
     distinct = keywords.select(F.col("keyword").alias("query_id"), F.col("keyword").alias("q")).distinct()
-    found = search(notices, distinct, as_of, limit=per_keyword, index=index, totals=False)
+    found = search(notices, distinct, as_of, limit=per_keyword, index=index, totals=False, substrings=substrings)
     return found.select(F.col("query_id").alias("keyword"), "portal", "notice_id", "rank")
 
 
@@ -77,9 +77,9 @@ def cycle_totals(fresh: DataFrame) -> DataFrame:
     return fresh.agg(F.count_distinct("user_id").alias("users_notified"), F.count("*").alias("notices_sent"))
 
 
-def alert_cycle(notices: DataFrame, subscriptions: DataFrame, users: DataFrame, sent_log: DataFrame, as_of: Column, index: TextIndex | None = None) -> tuple[DataFrame, DataFrame]:
+def alert_cycle(notices: DataFrame, subscriptions: DataFrame, users: DataFrame, sent_log: DataFrame, as_of: Column, index: TextIndex | None = None, substrings: TextIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(digests, log candidates) of the notices that are open at ``as_of``. Delivery happens outside; see ``log_delivered``."""
-    matches = keyword_matches(notices, keyword_rows(subscriptions), as_of, index=index)
+    matches = keyword_matches(notices, keyword_rows(subscriptions), as_of, index=index, substrings=substrings)
     fresh = unsent(user_matches(subscriptions, matches), sent_log)
     people = users.join(subscriptions.select("user_id", "delivery_email"), "user_id")
     return digests(fresh, people, notices), fresh

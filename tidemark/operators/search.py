@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import ALIASES, STOP_WORDS, is_raw_reference, is_structured_reference, nfkc, normalize_query
 from ..sources.store import cut
+from .substring_index import GRAM, candidates, grams
 from .text_index import TextIndex, best_matches, combined, whole_title
 
 WEIGHTS = {"title": 1.0, "organisation": 0.4, "department": 0.4, "description": 0.2, "category": 0.2}
@@ -89,12 +90,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda x: x != "")
 
 
-def reference_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
+def reference_search(notices: DataFrame, queries: DataFrame, substrings: TextIndex | None = None) -> DataFrame:
     """Containment of the query in id, title or description: 10000 exact id + 8000 id + 6000 title + 4000 description.
 
-    A text that contains the query has a word that contains the query's longest word. So the distinct words of all
-    notices meet the queries by their first three (or fewer) characters of that word, anywhere in the notice's word; the notices
-    with such a word are verified. Only queries without any letter or digit are compared with all notices.
+    With ``substrings``, the stored index of these notices or of more (``substring_index``), the postings of a query's rarest grams are read, and those
+    notices verified that have them all. Without it, a text that contains the query has a word that contains the query's longest word: the distinct words of all
+    notices meet the queries by their first three (or fewer) characters of that word, anywhere in the notice's word. Queries without any letter or digit
+    meet the texts' distinct runs of signs by their own first three.
     Signs such as % and _ mean themselves; blank queries find nothing.
     """
     fields = [c for c in ("notice_id", "title", "description") if c in notices.columns]
@@ -102,17 +104,21 @@ def reference_search(notices: DataFrame, queries: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(words_of(F.trim("q")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = cut(queries.where(F.trim("q") != "").select("query_id", F.lower(F.trim("q")).alias("q"), longest.alias("anchor")))
     anchors = asked.where("anchor is not null").select("query_id", "anchor", F.left("anchor", F.lit(3)).alias("gram"))
-    sizes = [r[0] for r in anchors.select(F.length("gram")).distinct().collect()]  # 1, 2 and 3 at most
+    sizes_of = lambda df: [r[0] for r in df.select(F.length("gram")).distinct().collect()]  # 1, 2 and 3 at most
+    sizes = [] if substrings else sizes_of(anchors)
     found = []
-    if sizes:
+    if substrings:
+        found.append(candidates(substrings, asked.select("query_id", "q")))
+    elif sizes:
         words = notices.select(*KEYS, F.explode(words_of(F.concat_ws(" ", *fields))).alias("word"))
-        parts = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        grams = F.array_distinct(F.flatten(F.array(*[parts(F.col("word"), n) for n in sizes])))
-        holding = words.select("word").distinct().select("word", F.explode(grams).alias("gram")).join(anchors, "gram").where(F.contains("word", "anchor"))
+        holding = words.select("word").distinct().select("word", F.explode(grams(F.col("word"), sizes)).alias("gram")).join(anchors, "gram").where(F.contains("word", "anchor"))
         found.append(words.join(holding.select("query_id", "word"), "word").select("query_id", *KEYS))
-    if not asked.where("anchor is null").isEmpty():
-        signs = asked.where("anchor is null").select("query_id", "q")
-        found.append(notices.join(signs, F.contains(F.lower(F.concat_ws("\n", *fields)), F.col("q"))).select("query_id", *KEYS))
+    signs = asked.where("anchor is null").select("query_id", F.left("q", F.lit(GRAM)).alias("gram"))
+    sizes = [] if substrings else sizes_of(signs)
+    if sizes:
+        runs = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(f"({NO_WORD})"), F.lit(1)), F.array().cast("array<string>")) for c in fields])))
+        held = notices.select(*KEYS, F.explode(runs).alias("run")).select(*KEYS, F.explode(grams(F.col("run"), sizes)).alias("gram"))
+        found.append(held.join(signs, "gram").select("query_id", *KEYS))
     if not found:
         none = notices.where("false")
         return none.join(asked.where("false"), none["notice_id"] == asked["q"]).withColumn("score", F.lit(0.0)).select(OUT)
@@ -356,12 +362,12 @@ def browsed(notices: DataFrame, queries: DataFrame, page: int, limit: int) -> Da
     return paged.join(asked.select("query_id", "conditions"), "conditions").drop("conditions")
 
 
-def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1, limit: int = 20, index: TextIndex | None = None, match: str = "all", totals: bool = True) -> DataFrame:
+def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1, limit: int = 20, index: TextIndex | None = None, match: str = "all", totals: bool = True, substrings: TextIndex | None = None) -> DataFrame:
     """One page of open notices for each query, by the first mode that applies, with the mode.
 
     ``queries`` has query_id and q, and may have keywords (an array), conditions of its own (``CONDITIONS``) and normal, the normalised
     terms. Terms are q and the keywords, empty ones left out; without any but blank terms a query browses. Only a query of
-    q alone can be a raw reference. ``match`` and ``index`` are those of ``fulltext_search``. Without ``totals`` the results have no total_count and pages, and a text search stops
+    q alone can be a raw reference. ``match`` and ``index`` are those of ``fulltext_search``, ``substrings`` that of ``reference_search``. Without ``totals`` the results have no total_count and pages, and a text search stops
     when its page is certain.
     """
     found = filtered(notices, as_of)
@@ -373,12 +379,12 @@ def search(notices: DataFrame, queries: DataFrame, as_of: Column, page: int = 1,
     asked = cut(asked.withColumn("mode", query_mode(F.col("raw"), F.col("normal"), F.col("terms"), only_q)))
     keep = lambda rows: allowed(rows, found, asked)
     by = lambda *modes: asked.where(F.col("mode").isin(*modes))
-    raw = cut(keep(reference_search(found, by("raw_reference").select("query_id", F.col("raw").alias("q")))))
+    raw = cut(keep(reference_search(found, by("raw_reference").select("query_id", F.col("raw").alias("q")), substrings)))
     fallen = by("raw_reference").join(raw.select("query_id").distinct(), "query_id", "left_anti")
     structured = by("structured_reference").unionByName(fallen.where(is_structured_reference(F.col("normal"))), allowMissingColumns=True)
     text = by("text").unionByName(fallen.where(~is_structured_reference(F.col("normal"))), allowMissingColumns=True)
     out = raw.withColumn("mode", F.lit("raw_reference"))
-    out = out.unionByName(keep(reference_search(found, structured.select("query_id", F.col("normal").alias("q")))).withColumn("mode", F.lit("structured_reference")))
+    out = out.unionByName(keep(reference_search(found, structured.select("query_id", F.col("normal").alias("q")), substrings)).withColumn("mode", F.lit("structured_reference")))
     tiers = tiered_search(found, text.select("query_id", F.col("normal").alias("q")), keep, index, match, None if totals else clamp_page(page, limit)[0] * clamp_page(page, limit)[1])
     out = out.unionByName(tiers.withColumnRenamed("tier", "mode"))
     paged = ranked_page(out, page, limit).unionByName(browsed(found, by("browse"), page, limit).withColumn("mode", F.lit("browse")))

@@ -51,11 +51,12 @@ def postings_of(notices: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """The index in a folder. ``n_buckets`` is fixed when it is built."""
+    """The index in a folder. ``n_buckets`` is fixed when it is built, ``make`` gives the (token, keys, rank) of notices."""
 
     spark: SparkSession
     root: str
     n_buckets: int
+    make: Callable[[DataFrame], DataFrame] = postings_of
 
     def bucket(self, token: str = "token") -> Column:
         return F.pmod(F.xxhash64(token), F.lit(self.n_buckets)).cast("int")
@@ -63,7 +64,8 @@ class TextIndex:
     def _write(self, rows: DataFrame, batch: int) -> None:
         """Postings of a batch, sorted by block inside of each bucket, then their blocks; a replay replaces both."""
         at = f"{self.root}/postings/batch={batch}"
-        dealt = rows.select("token", shard_of(), *KEYS, "rank", self.bucket().alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "token", "shard")
+        # Rebalanced: a token that most notices have is split over several tasks and files of its bucket.
+        dealt = rows.select("token", shard_of(), *KEYS, "rank", self.bucket().alias("bucket")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "shard")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(at)
         written = self.spark.read.schema("token string, shard int, rank double").parquet(at)
         blocks = written.groupBy("token", "shard").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("n"))
@@ -81,7 +83,7 @@ class TextIndex:
         """Appends what a merge did: ``written`` are the whole rows of inserted and updated notices, ``removed`` (keys) those that expired or were suppressed."""
         keys = written.select(KEYS) if removed is None else written.select(KEYS).unionByName(removed.select(KEYS))
         keys.distinct().write.mode("overwrite").parquet(f"{self.root}/changed/batch={batch}")
-        self._write(postings_of(written), batch)
+        self._write(self.make(written), batch)
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Those of ``rows`` (keys, batch) that no later batch changed. The changes since the index was built are small against it."""
@@ -104,17 +106,17 @@ class TextIndex:
         return found.groupBy("token", "shard").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
 
 
-def build(spark: SparkSession, root: str, notices: DataFrame, n_buckets: int | None = None) -> TextIndex:
+def build(spark: SparkSession, root: str, notices: DataFrame, n_buckets: int | None = None, make: Callable[[DataFrame], DataFrame] = postings_of, characters_each: int = 10) -> TextIndex:
     """Indexes ``notices`` (keys and the fields of ``search.WEIGHTS``) in a new folder; the number of buckets follows the number of notices' postings.
 
     A search of some tokens then reads about as many of them. To fold what was appended since, build anew from the present notices.
     """
     if n_buckets is None:
-        # A notice's postings are estimated by its characters; buckets only have to be neither few nor tiny.
+        # A notice's postings are estimated by its characters, ``characters_each`` for one; buckets only have to be neither few nor tiny.
         characters = notices.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in ("title", "description") if c in notices.columns), F.lit(0)))).first()[0] or 0
-        n_buckets = max(16, min(MOST_BUCKETS, int(characters / 10 / EACH_BUCKET)))
-    index = TextIndex(spark, root, n_buckets)
-    index._write(postings_of(notices), -1)
+        n_buckets = max(16, min(MOST_BUCKETS, int(characters / characters_each / EACH_BUCKET)))
+    index = TextIndex(spark, root, n_buckets, make)
+    index._write(make(notices), -1)
     return index
 
 

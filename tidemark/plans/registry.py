@@ -214,6 +214,20 @@ def reference_search(spark, d):
     return search.reference_search(views.documents(spark, d), queries).select("query_id", "portal", "notice_id", "score")
 
 
+@query(N_SQL + r""", asked AS (SELECT item_id AS query_id, lower(trim(substring(text, 11, 14))) AS q FROM benchmark UNION ALL SELECT -1 - r_regionkey, ['//', '%', ' - ', ',', '. t'][r_regionkey + 1] FROM region)
+    SELECT query_id, portal, notice_id, CAST(sum(points) AS DOUBLE) AS score FROM (
+      SELECT query_id, portal, notice_id, (CASE WHEN lower(notice_id) = trim(q) THEN 10000 ELSE 0 END) + (CASE WHEN contains(lower(notice_id), trim(q)) THEN 8000 ELSE 0 END)
+        + (CASE WHEN contains(lower(title), trim(q)) THEN 6000 ELSE 0 END) + (CASE WHEN contains(lower(description), trim(q)) THEN 4000 ELSE 0 END) AS points
+      FROM documents_n, asked WHERE trim(q) <> '') WHERE points > 0 GROUP BY ALL""")
+def substring_search(spark, d):
+    """Passages of benchmark texts, cut anywhere, and signs, by the stored grams of the documents."""
+    notices, grams = views.substrings_of_documents(spark, d)
+    passages = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.substring("text", 11, 14).alias("q"))
+    signs = F.array(*map(F.lit, ("//", "%", " - ", ",", ". t")))
+    asked = passages.unionByName(table(spark, d, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("query_id"), F.try_element_at(signs, (F.col("r_regionkey") + 1).cast("int")).alias("q")))
+    return search.reference_search(notices, asked, grams).select("query_id", "portal", "notice_id", "score")
+
+
 def index_sql(documents: str = "documents_n", asked: str = ASKED_SQL, match: str = "n = need") -> str:
     return f"""{DOCUMENTS_SQL}, {asked},
 fields AS (SELECT portal, notice_id, 1.0 AS weight, {WORDS_SQL.format('title')} AS words, 1 AS f FROM {documents}
