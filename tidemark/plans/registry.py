@@ -5,12 +5,13 @@ from __future__ import annotations
 import inspect
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, text
-from ..operators import alerts, lifecycle, reports, search, text_index
+from ..operators import alerts, lifecycle, pages, reports, search, text_index
 from ..sources import html_feeds, json_feeds, store
 from . import views
 from .views import AS_OF, DOCUMENTS_SQL, MERGE_SQL, ORDERS_SQL, RUN_AS_OF, RUNS_SQL, as_of, table
@@ -197,6 +198,17 @@ def browse_page(spark, d):
     return search.browse(found, page=2).select("portal", "notice_id", "total_count", "pages")
 
 
+@query(O_SQL + """, ranked AS (SELECT portal, notice_id, count(*) OVER () AS total_count, row_number() OVER (ORDER BY closing DESC NULLS LAST, portal, notice_id) - 1 AS place FROM orders_n),
+    asked AS (SELECT unnest(['first', 'middle', 'last']) AS depth, unnest([0, t // 40, (t - 1) // 20]) AS page FROM (SELECT count(*) AS t FROM orders_n))
+    SELECT depth, portal, notice_id, total_count FROM ranked JOIN asked ON place // 20 = page""")
+def deep_pages(spark, d):
+    """The first, a middle and the last page of a stored order of all orders."""
+    rows = views.orders(spark, d).withColumn("published", F.col("closing"))
+    stored = pages.store_order(rows, f"{views.shared_folder(spark)}/order-{uuid.uuid4().hex}", each=1000)
+    depths = {"first": 1, "middle": stored.total // 40 + 1, "last": (stored.total - 1) // 20 + 1}
+    return reduce(DataFrame.unionAll, [stored.page(p).select(F.lit(depth).alias("depth"), "portal", "notice_id", "total_count") for depth, p in depths.items()])
+
+
 @query(O_SQL + f"""SELECT portal, notice_id, {STAMP.format('closing')} AS closing FROM orders_n
     WHERE {OPEN_SQL} AND portal IN ('NATION_1', 'NATION_2', 'NATION_3') AND status = 'O' AND closing BETWEEN TIMESTAMP '1998-07-01' AND TIMESTAMP '1999-07-01'""")
 def filtered_rows(spark, d):
