@@ -31,6 +31,12 @@ def append(root: str, name: str, changes: DataFrame, batch: int) -> None:
     changes.write.mode("overwrite").parquet(_folder(root, name, batch))
 
 
+def totals(spark: SparkSession, root: str, name: str, batch: int, counts: list[str]) -> dict[str, int]:
+    """Sums over what a batch appended, by columns of counts that its changes had beside the feed's own."""
+    found = spark.read.schema(", ".join(f"{c} long" for c in counts)).parquet(_folder(root, name, batch))
+    return found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]).first().asDict()
+
+
 def changes_schema(base: StructType, keys: list[str]) -> StructType:
     data = StructType([f for f in base if f.name not in (*keys, *SEEN)])
     return StructType([base[k] for k in keys] + [StructField("v", data)] + [base[c] for c in SEEN])

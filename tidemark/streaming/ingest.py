@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -20,11 +20,12 @@ RUN = "query string, batch long, run string, status string, started timestamp, f
 
 
 def changed_rows(actions: DataFrame, data: list[str], as_of, run: str) -> DataFrame:
-    """(keys, v, last_seen_at, last_seen_run): what a merge's actions change, one row for each key that is not skipped."""
+    """(keys, v, last_seen_at, last_seen_run, inserted, updated): what a merge's actions change, one row for each key that is not skipped, with how many of its rows did what."""
     wrote = F.col("action").isin("insert", "update")
     version = F.max_by(F.when(wrote, F.struct(*data)), F.when(wrote, F.col("ordinal"))).alias("v")
-    seen = actions.where("action <> 'skip'").groupBy(*KEYS).agg(version)
-    return seen.select(*KEYS, "v", as_of.alias("last_seen_at"), F.lit(run).alias("last_seen_run"))
+    did = [F.count_if(F.col("action") == a).alias(c) for c, a in (("inserted", "insert"), ("updated", "update"))]
+    seen = actions.where("action <> 'skip'").groupBy(*KEYS).agg(version, *did)
+    return seen.select(*KEYS, "v", as_of.alias("last_seen_at"), F.lit(run).alias("last_seen_run"), "inserted", "updated")
 
 
 def log_run(spark: SparkSession, root: str, query: str, batch: int, run: str, status: str, started: datetime, finished: datetime | None = None, counted: dict | None = None, message: str | None = None) -> None:
@@ -100,7 +101,7 @@ def start_ingest(
     that has outgrown its base is folded before the next batch. A replayed batch merges against the same rows as before, as it is left out of what it
     meets, and replaces its own changes and its row of the run log (``run_log``): success or partial with its counters, failed with
     the error. A stream that ends by an error outside of a batch leaves a failed row, too. A source that is not ``enabled`` is not read: its row says skipped, and there is no query to return. Counters are
-    observed while the changes are written; a map stage that Spark repeats after losing an executor may count its rows twice there, never in the table.
+    counted from the batch and from what it wrote, by queries of their own: a figure observed on the way counts again what another executor or a repeated stage computes again.
 
     Alerts run after each batch and must consult the sent log, which makes them safe to repeat. Ids that were suppressed or expired never
     come back: tombstones are a stored table, not stream state with a time limit.
@@ -117,18 +118,17 @@ def start_ingest(
         feed.fold(spark, root, "notices", KEYS, before=number)
         now = F.lit(as_of(number)).cast("timestamp")
         data = [c for c in read_version(spark, root, "notices").columns if c not in (*KEYS, *feed.SEEN)]
-        came, did = Observation(), Observation()
-        rows = batch.withColumn("valid", is_valid()).observe(came, F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("failed"), F.count_if(F.col("valid") & (F.col("closing") < now)).alias("closed_on_arrival"))
+        rows = batch.withColumn("valid", is_valid())
         # Computed once, though actions, keys and rejects all use it; what is lost is read again from the files.
         rows = rows.persist()
         try:
             good = rows.where("valid").drop("valid")
             stored = feed.present_keys(spark, root, "notices", KEYS, good, ["content_hash"], before=number)
             actions = merge_actions(good, stored, read_version(spark, root, "tombstones").join(good.select(KEYS), KEYS, "left_semi"), now)
-            counts = [F.count_if(F.col("action").isin(*names)).alias(c) for c, names in (("inserted", ["insert"]), ("updated", ["update"]), ("skipped", ["skip", "touch"]))]
-            feed.append(root, "notices", changed_rows(actions.observe(did, *counts), data, now, run), number)
-            found = came.get
-            counted = {"rows": found["n"] - found["failed"]} | did.get | {c: found[c] for c in ("failed", "closed_on_arrival")}
+            feed.append(root, "notices", changed_rows(actions, data, now, run), number)
+            came = rows.agg(F.count_if("valid").alias("rows"), F.count_if(~F.col("valid")).alias("failed"), F.count_if(F.col("valid") & (F.col("closing") < now)).alias("closed_on_arrival")).first().asDict()
+            did = feed.totals(spark, root, "notices", number, ["inserted", "updated"])
+            counted = {"rows": came["rows"]} | did | {"skipped": came["rows"] - sum(did.values())} | {c: came[c] for c in ("failed", "closed_on_arrival")}
             if on_rejects:
                 on_rejects(number, rows.where("not valid").drop("valid"))
         finally:
