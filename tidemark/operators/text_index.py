@@ -26,6 +26,8 @@ SHARDS = 64
 EACH_BUCKET, MOST_BUCKETS = 500_000, 4096
 #: Shards that a query evaluates first.
 FIRST_SHARDS = 4
+#: Rows of a table that is sent to all tasks of a join.
+MOST_SENT = 50_000
 
 POSTING = "token string, shard int, portal string, notice_id string, rank double, batch long, bucket int"
 BLOCK = "token string, shard int, top double, n long, batch long"
@@ -36,6 +38,15 @@ def shard_of() -> Column:
     return F.pmod(F.xxhash64(*KEYS), F.lit(SHARDS)).cast("int").alias("shard")
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """``df``, computed once, and sent to all tasks of a join if it has few rows. Spark deals both sides by the key if the few keys leave most partitions empty, so one
+    that most rows of the other side have would fill one task."""
+    from .search import cut
+
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def whole_title(title: Column) -> Column:
     """A token that stands for a title as a whole; no word holds its first character."""
     return F.concat(F.lit("="), F.hex(F.xxhash64(F.lower(title))))
@@ -97,16 +108,16 @@ class TextIndex:
     def postings(self, tokens: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
         """(token, shard, keys, rank) of the tokens asked for, from their own buckets; of ``blocks`` (token, shard) only, if they are given."""
         found = self._read("postings", POSTING).where(self.wanted(tokens)).drop("bucket")
-        own = tokens.select("token").distinct() if blocks is None else blocks.distinct()
+        own = sent(tokens.select("token").distinct() if blocks is None else blocks.distinct())
         return self.live(found.join(own, own.columns, "left_semi"))
 
     def blocks(self, tokens: DataFrame) -> DataFrame:
         """(token, shard, top, n) of the tokens asked for; what later batches changed still counts in them, so ``top`` is a bound."""
-        found = self._read("blocks", BLOCK).join(tokens.select("token").distinct(), "token", "left_semi")
+        found = self._read("blocks", BLOCK).join(sent(tokens.select("token").distinct()), "token", "left_semi")
         return found.groupBy("token", "shard").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
 
 
-def build(spark: SparkSession, root: str, notices: DataFrame, n_buckets: int | None = None, make: Callable[[DataFrame], DataFrame] = postings_of, characters_each: int = 10) -> TextIndex:
+def build(spark: SparkSession, root: str, notices: DataFrame, n_buckets: int | None = None, make: Callable[[DataFrame], DataFrame] = postings_of, characters_each: int = 10, kind: type[TextIndex] = TextIndex) -> TextIndex:
     """Indexes ``notices`` (keys and the fields of ``search.WEIGHTS``) in a new folder; the number of buckets follows the number of notices' postings.
 
     A search of some tokens then reads about as many of them. To fold what was appended since, build anew from the present notices.
@@ -115,7 +126,7 @@ def build(spark: SparkSession, root: str, notices: DataFrame, n_buckets: int | N
         # A notice's postings are estimated by its characters, ``characters_each`` for one; buckets only have to be neither few nor tiny.
         characters = notices.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in ("title", "description") if c in notices.columns), F.lit(0)))).first()[0] or 0
         n_buckets = max(16, min(MOST_BUCKETS, int(characters / characters_each / EACH_BUCKET)))
-    index = TextIndex(spark, root, n_buckets, make)
+    index = kind(spark, root, n_buckets, make)
     index._write(make(notices), -1)
     return index
 
@@ -123,7 +134,7 @@ def build(spark: SparkSession, root: str, notices: DataFrame, n_buckets: int | N
 def combined(postings: DataFrame, terms: DataFrame, need: DataFrame, match: str, keys: list[str] = KEYS) -> DataFrame:
     """(query_id, keys, text_rank) of postings (token, keys, rank) that meet ``terms`` (query_id, alternative, token): with ``match`` all, notices that have all tokens of an
     alternative; with any, those that have one. The best alternative's mean rank counts."""
-    hits = postings.join(terms, "token").groupBy("query_id", "alternative", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("rank"))
+    hits = postings.join(sent(terms), "token").groupBy("query_id", "alternative", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("rank"))
     met = hits.join(need, ["query_id", "alternative"])
     met = met.where("n = need") if match == "all" else met
     return met.groupBy("query_id", *keys).agg(F.max(F.col("rank") / F.col("need")).alias("text_rank"))
@@ -148,7 +159,7 @@ def best_matches(index: TextIndex, terms: DataFrame, need: DataFrame, sure: Data
 
     def evaluated(chosen: DataFrame) -> DataFrame:
         terms_of = chosen.select("query_id", "shard").join(terms, "query_id")
-        rows = index.postings(terms, terms_of.select("token", "shard")).join(terms_of, ["token", "shard"])
+        rows = index.postings(terms, terms_of.select("token", "shard")).join(sent(terms_of), ["token", "shard"])
         hits = rows.groupBy("query_id", "alternative", *KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("rank")).join(need, ["query_id", "alternative"])
         hits = hits.where("n = need") if match == "all" else hits
         return hits.groupBy("query_id", *KEYS).agg(F.max(F.col("rank") / F.col("need")).alias("text_rank"))

@@ -53,13 +53,13 @@ def indexed(spark: SparkSession, sf_dir: str, name: str, notices: DataFrame) ->
 
 
 def substrings_of_documents(spark: SparkSession, sf_dir: str) -> tuple:
-    """(table, index): the stored documents of ``indexed_documents`` with the index of their grams; written once in a session."""
+    """(table, index): the documents with the index of their runs; written once in a session."""
     from ..operators.substring_index import build
 
-    notices, _ = indexed_documents(spark, sf_dir)
-    own = (spark.sparkContext.applicationId, sf_dir, "grams of documents")
+    notices = documents(spark, sf_dir)
+    own = (spark.sparkContext.applicationId, sf_dir, "runs of documents")
     if own not in _indexed:
-        _indexed[own] = notices, build(spark, f"{shared_folder(spark)}/indexed-{uuid.uuid4().hex}/grams", notices)
+        _indexed[own] = notices, build(spark, f"{shared_folder(spark)}/indexed-{uuid.uuid4().hex}/runs", notices)
     return _indexed[own]
 
 
