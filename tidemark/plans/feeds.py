@@ -204,9 +204,9 @@ _stores: dict[tuple, tuple[str, str]] = {}
 
 
 def _ingested(spark, d) -> tuple[str, str]:
-    """The store, and the folder of the sent rows, after all orders came in as two files of a stream; one run for all queries of a session.
+    """The store, and the folder of the sent rows, after all orders came in as two batches of a stream; one run for all queries of a session.
 
-    The second file has rows without a title, too, and its first attempt fails after the merge, so the batch is replayed.
+    The second batch has rows without a title, too, and its first attempt fails after the merge, so the batch is replayed.
     """
     own = (spark.sparkContext.applicationId, d)
     if own in _stores:
@@ -225,8 +225,8 @@ def _ingested(spark, d) -> tuple[str, str]:
         rows.select(F.lit(number).alias("batch"), *KEYS).write.mode("append").parquet(sent)
 
     for n in (1, 2):
-        # An upsert by file: the second file comes later.
-        batch.where(F.col("ordinal") == n).coalesce(1).write.mode("append").parquet(source)
+        # An upsert by batch: the second one's files come later.
+        batch.where(F.col("ordinal") == n).write.mode("append").parquet(source)
         start = lambda: start_ingest(spark, source, schema, root, f"{root}-checkpoint", lambda number: AS_OF, alert)
         try:
             start().awaitTermination()
