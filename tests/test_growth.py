@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import substring_index
+from tidemark.operators import pages, substring_index
 
 SCHEMA = "portal string, notice_id string, title string, description string, published int"
 
@@ -21,3 +21,11 @@ def test_a_notice_has_no_more_postings_than_runs(spark):
     found = substring_index.postings_of(notices)
     assert found.count() <= runs
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_of_a_stored_order_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_RANGES", 4)
+    rows = made(spark, 100, ["a"]).drop("title", "description")
+    stored = pages.store_order(rows, str(tmp_path / "o"), each=5)
+    assert len(stored.starts) <= 5 and stored.total == 100
+    assert [r.published for r in stored.page(3).collect()] == list(range(59, 39, -1))

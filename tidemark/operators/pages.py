@@ -19,6 +19,8 @@ from .search import clamp_page
 
 #: Rows of a range when an order is stored.
 EACH_RANGE = 1_000_000
+#: Ranges at most: beyond, they get longer. Their sizes and the sample that sets their bounds pass through the driver.
+MOST_RANGES = 1024
 RANGE = "range_of_order"
 
 
@@ -52,13 +54,13 @@ class StoredOrder:
 
 
 def store_order(notices: DataFrame, root: str, each: int = EACH_RANGE) -> StoredOrder:
-    """Writes ``notices`` (with portal, notice_id and published) in their order to a new folder, about ``each`` rows a range.
+    """Writes ``notices`` (with portal, notice_id and published) in their order to a new folder, about ``each`` rows a range, or more if that would take over ``MOST_RANGES`` ranges.
 
     All three columns deal the rows, so days on which very many were published are split as well. Rows that repeat a key stay, side by side. An empty table
     has no ranges.
     """
     spark = notices.sparkSession
-    ranges = math.ceil(notices.count() / each)
+    ranges = min(math.ceil(notices.count() / each), MOST_RANGES)
     dealt = notices.repartitionByRange(max(ranges, 1), *order()).withColumn(RANGE, F.spark_partition_id())
     dealt.write.partitionBy(RANGE).parquet(root)
     schema = StructType([*notices.schema.fields, StructField(RANGE, IntegerType())])
