@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .search import search
-from .text_index import TextIndex
+from .text_index import TextIndex, sent
 
 PER_KEYWORD = 20
 
@@ -39,8 +39,8 @@ def keyword_matches(notices: DataFrame, keywords: DataFrame, as_of: Column, per_
 
 
 def user_matches(subscriptions: DataFrame, matches: DataFrame) -> DataFrame:
-    """Distinct notices of each user."""
-    return keyword_rows(subscriptions).join(matches, "keyword").select("user_id", "portal", "notice_id").distinct()
+    """Distinct notices of each user. Matches go to the users' rows if they are few: a keyword that most users have would be one task's."""
+    return keyword_rows(subscriptions).join(sent(matches.select("keyword", "portal", "notice_id")), "keyword").select("user_id", "portal", "notice_id").distinct()
 
 
 def unsent(candidates: DataFrame, sent_log: DataFrame) -> DataFrame:
