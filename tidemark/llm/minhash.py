@@ -18,7 +18,7 @@ verified by their whole sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,15 +175,19 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, "label", "left").select("set", F.coalesce("merged", "label").alias("label"))
 
 
-def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: tuple[int, int]) -> DataFrame:
-    """(set, label): each shingle set that a row with an id has, and the smallest id of its group."""
+def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: tuple[int, int], proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(set, label): each shingle set that a row with an id has, and the smallest id of its group.
+
+    ``proposed`` may give pairs (a, b, src, dst: two sets and their nodes) of the nodes (set, node) that may have a near copy, by another method. They are verified with
+    the first hubs, and what they link is not paired again.
+    """
     nodes = stored(sketched.where("id is not null and n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "minhash-nodes")
     near = inverted_lists(nodes, least, SKETCH).select("set").distinct()
     close = stored(nodes.select("set", "node", "n").join(near, "set", "left_semi"), "minhash-close")
     grams = stored(whole_sets(close, docs, id_col, text_col, words), "minhash-grams")
     wide = stored(close.join(grams, "set").select("set", "node", "n", F.slice("grams", 1, WIDE).alias("sketch")), "minhash-wide")
     shared = inverted_lists(wide, least, WIDE)
-    labels = stored(shared.select("set", F.col("node").alias("label")).distinct(), "minhash-labels")
+    labels = stored((wide if proposed else shared).select("set", F.col("node").alias("label")).distinct(), "minhash-labels")
     possible = may_match(least, WIDE)
     for round_ in range(HUB_ROUNDS):
         labelled = shared.join(labels, "set")
@@ -198,6 +202,8 @@ def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         # Of all hubs in its lists, the one that a node shares most of them with.
         overlap = met.groupBy(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.label").alias("src"), F.col("b.label").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
         pairs = overlap.groupBy("a").agg(F.max_by(F.struct("b", "src", "dst"), F.struct("c", "b")).alias("p")).select("a", "p.*")
+        if proposed and not round_:
+            pairs = pairs.unionByName(proposed(close.select("set", "node"))).distinct()
         pairs = stored(pairs, "minhash-hubs")
         links = confirmed(pairs, wide, grams, least)
         labels = stored(relabelled(labels, links), "minhash-labels")

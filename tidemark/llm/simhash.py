@@ -151,7 +151,9 @@ def keys(prints: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.nd
     return tuple(tuple(np.concatenate(x) for x in zip(*side, strict=True)) for side in (left, right))  # type: ignore[return-value]
 
 
-def _key_rows(nodes: DataFrame, side: int) -> DataFrame:
+def key_rows(nodes: DataFrame, side: int) -> DataFrame:
+    """(key, columns of ``nodes``): the keys of each fp, left side 0 or right side 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -171,14 +173,14 @@ def near_components(prints: DataFrame) -> DataFrame:
     nodes = stored(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
     close = "bit_count(a.fp ^ b.fp) <= 3"
     # One representative per bucket first: linear in the number of keys.
-    right = _key_rows(nodes, 1)
+    right = key_rows(nodes, 1)
     least = right.groupBy("key").agg(F.min_by(F.struct("node", "fp"), "node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     star = right.alias("a").join(least.alias("r"), "key").where("a.node <> r.hub.node and bit_count(a.fp ^ r.hub.fp) <= 3")
     star = star.select(F.col("hub.node").alias("src"), F.col("a.node").alias("dst")).distinct()
     first = connected_components(star)
     labelled = nodes.join(first, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
     labelled = stored(labelled, "simhash-labels")
-    pairs = _key_rows(labelled, 0).alias("a").join(_key_rows(labelled, 1).alias("b"), "key")
+    pairs = key_rows(labelled, 0).alias("a").join(key_rows(labelled, 1).alias("b"), "key")
     pairs = pairs.where(f"a.label <> b.label and {close}")
     links = pairs.select(F.least("a.label", "b.label").alias("src"), F.greatest("a.label", "b.label").alias("dst")).distinct()
     merged = connected_components(links).select(F.col("node").alias("label"), F.col("component").alias("merged"))
