@@ -1,10 +1,14 @@
 """What a step shuffles, keeps in one task or sends to the driver grows no faster than its input."""
 
 import random
+import re
+from html import unescape
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import html
 from tidemark.operators import alerts, pages, search, substring_index
+from tidemark.sources import html_feeds
 
 SCHEMA = "portal string, notice_id string, title string, description string, published int"
 
@@ -54,3 +58,12 @@ def test_words_are_counted_inside_their_row(spark):
     none = spark.createDataFrame([("p", "1", None, "the  ", 1), ("p", "2", "", "a-b", 1)], SCHEMA)
     assert {(r.notice_id, r.word) for r in search.field_words(none, search.KEYS).collect()} <= {("2", "a"), ("2", "b")}
     assert search.token_table(none, search.KEYS).where("token = 'b'").select("rank").collect()[0][0] == 0.1
+
+
+def test_python_sees_references_and_no_markup(spark):
+    texts = ["<p>a &amp; b</p>", "&eacute;&#233;&#xE9; &lt;x&gt;", "&notit; &foo; &bar", "&#38;lt; &eacute&#59; &&amp;&", "none", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, html string").select("i", html.decoded("html").alias("d"))
+    sign = lambda m: html.MARKUP_SIGNS.get(unescape(m[0]), unescape(m[0]))
+    assert [r.d for r in rows.orderBy("i").collect()] == [None if t is None else re.sub(html.REFERENCE, sign, t) for t in texts]
+    udf = rows._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython [", 1)[1]
+    assert udf.startswith("characters(CASE WHEN Contains(html")

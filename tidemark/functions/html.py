@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import MapType, StringType
 
-from .text import clean, filled
+from .text import clean, filled, let
 
 #: A row without a row or table inside; the possessive body never backtracks.
 LEAF_ROW = r"(?is)<tr\b([^>]*)>((?:[^<]++|<(?!/?tr\b|table\b))*+)</tr>"
@@ -20,17 +19,26 @@ LINK = r"(?is)<a\b([^>]*)>(.*?)</a>"
 
 
 MARKUP_SIGNS = {"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;", "'": "&#39;"}
-REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
-@F.pandas_udf(StringType())
-def decoded(s: pd.Series) -> pd.Series:
+@F.pandas_udf(MapType(StringType(), StringType()))
+def characters(references: pd.Series) -> pd.Series:
+    """What each of a page's distinct references stands for. Spark has no table of the named ones, and a browser reads the beginnings of unknown ones, too."""
+    sign = lambda x: MARKUP_SIGNS.get(unescape(x), unescape(x))
+    return references.map(lambda found: None if found is None else {x: sign(x) for x in found})
+
+
+def decoded(html: str) -> Column:
     """Markup with its character references as characters, but for the signs that mean markup, which get one name each.
 
-    Spark has no table of the named references.
+    Python sees the distinct references of a page and no markup, so its batches stay small whatever the pages' size.
     """
-    sign = lambda m: MARKUP_SIGNS.get(unescape(m[0]), unescape(m[0]))
-    return s.map(lambda x: None if x is None else REFERENCE.sub(sign, x))
+    c = F.col(html)
+    known = characters(F.when(F.contains(c, F.lit("&")), F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)))))
+    one = lambda m, part, x: F.when(x == "", part).otherwise(F.concat(F.try_element_at(m, x), F.substr(part, F.length(x) + 1)))
+    parts = lambda m: F.transform(F.split(c, "(?=&)"), lambda part: let(F.regexp_extract(part, f"^{REFERENCE}", 0), lambda x: one(m, part, x)))
+    return let(known, lambda m: F.when(m.isNull(), c).otherwise(F.array_join(parts(m), "")))
 
 
 def without_comments(html: Column) -> Column:
@@ -56,7 +64,8 @@ def text_of(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in the text of a tag, null if it is missing or empty."""
-    return F.coalesce(filled(F.regexp_extract(tag, rf'(?i)(?:^|[\s"\']){name}\s*=\s*"([^"]*)"', 1)), filled(F.regexp_extract(tag, rf"(?i)(?:^|[\s\"']){name}\s*=\s*'([^']*)'", 1)))
+    value = lambda x, sign: let(F.regexp_extract(x, rf"(?i)(?:^|[\s\"']){name}\s*=\s*{sign}([^{sign}]*){sign}", 1), filled)
+    return let(tag, lambda x: F.coalesce(value(x, '"'), value(x, "'")))
 
 
 def links(html: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -59,6 +60,11 @@ EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
 SPACE = r"[\s ]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean(c: Column) -> Column:
     """White space runs (no-break spaces included) become one blank, ends are trimmed."""
     return F.trim(F.regexp_replace(c, SPACE, " "))
@@ -96,9 +102,9 @@ def is_raw_reference(c: Column) -> Column:
 def division_split(c: Column) -> Column:
     """struct(title, department) of "title in Division No: department."; the whole text is the title otherwise."""
     # Fixed value: the wording that the listings use.
-    text, pattern = clean(c), r"(?i)^(.*?)\s+in\s+Division\s*No\s*:\s*(.+?)\.?\s*$"
-    hit = text.rlike(pattern)
-    return F.struct(F.when(hit, F.trim(F.regexp_extract(text, pattern, 1))).otherwise(text).alias("title"), F.when(hit, F.trim(F.regexp_extract(text, pattern, 2))).alias("department"))
+    pattern = r"(?i)^(.*?)\s+in\s+Division\s*No\s*:\s*(.+?)\.?\s*$"
+    part = lambda x, i: F.trim(F.regexp_extract(x, pattern, i))
+    return let(clean(c), lambda x: F.when(x.rlike(pattern), F.struct(part(x, 1).alias("title"), part(x, 2).alias("department"))).otherwise(F.struct(x.alias("title"), F.lit(None).cast("string").alias("department"))))
 
 
 def chain_parts(c: Column, separator: str = "||") -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates, html
-from ..functions.text import absolute_url, bracket_values, chain_parts, clean, division_split, filled, organisation_of, reference_id
+from ..functions.text import absolute_url, bracket_values, chain_parts, clean, division_split, filled, let, organisation_of, reference_id
 from .json_feeds import first_per_key, notices
 
 GENERAL = "Government eProcurement"
@@ -18,6 +18,11 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", html.decoded("html"))
 
 
+def once(rows: DataFrame, fields: Column, *keep: str) -> DataFrame:
+    """``keep`` and the fields of a struct, computed once a row: conditions on them are not pushed below, and columns made of them do not repeat them."""
+    return rows.select(*keep, F.inline(F.array(fields)))
+
+
 def listing(pages: DataFrame, portal: str) -> DataFrame:
     """Rows of listing tables: a linked title, a reference and at least one date (closing, then opening)."""
     rows = _pages(pages).select("page_no", "base_url", F.posexplode(html.leaf_rows(F.col("html"))).alias("pos", "row"))
@@ -49,11 +54,13 @@ def organisation_notices(pages: DataFrame, portal: str) -> DataFrame:
     """Rows of class even or odd with published, closing and opening dates, a bracketed title cell and a chain cell."""
     page = _pages(pages).where(F.col("html").contains("e-Published Date") & F.col("html").contains("Title and Ref.No./Tender ID"))
     rows = page.select("base_url", F.explode(html.leaf_rows(F.col("html"))).alias("row"))
-    rows = rows.where(F.col("row").rlike(r"""(?is)^<tr\b[^>]*class\s*=\s*["'][^"']*\b(even|odd)\b""")).withColumn("c", html.cells(F.col("row"))).where(F.size("c") >= 6)
+    rows = rows.where(F.col("row").rlike(r"""(?is)^<tr\b[^>]*class\s*=\s*["'][^"']*\b(even|odd)\b"""))
+    rows = once(rows, F.struct(html.cells(F.col("row")).alias("c")), "base_url").where(F.size("c") >= 6)
     cell = lambda i: html.text_of(F.get("c", F.lit(i)))
     link = F.try_element_at(F.filter(html.links(F.get("c", F.lit(4))), lambda x: x["href"].isNotNull()), F.lit(1))
-    rows = rows.withColumns({"link": link, "marks": bracket_values(cell(4)), "chain": chain_parts(cell(5), "||")})
-    title = F.regexp_replace(clean(F.col("link.text")), r"^\[|\]$", "")
+    title = let(link, lambda x: F.struct(x["href"].alias("href"), F.regexp_replace(clean(x["text"]), r"^\[|\]$", "").alias("title")))
+    rows = once(rows, F.struct("c", title.alias("link"), bracket_values(cell(4)).alias("marks"), chain_parts(cell(5), "||").alias("chain")), "base_url")
+    title = F.col("link.title")
     org = organisation_of(F.col("chain"))
     return notices(
         rows, portal=F.lit(portal), notice_id=F.try_element_at("marks", F.lit(-1)), title=title, organisation=org["organisation"], department=org["department"], category=F.lit(GENERAL),
