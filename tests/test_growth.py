@@ -67,3 +67,10 @@ def test_python_sees_references_and_no_markup(spark):
     assert [r.d for r in rows.orderBy("i").collect()] == [None if t is None else re.sub(html.REFERENCE, sign, t) for t in texts]
     udf = rows._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython [", 1)[1]
     assert udf.startswith("characters(CASE WHEN Contains(html")
+
+
+def test_a_listing_row_is_read_once(spark):
+    """Conditions and columns do not repeat what a row's cells are read with."""
+    pages = spark.createDataFrame([(1, "<table></table>", "https://e.org/app")], "page_no long, html string, base_url string")
+    plan = html_feeds.listing(pages, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AM") <= 6 and plan.count("regexp_replace") <= 40

@@ -26,13 +26,14 @@ def once(rows: DataFrame, fields: Column, *keep: str) -> DataFrame:
 def listing(pages: DataFrame, portal: str) -> DataFrame:
     """Rows of listing tables: a linked title, a reference and at least one date (closing, then opening)."""
     rows = _pages(pages).select("page_no", "base_url", F.posexplode(html.leaf_rows(F.col("html"))).alias("pos", "row"))
-    rows = rows.withColumns({"link": F.try_element_at(html.links(F.col("row")), F.lit(1)), "texts": F.transform(html.cells(F.col("row")), html.text_of)})
-    rows = rows.where((F.size("texts") >= 2) & (F.col("link.text") != ""))
-    others = F.filter("texts", lambda x: x != F.col("link.text"))
-    rows = rows.withColumn("others", F.transform(others, lambda x: F.struct(dates.month_name(x).alias("date"), reference_id(x).alias("id"))))
+    found = F.struct(F.try_element_at(html.links(F.col("row")), F.lit(1)).alias("link"), F.transform(html.cells(F.col("row")), html.text_of).alias("texts"))
+    rows = once(rows, found, "page_no", "base_url", "pos").where((F.size("texts") >= 2) & (F.col("link.text") != ""))
+    told = lambda x, date: F.struct(date.alias("date"), F.when(date.isNull(), reference_id(x)).alias("id"))
+    others = F.transform(F.filter("texts", lambda x: x != F.col("link.text")), lambda x: let(dates.month_name(x), lambda date: told(x, date)))
+    rows = once(rows, F.struct(others.alias("others")), "page_no", "base_url", "pos", "link")
     rows = rows.withColumns({
         "dates": F.filter(F.transform("others", lambda x: x["date"]), lambda x: x.isNotNull()),
-        "number": F.try_element_at(F.transform(F.filter("others", lambda x: x["date"].isNull() & x["id"].isNotNull()), lambda x: x["id"]), F.lit(1)),
+        "number": F.try_element_at(F.filter(F.transform("others", lambda x: x["id"]), lambda x: x.isNotNull()), F.lit(1)),
     }).where((F.size("dates") > 0) & F.col("number").isNotNull())
     rows = first_per_key(rows, ["number"], "page_no", "pos")
     return notices(rows, portal=F.lit(portal), notice_id=F.col("number"), title=F.col("link.text"), closing=F.get("dates", F.lit(0)), opening=F.get("dates", F.lit(1)), url=absolute_url(F.concat("base_url", F.lit("/")), F.col("link.href")), status=F.lit("active"))
