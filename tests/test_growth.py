@@ -60,6 +60,22 @@ def test_words_are_counted_inside_their_row(spark):
     assert search.token_table(none, search.KEYS).where("token = 'b'").select("rank").collect()[0][0] == 0.1
 
 
+def test_a_listing_row_is_read_once(spark):
+    """Conditions and columns do not repeat what a row's cells are read with."""
+    pages = spark.createDataFrame([(1, "<table></table>", "https://e.org/app")], "page_no long, html string, base_url string")
+    plan = html_feeds.listing(pages, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AM") <= 6 and plan.count("regexp_replace") <= 40
+
+
+def test_a_block_is_read_in_one_pass(spark):
+    """Both layouts come from one scan of the pages, a block of both classes as either."""
+    head = '<div class="samer update-nag"><a class="coli-tno">A1</a><a class="tDesc">one in Division No: D.</a><span class="coli-date">02/01/1999 10:00 AM</span>'
+    pages = spark.createDataFrame([(1, head + "<h4>Jan</h4><h4>3</h4><h4>09:00 AM</h4><p>x</p><p>A2</p><p>two</p></div>", "u")], "page_no long, html string, base_url string")
+    found = html_feeds.block_listing(pages, "c", F.lit("1998-06-01").cast("timestamp"))
+    assert sorted((r.notice_id, r.title, r.department, str(r.closing)) for r in found.collect()) == [("A1", "one", "D", "1999-01-02 10:00:00"), ("A2", "two", None, "1999-01-03 09:00:00")]
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_python_sees_references_and_no_markup(spark):
     texts = ["<p>a &amp; b</p>", "&eacute;&#233;&#xE9; &lt;x&gt;", "&notit; &foo; &bar", "&#38;lt; &eacute&#59; &&amp;&", "none", "", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, html string").select("i", html.decoded("html").alias("d"))
@@ -67,10 +83,3 @@ def test_python_sees_references_and_no_markup(spark):
     assert [r.d for r in rows.orderBy("i").collect()] == [None if t is None else re.sub(html.REFERENCE, sign, t) for t in texts]
     udf = rows._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython [", 1)[1]
     assert udf.startswith("characters(CASE WHEN Contains(html")
-
-
-def test_a_listing_row_is_read_once(spark):
-    """Conditions and columns do not repeat what a row's cells are read with."""
-    pages = spark.createDataFrame([(1, "<table></table>", "https://e.org/app")], "page_no long, html string, base_url string")
-    plan = html_feeds.listing(pages, "g")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("AM") <= 6 and plan.count("regexp_replace") <= 40

@@ -74,15 +74,17 @@ def block_listing(pages: DataFrame, portal: str, as_of) -> DataFrame:
     """Two block layouts: classed links with a full date, and three paragraphs with a date split over three headings."""
     blocks = _pages(pages).select("page_no", "base_url", F.posexplode(F.split("html", r"""(?i)(?=<[a-z]+\b[^>]*class\s*=\s*["'][^"']*(?:\bsamer\b|\bupdate-nag\b|\bupdateNag\b))""")).alias("pos", "block"))
     classed = lambda name: html.text_of(F.regexp_extract("block", rf"""(?is)<(\w+)\b[^>]*class\s*=\s*["'][^"']*{name}[^"']*["'][^>]*>(.*?)</\1>""", 2))
-    one = blocks.where(F.col("block").rlike(r"""(?i)^<[a-z]+\b[^>]*class\s*=\s*["'][^"']*\bsamer\b"""))
-    one = one.select("page_no", "base_url", "pos", F.coalesce(filled(classed("coli-tno")), filled(classed("coli-id"))).alias("number"), division_split(classed("tDesc")).alias("work"), dates.slash_half_day(classed("coli-date")).alias("closing"))
-    two = blocks.where(F.col("block").rlike(r"""(?i)^<[a-z]+\b[^>]*class\s*=\s*["'][^"']*(update-nag\b|updateNag\b)"""))
+    shape = lambda number, work, closing: F.struct(number.alias("number"), division_split(work).alias("work"), closing.alias("closing"))
+    one = shape(F.coalesce(let(classed("coli-tno"), filled), let(classed("coli-id"), filled)), classed("tDesc"), dates.slash_half_day(classed("coli-date")))
     texts = lambda tag: F.transform(F.regexp_extract_all("block", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), html.text_of)
-    two = two.withColumns({"p": texts("p"), "h": texts("h4")}).where(F.size("p") >= 3)
     at = lambda c, i: F.get(c, F.lit(i))
-    date = F.when(F.size("h") >= 3, dates.split_without_year(at("h", 0), at("h", 1), at("h", 2), as_of))
-    two = two.select("page_no", "base_url", "pos", F.coalesce(filled(at("p", 1)), filled(at("p", 0))).alias("number"), division_split(at("p", 2)).alias("work"), date.alias("closing"))
-    rows = one.unionByName(two).where(F.col("number").isNotNull() & (F.col("work.title") != ""))
+    date = lambda h: F.when(F.size(h) >= 3, dates.split_without_year(at(h, 0), at(h, 1), at(h, 2), as_of))
+    two = let(texts("p"), lambda p: F.when(F.size(p) >= 3, shape(F.coalesce(filled(at(p, 1)), filled(at(p, 0))), at(p, 2), let(texts("h4"), date))))
+    # A block may have both layouts' classes.
+    is_one = F.col("block").rlike(r"""(?i)^<[a-z]+\b[^>]*class\s*=\s*["'][^"']*\bsamer\b""")
+    is_two = F.col("block").rlike(r"""(?i)^<[a-z]+\b[^>]*class\s*=\s*["'][^"']*(update-nag\b|updateNag\b)""")
+    rows = blocks.select("page_no", "base_url", "pos", F.inline(F.array(F.when(is_one, one), F.when(is_two, two))))
+    rows = rows.where(F.col("number").isNotNull() & (F.col("work.title") != ""))
     rows = first_per_key(rows, ["number"], "page_no", "pos")
     return notices(rows, portal=F.lit(portal), notice_id=F.col("number"), title=F.col("work.title"), department=F.col("work.department"), category=F.lit(GENERAL), closing=F.col("closing"), url=F.col("base_url"), status=F.lit("active"))
 
