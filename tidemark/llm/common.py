@@ -11,6 +11,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +80,22 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def with_text(docs: DataFrame, names: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns ``names`` of ``docs`` with a text, and where the text is: ``text_at`` takes it out. A string column that is kept anyway is not sent twice."""
+    kept = [F.col(f"`{c}`") for c in names]
+    if text_col in names and docs.schema[text_col].dataType == StringType():
+        return docs.select(*kept), names.index(text_col)
+    return docs.select(*kept, utf8(text_col).alias(free_name("text", names))), len(names)
+
+
+def text_at(batch: pa.RecordBatch, at: int) -> Iterator[str]:
+    """The texts of a column, null as empty; bytes that are not UTF-8 become the replacement character."""
+    column = batch.column(at)
+    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+        column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())  # the same buffers, undecoded
+    return ((value.as_py() or b"").decode("utf-8", "replace") for value in column)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices Arrow batches so that very long texts do not pile up in one step."""
     for batch in batches:

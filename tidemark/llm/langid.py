@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, small_batches, stored, utf8, worker_slot
+from .common import small_batches, stored, text_at, utf8, with_text, worker_slot
 
 #: Runs of letters; everything else carries no language and separates words.
 WORD = regex.compile(r"\p{L}+")
@@ -35,6 +35,8 @@ SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 6_000_000
 #: Distinct words that a Python worker remembers at once; beyond that it starts anew.
 CACHE_WORDS = 300_000
+#: Bytes of text whose words a Python worker holds at once; as strings they take about ten times as much.
+BATCH_BYTES = 2 << 20
 #: Words up to this length share array operations, longer ones are passed one by one in logarithms.
 SHARED_LENGTH = 64
 UNKNOWN = 1e-7
@@ -310,19 +312,18 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: li
     first in the alphabet. Kept columns named lang_pred or score are replaced.
     """
     names = [c for c in keep_cols or [] if c.lower() not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], utf8(text_col).alias(free_name("text", names)))
+    source, at = with_text(docs, names, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_slot(("langid",))
         model = shared.value
-        for batch in small_batches(batches):
-            texts = [value.as_py().decode("utf-8", "replace") for value in batch.column(batch.num_columns - 1)]
-            found, size = model.texts(texts)
+        for batch in small_batches(batches, BATCH_BYTES):
+            found, size = model.texts(list(text_at(batch, at)))
             best = found.argmax(axis=1)
             langs = [model.langs[k] if n else "und" for k, n in zip(best.tolist(), size.tolist(), strict=True)]
             scores = np.where(size > 0, found[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    given = "".join(f"`{n}` {t}, " for n, t in source.dtypes[:-1])
+    given = "".join(f"`{n}` {t}, " for n, t in source.dtypes[: len(names)])
     return source.mapInArrow(run, f"{given}lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, utf8, worker_slot
+from .common import small_batches, text_at, with_text, worker_slot
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"\w+")
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: list
     Null and empty texts get the score of one empty sentence. Kept columns named score or sentences are replaced.
     """
     names = [c for c in keep_cols or [] if c.lower() not in ("score", "sentences")]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], utf8(text_col).alias(free_name("text", names)))
+    source, at = with_text(docs, names, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def spans(text: str) -> Iterator[tuple[int, int]]:
@@ -195,12 +195,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: list
         model = shared.value
         for batch in small_batches(batches):
             scores, found = [], []
-            for value in batch.column(batch.num_columns - 1):
-                text = value.as_py().decode("utf-8", "replace")
+            for text in text_at(batch, at):
                 whole, each = model.document(text)
                 scores.append(min(max(whole, 0.0), 1.0))
                 found.append([{"start": a, "end": z, "score": p} for (a, z), p in zip(spans(text), each, strict=True) if p >= 0.5] if max(each) >= 0.5 else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(found, kind)], [*names, "score", "sentences"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64()), pa.array(found, kind)], [*names, "score", "sentences"])
 
-    given = "".join(f"`{n}` {t}, " for n, t in source.dtypes[:-1])
+    given = "".join(f"`{n}` {t}, " for n, t in source.dtypes[: len(names)])
     return source.mapInArrow(run, f"{given}score double, sentences array<struct<start:int,end:int,score:double>>")
