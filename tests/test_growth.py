@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import html
 from tidemark.operators import alerts, pages, search, substring_index
+from tidemark.plans import views
 from tidemark.sources import html_feeds
 
 SCHEMA = "portal string, notice_id string, title string, description string, published int"
@@ -27,6 +28,14 @@ def test_a_notice_has_no_more_postings_than_runs(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_stored_table_of_many_short_rows_is_read_by_several_tasks(spark, tmp_path):
+    rows = spark.range(2 * views.EACH_FILE + 1, numPartitions=1).selectExpr("'p' AS portal", "concat('N', id) AS notice_id", "'x' AS title", "'' AS description")
+    stored, _ = views.indexed(spark, str(tmp_path), "short rows", rows)
+    files = [r.n for r in stored.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(files) == 3 and max(files) < views.EACH_FILE and sum(files) == 2 * views.EACH_FILE + 1
+    assert views.dealt(rows.limit(10)).rdd.getNumPartitions() == 1
+
+
 def test_ranges_of_a_stored_order_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pages, "MOST_RANGES", 4)
     rows = made(spark, 100, ["a"]).drop("title", "description")

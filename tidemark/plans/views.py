@@ -37,6 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _indexed: dict[tuple, tuple] = {}
+#: Rows of a stored table for each of its files.
+EACH_FILE = 50_000
+
+
+def dealt(notices: DataFrame) -> DataFrame:
+    """``notices`` in a partition for every ``EACH_FILE`` rows, unless they have as many anyway.
+
+    Short rows compress to a few bytes each: a million fit one file with one row group, which a single task reads, and whoever reads the stored table would do that.
+    """
+    n = notices.count() // EACH_FILE + 1
+    return notices if n <= notices.rdd.getNumPartitions() else notices.repartition(n, "portal", "notice_id")
 
 
 def indexed(spark: SparkSession, sf_dir: str, name: str, notices: DataFrame) -> tuple:
@@ -46,7 +57,7 @@ def indexed(spark: SparkSession, sf_dir: str, name: str, notices: DataFrame) ->
     own = (spark.sparkContext.applicationId, sf_dir, name)
     if own not in _indexed:
         root = f"{shared_folder(spark)}/indexed-{uuid.uuid4().hex}"
-        notices.write.parquet(f"{root}/table")
+        dealt(notices).write.parquet(f"{root}/table")
         stored = spark.read.schema(notices.schema).parquet(f"{root}/table")
         _indexed[own] = stored, build(spark, f"{root}/index", stored)
     return _indexed[own]
