@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8, worker_slot
+from .common import by_key, small_batches, stored, utf8, worker_slot
 from .components import connected_components
 
 #: Values of the first and of the second sketch, and the probability that a pair at the threshold shares too few of them.
@@ -108,16 +108,16 @@ def inverted_lists(nodes: DataFrame, least: tuple[int, int], k: int) -> DataFram
     share = least[0] / least[1]
     entries = nodes.select("set", F.explode("sketch").alias("value"))
     several = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = entries.join(several, "value").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))  # at most k
+    held = entries.join(by_key(several), "value").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))  # at most k
     size = F.least(F.col("n"), F.lit(k))
     needed = F.when(F.col("n") <= math.floor(k * share), F.ceil(F.col("n") * least[0] / least[1])).otherwise(least_shared(share, k))
     # Values of no other set come first in the order; what they leave of the prefix is shared.
     room = (size - needed + 1 - (size - F.size("held"))).cast("int")
     fame = F.struct(F.size("held").alias("shared"), F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log2(x["df"].cast("double"))).alias("weight"))
-    found = nodes.join(held, "set").where(room > 0).select("set", "n", "node", fame.alias("fame"), (size - F.size("held")).alias("alone"), F.posexplode(F.slice("held", F.lit(1), room)).alias("i", "h"))
+    found = nodes.join(by_key(held), "set").where(room > 0).select("set", "n", "node", fame.alias("fame"), (size - F.size("held")).alias("alone"), F.posexplode(F.slice("held", F.lit(1), room)).alias("i", "h"))
     found = stored(found.select(F.col("h.value").alias("value"), "set", "n", (F.col("alone") + F.col("i")).alias("at"), "fame", "node"), "minhash-entries")
     lists = found.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("value")
-    return stored(found.join(lists, "value"), "minhash-lists")
+    return stored(found.join(by_key(lists), "value"), "minhash-lists")
 
 
 def may_match(least: tuple[int, int], k: int) -> str:
@@ -148,7 +148,7 @@ def whole_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     # Rows that repeat an id may bring sets that nobody asked for.
     texts = source.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    return texts.mapInArrow(run, "set long, grams array<long>").dropDuplicates(["set"]).join(nodes.select("set"), "set", "left_semi")
+    return texts.mapInArrow(run, "set long, grams array<long>").dropDuplicates(["set"]).join(by_key(nodes.select("set")), "set", "left_semi")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, grams: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -183,14 +183,14 @@ def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """
     nodes = stored(sketched.where("id is not null and n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "minhash-nodes")
     near = inverted_lists(nodes, least, SKETCH).select("set").distinct()
-    close = stored(nodes.select("set", "node", "n").join(near, "set", "left_semi"), "minhash-close")
+    close = stored(nodes.select("set", "node", "n").join(by_key(near), "set", "left_semi"), "minhash-close")
     grams = stored(whole_sets(close, docs, id_col, text_col, words), "minhash-grams")
     wide = stored(close.join(grams, "set").select("set", "node", "n", F.slice("grams", 1, WIDE).alias("sketch")), "minhash-wide")
     shared = inverted_lists(wide, least, WIDE)
     labels = stored((wide if proposed else shared).select("set", F.col("node").alias("label")).distinct(), "minhash-labels")
     possible = may_match(least, WIDE)
     for round_ in range(HUB_ROUNDS):
-        labelled = shared.join(labels, "set")
+        labelled = shared.join(by_key(labels), "set")
         if round_:
             spread = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
             left, size = spread.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
@@ -198,7 +198,7 @@ def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str,
                 break
         order = F.struct("fame", -F.col("node")) if round_ == 0 else F.xxhash64(F.lit(round_), "set")
         hubs = labelled.groupBy("value").agg(F.max_by(F.struct("set", "n", "at", "label"), order).alias("b"))
-        met = labelled.alias("a").join(hubs, "value").where("a.set <> b.set and a.label <> b.label").where(possible)
+        met = labelled.alias("a").join(by_key(hubs), "value").where("a.set <> b.set and a.label <> b.label").where(possible)
         # Of all hubs in its lists, the one that a node shares most of them with.
         overlap = met.groupBy(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.label").alias("src"), F.col("b.label").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
         pairs = overlap.groupBy("a").agg(F.max_by(F.struct("b", "src", "dst"), F.struct("c", "b")).alias("p")).select("a", "p.*")
@@ -209,8 +209,8 @@ def components(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         labels = stored(relabelled(labels, links), "minhash-labels")
         if links.count() < LINKED * pairs.count():
             break
-    labelled = stored(shared.join(labels, "set"), "minhash-labelled")
-    pairs = labelled.alias("a").join(labelled.alias("b"), "value").where("a.set < b.set and a.label <> b.label").where(possible)
+    labelled = stored(shared.join(by_key(labels), "set"), "minhash-labelled")
+    pairs = labelled.alias("a").join(by_key(labelled.alias("b")), "value").where("a.set < b.set and a.label <> b.label").where(possible)
     pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.label").alias("src"), F.col("b.label").alias("dst")).distinct()
     labels = stored(relabelled(labels, confirmed(stored(pairs, "minhash-pairs"), wide, grams, least)), "minhash-labels")
     return nodes.join(labels, "set", "left").select("set", F.coalesce("label", "node").alias("label"))

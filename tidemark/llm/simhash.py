@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, stored, utf8, worker_slot
+from .common import by_key, cut, small_batches, stored, utf8, worker_slot
 from .components import connected_components
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -175,12 +175,12 @@ def near_components(prints: DataFrame) -> DataFrame:
     # One representative per bucket first: linear in the number of keys.
     right = key_rows(nodes, 1)
     least = right.groupBy("key").agg(F.min_by(F.struct("node", "fp"), "node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = right.alias("a").join(least.alias("r"), "key").where("a.node <> r.hub.node and bit_count(a.fp ^ r.hub.fp) <= 3")
+    star = right.alias("a").join(by_key(least.alias("r")), "key").where("a.node <> r.hub.node and bit_count(a.fp ^ r.hub.fp) <= 3")
     star = star.select(F.col("hub.node").alias("src"), F.col("a.node").alias("dst")).distinct()
     first = connected_components(star)
     labelled = nodes.join(first, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
     labelled = stored(labelled, "simhash-labels")
-    pairs = key_rows(labelled, 0).alias("a").join(key_rows(labelled, 1).alias("b"), "key")
+    pairs = key_rows(labelled, 0).alias("a").join(by_key(key_rows(labelled, 1).alias("b")), "key")
     pairs = pairs.where(f"a.label <> b.label and {close}")
     links = pairs.select(F.least("a.label", "b.label").alias("src"), F.greatest("a.label", "b.label").alias("dst")).distinct()
     merged = connected_components(links).select(F.col("node").alias("label"), F.col("component").alias("merged"))
