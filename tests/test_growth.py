@@ -92,3 +92,17 @@ def test_python_sees_references_and_no_markup(spark):
     assert [r.d for r in rows.orderBy("i").collect()] == [None if t is None else re.sub(html.REFERENCE, sign, t) for t in texts]
     udf = rows._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython [", 1)[1]
     assert udf.startswith("characters(CASE WHEN Contains(html")
+
+
+def test_words_are_ranked_and_titles_matched_without_a_shuffle_of_words_or_trigrams(spark, monkeypatch):
+    notices = views.documents(spark, "/root/testdata/sf0.001").withColumn("organisation", F.when(F.length("description") % 2 == 0, F.substring("description", 1, 80)))
+    ranks = search.token_table(notices, search.KEYS)
+    assert "Exchange" not in ranks._jdf.queryExecution().executedPlan().toString()
+    as_rows = lambda df: {(r.portal, r.notice_id, r.token): round(r.rank, 9) for r in df.collect()}
+    assert as_rows(ranks) == as_rows(search.weighted(search.stemmed(search.field_words(notices, search.KEYS)), search.KEYS))
+    queries = notices.select(F.xxhash64("notice_id").alias("query_id"), F.substring("title", 1, 30).alias("q")).limit(40).cache()
+    few = search.similar_titles(notices, queries)
+    assert "hashpartitioning(gram" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "MOST_SENT", 0)
+    many = search.similar_titles(notices, queries)
+    assert few.count() > 40 and sorted(few.collect()) == sorted(many.collect())

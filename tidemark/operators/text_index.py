@@ -76,7 +76,7 @@ class TextIndex:
         """Postings of a batch, sorted by block inside of each bucket, then their blocks; a replay replaces both."""
         at = f"{self.root}/postings/batch={batch}"
         # Rebalanced: a token that most notices have is split over several tasks and files of its bucket.
-        dealt = rows.select("token", shard_of(), *KEYS, "rank", self.bucket().alias("bucket")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "shard")
+        dealt = rows.select("token", *KEYS, "rank", self.bucket().alias("bucket")).hint("rebalance", "bucket").withColumn("shard", shard_of()).sortWithinPartitions("bucket", "token", "shard")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(at)
         written = self.spark.read.schema("token string, shard int, rank double").parquet(at)
         blocks = written.groupBy("token", "shard").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("n"))
